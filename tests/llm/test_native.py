@@ -1,0 +1,138 @@
+"""PII, exact dedup, url filters and licence scans against brute force and worked cases."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from oracle import compare
+
+from folioframe.llm import exact_dedup, license_scan, pii, registry, url_filter
+from folioframe.llm._components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    }
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text) if ok(m[0])] for k, (p, ok) in kinds.items()}
+
+
+def test_pii_against_re(spark):
+    rnd = random.Random(7)
+    pieces = ["a@b.co", "x.y@", "@c.d", "_e@f-g.h.i", "1.2.3.4", "256.1.1.1", "010.0.00255.9", "5.6.7.8.9.10.11.12", "4111 1111 1111 1111", "4111-1111-1111-1112", "1" * 20, "+1 (555) 010-9999", "+12", "+4930123456789012", "é", "𝄞", " ", "\n", "-", ".", "+", "9", "user@", "a" * 40]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14)))) for i in range(400)]
+    rows += [(2000, None), (2001, ""), (2002, "7" * 60000), (2003, "a" * 60000 + "@"), (2004, "1." * 3000), (2005, "a@b" + ".c" * 30000), (2006, "+1" + " (2" * 20000), (None, "a@b.cd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as email", "1 as ip")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for i, t in rows:
+        want = brute_spans(t or "")
+        assert {k: [(s.start, s.end) for s in got[i][k]] for k in pii.BASE} == want, t
+
+
+def test_pii_added_kinds(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765431; ssn 078-05-1120. " + "x" * 90 + " 219-09-9999"
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[s.start : s.end] for s in r.iban] == ["DE89 3704 0044 0532 0130 00"]
+    assert [text[s.start : s.end] for s in r.ssn] == ["078-05-1120"]
+    assert r.iban[0].score == pytest.approx(1.1)
+
+
+def brute_exact(rows):
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    by = {}
+    for d, t in rows:
+        by.setdefault(norm(t), []).append((-len(t or ""), d is None, d))
+    out = []
+    for d, t in rows:
+        g = by[norm(t)]
+        keep = min(g)[2]
+        out.append((d, keep, len(g), d == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_exact(spark):
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("ab \n\té ") for _ in range(rnd.randint(0, 6)))) for i in range(300)]
+    rows += [(400, None), (401, ""), (402, "q" * 100000), (403, "q " * 100000), (5, rows[5][1]), (None, "zz"), (None, "zzz"), (404, "z z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as sha", "doc_id as keep_id", "text as norm").repartition(3)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=str) == brute_exact(rows)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    want = {(d, h) for d, _, _, k, h in brute_exact(rows) if k}
+    got = [(r.doc_id, hashlib.sha256(re.sub("[\x20\x09-\x0d]", "", r.text or "").encode()).hexdigest()) for r in kept.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert exact_dedup.exact_dedup(docs.where("doc_id < 0")).count() == 0
+
+
+def test_components(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(1000, 1000 + i) for i in range(1, 200)] + [(i, i + 1) for i in range(2000, 2060)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    want = {x: find(x) for x in list(parent)}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_urls(spark):
+    link = lambda u: f'<html><link href="{u}" rel="canonical"></html>'
+    go = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    rows = [
+        (1, "http://a.NET/es/x?y", link("http://q.org/1")),
+        (2, "http://q.org/1", None),
+        (3, "http://q.org/2", go("http://q.org/1")),
+        (4, "http://w.org/", link("http://EXAMPLE.com/en/a")),
+        (5, "http://v.org/", link("http://www.example.com/en/a")),
+        (6, "http://v.org/#z", link("http://v.org/")),
+        (7, None, None),
+        (8, "no url", "x" * 100000),
+        (9, "http://xexample.com/en/", ""),
+        (10, "http://u.org/", link("http://a.net/fr/")),
+        (11, "http://u.org/", link("http://b.com/")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "url as host", "1 as node")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}
+    assert got[1] == ("a.net", "/es/x", "net/es/", "block")
+    assert got[2] == ("q.org", "/1", None, "block") and got[3][3] == "block"
+    assert got[4][3] == "block" and got[5][3] == "allow" and got[6][3] == "allow"
+    assert got[7] == ("", "", None, "allow") == got[8]
+    assert got[9] == ("xexample.com", "/en/", "com/", "allow")
+    assert got[10][3] == got[11][3] == "allow"  # an explicit allow in the same component comes first
+    assert url_filter.judge(pages.where("page_id < 0")).count() == 0
+
+
+def test_licences(spark):
+    rows = [(1, "some words of another kind stand here\nLicensed under the Apache License, Version 2.0.\nmore of them"), (2, license_scan.TEMPLATES["MIT-text"].upper()), (3, None), (4, ""), (5, "released under the MIT license"), (6, "x " * 50000), (None, "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as license", "1 as b")
+    got = {r.doc_id: (r.license, r.n_units) for r in license_scan.scan(docs).collect()}
+    assert got == {1: ("Apache-2.0", 1), 2: ("MIT-text", 1), 3: (None, 0), 4: (None, 0), 5: ("MIT", 1), 6: (None, 0), None: ("MIT", 1)}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql(spark, name):
+    assert compare(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], SF) == ""
