@@ -30,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     mark = None
     while True:
-        e = materialize(star(materialize(star(e, True), "large"), False), "small")
+        e = materialize(star(star(e, True), False), "stars")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
