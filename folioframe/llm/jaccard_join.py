@@ -41,7 +41,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS, SLICES = 18, 16
 _MULTIPLIERS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-ROWS = "doc_id long, n long, s1 long, s2 long, toks array<long>, pos array<int>, body binary"
+ROWS = "doc_id long, n long, s1 long, s2 long, chunk long, nth int, toks array<long>, pos array<int>"
 
 
 def sets(texts: Texts) -> list[np.ndarray]:
@@ -120,7 +120,7 @@ def _again(blobs: list[bytes]) -> list[bytes]:
 
 
 def _rows(chunks: DataFrame) -> DataFrame:
-    """ROWS of each document; toks, pos and body only where a rare shingle occurs in several documents."""
+    """ROWS of each document; toks and pos only where a rare shingle occurs in several documents."""
     counts = chunks.sparkSession.sparkContext.broadcast(_sketch(chunks))
     n_buckets = C.buckets_for(chunks, 0.25 * 0.18 * 4)
 
@@ -137,7 +137,7 @@ def _rows(chunks: DataFrame) -> DataFrame:
             rare = [_rarest(s, counts.value) for s in own]
             bucket, _, inverse = _keys(rare, n_buckets)
             shared = C.undeal(bucket, r["answers"], np.uint8)[inverse] > 0 if len(bucket) else np.zeros(0, bool)
-            n, s1, s2, toks, pos, body, at = [], [], [], [], [], [], 0
+            n, s1, s2, toks, pos, at = [], [], [], [], [], 0
             for s, p in zip(own, rare, strict=True):
                 mine = np.flatnonzero(shared[at : at + len(p)])
                 at += len(p)
@@ -146,15 +146,30 @@ def _rows(chunks: DataFrame) -> DataFrame:
                 s2.append(int(mix(s, 11).sum(dtype=U64).view(np.int64)))
                 toks.append(p[mine].view(np.int64) if len(mine) else None)
                 pos.append(mine.astype(np.int32) if len(mine) else None)
-                body.append(s.tobytes() if len(mine) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(body, pa.binary())], names=[x.split()[0] for x in ROWS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, pa.int64()), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array([chunk.number] * len(n), pa.int64()), pa.array(range(len(n)), pa.int32()), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32()))], names=[x.split()[0] for x in ROWS.split(", ")])
 
     known = C.exchange(chunks.mapInArrow(ask, C.ASK), _again)
     return materialize(C.with_answers(chunks, known).mapInArrow(tell, ROWS), "rows")
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+def _bodies(chunks: DataFrame, places: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (id, body): the whole sets of the documents of ``pairs``, made anew from their chunks."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(places, "id")
+    by_chunk = needed.groupBy("chunk").agg(F.collect_list(F.struct("nth", "id")).alias("wanted"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, r in C.unpack(batches):
+            own = sets(chunk.texts)
+            yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in r["wanted"]], pa.int64()), pa.array([own[w["nth"]].tobytes() for w in r["wanted"]], pa.binary())], names=["id", "body"])
+
+    return materialize(chunks.join(by_chunk, "chunk").mapInArrow(make, "id long, body binary"), "bodies")
+
+
+def _verify(pairs: DataFrame, chunks: DataFrame, places: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link."""
+    if pairs.isEmpty():
+        return pairs
+    bodies = _bodies(chunks, places, pairs)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +205,10 @@ def _groups(post: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return post.join(open_, "tok"), group
 
 
-def link_groups(cand: DataFrame) -> DataFrame:
-    """Rows (node, component) of the documents of ``cand`` (id, n, toks, pos, body) that link with others."""
+def link_groups(cand: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows (node, component) of the documents of ``cand`` (id, n, chunk, nth, toks, pos) that link with others."""
     post = materialize(cand.select("id", "n", F.explode(F.arrays_zip("toks", "pos")).alias("t")).select("id", "n", F.col("t.toks").alias("tok"), F.col("t.pos").alias("pos")), "post")
-    bodies = cand.select("id", "body")
+    places = cand.select("id", "chunk", "nth")
     me = F.struct("id", "n", "pos")
 
     def led(rows: DataFrame, leader: Column) -> DataFrame:
@@ -202,14 +217,14 @@ def link_groups(cand: DataFrame) -> DataFrame:
         return near.select(F.col("id").alias("a"), F.col("l.id").alias("b"), *[c for c in ("grp",) if c in rows.columns], *([F.col("l.grp").alias("lgrp")] if "grp" in rows.columns else []))
 
     tested = materialize(_ordered(led(post, F.min(me))), "pairs")
-    links = materialize(_verify(tested, bodies), "links")
+    links = materialize(_verify(tested, chunks, places), "links")
     open_, _ = _groups(post, links)
     open_ = materialize(open_, "open")
     if not open_.isEmpty():
         more = led(open_, F.min(F.struct(F.xxhash64("id", "tok").alias("h"), "id", "n", "pos", "grp"))).where("grp <> lgrp")
         more = materialize(_ordered(more).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(more)
-        links = materialize(links.unionByName(_verify(more, bodies)), "links")
+        links = materialize(links.unionByName(_verify(more, chunks, places)), "links")
         open_ = materialize(_groups(open_.select("id", "n", "tok", "pos"), links)[0], "open")
     if not open_.isEmpty():
         matrix = open_.groupBy("tok", "grp").agg(F.min("n").alias("least"), F.max("n").alias("greatest"), F.max(F.col("n") - F.col("pos")).alias("room"))
@@ -219,17 +234,18 @@ def link_groups(cand: DataFrame) -> DataFrame:
         opened = query.join(matrix, "tok").where(fits & bound)
         last = opened.join(open_, ["tok", "grp"]).where(_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("pos"))).select("a", F.col("id").alias("b"))
         last = materialize(_ordered(last).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_verify(last, bodies)), "links")
+        links = materialize(links.unionByName(_verify(last, chunks, places)), "links")
     return materialize(components(links), "components")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that it reaches by links)."""
-    rows = _rows(C.build(docs))
+    chunks = C.build(docs)
+    rows = _rows(chunks)
     key = ["s1", "s2", "n"]
     rep = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"))
-    cand = rows.where("toks is not null").join(rep, key).where("doc_id = id").select("id", "n", "toks", "pos", "body").dropDuplicates(["id", "n"])
-    found = link_groups(materialize(cand, "candidates"))
+    cand = rows.where("toks is not null").join(rep, key).where("doc_id = id").select("id", "n", "chunk", "nth", "toks", "pos").dropDuplicates(["id", "n"])
+    found = link_groups(materialize(cand, "candidates"), chunks)
     of = rep.join(found, rep["id"] == found["node"], "left").select(*key, F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", *key).join(of, key, "left")
     real = lambda c: F.when(c != C.NO_ID, c)
