@@ -56,18 +56,10 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def key_words(known: list[tuple[str, list[str]]], low: float) -> list[str]:
-    """Words of which every matching unit has one: a match has ``low`` of a template's bigrams, and more than the rest
-    of them hold one of its words here. Long words first, as they are rare."""
-    out: set[str] = set()
-    for _, grams in known:
-        touched: set[str] = set()
-        for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
-            if len(touched) > len(grams) * (1 - low) + 1e-9:
-                break
-            out.add(word)
-            touched |= {g for g in grams if word in g.split(" ")}
-    return sorted(out)
+def key_grams(known: list[tuple[str, list[str]]], low: float) -> list[str]:
+    """Bigrams of which every matching unit has one: a match has ``low`` of a template's bigrams at least, and these are
+    one more than it may lack. Long bigrams first, as they are rare."""
+    return sorted({g for _, grams in known for g in sorted(grams, key=lambda g: (-len(g), g))[: int(len(grams) * (1 - low) + 1e-9) + 1]})
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -80,7 +72,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     sizes = [len(b) for _, b in known]
     least, most = min(sizes, default=1) * low, max(sizes, default=0) * high
     text = F.coalesce("text", F.lit(""))
-    words = rf"(?i)(?:{'|'.join(key_words(known, low)) or 'a^'})"
+    keys = "|".join(g.replace(" ", "[^A-Za-z0-9]+") for g in key_grams(known, low)) or "a^"
+    words = rf"(?i)(?<![a-z0-9])(?:{keys})(?![a-z0-9])"
     units = docs.where(text.rlike(words)).select("doc_id", F.explode(F.array_append(F.filter(F.split(text, "\n"), lambda x: x != text), text)).alias("unit"))
     # Words are separated by other characters, so a unit of n bigrams has n + 1 words and 2 n + 1 characters at least.
     units = units.where((F.length("unit") > 2 * least) & F.col("unit").rlike(words)).select("doc_id", _once(tokens(F.col("unit"))).alias("w")).where(F.size("w") - 1 >= least)
