@@ -2,7 +2,7 @@
 
 Two texts are equal when they are identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Documents are
 split by the length of the normalised text, then by the hash of its first characters, then by its full SHA-256; a
-document whose length or prefix is its own never reaches the next level. The scan reads each text once and stores a
+group whose length or prefix is its own is dropped before the next level. The scan reads each text once and stores a
 signature row per document; the levels work on signatures, and texts are never shuffled. Groups are formed by
 pre-aggregated sums, so a group with a third of all rows costs each task one partial row; the join back has one row
 per group on one side, so a hot group may be split at will.
@@ -40,10 +40,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 def groups(sig: DataFrame) -> DataFrame:
     """Rows (len, head, sha, keep_id, group_size) of the groups of two or more, level by level."""
     by_len = sig.groupBy("len").count().where("count > 1").select("len")
-    by_head = sig.join(by_len, "len", "left_semi").groupBy("len", "head").count().where("count > 1").select("len", "head")
-    left = sig.join(by_head, ["len", "head"], "left_semi")
+    # Counts are taken before each join, so rows of a frequent length or prefix are never gathered.
+    by_head = sig.groupBy("len", "head").count().where("count > 1").join(by_len, "len", "left_semi").select("len", "head")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    return left.groupBy("len", "head", "sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").select("len", "head", "sha", F.col("best.id").alias("keep_id"), "group_size")
+    full = sig.groupBy("len", "head", "sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return full.join(by_head, ["len", "head"], "left_semi").select("len", "head", "sha", F.col("best.id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
