@@ -1,0 +1,5 @@
+"""Decoders of office files; all of them are in ``office.DECODERS``."""
+
+from . import office, slides
+
+office.DECODERS.update(slides.DECODERS)
