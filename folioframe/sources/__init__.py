@@ -1,5 +1,5 @@
 """Decoders of office files; all of them are in ``office.DECODERS``."""
 
-from . import office, slides
+from . import hangul, office, slides
 
-office.DECODERS.update(slides.DECODERS)
+office.DECODERS.update(slides.DECODERS | hangul.DECODERS)

@@ -1,0 +1,134 @@
+"""Decoder of binary hwp files: compound-file reader, section streams and their records as atoms.
+
+Records come with their raw text; ``functions.text.control_strip`` and ``visible`` take control codes out of it.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+RECORDS = "doc_id string, section string, section_no int, rec int, tag int, level int, text string, payload binary, error string"
+
+MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+#: Sector numbers from here on are marks: end of a chain, free, and the like.
+LAST_SECTOR = 0xFFFFFFFA
+NO_ENTRY = 0xFFFFFFFF
+PARA_TEXT = 67
+COMPRESSED, ENCRYPTED, DISTRIBUTION = 1, 2, 4
+
+
+def _longs(b: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(b) // 4}I", b[: len(b) // 4 * 4])
+
+
+class Compound:
+    """The streams of a compound file, by path."""
+
+    def __init__(self, data: bytes):
+        if data[:8] != MAGIC:
+            raise ValueError("not a compound file")
+        self.data = data
+        self.shift, self.mini_shift = struct.unpack_from("<2H", data, 30)
+        directory, _, self.cutoff, mini_fat, _, difat, _ = struct.unpack_from("<7I", data, 48)
+        sectors = [s for s in _longs(data[76:512]) if s < LAST_SECTOR]
+        seen = set()
+        while difat < LAST_SECTOR and difat not in seen:
+            seen.add(difat)
+            *more, following = _longs(self._sector(difat))
+            sectors += [s for s in more if s < LAST_SECTOR]
+            difat = following
+        self.fat = _longs(b"".join(map(self._sector, sectors)))
+        self.mini_fat = _longs(self._chain(mini_fat))
+        entries = self._chain(directory)
+        self.entries = [entries[k : k + 128] for k in range(0, len(entries) - 127, 128)]
+        start, size = self._place(0)
+        self.mini = self._chain(start)[:size]
+        self.paths: dict[str, int] = {}
+        self._walk(struct.unpack_from("<I", self.entries[0], 76)[0], "")
+
+    def _sector(self, k: int) -> bytes:
+        return self.data[(k + 1) << self.shift : (k + 2) << self.shift]
+
+    def _chain(self, k: int) -> bytes:
+        out, seen = [], set()
+        while k < min(LAST_SECTOR, len(self.fat)):
+            if k in seen:
+                raise ValueError("a chain of sectors runs in a circle")
+            seen.add(k)
+            out.append(self._sector(k))
+            k = self.fat[k]
+        return b"".join(out)
+
+    def _place(self, entry: int) -> tuple[int, int]:
+        start, size = struct.unpack_from("<IQ", self.entries[entry], 116)
+        return start, size & 0xFFFFFFFF if self.shift == 9 else size
+
+    def _walk(self, first: int, folder: str) -> None:
+        """Entries of one storage, a binary tree; inner storages after it."""
+        open_, seen = [first], set()
+        while open_:
+            k = open_.pop()
+            if k >= len(self.entries) or k in seen:
+                continue
+            seen.add(k)
+            e = self.entries[k]
+            left, right, inner = struct.unpack_from("<3I", e, 68)
+            name = e[: max(0, struct.unpack_from("<H", e, 64)[0] - 2)].decode("utf-16-le", "replace")
+            open_ += [left, right]
+            if e[66] == 2:
+                self.paths[folder + name] = k
+            elif e[66] == 1 and inner != NO_ENTRY:
+                self._walk(inner, f"{folder}{name}/")
+
+    def stream(self, path: str) -> bytes:
+        start, size = self._place(self.paths[path])
+        if size >= self.cutoff:
+            return self._chain(start)[:size]
+        out, seen, step = [], set(), 1 << self.mini_shift
+        while start < min(LAST_SECTOR, len(self.mini_fat)) and start not in seen:
+            seen.add(start)
+            out.append(self.mini[start * step : (start + 1) * step])
+            start = self.mini_fat[start]
+        return b"".join(out)[:size]
+
+
+def flags(header: bytes) -> int:
+    """Properties of a document; a header that is too short means compressed."""
+    return struct.unpack_from("<I", header, 36)[0] if len(header) >= 40 else COMPRESSED
+
+
+def records(section: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(tag, level, payload); a payload that is cut off comes as far as it goes."""
+    at = 0
+    while at + 4 <= len(section):
+        (head,) = struct.unpack_from("<I", section, at)
+        at, size = at + 4, head >> 20
+        if size == 0xFFF:
+            if at + 4 > len(section):
+                return
+            (size,) = struct.unpack_from("<I", section, at)
+            at += 4
+        yield head & 0x3FF, head >> 10 & 0x3FF, section[at : at + size]
+        at += size
+
+
+def hwp_records(data: bytes) -> Iterator[tuple]:
+    """(section, section_no, rec, tag, level, text, payload); text only of paragraph texts, with its control codes."""
+    file = Compound(data)
+    state = flags(file.stream("FileHeader"))
+    if state & (ENCRYPTED | DISTRIBUTION):
+        raise ValueError("the document is encrypted")
+    found = sorted((int(m[1]), p) for p in file.paths if (m := re.fullmatch(r"BodyText/Section(\d+)", p)))
+    for no, path in found:
+        body = file.stream(path)
+        if state & COMPRESSED:
+            body = zlib.decompressobj(-15).decompress(body)
+        for k, (tag, level, payload) in enumerate(records(body)):
+            text = payload[: len(payload) // 2 * 2].decode("utf-16-le", "replace") if tag == PARA_TEXT else None
+            yield path, no, k, tag, level, text, payload
+
+
+DECODERS = {"hwp_records": (hwp_records, RECORDS)}
