@@ -1,21 +1,35 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Text is normalised (A-Z lowered, every run of other characters than a-z and 0-9 a space) and cut into units: each line,
-and the whole text. Two bigram sets of sizes a and b have a Dice coefficient of at most 2 min(a, b) / (a + b), so a
-unit is compared only with templates whose size lies within [a t / (2 - t), a (2 - t) / t] for the threshold t; units
-that no template's bounds admit are dropped before their bigrams are formed. Templates are a fixed short list.
+Text is normalised (A-Z lowered, every run of other characters than a-z and 0-9 a space) and compared in units: each
+line, the whole text, and every stretch of consecutive words, so that a notice that is wrapped over lines or stands
+inside a longer line is found too. A unit matches if its Dice coefficient with a template reaches the threshold.
+
+A line or whole text that matches stands as it is: stretches inside it don't count, and others only where they match
+better than every matching line they touch. Of stretches that overlap the best stands (then the longer one, then the
+first in name). The best stretch begins and ends with bigrams of its template and doesn't repeat its first one, as
+leaving those off never lowers the coefficient; so stretches from one place end where its bigram recurs or where they
+hold more bigrams than any match may, and time stays within (bigrams of all templates) x (words of the text).
+
+Texts without a bigram that some template's matches must have are dropped before Python reads them. Templates are a
+fixed short list.
 
 Cases: a null or empty text, a unit of fewer than two words: no bigrams, no match; ties between templates go to the one
-first in name; very long texts are lines and one unit that the bounds drop; rows that share a doc_id share their
-matches; a null doc_id matches with itself; other columns are not read.
+first in name; texts of any length are searched whole; rows that share a doc_id share their matches; a null doc_id
+matches with itself; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._runtime import ascii_lower, table
+from ._runtime import small_batches, table
 
 THRESHOLD = 0.8
 
@@ -41,19 +55,80 @@ TEMPLATES = {
 }
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-
-
-def bigrams(words: Column) -> Column:
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
-    return F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))
-
-
-def _once(c: Column) -> Column:
-    """A generated column, which the optimiser doesn't compute again for each filter on it."""
-    return F.explode(F.array(c))
+_LOWER = {i: i + 32 for i in range(65, 91)}
+_OTHER = re.compile("[^a-z0-9]+")
+
+
+def tokens(text: str) -> list[str]:
+    return [w for w in _OTHER.split(text.translate(_LOWER)) if w]
+
+
+def bigrams(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _best(grams: set[str], known: list[tuple[str, frozenset[str]]]) -> tuple[float, str]:
+    """(-dice, license) of the template that is nearest."""
+    return min(((-2.0 * len(grams & t) / (len(grams) + len(t)), name) for name, t in known), default=(0.0, "")) if grams else (0.0, "")
+
+
+def matches(text: str, known: list[tuple[str, frozenset[str]]], threshold: float = THRESHOLD) -> list[tuple[str, float, str]]:
+    """(license, dice, sorted bigrams) of the units of a text that match a template."""
+    words, line_of, out = [], [], []
+    lines = [x for x in text.split("\n") if x != text]
+    said = [0.0] * len(lines)
+    for k, line in enumerate(lines):
+        w = tokens(line)
+        words += w
+        line_of += [k] * len(w)
+        d, name = _best(own := set(bigrams(w)), known)
+        if -d >= threshold:
+            said[k] = -d
+            out.append((name, -d, "|".join(sorted(own))))
+    if not lines:
+        words = tokens(text)
+        line_of = [-1] * len(words)
+    grams = bigrams(words)
+    d, name = _best(own := set(grams), known)
+    if -d >= threshold:
+        return [*out, (name, -d, "|".join(sorted(own)))]
+    taken = bytearray(len(words))
+    fits = [(name, t) for name, t in known if len(own & t) >= len(t) * threshold / (2 - threshold) - 1e-9]
+
+    def ahead(i: int):
+        """The best stretch from word i on that may stand: (-dice, -words, license, i), or None."""
+        best = None
+        for name, t in fits:
+            if grams[i] not in t:
+                continue
+            most, seen, both, rival = len(t) * (2 - threshold) / threshold + 1e-9, set(), 0, 0.0
+            for j in range(i, len(grams)):
+                g = grams[j]
+                if taken[j] or taken[j + 1] or (j > i and g == grams[i]):
+                    break
+                rival = max(rival, said[line_of[j]] if lines else 0.0, said[line_of[j + 1]] if lines else 0.0)
+                if g not in seen:
+                    seen.add(g)
+                    if len(seen) > most:
+                        break
+                    both += g in t
+                dice = 2.0 * both / (len(seen) + len(t))
+                if g in t and dice >= threshold and dice > rival and not (lines and line_of[i] == line_of[j + 1] and said[line_of[i]]):
+                    best = min(best or (0.0,), (-dice, i - j - 2, name, i))
+        return best
+
+    heap = [x for i in range(len(grams)) if (x := ahead(i))] if fits else []
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        now = ahead(top[3])
+        if now == top:
+            d, n, name, i = top
+            taken[i : i - n] = b"\1" * -n
+            out.append((name, -d, "|".join(sorted(set(grams[i : i - n - 1])))))
+        elif now:
+            heapq.heappush(heap, now)
+    return out
 
 
 def key_grams(known: list[tuple[str, list[str]]], low: float) -> list[str]:
@@ -65,25 +140,20 @@ def key_grams(known: list[tuple[str, list[str]]], low: float) -> list[str]:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license (the best template, or null), dice (rounded to six places), n_units (units
     that match a template)."""
-    spark = docs.sparkSession
-    sets = spark.createDataFrame(sorted(templates.items()), "license string, t string").select("license", bigrams(tokens(F.col("t"))).alias("tb"))
-    known = [(r.license, sorted(r.tb)) for r in sets.where(F.size("tb") > 0).collect()]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    sizes = [len(b) for _, b in known]
-    least, most = min(sizes, default=1) * low, max(sizes, default=0) * high
-    text = F.coalesce("text", F.lit(""))
-    keys = "|".join(g.replace(" ", "[^A-Za-z0-9]+") for g in key_grams(known, low)) or "a^"
-    words = rf"(?i)(?<![a-z0-9])(?:{keys})(?![a-z0-9])"
-    units = docs.where(text.rlike(words)).select("doc_id", F.explode(F.array_append(F.filter(F.split(text, "\n"), lambda x: x != text), text)).alias("unit"))
-    # Words are separated by other characters, so a unit of n bigrams has n + 1 words and 2 n + 1 characters at least.
-    units = units.where((F.length("unit") > 2 * least) & F.col("unit").rlike(words)).select("doc_id", _once(tokens(F.col("unit"))).alias("w")).where(F.size("w") - 1 >= least)
-    units = units.select("doc_id", _once(bigrams(F.col("w"))).alias("b")).where(F.size("b").between(least, most))
-    fits = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("tb")) for name, b in known])
-    pairs = units.select("doc_id", "b", F.explode(F.filter(fits, lambda t: F.size("b").between(F.size(t["tb"]) * low, F.size(t["tb"]) * high))).alias("t"))
-    dice = 2.0 * F.size(F.array_intersect("b", "t.tb")) / (F.size("b") + F.size("t.tb"))
-    hits = pairs.select("doc_id", "b", F.col("t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= threshold)
-    best = hits.groupBy("doc_id").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"), F.count_distinct("b").alias("n_units"))
-    best = best.select(F.col("doc_id").alias("_id"), "best", "n_units")
+    small_batches(docs.sparkSession)
+    known = [(k, frozenset(g)) for k, t in sorted(templates.items()) if (g := bigrams(tokens(t)))]
+    keys = "|".join(g.replace(" ", "[^A-Za-z0-9]+") for g in key_grams(known, threshold / (2 - threshold))) or "a^"
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(i, *m) for i, text in enumerate(b.column(1).to_pylist()) for m in matches(text, known, threshold)]
+            at, name, dice, grams = zip(*hits) if hits else ((), (), (), ())
+            ids = b.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(name, pa.string()), pa.array(dice, pa.float64()), pa.array(grams, pa.string())], ["_id", "license", "dice", "b"])
+
+    schema = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("b", T.StringType())])
+    hits = docs.select("doc_id", "text").where(F.col("text").rlike(rf"(?i)(?<![a-z0-9])(?:{keys})(?![a-z0-9])")).mapInArrow(found, schema)
+    best = hits.groupBy("_id").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"), F.count_distinct("b").alias("n_units"))
     out = docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.col("best.license").alias("license"), F.round(-F.col("best.d"), 6).alias("dice"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from oracle import compare
@@ -133,6 +134,41 @@ def test_licences(spark):
     assert got == {1: ("Apache-2.0", 1), 2: ("MIT-text", 1), 3: (None, 0), 4: (None, 0), 5: ("MIT", 1), 6: (None, 0), None: ("MIT", 1)}
 
 
+def test_licence_stretches(spark):
+    """Wrapped, inline and full notices, and random texts, against every stretch of words."""
+    t = license_scan.TEMPLATES
+    known = [(k, frozenset(license_scan.bigrams(license_scan.tokens(x)))) for k, x in sorted(t.items())]
+
+    def brute(text):
+        w = license_scan.tokens(text)
+        best = 0.0
+        for i in range(len(w)):
+            for j in range(i + 2, min(len(w), i + 130) + 1):
+                g = set(license_scan.bigrams(w[i:j]))
+                best = max([best, *(2 * len(g & x) / (len(g) + len(x)) for _, x in known)])
+        return round(best, 6) if best >= license_scan.THRESHOLD else None
+
+    wrap = lambda s, n, lead="": "\n".join(lead + x for x in textwrap.wrap(s, n))
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(40))
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(t["MIT-text"], 78) + "\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n" + 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.'
+    inline = "This small package was written at home. Released under the MIT License. It comes with several examples and a long manual for its users."
+    worked = {1: (mit, "MIT-text", 1), 2: (wrap(t["GPL-3.0-header"], 70, "# ") + "\n" + code, "GPL-3.0-header", 1), 3: (inline, "MIT", 1), 4: (wrap(t["Apache-2.0-header"], 70, " * ") + "\n" + code, "Apache-2.0-header", 2), 5: (inline + "\n" + code + " " + wrap(t["ISC"], 40), "ISC", 2), 6: (code, None, 0), 7: ("under the " * 20000 + inline, "MIT", 1), 8: ("Released under the MIT License.\n" * 3 + inline, "MIT", 1)}
+    rnd = random.Random(11)
+    rows = [(i, x[0]) for i, x in worked.items()]
+    for i in range(60):
+        w = " ".join(rnd.choice(["a b", "under the", "license", "\n", "the", t["MIT"], t["ISC"], t["GPL-2.0"], t["CC-BY-4.0"]]) for _ in range(rnd.randint(1, 8))).split(" ")
+        rows.append((100 + i, " ".join(x for x in w if rnd.random() > 0.06)))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i].license, got[i].n_units) for i in worked} == {i: x[1:] for i, x in worked.items()}
+    short = {i: x for i, x in rows if i != 7}
+    want = {i: brute(x) for i, x in short.items()}
+    assert {i for i in short if got[i].dice is not None} == {i for i in short if want[i] is not None}
+    # Only where a matching line or whole text stands may a stretch inside it be better.
+    whole = lambda x: [u for u in [*x.split("\n"), x] if -license_scan._best(set(license_scan.bigrams(license_scan.tokens(u))), known)[0] >= license_scan.THRESHOLD]
+    assert [(i, got[i].dice) for i in short if not whole(short[i])] == [(i, want[i]) for i in short if not whole(short[i])]
+    assert sum(want[i] is not None and not whole(short[i]) for i in short) > 5
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     assert compare(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], SF) == ""
