@@ -4,9 +4,10 @@ Explicit rules (host, path, verdict) come first: a rule fits its host and all su
 the rule's, and the longest fitting rule decides. A page that no rule fits takes its verdict from its aliases: pages
 and urls joined by redirects (``<meta http-equiv=refresh>``) and canonical links form a graph whose connected
 components are found in a distributed way; a component with a url that a rule blocks is blocked, unless a rule allows
-one of its urls explicitly, and pages of no such component are allowed.
+one of its urls explicitly, and pages of no such component are allowed. Every such tag of a page counts. Relative
+targets are resolved as in RFC 3986 against the page's ``<base href>``, or else its url; absolute ones stay as written.
 
-Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated urls get
+Cases: a target of another kind (``mailto:``), or a relative one on a page whose url has no scheme and host, is no link; a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated urls get
 equal verdicts; a null html has no links; an html of any length is searched whole; other columns are not read.
 """
 
@@ -25,6 +26,9 @@ _LINK = r'(?i)<link\b[^>]*\brel\s*=\s*["\']?canonical\b[^>]*>'
 _HREF = r'(?i)\bhref\s*=\s*["\']?([^"\'\s>]+)'
 _META = r'(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["\']?refresh\b[^>]*>'
 _GOTO = r'(?i)\burl\s*=\s*["\']?([^"\'\s>;]+)'
+_BASE = r'(?i)<base\b[^>]*\bhref\s*=\s*["\']?([^"\'\s>]+)'
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//([^/?#]*)([^?#]*)((?:\?[^#]*)?)"
 
 
 def host_of(url: Column) -> Column:
@@ -49,13 +53,44 @@ def decide(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def _no_dots(path: Column) -> Column:
+    """A path that begins with a slash, without the segments ``.`` and ``..``."""
+    parts = F.slice(F.split(path, "/", -1), F.lit(2), F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(1)))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.array_append(acc, x)))
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(whole, end)).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """``target`` as seen from the url ``base``, or null where that is no url with a host part."""
+    scheme, host, path, query = (F.regexp_extract(base, _PARTS, i) for i in range(1, 5))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    root = F.concat(scheme, F.lit("//"), host)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    other = F.regexp_extract(own, r"(?s)^(//[^/]*)", 1)
+    relative = (
+        F.when(F.startswith(target, F.lit("//")), F.concat(scheme, other, _no_dots(F.substr(own, F.length(other) + 1)), rest))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, _no_dots(own), rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path, target))
+        .when((target == "") | F.startswith(target, F.lit("#")), F.concat(root, path, query, target))
+        .otherwise(F.concat(root, _no_dots(F.concat(folder, own)), rest))
+    )
+    return F.when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target)).when(base.rlike(_PARTS), relative)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Rows (url, target) of absolute redirect and canonical targets."""
-    canonical = F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", _META, 0), _GOTO, 1)
+    """Rows (url, target) of all redirect and canonical targets, resolved."""
+
+    def targets(tag: str, part: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+
     may = F.lower(F.col("html"))
     found = pages.where(F.col("url").isNotNull()).where(F.contains(may, F.lit("canonical")) | F.contains(may, F.lit("refresh")))
-    return found.select("url", F.explode(F.array(canonical, refresh)).alias("target")).where(F.contains("target", F.lit("://")))
+    found = found.select("url", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _GOTO))).alias("target")).where("target <> ''")
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), "url"))
+    return found.select("url", "target", base.alias("base")).select("url", resolve(F.col("base"), F.col("target")).alias("target")).where(F.col("target").isNotNull())
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

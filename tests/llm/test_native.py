@@ -7,6 +7,7 @@ import textwrap
 
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from folioframe.llm import exact_dedup, license_scan, pii, registry, url_filter
 from folioframe.llm._components import components
@@ -127,6 +128,33 @@ def test_urls(spark):
     assert url_filter.judge(pages.where("page_id < 0")).count() == 0
 
 
+def test_resolved_links(spark):
+    base = "http://a/b/c/d;p?q"
+    # The examples of RFC 3986, 5.4.
+    cases = {"g": "b/c/g", "./g": "b/c/g", "g/": "b/c/g/", "/g": "g", "?y": "b/c/d;p?y", "g?y": "b/c/g?y", "#s": "b/c/d;p?q#s", "g#s": "b/c/g#s", "g?y#s": "b/c/g?y#s", ";x": "b/c/;x", "g;x?y#s": "b/c/g;x?y#s", "": "b/c/d;p?q", ".": "b/c/", "./": "b/c/", "..": "b/", "../": "b/", "../g": "b/g", "../..": "", "../../": "", "../../g": "g", "../../../g": "g", "/./g": "g", "/../g": "g", "g.": "b/c/g.", ".g": "b/c/.g", "..g": "b/c/..g", "./../g": "b/g", "./g/.": "b/c/g/", "g/./h": "b/c/g/h", "g/../h": "b/c/h", "g;x=1/../y": "b/c/y", "g?y/../x": "b/c/g?y/../x", "g#s/../x": "b/c/g#s/../x"}
+    rows = [(base, t, "http://a/" + w) for t, w in cases.items()]
+    rows += [(base, "//g", "http://g"), (base, "//g/./x?y", "http://g/x?y"), (base, "https://H/../x", "https://H/../x"), (base, "mailto:x", None), ("http://a", "g", "http://a/g"), ("http://a?x=/y", "g", "http://a/g"), ("no url", "/g", None), ("no url", "http://b/g", "http://b/g"), (base, "/in?to=http://q/", "http://a/in?to=http://q/")]
+    got = spark.createDataFrame(rows, "b string, t string, want string").select("b", "t", "want", url_filter.resolve(F.col("b"), F.col("t")).alias("got")).collect()
+    assert [(r.b, r.t, r.got) for r in got] == [(r.b, r.t, r.want) for r in got]
+
+    link = lambda *us: "<html>" + "".join(f'<link href="{u}" rel="canonical">' for u in us)
+    go = lambda *us: "".join(f'<meta http-equiv="refresh" content="0; url={u}">' for u in us)
+    pages = [
+        (1, "http://x.org/a/b", link("/en/a")),
+        (2, "http://x.org/en/a", go("http://example.com/en/q")),
+        (3, "http://y.org/a/b", go("../c")),
+        (4, "http://y.org/c", link("//a.net/fr/x")),
+        (5, "http://z.org/", link("http://q.org/", "http://a.net/fr/y")),
+        (6, "http://w.org/", go("http://q.org/2", "http://a.net/fr/z")),
+        (7, "http://v.org/", '<base href="http://a.net/es/">' + link("1")),
+        (8, "http://u.org/fr/", link("1")),
+        (9, "http://t.org/", link("mailto:a@a.net")),
+        (10, None, link("http://a.net/fr/")),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(1, 8), "block"), 8: "allow", 9: "allow", 10: "allow"}
+
+
 def test_licences(spark):
     rows = [(1, "some words of another kind stand here\nLicensed under the Apache License, Version 2.0.\nmore of them"), (2, license_scan.TEMPLATES["MIT-text"].upper()), (3, None), (4, ""), (5, "released under the MIT license"), (6, "x " * 50000), (None, "Released under the MIT License.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as license", "1 as b")
