@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,27 @@ def _islands(cells: DataFrame, axis: str) -> DataFrame:
     return part.withColumn("path", F.concat_ws(".", "path", F.col("_d").cast("string"))).drop("_d")
 
 
-def regions(cells: DataFrame, rounds: tuple[str, ...] = ("row", "col", "row")) -> DataFrame:
-    """Rectangles (sheet, min_row, min_col, max_row, max_col, ref, cells) that empty rows and columns separate."""
+def _cut_all(cells: DataFrame) -> DataFrame:
+    """Cuts rows, then columns, until a round finds no further block; each round is stored, so the plan stays short."""
+    sc = cells.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioframe-"))
+    blocks = None
+    while True:
+        cells = _islands(_islands(cells, "row"), "col").checkpoint()
+        now = cells.select("sheet", "path").distinct().count()
+        if now == blocks:
+            return cells
+        blocks = now
+
+
+def regions(cells: DataFrame, rounds: tuple[str, ...] | None = None) -> DataFrame:
+    """Rectangles (sheet, min_row, min_col, max_row, max_col, ref, cells) that empty rows and columns separate, cut until
+    no region has an empty row or column; or after the given rounds only."""
     cells = cells.withColumn("path", F.lit(""))
-    for axis in rounds:
+    if rounds is None:
+        cells = _cut_all(cells)
+    for axis in rounds or ():
         cells = _islands(cells, axis)
     box = cells.groupBy("sheet", "path").agg(F.min("row").alias("min_row"), F.min("col").alias("min_col"), F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count(F.lit(1)).alias("cells")).drop("path")
     return box.withColumn("ref", a1_ref(F.col("min_row"), F.col("min_col"), F.col("max_row"), F.col("max_col")))

@@ -344,13 +344,16 @@ def best_table(spark, sf_dir):
 SHEET = """cells AS (SELECT DISTINCT user_id AS sheet, CAST(event_id // 200 AS INT) AS row, CAST(ascii(event_type) % 5 + 1 AS INT) AS col FROM events)"""
 
 
+def sheet_cells(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), F.floor(F.col("event_id") / 200).cast("int").alias("row"), (F.ascii("event_type") % 5 + 1).cast("int").alias("col")).distinct()
+
+
 @query(f"""WITH {SHEET}, a AS (SELECT *, row - dense_rank() OVER (PARTITION BY sheet ORDER BY row) AS b1 FROM cells),
 b AS (SELECT *, col - dense_rank() OVER (PARTITION BY sheet, b1 ORDER BY col) AS b2 FROM a), c AS (SELECT *, row - dense_rank() OVER (PARTITION BY sheet, b1, b2 ORDER BY row) AS b3 FROM b),
 r AS (SELECT sheet, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, count(*) AS cells FROM c GROUP BY sheet, b1, b2, b3)
 SELECT sheet, min_row, min_col, max_row, max_col, cells, {LETTERS.format(c='min_col')} || min_row || ':' || {LETTERS.format(c='max_col')} || max_row AS ref FROM r""")
 def regions(spark, sf_dir):
-    cells = table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), F.floor(F.col("event_id") / 200).cast("int").alias("row"), (F.ascii("event_type") % 5 + 1).cast("int").alias("col")).distinct()
-    return tables.regions(cells)
+    return tables.regions(sheet_cells(spark, sf_dir), ("row", "col", "row"))  # the rounds of the SQL
 
 
 @query(f"""WITH {LINES}, c AS (SELECT k AS region, ord AS row, j AS col, CASE WHEN (p + j * s) % 3 = 0 THEN 'label' WHEN (p + j) % 11 = 0 THEN '' ELSE CAST(p AS VARCHAR) END AS text FROM lines, (VALUES (1), (2), (3)) t(j)),
