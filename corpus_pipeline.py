@@ -24,10 +24,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the least doc_id stays; rows without a doc_id stay if they have no words."""
-    classes = jaccard_join.jaccard_classes(docs)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """Of documents that links join, the one with the least doc_id stays, and one without a doc_id only if none has one;
+    rows without words stay. Rows are told apart even where doc_ids are null or repeated."""
+    rows = jaccard_join.keyed(docs)
+    if rows is None:
+        gone = jaccard_join.jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    kept = jaccard_join.row_classes(rows).groupBy("component").agg(F.min(order).alias("first")).select(F.col("first._key").alias("_key"))
+    return rows.join(kept, "_key", "left_semi").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ the whole sequence is its one shingle, without words the set is empty and links
 Set sizes and intersections are computed on whole sets of 64-bit hashes.
 
 Cases: null or empty texts have n_shingles 0 and their own doc_id; texts of any length are read whole; rows that share a
-doc_id count as one node; a null doc_id is a node after all others and stays null; other columns are not read.
+doc_id count as one node with the links of all their texts; rows without one are a node after all others and stay null;
+other columns are not read. Where doc_ids are null or repeated, the join runs over row keys and classes are merged after.
 """
 
 from __future__ import annotations
@@ -238,18 +239,47 @@ def link_groups(cand: DataFrame, chunks: DataFrame) -> DataFrame:
     return materialize(components(links), "components")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id that it reaches by links)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """As ``jaccard_classes``, of documents whose doc_ids are unique."""
     chunks = C.build(docs)
     rows = _rows(chunks)
     key = ["s1", "s2", "n"]
     rep = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"))
-    cand = rows.where("toks is not null").join(rep, key).where("doc_id = id").select("id", "n", "chunk", "nth", "toks", "pos").dropDuplicates(["id", "n"])
+    cand = rows.where("toks is not null").join(rep, key).where("doc_id = id").select("id", "n", "chunk", "nth", "toks", "pos")
     found = link_groups(materialize(cand, "candidates"), chunks)
     of = rep.join(found, rep["id"] == found["node"], "left").select(*key, F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", *key).join(of, key, "left")
-    real = lambda c: F.when(c != C.NO_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keyed(docs: DataFrame) -> DataFrame | None:
+    """Rows (_key, _row) with a unique key each, stored; None where doc_ids are such keys already."""
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if again.isEmpty():
+        return None
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), "keyed")
+
+
+def row_classes(rows: DataFrame) -> DataFrame:
+    """One row per row of ``keyed``: _key, doc_id, n_shingles, component (a key; rows are nodes, whatever their doc_id)."""
+    classes = _classes(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")))
+    of = classes.select(F.col("doc_id").alias("_key"), "n_shingles", F.col("component_id").alias("component"))
+    return materialize(rows.select("_key", F.col("_row.doc_id").cast("long").alias("doc_id")).join(of, "_key"), "classes")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id that it reaches by links)."""
+    rows = keyed(docs.select("doc_id", "text"))
+    if rows is None:
+        return _classes(docs)
+    out = row_classes(rows).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(C.NO_ID))))
+    first = out.groupBy("doc_id").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("doc_id", "first")
+    same = out.join(first, "doc_id").select("component", "first").distinct()
+    merged = materialize(components(same, "component", "first"), "merged").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    out = out.join(merged, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    out = out.join(out.groupBy("component").agg(F.min("doc_id").alias("least")), "component")
+    real = lambda c: F.when(c != int(C.NO_ID), c)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("least")).alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

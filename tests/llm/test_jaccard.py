@@ -61,3 +61,14 @@ def test_edges(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(docs).collect()}
     assert got == {1: (0, 1), 2: (0, 2), None: (2, 4), 4: (2, 4)}
     assert jaccard_classes(docs.where("doc_id < 0")).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Different texts under one doc_id or none keep all their links."""
+    for seed in (4, 5):
+        rows = [(i % 40, t) for i, t in corpus(seed, 120)] + [(2000 + i, t) for i, t in corpus(seed, 60)] + [(3000, ""), (3000, "p q r s t u"), (3001, "p q r s t u")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert sorted(map(tuple, jaccard_classes(docs).collect())) == brute(rows)
+    pair = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n o"), (3, "a b c d e f g x"), (None, "q r s t u v"), (None, "A A A A A A"), (5, "q r s t u v")]
+    got = sorted(map(str, jaccard_classes(spark.createDataFrame(pair, "doc_id long, text string")).collect()))
+    assert got == sorted(f"Row(doc_id={d}, n_shingles={n}, component_id={c})" for d, n, c in [(1, 3, 1), (1, 3, 1), (2, 4, 1), (3, 4, 1), (None, 2, 5), (None, 1, 5), (5, 2, 5)])

@@ -56,3 +56,14 @@ def test_stages(spark):
 
     assert seen[3] == [i for i in seen[2] if not hit(i)]
     assert seen[4] == seen[3]
+
+
+def test_near_copies_without_ids(spark):
+    """Rows without a doc_id, or with that of another text, go only if they themselves link with one that stays."""
+    near, other = "a b c d e f g h i j k l", "one two three four five six"
+    rows = [(None, near + " m", "x"), (None, "clean words that no other row of them has", "y"), (None, None, "z"), (None, "", "v"), (7, near, "w"), (8, other, "u"), (8, "quite another text under the same number", "t"), (9, other, "s"), (None, "left alone here by all of the others", "r"), (None, "left alone here by all of the others", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = [r.lang for r in out.collect()]
+    assert sorted(set(kept) - {"q", "r"}) == sorted("yzvwut") and len(kept) == 7
