@@ -3,7 +3,7 @@
 DataFrame functions only, no shuffle. The base kinds (email, ip, card, phone) are matched leftmost and non-overlapping
 per kind, and a match that fails its check is dropped without another try: an ip's parts are at most 255, a card has 16
 to 19 digits that pass Luhn, a phone number 8 to 15 digits. Two kinds are added: iban (two letters, two digits, up to
-30 more, confirmed by mod 97) and ssn (three, two and four digits, which have no checksum and so need a context word
+30 more, as many as its country has, confirmed by mod 97) and ssn (three, two and four digits, which have no checksum and so need a context word
 near by). Every span has a score: what its checksum vouches for, plus CONTEXT if a word of its kind stands within
 NEAR characters. Base spans stay at any score; added ones need LEAST.
 
@@ -28,7 +28,17 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Length of an IBAN by country, of those in the registry.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = (
+    r"(?<![A-Za-z0-9])(?:"
+    + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items())
+    + rf"|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 

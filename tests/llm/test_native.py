@@ -54,6 +54,14 @@ def test_pii_added_kinds(spark):
     assert r.iban[0].score == pytest.approx(1.1)
 
 
+def test_iban_before_other_words(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    text = [f"IBAN: {iban} BIC: COBADEFFXXX", f"IBAN: {iban} EUR 50", f"IBAN {iban} GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947 7", "IBAN DE89 3704 0044 0532 0130 01 EUR", f"IBAN {iban}X"]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()
+    found = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.iban] for r in got}
+    assert found == {0: [iban], 1: [iban], 2: [iban, "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"], 3: [], 4: []}
+
+
 def brute_exact(rows):
     norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
     by = {}
