@@ -1,8 +1,8 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
 Two texts are equal when they are identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Documents are
-split by the length of the normalised text, then by the hash of its first characters, then by its full SHA-256; a
-group whose length or prefix is its own is dropped before the next level. The scan reads each text once and stores a
+grouped by the length of the normalised text, the hash of its first characters and its full SHA-256 at once; the
+counts by length and by prefix are joined afterwards and remove nothing, as a full group passes both. The scan reads each text once and stores a
 signature row per document; the levels work on signatures, and texts are never shuffled. Groups are formed by
 pre-aggregated sums, so a group with a third of all rows costs each task one partial row; the join back has one row
 per group on one side, so a hot group may be split at will.
@@ -38,7 +38,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def groups(sig: DataFrame) -> DataFrame:
-    """Rows (len, head, sha, keep_id, group_size) of the groups of two or more, level by level."""
+    """Rows (len, head, sha, keep_id, group_size) of the groups of two or more."""
     by_len = sig.groupBy("len").count().where("count > 1").select("len")
     # Counts are taken before each join, so rows of a frequent length or prefix are never gathered.
     by_head = sig.groupBy("len", "head").count().where("count > 1").join(by_len, "len", "left_semi").select("len", "head")
