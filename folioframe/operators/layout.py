@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strip
+
 KEYS = ["doc_id", "page"]
 
 
@@ -20,11 +22,13 @@ def reading_order(blocks: DataFrame, cols: Column | int = 1) -> DataFrame:
     return keyed.withColumn("pos", F.row_number().over(page.orderBy("_side", "_a", "_b", "block")) - 1).drop("_side", "_a", "_b")
 
 
-def body_size(spans: DataFrame) -> DataFrame:
-    """The most frequent size (one decimal) of non-blank spans of each document; of ties the one met first."""
-    sized = spans.where(F.trim("text") != "").select("doc_id", F.round("size", 1).alias("size"), "span")
-    count = sized.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("first"))
-    return count.groupBy("doc_id").agg(F.max_by("size", F.struct("n", (-F.col("first")).alias("f"))).alias("body"))
+def body_size(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The most frequent size (one decimal) of non-blank spans of each document (or ``keys``); of ties the one met first."""
+    keys = keys or ["doc_id"]
+    sized = spans.where(strip(F.col("text")) != "").select(*keys, F.round("size", 1).alias("size"), "span")
+    count = sized.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("first"))
+    most = count.withColumn("_n", F.max("n").over(Window.partitionBy(*keys))).where("n = _n")
+    return most.groupBy(*keys).agg(F.min_by("size", "first").alias("body"))
 
 
 def heading_level(size: Column, body: Column, bold: Column, text: Column) -> Column:

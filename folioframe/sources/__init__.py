@@ -1,5 +1,5 @@
-"""Decoders of office files; all of them are in ``office.DECODERS``."""
+"""Decoders of office files and PDFs; all of them are in ``office.DECODERS``."""
 
-from . import hangul, office, slides
+from . import hangul, office, pdf, slides
 
-office.DECODERS.update(slides.DECODERS | hangul.DECODERS)
+office.DECODERS.update(slides.DECODERS | hangul.DECODERS | pdf.DECODERS)

@@ -1,14 +1,21 @@
-"""Decoder of binary hwp files: compound-file reader, section streams and their records as atoms.
+"""Binary hwp and zipped hwpx files: records as atoms, texts, tables, and edited copies.
 
 Records come with their raw text; ``functions.text.control_strip`` and ``visible`` take control codes out of it.
 """
 
 from __future__ import annotations
 
+import html
+import io
 import re
 import struct
+import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree as ET
+
+from . import compound, office
+from .office import child, local
 
 RECORDS = "doc_id string, section string, section_no int, rec int, tag int, level int, text string, payload binary, error string"
 
@@ -16,7 +23,12 @@ MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 #: Sector numbers from here on are marks: end of a chain, free, and the like.
 LAST_SECTOR = 0xFFFFFFFA
 NO_ENTRY = 0xFFFFFFFF
-PARA_TEXT = 67
+#: Names of the record tags.
+TAGS = {66: "PARA_HEADER", 67: "PARA_TEXT", 68: "PARA_CHAR_SHAPE", 69: "PARA_LINE_SEG", 71: "CTRL_HEADER", 72: "LIST_HEADER", 73: "PAGE_DEF", 74: "FOOTNOTE_SHAPE", 75: "PAGE_BORDER_FILL", 76: "SHAPE_COMPONENT", 77: "TABLE"}
+PARA_HEADER, PARA_TEXT, CHAR_SHAPE, LINE_SEG, LIST_HEADER, TABLE = 66, 67, 68, 69, 72, 77
+#: A list header as long as this is a cell: paragraphs, flags, column, row, and how many of each it spans.
+CELL_BYTES = 14
+CONTROL = re.compile(r"[\x01-\x09\x0b\x0c\x0e-\x17].{0,7}|[\x00-\x1f]", re.S)
 COMPRESSED, ENCRYPTED, DISTRIBUTION = 1, 2, 4
 
 
@@ -115,20 +127,407 @@ def records(section: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def hwp_records(data: bytes) -> Iterator[tuple]:
-    """(section, section_no, rec, tag, level, text, payload); text only of paragraph texts, with its control codes."""
+def section_streams(file: Compound) -> list[str]:
+    """Body sections in numeric order."""
+    return sorted((p for p in file.paths if re.fullmatch(r"BodyText/Section\d+", p)), key=lambda p: int(p[16:]))
+
+
+def inflated(body: bytes, state: int) -> bytes:
+    return zlib.decompressobj(-15).decompress(body) if state & COMPRESSED else body
+
+
+def deflated(body: bytes, state: int) -> bytes:
+    if not state & COMPRESSED:
+        return body
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(body) + c.flush()
+
+
+def opened(data: bytes) -> tuple[Compound, int]:
     file = Compound(data)
-    state = flags(file.stream("FileHeader"))
+    state = flags(file.stream("FileHeader")) if "FileHeader" in file.paths else COMPRESSED
     if state & (ENCRYPTED | DISTRIBUTION):
         raise ValueError("the document is encrypted")
-    found = sorted((int(m[1]), p) for p in file.paths if (m := re.fullmatch(r"BodyText/Section(\d+)", p)))
-    for no, path in found:
-        body = file.stream(path)
-        if state & COMPRESSED:
-            body = zlib.decompressobj(-15).decompress(body)
-        for k, (tag, level, payload) in enumerate(records(body)):
-            text = payload[: len(payload) // 2 * 2].decode("utf-16-le", "replace") if tag == PARA_TEXT else None
-            yield path, no, k, tag, level, text, payload
+    return file, state
+
+
+def section_records(data: bytes) -> Iterator[tuple[str, list[tuple[int, int, bytes]]]]:
+    file, state = opened(data)
+    for path in section_streams(file):
+        yield path, list(records(inflated(file.stream(path), state)))
+
+
+def raw_text(payload: bytes) -> str:
+    return payload[: len(payload) // 2 * 2].decode("utf-16-le", "replace")
+
+
+def hwp_records(data: bytes) -> Iterator[tuple]:
+    """(section, section_no, rec, tag, level, text, payload); text only of paragraph texts, with its control codes."""
+    for path, found in section_records(data):
+        for k, (tag, level, payload) in enumerate(found):
+            yield path, int(path.rsplit("Section", 1)[1]), k, tag, level, raw_text(payload) if tag == PARA_TEXT else None, payload
+
+
+# Tables
+
+
+def assembled(nrows: int, ncols: int, cells: list[dict]) -> dict:
+    """A table; where its size isn't stated it reaches as far as its cells do."""
+    if not (nrows and ncols):
+        nrows, ncols = (max((c[p] + c[s] for c in cells), default=0) for p, s in (("row", "rowspan"), ("col", "colspan")))
+    spans = [{k: c[k] for k in ("row", "col", "rowspan", "colspan")} for c in cells if c["rowspan"] > 1 or c["colspan"] > 1]
+    return {"nrows": nrows, "ncols": ncols, "cells": cells, "spans": spans}
+
+
+def _own_text(content: list[tuple[int, int, bytes]]) -> str:
+    """Paragraphs of a cell, not those of tables in it, which lie deeper."""
+    level = next((at + 1 for tag, at, _ in content if tag == PARA_HEADER), None)
+    return "\n".join(CONTROL.sub("", raw_text(p)) for tag, at, p in content if tag == PARA_TEXT and at == level)
+
+
+def record_tables(found: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, dict]]:
+    """(record, table) of all tables of a section, nested ones too. A table's scope ends before the first record above it."""
+    for i, (tag, level, payload) in enumerate(found):
+        if tag != TABLE:
+            continue
+        end = next((j for j in range(i + 1, len(found)) if found[j][1] < level), len(found))
+        heads = [j for j in range(i + 1, end) if found[j][1] == level]
+        cells = []
+        for j, after in zip(heads, [*heads[1:], end], strict=True):
+            head = found[j][2]
+            if found[j][0] == LIST_HEADER and len(head) >= CELL_BYTES:
+                col, row, across, down = struct.unpack_from("<4H", head, 6)
+                cells.append({"row": row, "col": col, "rowspan": max(down, 1), "colspan": max(across, 1), "text": _own_text(found[j + 1 : after])})
+        size = struct.unpack_from("<2H", payload, 4) if len(payload) >= 8 else (0, 0)
+        yield i, assembled(*size, cells)
+
+
+def _inline(e: ET.Element) -> str:
+    own = {"lineBreak": "\n", "tab": "\t"}.get(local(e.tag), e.text or "")
+    return own + "".join(_inline(x) + (x.tail or "") for x in e)
+
+
+def paragraph_text(p: ET.Element) -> str:
+    """A paragraph's own runs; what lies in objects of it is not its own."""
+    return "".join(_inline(t) for run in p if local(run.tag) == "run" for t in run if local(t.tag) == "t")
+
+
+def xml_tables(root: ET.Element) -> Iterator[tuple[ET.Element, dict]]:
+    """All tables of an hwpx section in document order, nested ones too."""
+
+    def number(e: ET.Element | None, name: str, default: int) -> int:
+        return int((office.attr(e, name) if e is not None else None) or default)
+
+    for tbl in (x for x in root.iter() if local(x.tag) == "tbl"):
+        cells = []
+        for tc in (c for tr in tbl if local(tr.tag) == "tr" for c in tr if local(c.tag) == "tc"):
+            at, span = child(tc, "cellAddr"), child(tc, "cellSpan")
+            text = "\n".join(paragraph_text(p) for part in tc if local(part.tag) == "subList" for p in part if local(p.tag) == "p")
+            cells.append({"row": number(at, "rowAddr", 0), "col": number(at, "colAddr", 0), "rowspan": max(1, number(span, "rowSpan", 1)), "colspan": max(1, number(span, "colSpan", 1)), "text": text})
+        yield tbl, assembled(number(tbl, "rowCnt", 0), number(tbl, "colCnt", 0), cells)
+
+
+def xml_sections(data: bytes) -> list[str]:
+    """Sections of an hwpx file in numeric order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(n[16:-4]))
+
+
+def tables(data: bytes) -> list[dict]:
+    """Every table of an hwp or hwpx file, with its section and index over the whole document."""
+    out = []
+    if office.is_hwpx(data):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for name in xml_sections(data):
+                out += [{"section": name, **t} for _, t in xml_tables(ET.fromstring(z.read(name)))]
+    else:
+        for path, found in section_records(data):
+            out += [{"section": path, **t} for _, t in record_tables(found)]
+    return [{"index": k, **t} for k, t in enumerate(out)]
+
+
+def table_grid(table: dict, expand: str = "blank") -> list[list[str]]:
+    """Dense rows; places that a cell covers are blank or repeat it (``duplicate``), and a later cell takes its place."""
+    grid = [[""] * table["ncols"] for _ in range(table["nrows"])]
+    for c in table["cells"]:
+        if c["row"] >= table["nrows"] or c["col"] >= table["ncols"]:
+            continue
+        down, across = (c["rowspan"], c["colspan"]) if expand == "duplicate" else (1, 1)
+        for r in range(c["row"], min(c["row"] + down, table["nrows"])):
+            for k in range(c["col"], min(c["col"] + across, table["ncols"])):
+                grid[r][k] = c["text"]
+    return grid
+
+
+def hwp_cells(data: bytes) -> Iterator[tuple]:
+    """(section, table, nrows, ncols, cell, row, col, rowspan, colspan, text) of all tables; a table without cells has one row."""
+    for t in tables(data):
+        for k, c in enumerate(t["cells"] or [dict.fromkeys(("row", "col", "rowspan", "colspan", "text"))]):
+            yield t["section"], t["index"], t["nrows"], t["ncols"], k, c["row"], c["col"], c["rowspan"], c["colspan"], c["text"]
+
+
+# Texts
+
+
+def sections(data: bytes) -> Iterator[tuple[str, list[dict]]]:
+    """(section, elements): paragraphs outside of tables, and tables, in order."""
+    if office.is_hwpx(data):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for name in xml_sections(data):
+                root, out = ET.fromstring(z.read(name)), []
+                inner = {id(p) for t in root.iter() if local(t.tag) == "tbl" for p in t.iter() if local(p.tag) == "p"}
+                made = {id(tbl): t for tbl, t in xml_tables(root)}
+                for e in root.iter():
+                    if local(e.tag) == "p" and id(e) not in inner and (text := paragraph_text(e)):
+                        out.append({"type": "paragraph", "text": text})
+                    elif id(e) in made:
+                        out.append(_table_element(made[id(e)]))
+                yield name, out
+        return
+    for path, found in section_records(data):
+        at, out, inside = dict(record_tables(found)), [], None
+        for k, (tag, level, payload) in enumerate(found):
+            if inside is not None and level < inside:
+                inside = None
+            if k in at:
+                out.append(_table_element(at[k]))
+                inside = level if inside is None else inside
+            elif tag == PARA_TEXT and inside is None and (text := CONTROL.sub("", raw_text(payload))):
+                out.append({"type": "paragraph", "text": text})
+        yield path, out
+
+
+def _table_element(t: dict) -> dict:
+    return {"type": "table", "rows": table_grid(t), "spans": t["spans"] or None}
+
+
+def text(data: bytes, markers: bool = True) -> str:
+    """Readable text, one line for each paragraph, ``[표]`` at tables of binary files; sections have a head line where there are
+    several."""
+    lines: list[str] = []
+    if office.is_hwpx(data):
+        names = xml_sections(data)
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for name in names:
+                lines += [f"=== {name} ==="] if len(names) > 1 else []
+                xml = z.read(name).decode("utf-8", "replace")
+                for p in re.findall(r"<hp:p\b.*?</hp:p>", xml, re.S):
+                    lines.append("".join(_run_text(t) for t in re.findall(r"<hp:t\b[^>]*>(.*?)</hp:t>", p, re.S)))
+        return "\n".join(lines)
+    every = list(section_records(data))
+    for path, found in every:
+        lines += [f"=== {path} ==="] if len(every) > 1 else []
+        for tag, _, payload in found:
+            if tag == TABLE and markers:
+                lines.append("[표]")
+            elif tag == PARA_TEXT:
+                lines.append(CONTROL.sub("", raw_text(payload)))
+    return "\n".join(lines)
+
+
+def _run_text(inner: str) -> str:
+    inner = re.sub(r"<hp:tab\b[^>]*>", "\t", re.sub(r"<hp:lineBreak\s*/?>", "\n", inner))
+    return html.unescape(re.sub(r"<[^>]+>", "", inner))
+
+
+def visible(t: str) -> str:
+    """A paragraph's text without control codes, line and paragraph ends shown."""
+    return re.sub(r"[\n\r]", "¶", re.sub(r"[\x01-\x09\x0b\x0c\x0e-\x17].{0,7}|[\x00\x18-\x1f]", "", t, flags=re.S))
+
+
+def text_level(found: list[tuple[int, int, bytes]], header: int) -> int:
+    """The level at which a paragraph's text belongs: that of its first shape, line or text record."""
+    for tag, level, _ in found[header + 1 :]:
+        if tag == PARA_HEADER:
+            break
+        if tag in (CHAR_SHAPE, LINE_SEG, PARA_TEXT):
+            return level
+    return found[header][1] + 1
+
+
+def owners(found: list[tuple[int, int, bytes]]) -> dict[int, int | None]:
+    """Paragraph text record -> the header that it belongs to."""
+    out, last = {}, None
+    for k, (tag, _, _) in enumerate(found):
+        last = k if tag == PARA_HEADER else last
+        if tag == PARA_TEXT:
+            out[k] = last
+    return out
+
+
+def inspect(data: bytes, most: int = 10_000) -> dict:
+    """Streams, counts of records by tag, paragraphs (``most`` of a section at most) and blank paragraphs of a file."""
+    if office.is_hwpx(data):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return {"format": "hwpx", "compressed": True, "encrypted": False, "streams": {i.filename: i.file_size for i in z.infolist()}, "sections": []}
+    file = Compound(data)
+    state = flags(file.stream("FileHeader")) if "FileHeader" in file.paths else COMPRESSED
+    out = {"format": "hwp", "compressed": bool(state & COMPRESSED), "encrypted": bool(state & ENCRYPTED), "streams": {p: len(file.stream(p)) for p in sorted(file.paths)}, "sections": []}
+    if out["encrypted"]:
+        return out
+    for path, found in section_records(data):
+        of = owners(found)
+        counts: dict[str, int] = {}
+        for tag, _, _ in found:
+            name = TAGS.get(tag, str(tag))
+            counts[name] = counts.get(name, 0) + 1
+        paragraphs = [{"rec_index": k, "header_index": h, "level": found[k][1], "text": visible(raw_text(found[k][2]))} for k, h in of.items()]
+        filled = set(of.values())
+        blank = [{"header_index": k, "level": level, "suggested_text_level": text_level(found, k)} for k, (tag, level, _) in enumerate(found) if tag == PARA_HEADER and k not in filled]
+        out["sections"].append({"name": path, "record_count": len(found), "tag_counts": counts, "paragraphs": paragraphs[:most], "blank_paragraphs": blank})
+    return out
+
+
+# Edited copies
+
+
+def packed(found: list[tuple[int, int, bytes]]) -> bytes:
+    """Records as a section's bytes; sizes come from the payloads."""
+    out = []
+    for tag, level, payload in found:
+        n = len(payload)
+        out.append(struct.pack("<I", tag | level << 10 | min(n, 0xFFF) << 20) + (struct.pack("<I", n) if n >= 0xFFF else b"") + payload)
+    return b"".join(out)
+
+
+class Rules:
+    """Ordered replacements; ``max`` of a rule counts over the whole document."""
+
+    def __init__(self, rules: list):
+        self.rules = [dict(r) if isinstance(r, dict) else {"old": r[0], "new": r[1]} for r in rules]
+        self.done = [0] * len(self.rules)
+
+    def apply(self, text: str) -> str:
+        for k, r in enumerate(self.rules):
+            left = r.get("max", 10**9) - self.done[k]
+            if left <= 0:
+                continue
+            if r.get("regex"):
+                text, n = re.subn(r["old"], r["new"], text, count=left)
+            else:
+                n = min(text.count(r["old"]), left) if r["old"] else 0
+                text = text.replace(r["old"], r["new"], left) if n else text
+            self.done[k] += n
+        return text
+
+    def to_visible(self, text: str) -> str:
+        """Only between control codes, which stay with all that belongs to them."""
+        out, at = [], 0
+        for m in CONTROL.finditer(text):
+            out += [self.apply(text[at : m.start()]) if m.start() > at else "", m[0]]
+            at = m.end()
+        return "".join(out) + (self.apply(text[at:]) if at < len(text) else "")
+
+
+def _counted(header: tuple[int, int, bytes], payload: bytes) -> tuple[int, int, bytes]:
+    """A paragraph header with the number of 16-bit units of its text; its highest bit is another mark and stays."""
+    old = struct.unpack_from("<I", header[2].ljust(4, b"\0"))[0]
+    return header[0], header[1], struct.pack("<I", old & 0x80000000 | len(payload) // 2 & 0x7FFFFFFF) + header[2][4:]
+
+
+def _rewritten(data: bytes, change: Callable[[str, list], bool]) -> bytes:
+    """A copy in which ``change(section, records)`` has changed records in place; all other streams stay as they are."""
+    file, state = opened(data)
+    streams = {p: file.stream(p) for p in file.paths}
+    for path in section_streams(file):
+        found = list(records(inflated(streams[path], state)))
+        if change(path, found):
+            streams[path] = deflated(packed(found), state)
+    return compound.build(streams)
+
+
+def replace(data: bytes, rules: list) -> tuple[bytes, int]:
+    """A copy with texts replaced, and how many times."""
+    own = Rules(rules)
+    if office.is_hwpx(data):
+        return _replace_xml(data, own), sum(own.done)
+
+    def change(_: str, found: list) -> bool:
+        changed = False
+        for k, h in owners(found).items():
+            old = raw_text(found[k][2])
+            new = own.to_visible(old)
+            if new != old:
+                changed = True
+                found[k] = (*found[k][:2], new.encode("utf-16-le", "replace"))
+                if h is not None:
+                    found[h] = _counted(found[h], found[k][2])
+        return changed
+
+    return _rewritten(data, change), sum(own.done)
+
+
+def _replace_xml(data: bytes, own: Rules) -> bytes:
+    """Only texts in runs of sections change; tags between them and all other members stay byte for byte."""
+
+    def segment(s: str) -> str:
+        old = html.unescape(s)
+        new = own.apply(old)
+        return html.escape(new, quote=False) if new != old else s
+
+    def run(m: re.Match) -> str:
+        return m[1] + "".join(x if x.startswith("<") and x.endswith(">") else segment(x) for x in re.split(r"(<[^>]+>)", m[2]) if x) + m[3]
+
+    out = io.BytesIO()
+    sections = xml_sections(data)
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as to:
+        bodies = {n: re.sub(r"(<hp:t\b[^>/]*>)(.*?)(</hp:t>)", run, z.read(n).decode("utf-8"), flags=re.S).encode("utf-8") for n in sections}
+        for info in z.infolist():
+            to.writestr(info, bodies.get(info.filename) or z.read(info.filename))
+    return out.getvalue()
+
+
+def _binary(data: bytes) -> None:
+    if office.is_hwpx(data):
+        raise NotImplementedError("an hwpx file has no record indices; use replace")
+
+
+def _lines(value: str | list[str]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def set_text(data: bytes, edits: dict[str, dict[int, str | list[str]]]) -> bytes:
+    """A copy with whole texts set by section and record; lines take the text's own line ends, the last one again if they are
+    too few."""
+    _binary(data)
+
+    def change(path: str, found: list) -> bool:
+        of = owners(found)
+        for k, value in edits.get(path, {}).items():
+            k = int(k)
+            if k not in of:
+                raise ValueError(f"{path}:{k} is no paragraph text")
+            ends = [m[0] for m in CONTROL.finditer(raw_text(found[k][2]))] or ["\r"]
+            lines = _lines(value)
+            ends += [ends[-1]] * (len(lines) - len(ends))
+            text = "".join(a + b for a, b in zip(lines, ends)) + "".join(ends[len(lines) :])
+            found[k] = (*found[k][:2], text.encode("utf-16-le"))
+            if of[k] is not None:
+                found[of[k]] = _counted(found[of[k]], found[k][2])
+        return path in edits
+
+    return _rewritten(data, change)
+
+
+def fill_blank(data: bytes, edits: dict[str, dict[int, str | list[str]]]) -> bytes:
+    """A copy in which paragraphs without a text record get one, by section and header record."""
+    _binary(data)
+
+    def change(path: str, found: list) -> bool:
+        filled = set(owners(found).values())
+        for k, value in sorted(((int(k), v) for k, v in edits.get(path, {}).items()), reverse=True):
+            if not 0 <= k < len(found) or found[k][0] != PARA_HEADER:
+                raise ValueError(f"{path}:{k} is no paragraph header")
+            if k in filled:
+                raise ValueError(f"{path}:{k} has a text already; use set_text")
+            payload = "".join(x + "\r" for x in _lines(value)).encode("utf-16-le")
+            level = text_level(found, k)
+            found[k] = _counted(found[k], payload)
+            found.insert(k + 1, (PARA_TEXT, level, payload))
+        return path in edits
+
+    return _rewritten(data, change)
 
 
-DECODERS = {"hwp_records": (hwp_records, RECORDS)}
+CELLS = "doc_id string, section string, table int, nrows int, ncols int, cell int, row int, col int, rowspan int, colspan int, text string, error string"
+DECODERS = {"hwp_records": (hwp_records, RECORDS), "hwp_cells": (hwp_cells, CELLS)}
