@@ -10,7 +10,7 @@ WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"^{WS}++|(?<!{WS}){WS}++\z", "")  # a run is tried once, from its head
 
 
 def clean(c: Column) -> Column:
@@ -49,10 +49,10 @@ def esc_md(c: Column) -> Column:
 
     def block(line: Column) -> Column:
         return (
-            F.when(line.rlike(r"^\s*#"), F.regexp_replace(line, r"^(\s*)#", r"$1\\#"))
-            .when(line.rlike(r"^\s*[-+]\s"), F.regexp_replace(line, r"^(\s*)([-+])(\s)", r"$1\\$2$3"))
-            .when(line.rlike(r"^\s*\d+[.)]\s"), F.regexp_replace(line, r"^(\s*\d+)([.)])(\s)", r"$1\\$2$3"))
-            .when(line.rlike(r"^\s*(-{3,}|={3,})\s*\z"), F.regexp_replace(line, r"^(\s*)", r"$1\\"))
+            F.when(line.rlike(rf"^{WS}*#"), F.regexp_replace(line, rf"^({WS}*)#", r"$1\\#"))
+            .when(line.rlike(rf"^{WS}*[-+]{WS}"), F.regexp_replace(line, rf"^({WS}*)([-+])({WS})", r"$1\\$2$3"))
+            .when(line.rlike(rf"^{WS}*\p{{Nd}}+[.)]{WS}"), F.regexp_replace(line, rf"^({WS}*\p{{Nd}}+)([.)])({WS})", r"$1\\$2$3"))
+            .when(line.rlike(rf"^{WS}*(-{{3,}}|={{3,}}){WS}*\z"), F.regexp_replace(line, rf"^({WS}*)", r"$1\\"))
             .otherwise(line)
         )
 
@@ -60,7 +60,7 @@ def esc_md(c: Column) -> Column:
 
 
 def looks_numeric(c: Column) -> Column:
-    return F.coalesce(strip(c).rlike(r"^[-+]?[\d,]*\.?\d+%?\z"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"^[-+]?[\p{Nd},]*\.?\p{Nd}+%?\z"), F.lit(False))
 
 
 def column_letters(n: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strip
+
 
 def under_header(records: DataFrame) -> DataFrame:
     """Text records with the ordinal of the last header before them in their section (section, rec, tag, text)."""
@@ -18,31 +20,72 @@ def blank_headers(records: DataFrame) -> DataFrame:
     return records.where(F.col("tag") == "header").join(texts, ["section", "rec"], "left_anti")
 
 
-def section_text(records: DataFrame, per_document: bool = False) -> DataFrame:
-    """Texts of each section in order, one line each, under a ``=== name ===`` line."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rec", "text"))), lambda x: x["text"])
-    return records.where("tag = 'text'").groupBy("section").agg(F.concat(F.lit("=== "), F.col("section").cast("string"), F.lit(" ===\n"), F.array_join(lines, "\n")).alias("text"))
+def section_text(records: DataFrame, document: str | None = None) -> DataFrame:
+    """Texts of each section in order, one line each, under a ``=== name ===`` line; with ``document``, a column, only
+    where a document has several sections."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec", "text"))), lambda x: x["text"]), "\n")
+    head = F.concat(F.lit("=== "), F.col("section").cast("string"), F.lit(" ===\n"))
+    keys = [document, "section"] if document else ["section"]
+    texts = records.where("tag = 'text'").groupBy(*keys).agg(lines.alias("text"))
+    if not document:
+        return texts.select("section", F.concat(head, "text").alias("text"))
+    several = F.count(F.lit(1)).over(Window.partitionBy(document)) > 1
+    return texts.select(document, "section", F.when(several, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def _quoted(old: str) -> str:
+    """A pattern that matches the text itself."""
+    return "\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _before(counted: DataFrame, lead: str, most: int) -> DataFrame:
+    """(lead, before): matches in all records of lesser ``lead``, below ``most``. Sums run within ranges of ``lead``, then
+    over one row for each range, so no task sees all records."""
+    spark = counted.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    part = counted.groupBy(lead).agg(F.sum("_n").alias("_t")).where("_t > 0").repartitionByRange(n, lead).withColumn("_range", F.spark_partition_id()).persist()
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = part.groupBy("_range").agg(F.sum("_t").alias("_s")).withColumn("_r", F.coalesce(F.sum("_s").over(upto.orderBy("_range")), F.lit(0))).select("_range", "_r")
+    own = F.coalesce(F.sum("_t").over(upto.partitionBy("_range").orderBy(lead)), F.lit(0))
+    return part.withColumn("_own", own).join(ranges, "_range").select(lead, (F.col("_own") + F.col("_r")).alias("_before")).where(F.col("_before") < most)
+
+
+def replace_capped(records: DataFrame, old: str, new: str, most: int | None, order: list[str], regex: bool = False) -> DataFrame:
+    """``text`` with the first ``most`` matches of ``old``, counted over all records in order, replaced; adds replaced.
 
+    ``old`` is a text, or a regular expression whose groups ``new`` may use as $1, $2 ...; an empty one matches nothing."""
+    if not old:
+        return records.withColumn("replaced", F.lit(0))
+    pattern = old if regex else _quoted(old)
+    counted = records.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long"))
+    if most is None:
+        k = F.col("_n")
+        own = counted
+    else:
+        lead, *rest = order
+        w = Window.partitionBy(lead).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+        own = counted.join(_before(counted, lead, most), lead, "left").withColumn("_p", F.coalesce("_before", F.lit(most)) + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        k = F.least(F.col("_n"), F.greatest(F.lit(most) - F.col("_p"), F.lit(0)))
+    own = own.withColumn("replaced", k.cast("int"))
+    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    changed = F.transform(matches, lambda m, i: F.when(i < F.col("replaced"), F.regexp_replace(m, F.lit(pattern), F.lit(new)) if regex else F.lit(new)).otherwise(m))
+    done = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(matches)), changed, lambda a, b: F.array(a, b))), ""), F.element_at(F.split("text", pattern, -1), -1))
+    return own.withColumn("text", F.when(F.col("replaced") > 0, done).otherwise(F.col("text"))).drop("_n", "_before", "_p")
 
-def replace_capped(records: DataFrame, old: str, new: str, most: int, order: list[str]) -> DataFrame:
-    """``text`` with the first ``most`` occurrences of ``old``, counted over all records in order, replaced; adds replaced.
 
-    Counts are summed per leading order column first, so no window runs over all records.
-    """
-    n = F.when(F.length("text") > 0, (F.length("text") - F.length(F.replace(F.col("text"), F.lit(old), F.lit("")))) / len(old)).otherwise(0).cast("long")
-    counted = records.withColumn("_n", n)
-    lead, *rest = order
-    part = counted.groupBy(lead).agg(F.sum("_n").alias("_t")).where("_t > 0")
-    before = part.withColumn("_before", F.sum("_t").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1))).select(lead, F.coalesce("_before", F.lit(0)).alias("_before")).where(F.col("_before") < most)
-    w = Window.partitionBy(lead).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
-    own = counted.join(before, lead, "left").withColumn("_p", F.coalesce("_before", F.lit(most)) + F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    k = F.least(F.col("_n"), F.greatest(F.lit(most) - F.col("_p"), F.lit(0))).cast("int")
-    pieces = F.split(F.col("text"), "\\Q" + old + "\\E", -1)
-    done = F.concat_ws(old, F.concat_ws(new, F.slice(pieces, F.lit(1), F.col("replaced") + 1)), F.when(F.col("replaced") + 1 < F.size(pieces), F.concat_ws(old, F.slice(pieces, F.col("replaced") + 2, F.greatest(F.size(pieces) - F.col("replaced") - 1, F.lit(0))))))
-    return own.withColumn("replaced", k).withColumn("text", F.when(F.col("replaced") > 0, done).otherwise(F.col("text"))).drop("_n", "_before", "_p")
+def replace_rules(records: DataFrame, rules: list, order: list[str]) -> DataFrame:
+    """Ordered rules ((old, new), or old, new and perhaps max and regex); each sees what those before it made of the texts.
+    Adds replaced, over all rules."""
+    total = F.lit(0)
+    for k, r in enumerate(rules):
+        r = r if isinstance(r, dict) else {"old": r[0], "new": r[1]}
+        records = replace_capped(records, r["old"], r["new"], r.get("max"), order, bool(r.get("regex"))).withColumnRenamed("replaced", f"_k{k}")
+        total = total + F.col(f"_k{k}")
+    return records.withColumn("replaced", total).drop(*[f"_k{k}" for k in range(len(rules))])
 
 
 def first_of_equal(notes: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Of equal texts the first; a pre-aggregated minimum rather than a window, so a frequent text makes no hot task."""
-    first = notes.where(F.length(F.trim("text")) > 0).groupBy("text").agg(F.min(order).alias(order))
-    return notes.join(first, ["text", order], "left_semi")
+    """Of equal texts the first by ``order``, which is unique; texts meet by their SHA-256, in a pre-aggregated minimum, so
+    neither a long nor a frequent text makes a hot task."""
+    first = notes.where(strip(F.col("text")) != "").groupBy(F.sha2("text", 256).alias("_h")).agg(F.min(order).alias(order)).select(order)
+    return notes.join(first, order, "left_semi")

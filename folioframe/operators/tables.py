@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import a1_ref, looks_numeric
+from ..functions import a1_ref, looks_numeric, strip
 
 
 def _islands(cells: DataFrame, axis: str) -> DataFrame:
@@ -17,46 +16,67 @@ def _islands(cells: DataFrame, axis: str) -> DataFrame:
     return part.withColumn("path", F.concat_ws(".", "path", F.col("_d").cast("string"))).drop("_d")
 
 
-def _cut_all(cells: DataFrame) -> DataFrame:
-    """Cuts rows, then columns, until a round finds no further block; each round is stored, so the plan stays short."""
-    sc = cells.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioframe-"))
-    blocks = None
-    while True:
-        cells = _islands(_islands(cells, "row"), "col").checkpoint()
-        now = cells.select("sheet", "path").distinct().count()
-        if now == blocks:
-            return cells
-        blocks = now
+def region_of(cells: DataFrame) -> DataFrame:
+    """Rows (sheet, region, min_row, min_col, max_row, max_col) of populated cells, cut until no region has an empty row or
+    column; ``region`` counts a sheet's in reading order, from 0. One sheet, which is part of one file, is one group."""
+    from ..sources.sheets import region_boxes
+
+    schema = f"sheet {cells.schema['sheet'].dataType.simpleString()}, region int, min_row int, min_col int, max_row int, max_col int"
+
+    def cut(t: pa.Table) -> pa.Table:
+        boxes = region_boxes(list(set(zip(t.column("row").to_pylist(), t.column("col").to_pylist(), strict=True))))
+        sheet = t.column("sheet").combine_chunks().take(pa.array([0] * len(boxes), pa.int64()))
+        columns = [pa.array(x, pa.int32()) for x in zip(*boxes, strict=True)] if boxes else [pa.array([], pa.int32())] * 4
+        return pa.Table.from_arrays([sheet, pa.array(range(len(boxes)), pa.int32()), *columns], names=["sheet", "region", "min_row", "min_col", "max_row", "max_col"])
+
+    return cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).groupBy("sheet").applyInArrow(cut, schema)
+
+
+def within(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each cell with the region that it lies in."""
+    inside = (F.col("row") >= F.col("min_row")) & (F.col("row") <= F.col("max_row")) & (F.col("col") >= F.col("min_col")) & (F.col("col") <= F.col("max_col"))
+    return cells.join(boxes, "sheet").where(inside)
 
 
 def regions(cells: DataFrame, rounds: tuple[str, ...] | None = None) -> DataFrame:
     """Rectangles (sheet, min_row, min_col, max_row, max_col, ref, cells) that empty rows and columns separate, cut until
     no region has an empty row or column; or after the given rounds only."""
-    cells = cells.withColumn("path", F.lit(""))
+    corners = ["min_row", "min_col", "max_row", "max_col"]
     if rounds is None:
-        cells = _cut_all(cells)
-    for axis in rounds or ():
-        cells = _islands(cells, axis)
-    box = cells.groupBy("sheet", "path").agg(F.min("row").alias("min_row"), F.min("col").alias("min_col"), F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count(F.lit(1)).alias("cells")).drop("path")
+        box = within(cells, region_of(cells)).groupBy("sheet", "region", *corners).agg(F.count(F.lit(1)).alias("cells")).drop("region")
+    else:
+        cells = cells.withColumn("path", F.lit(""))
+        for axis in rounds:
+            cells = _islands(cells, axis)
+        box = cells.groupBy("sheet", "path").agg(*[f(c).alias(n) for (f, c), n in zip(((F.min, "row"), (F.min, "col"), (F.max, "row"), (F.max, "col")), corners, strict=True)], F.count(F.lit(1)).alias("cells")).drop("path")
     return box.withColumn("ref", a1_ref(F.col("min_row"), F.col("min_col"), F.col("max_row"), F.col("max_col")))
 
 
+def region_merges(merges: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Merged ranges (sheet, r0, c0, r1, c1) with each region that holds them as a whole, from 0 within it."""
+    whole = (F.col("r0") >= F.col("min_row")) & (F.col("r1") <= F.col("max_row")) & (F.col("c0") >= F.col("min_col")) & (F.col("c1") <= F.col("max_col"))
+    size = [(F.col("r0") - F.col("min_row")).alias("row"), (F.col("c0") - F.col("min_col")).alias("col"), (F.col("r1") - F.col("r0") + 1).alias("rowspan"), (F.col("c1") - F.col("c0") + 1).alias("colspan")]
+    return merges.join(boxes, "sheet").where(whole).select("sheet", "min_row", "min_col", "max_row", "max_col", *size)
+
+
 def header_rows(cells: DataFrame, depth: int = 5) -> DataFrame:
     """The header row of each region (region, row, col, text; all of a region's rows from ``first`` to ``last``), and
-    whether it is sure: labels over numbers within the first rows, or a full first row over a column of labels."""
-    num = looks_numeric(F.col("text"))
-    filled = cells.where(F.trim("text") != "")
-    row = filled.groupBy("region", "row").agg(F.count(F.lit(1)).alias("n"), F.sum((~num).cast("int")).alias("labels"), F.sum(num.cast("int")).alias("numbers"))
-    box = cells.groupBy("region").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    below = row.select("region", (F.col("row") - 1).alias("row"), F.col("n").alias("bn"), F.col("numbers").alias("bnum"))
-    first = filled.join(box, "region").where((F.col("col") == F.col("c0")) & (F.col("row") > F.col("r0"))).groupBy("region").agg(F.count(F.lit(1)).alias("fn"), F.sum((~num).cast("int")).alias("fl"))
-    near = row.join(box, "region").where((F.col("row") < F.least(F.col("r0") + depth, F.col("r1")))).join(below, ["region", "row"], "left").join(first, "region", "left")
-    a = (F.col("labels") >= 0.6 * F.col("n")) & F.coalesce(F.col("bnum") >= 0.4 * F.col("bn"), F.lit(False))
-    b = (F.col("row") == F.col("r0")) & (F.col("n") == F.col("c1") - F.col("c0") + 1) & (F.col("r1") - F.col("r0") >= 2) & F.coalesce(F.col("fl") >= 0.6 * F.col("fn"), F.lit(False))
-    hit = near.where(a | b).groupBy("region").agg(F.min("row").alias("hit"))
-    return box.join(hit, "region", "left").select("region", F.coalesce("hit", "r0").alias("header_row"), F.col("hit").isNotNull().alias("confident"))
+    whether it is sure: labels over numbers within the first rows, or a full first row over a column of labels.
+
+    One row for each row of cells, then windows over the region; after the first exchange nothing moves."""
+    num, filled = looks_numeric(F.col("text")), strip(F.col("text")) != ""
+    sums = [F.sum(c.cast("int")).alias(n) for c, n in ((filled, "n"), (filled & ~num, "labels"), (filled & num, "numbers"))]
+    row = cells.groupBy("region", "row").agg(*sums, F.min("col").alias("a"), F.max("col").alias("b"), F.min_by(F.struct(filled.alias("is"), num.alias("num")), "col").alias("first"))
+    region, order = Window.partitionBy("region"), Window.partitionBy("region").orderBy("row")
+    row = row.withColumns({"r0": F.min("row").over(region), "r1": F.max("row").over(region), "c0": F.min("a").over(region), "c1": F.max("b").over(region)})
+    below = (F.lead("row").over(order) == F.col("row") + 1) & (F.lead("n").over(order) > 0) & (F.lead("numbers").over(order) >= 0.4 * F.lead("n").over(order))
+    lower = (F.col("row") > F.col("r0")) & (F.col("a") == F.col("c0")) & F.col("first")["is"]
+    row = row.withColumns({"below": F.coalesce(below, F.lit(False)), "fn": F.sum(lower.cast("int")).over(region), "fl": F.sum((lower & ~F.col("first")["num"]).cast("int")).over(region)})
+    over_numbers = (F.col("labels") >= 0.6 * F.col("n")) & F.col("below")
+    full = (F.col("row") == F.col("r0")) & (F.col("n") == F.col("c1") - F.col("c0") + 1) & (F.col("r1") - F.col("r0") >= 2) & (F.col("fn") > 0) & (F.col("fl") >= 0.6 * F.col("fn"))
+    hit = (F.col("n") > 0) & (F.col("row") < F.least(F.col("r0") + depth, F.col("r1"))) & (over_numbers | full)
+    found = row.groupBy("region").agg(F.min(F.when(hit, F.col("row"))).alias("hit"), F.min("row").alias("r0"))
+    return found.select("region", F.coalesce("hit", "r0").alias("header_row"), F.col("hit").isNotNull().alias("confident"))
 
 
 def column_starts(cells: DataFrame) -> DataFrame:
@@ -75,20 +95,30 @@ def vertical_spans(cells: DataFrame) -> DataFrame:
 
 
 def dense_grid(cells: DataFrame, tables: DataFrame, expand: str = "blank") -> DataFrame:
-    """Every (table_id, row, col) of nrows x ncols with its text; covered places are blank or repeat it (``duplicate``)."""
-    grid = tables.select("table_id", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("row"), "ncols").select("table_id", "row", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("col"))
-    down, across = F.sequence(F.lit(0), F.col("rowspan") - 1), F.sequence(F.lit(0), F.col("colspan") - 1)
-    part = cells.select("*", F.explode(down).alias("_r")).select("*", F.explode(across).alias("_c"))
-    text = F.col("text") if expand == "duplicate" else F.when((F.col("_r") == 0) & (F.col("_c") == 0), F.col("text")).otherwise("")
-    covered = part.select("table_id", (F.col("row") + F.col("_r")).alias("row"), (F.col("col") + F.col("_c")).alias("col"), text.alias("text"), "cell")
-    last = covered.groupBy("table_id", "row", "col").agg(F.max_by("text", "cell").alias("text"))
-    return grid.join(last, ["table_id", "row", "col"], "left").select("table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    """Every (table_id, row, col) of nrows x ncols with its text; covered places are blank or repeat it (``duplicate``).
+
+    A table's cells are gathered once; all that follows is dealt by table already."""
+    kept = F.struct("row", "col", "rowspan", "colspan", "text", F.col("cell").cast("int").alias("cell"))
+    whole = tables.select("table_id", "nrows", "ncols").join(cells.groupBy("table_id").agg(F.collect_list(kept).alias("cells")), "table_id", "left")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def place(r: Column, c: Column, text: Column, cell: Column) -> Column:
+        return F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), text.alias("text"), cell.alias("cell"))
+
+    def covered(x: Column) -> Column:
+        text = lambda r, c: x["text"] if expand == "duplicate" else F.when((r == 0) & (c == 0), x["text"]).otherwise("")
+        return F.flatten(F.transform(upto(x["rowspan"]), lambda r: F.transform(upto(x["colspan"]), lambda c: place(x["row"] + r, x["col"] + c, text(r, c), x["cell"]))))
+
+    blank = F.flatten(F.transform(upto(F.col("nrows")), lambda r: F.transform(upto(F.col("ncols")), lambda c: place(r, c, F.lit(""), F.lit(-1)))))
+    own = F.coalesce(F.flatten(F.transform("cells", covered)), F.array().cast("array<struct<row:int,col:int,text:string,cell:int>>"))
+    every = whole.select("table_id", "nrows", "ncols", F.explode(F.concat(blank, own)).alias("x")).where("x.row < nrows and x.col < ncols")
+    return every.groupBy("table_id", F.col("x.row").alias("row"), F.col("x.col").alias("col")).agg(F.max_by("x.text", "x.cell").alias("text"))
 
 
 def best_table(cells: DataFrame) -> DataFrame:
     """Of each page's candidate tables (page, table, row, col, text) the one with most filled cells, the first of ties;
     a candidate needs two rows, two columns and a row with two filled cells."""
-    filled = (F.trim(F.coalesce("text", F.lit(""))) != "").cast("int")
+    filled = (strip(F.coalesce("text", F.lit(""))) != "").cast("int")
     row = cells.groupBy("page", "table", "row").agg(F.count(F.lit(1)).alias("w"), F.sum(filled).alias("f"))
     table = row.groupBy("page", "table").agg(F.count(F.lit(1)).alias("nrows"), F.max("w").alias("ncols"), F.max("f").alias("full"), F.sum("f").alias("filled"))
     real = table.where("nrows >= 2 and ncols >= 2 and full >= 2")
@@ -97,22 +127,25 @@ def best_table(cells: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Values of A1 references ('Sheet'!$A$1:$B$2) row by row: adds values, joined by ``|``; null where nothing is found."""
+    """Values of A1 references ('Sheet'!$A$1:$B$2) row by row: adds values, joined by ``|``; null where nothing is found.
+
+    A reference meets the cells of its own rows only."""
     pattern = r"^(?:'((?:[^']|'')+)'|([^'!]+))!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?$"
 
     def number(c):
         return F.aggregate(F.split(c, ""), F.lit(0), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + F.ascii(x) - 64))
 
-    def g(i):
-        return F.regexp_extract("ref", pattern, i)
-
+    mark = "\x1f"
+    parts = F.split(F.regexp_replace("ref", pattern, mark.join(f"${i}" for i in range(1, 7))), mark)
     or_ = lambda a, b: F.when(a == "", b).otherwise(a)
-    parsed = refs.where(F.col("ref").rlike(pattern)).select(
-        "ref_id", F.replace(or_(g(1), g(2)), F.lit("''"), F.lit("'")).alias("sheet"),
-        number(g(3)).alias("ca"), g(4).cast("int").alias("ra"), number(or_(g(5), g(3))).alias("cb"), or_(g(6), g(4)).cast("int").alias("rb"),
+    p = F.col("p")
+    parsed = refs.where(F.col("ref").rlike(pattern)).select("ref_id", parts.alias("p")).select(
+        "ref_id", F.replace(or_(p[0], p[1]), F.lit("''"), F.lit("'")).alias("sheet"),
+        number(p[2]).alias("ca"), p[3].cast("int").alias("ra"), number(or_(p[4], p[2])).alias("cb"), or_(p[5], p[3]).cast("int").alias("rb"),
     )
-    inside = (F.col("row") >= F.least("ra", "rb")) & (F.col("row") <= F.greatest("ra", "rb")) & (F.col("col") >= F.least("ca", "cb")) & (F.col("col") <= F.greatest("ca", "cb"))
-    hit = parsed.join(cells, "sheet").where(inside).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("v"))
+    asked = parsed.select("ref_id", "sheet", "ca", "cb", F.explode(F.sequence(F.least("ra", "rb"), F.greatest("ra", "rb"))).alias("row"))
+    inside = (F.col("col") >= F.least("ca", "cb")) & (F.col("col") <= F.greatest("ca", "cb"))
+    hit = asked.join(cells, ["sheet", "row"]).where(inside).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("v"))
     return refs.join(hit, "ref_id", "left").select("ref_id", "ref", F.array_join(F.transform("v", lambda x: x["text"]), "|").alias("values"))
 
 

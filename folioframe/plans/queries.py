@@ -85,9 +85,9 @@ def triage_totals(spark, sf_dir):
     return triage.totals(routed_pages(spark, sf_dir))
 
 
-@query(f"WITH {PAGES} SELECT source, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM said WHERE needs_vision GROUP BY source")
+@query(f"WITH {PAGES} SELECT source, doc_id FROM said WHERE needs_vision")
 def vision_pages(spark, sf_dir):
-    return routed_pages(spark, sf_dir).where("needs_vision").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    return routed_pages(spark, sf_dir).where("needs_vision").select("source", "doc_id")
 
 
 @query(f"""WITH {LINES}, r AS (SELECT DISTINCT k, p % 40 AS x0, s % 30 AS y0, p % 40 + p % 7 + 1 AS x1, s % 30 + s % 5 + 1 AS y1 FROM lines)
@@ -314,14 +314,14 @@ def hwp_markdown_table(spark, sf_dir):
     return render.hwp_table(_grid(spark, sf_dir, "blank"))
 
 
-@query(f"""WITH {LINES}, c AS (SELECT k, ord - 1 AS row, j AS col, CASE WHEN j = 0 AND p % 5 = 0 THEN 2 ELSE 1 END AS cs, CASE j WHEN 0 THEN flag || '&' WHEN 1 THEN '<' || p ELSE CAST(s AS VARCHAR) END AS text
+@query(f"""WITH {LINES}, c AS (SELECT k, ord - 1 AS row, j AS col, CASE WHEN j = 0 AND p % 5 = 0 THEN 2 ELSE 1 END AS cs, CASE j WHEN 0 THEN flag || '&' WHEN 1 THEN '<' || p ELSE s || chr(10) || p END AS text
   FROM lines, (VALUES (0), (1), (2)) t(j) WHERE NOT (j = 1 AND p % 5 = 0)),
-r AS (SELECT k, row, '  <tr>' || string_agg('<' || tg || CASE WHEN cs > 1 THEN ' colspan="2"' ELSE '' END || '>' || {ESC.format(c='text')} || '</' || tg || '>', '' ORDER BY col) || '</tr>' AS line FROM (SELECT *, CASE WHEN row = 0 THEN 'th' ELSE 'td' END AS tg FROM c) GROUP BY k, row)
+r AS (SELECT k, row, '  <tr>' || string_agg('<' || tg || CASE WHEN cs > 1 THEN ' colspan="2"' ELSE '' END || '>' || replace({ESC.format(c='text')}, chr(10), ' ') || '</' || tg || '>', '' ORDER BY col) || '</tr>' AS line FROM (SELECT *, CASE WHEN row = 0 THEN 'th' ELSE 'td' END AS tg FROM c) GROUP BY k, row)
 SELECT k AS table_id, '<table>' || chr(10) || string_agg(line, chr(10) ORDER BY row) || chr(10) || '</table>' AS html FROM r GROUP BY k""")
 def html_table(spark, sf_dir):
     at = lines(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col"))
     wide = F.col("p") % 5 == 0
-    text = F.when(F.col("col") == 0, F.concat("flag", F.lit("&"))).when(F.col("col") == 1, F.concat(F.lit("<"), F.col("p").cast("string"))).otherwise(F.col("s").cast("string"))
+    text = F.when(F.col("col") == 0, F.concat("flag", F.lit("&"))).when(F.col("col") == 1, F.concat(F.lit("<"), F.col("p").cast("string"))).otherwise(F.concat(F.col("s").cast("string"), F.lit("\n"), F.col("p").cast("string")))
     cells = at.where(~((F.col("col") == 1) & wide)).select(F.col("k").alias("table_id"), (F.col("ord") - 1).alias("row"), "col", F.lit(1).alias("rowspan"), F.when((F.col("col") == 0) & wide, 2).otherwise(1).alias("colspan"), text.alias("text"))
     return render.html_table(cells)
 
@@ -348,12 +348,33 @@ def sheet_cells(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), F.floor(F.col("event_id") / 200).cast("int").alias("row"), (F.ascii("event_type") % 5 + 1).cast("int").alias("col")).distinct()
 
 
-@query(f"""WITH {SHEET}, a AS (SELECT *, row - dense_rank() OVER (PARTITION BY sheet ORDER BY row) AS b1 FROM cells),
-b AS (SELECT *, col - dense_rank() OVER (PARTITION BY sheet, b1 ORDER BY col) AS b2 FROM a), c AS (SELECT *, row - dense_rank() OVER (PARTITION BY sheet, b1, b2 ORDER BY row) AS b3 FROM b),
-r AS (SELECT sheet, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, count(*) AS cells FROM c GROUP BY sheet, b1, b2, b3)
-SELECT sheet, min_row, min_col, max_row, max_col, cells, {LETTERS.format(c='min_col')} || min_row || ':' || {LETTERS.format(c='max_col')} || max_row AS ref FROM r""")
+def _rounds(n: int) -> str:
+    """Cuts by rows and columns in turn; more rounds than any sheet here needs."""
+    out, last = "", "cells"
+    for i in range(n):
+        axis = ("row", "col")[i % 2]
+        parts = "".join(f", b{j}" for j in range(i))
+        out += f", x{i} AS (SELECT *, {axis} - dense_rank() OVER (PARTITION BY sheet{parts} ORDER BY {axis}) AS b{i} FROM {last})"
+        last = f"x{i}"
+    by = ", ".join(f"b{j}" for j in range(n))
+    return f"{SHEET}{out}, r AS (SELECT sheet, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, count(*) AS cells FROM {last} GROUP BY sheet, {by})"
+
+
+REGIONS = _rounds(10)
+
+
+@query(f"WITH {REGIONS} SELECT sheet, min_row, min_col, max_row, max_col, cells, {LETTERS.format(c='min_col')} || min_row || ':' || {LETTERS.format(c='max_col')} || max_row AS ref FROM r")
 def regions(spark, sf_dir):
-    return tables.regions(sheet_cells(spark, sf_dir), ("row", "col", "row"))  # the rounds of the SQL
+    return tables.regions(sheet_cells(spark, sf_dir))
+
+
+@query(f"""WITH {REGIONS}, m AS (SELECT DISTINCT user_id AS sheet, CAST(event_id // 200 AS INT) AS r0, CAST(ascii(event_type) % 5 + 1 AS INT) AS c0, CAST(event_id // 200 + event_id % 3 AS INT) AS r1, CAST(ascii(event_type) % 5 + 1 + event_id % 2 AS INT) AS c1 FROM events)
+SELECT sheet, min_row, min_col, max_row, max_col, r0 - min_row AS row, c0 - min_col AS col, r1 - r0 + 1 AS rowspan, c1 - c0 + 1 AS colspan FROM m JOIN r USING (sheet) WHERE r0 >= min_row AND r1 <= max_row AND c0 >= min_col AND c1 <= max_col""")
+def region_merges(spark, sf_dir):
+    i = F.col("event_id")
+    at, col = F.floor(i / 200).cast("int"), (F.ascii("event_type") % 5 + 1).cast("int")
+    merges = table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), at.alias("r0"), col.alias("c0"), (at + (i % 3).cast("int")).alias("r1"), (col + (i % 2).cast("int")).alias("c1")).distinct()
+    return tables.region_merges(merges, tables.region_of(sheet_cells(spark, sf_dir)))
 
 
 @query(f"""WITH {LINES}, c AS (SELECT k AS region, ord AS row, j AS col, CASE WHEN (p + j * s) % 3 = 0 THEN 'label' WHEN (p + j) % 11 = 0 THEN '' ELSE CAST(p AS VARCHAR) END AS text FROM lines, (VALUES (1), (2), (3)) t(j)),

@@ -34,7 +34,7 @@ def html_table(cells: DataFrame) -> DataFrame:
     """Anchors (table_id, row, col, rowspan, colspan, text) as an HTML table; places that a span covers are left out."""
     tag = F.when(F.col("row") == 0, "th").otherwise("td")
     attrs = F.concat(F.when(F.col("rowspan") > 1, F.concat(F.lit(' rowspan="'), F.col("rowspan").cast("string"), F.lit('"'))).otherwise(""), F.when(F.col("colspan") > 1, F.concat(F.lit(' colspan="'), F.col("colspan").cast("string"), F.lit('"'))).otherwise(""))
-    cell = F.concat(F.lit("<"), tag, attrs, F.lit(">"), esc_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    cell = F.concat(F.lit("<"), tag, attrs, F.lit(">"), F.replace(esc_html(F.col("text")), F.lit("\n"), F.lit(" ")), F.lit("</"), tag, F.lit(">"))
     rows = _rows(cells, cell, "").withColumn("line", F.concat(F.lit("  <tr>"), "line", F.lit("</tr>")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("table_id").agg(F.concat(F.lit("<table>\n"), body, F.lit("\n</table>")).alias("html"))
