@@ -24,7 +24,7 @@ def from_pdf(files: DataFrame, strict: bool = False) -> DataFrame:
     from .sources import office
 
     atoms = [office.decode(files, f"pdf_{x}", strict) for x in ("pages", "spans", "drawings", "images")]
-    good = [a.where("error is null").drop("error") for a in atoms]
+    good = [a.where("error is null").drop("error").persist() for a in atoms]  # decoded once, read by many steps
     found = page_operators.elements(*good)
     bad = atoms[0].where("error is not null").select("doc_id", F.lit("pdf").alias("format"), F.lit("error").alias("type"), "error")
     return shaped(found.unionByName(bad, allowMissingColumns=True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, strip
-from . import layout, tables, triage
+from . import layout, triage
 
 KEYS = ["doc_id", "page"]
 #: Lines this near, in points, are one line.
@@ -15,19 +15,16 @@ SNAP = 3.0
 RULED, IMAGE_SHARE = 4, 0.03
 
 
-def _snapped(edges: DataFrame) -> DataFrame:
-    """Adds k, the number of the line that an edge lies on, and its place ``c``: edges no farther than SNAP from the last."""
+def _bands(edges: DataFrame, number: str, low: str, high: str) -> DataFrame:
+    """Neighbouring lines of a page: number of the first, both places, and the stretches that are drawn on each. Edges no
+    farther than SNAP from the one before lie on one line."""
     w = Window.partitionBy(*KEYS).orderBy("at")
     new = (F.col("at") - F.lag("at").over(w) > SNAP).cast("int")
     numbered = edges.withColumn("k", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.withColumn("c", F.avg("at").over(Window.partitionBy(*KEYS, "k")))
-
-
-def _bands(edges: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """Neighbouring lines of a page: number of the first, and both places."""
-    line = edges.groupBy(*KEYS, "k").agg(F.min("c").alias("a"))
-    w = Window.partitionBy(*KEYS).orderBy("k")
-    return line.withColumn("b", F.lead("a").over(w)).where("b is not null").select(*KEYS, *[F.col(c).alias(n) for c, n in zip(("k", "a", "b"), names, strict=True)])
+    line = numbered.groupBy(*KEYS, "k").agg(F.avg("at").alias("c"), F.collect_list(F.struct("a", "b")).alias("drawn"))
+    order = Window.partitionBy(*KEYS).orderBy("k")
+    both = line.select(*KEYS, F.col("k").cast("int").alias(number), F.col("c").alias(low), F.lead("c").over(order).alias(high), F.col("drawn").alias(f"{number}_first"), F.lead("drawn").over(order).alias(f"{number}_last"))
+    return both.where(F.col(high).isNotNull())
 
 
 def ruled_cells(drawings: DataFrame) -> DataFrame:
@@ -40,37 +37,33 @@ def ruled_cells(drawings: DataFrame) -> DataFrame:
     box = F.array(one(True, y0, x0, x1), one(True, y1, x0, x1), one(False, x0, y0, y1), one(False, x1, y0, y1))
     found = F.when(flat, F.array(one(True, (y0 + y1) / 2, x0, x1))).when(upright, F.array(one(False, (x0 + x1) / 2, y0, y1))).when(F.col("kind") == "re", box)
     edges = drawings.select(*KEYS, F.explode(found).alias("e")).select(*KEYS, "e.*")
-    across, down = _snapped(edges.where("horizontal")), _snapped(edges.where("not horizontal"))
-    cell = _bands(across, ("row", "y0", "y1")).join(_bands(down, ("col", "x0", "x1")), KEYS)
-
-    def closed(cell: DataFrame, edges: DataFrame, number: str, shift: int, a: str, b: str) -> DataFrame:
-        e = edges.select(*KEYS, F.col("k").alias("_k"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        on = [cell[c] == e[c] for c in KEYS] + [cell[number] + shift == e["_k"], e["_a"] <= cell[a] + SNAP, e["_b"] >= cell[b] - SNAP]
-        return cell.join(e, on, "left_semi")
-
-    for number, edges_, a, b in (("row", across, "x0", "x1"), ("col", down, "y0", "y1")):
-        cell = closed(closed(cell, edges_, number, 0, a, b), edges_, number, 1, a, b)
-    rows = cell.select(*KEYS, "row").distinct()
-    grid = rows.withColumn("grid", F.col("row") - F.row_number().over(Window.partitionBy(*KEYS).orderBy("row")))
-    return cell.join(grid, [*KEYS, "row"])
+    cell = _bands(edges.where("horizontal"), "row", "y0", "y1").join(_bands(edges.where("not horizontal"), "col", "x0", "x1"), KEYS)
+    covers = lambda drawn, a, b: F.exists(drawn, lambda e: (e["a"] <= F.col(a) + SNAP) & (e["b"] >= F.col(b) - SNAP))
+    closed = covers("row_first", "x0", "x1") & covers("row_last", "x0", "x1") & covers("col_first", "y0", "y1") & covers("col_last", "y0", "y1")
+    cell = cell.where(closed).select(*KEYS, "row", "col", "x0", "y0", "x1", "y1")
+    return cell.withColumn("grid", F.col("row") - F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("row")))
 
 
 def ruled_tables(drawings: DataFrame, spans: DataFrame) -> DataFrame:
-    """At most one table a page (doc_id, page, rows, x0, y0, x1, y1): the grid with most filled cells, without empty rows."""
+    """At most one table a page (doc_id, page, rows, x0, y0, x1, y1): of the grids with two rows, two columns and a row with
+    two filled cells the one with most filled cells, the upper one of ties; without empty rows."""
     cells = ruled_cells(drawings).alias("c")
     s = spans.select(*KEYS, "block", "line", "span", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")).alias("s")
     inside = (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.page") == F.col("c.page")) & (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))
     words = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block", "line", "span", "text"))))
     filled = cells.join(s, inside, "left").groupBy("c.doc_id", "c.page", "grid", "row", "col", "x0", "y0", "x1", "y1").agg(clean(F.array_join(F.transform(words, lambda x: x["text"]), " ")).alias("text"))
-    page = F.struct("doc_id", "page")
-    best = tables.best_table(filled.select(page.alias("page"), F.col("grid").alias("table"), "row", "col", "text")).select("page.*", F.col("table").alias("grid"))
-    # One row for each cell of the grid, columns without a closed cell blank
-    box = filled.join(best, [*KEYS, "grid"], "left_semi")
-    reach = box.groupBy(*KEYS).agg(F.sequence(F.min("col"), F.max("col")).alias("cols"))
-    every = box.select(*KEYS, "row").distinct().join(reach, KEYS).select(*KEYS, "row", F.explode("cols").alias("col"))
-    line = every.join(box.select(*KEYS, "row", "col", "text"), [*KEYS, "row", "col"], "left").groupBy(*KEYS, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("cells"))
-    whole = line.where(F.exists("cells", lambda x: x != "")).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("rows"))
-    return whole.join(box.groupBy(*KEYS).agg(*[F.round(f(c), 1).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]), KEYS)
+    grid, row = Window.partitionBy(*KEYS, "grid"), Window.partitionBy(*KEYS, "grid", "row")
+    full = (F.col("text") != "").cast("int")
+    filled = filled.withColumns({"wide": F.count(F.lit(1)).over(row), "busy": F.sum(full).over(row), "score": F.sum(full).over(grid)})
+    # Empty rows go; columns are those of the whole grid
+    filled = filled.withColumns({"cols": F.array_sort(F.collect_set("col").over(grid)), **{f"t{n}": F.round(f(n).over(grid), 1) for f, n in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))}})
+    corners = ["tx0", "ty0", "tx1", "ty1"]
+    line = filled.where("busy > 0").groupBy(*KEYS, "grid", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), *[F.first(c).alias(c) for c in ("cols", "wide", "busy", "score", *corners)])
+    line = line.withColumn("cells", F.transform("cols", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))))
+    table = line.groupBy(*KEYS, "grid").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("rows"), F.max("wide").alias("wide"), F.max("busy").alias("busy"), F.first("score").alias("score"), *[F.first(c).alias(c[1:]) for c in corners])
+    real = table.where((F.size("rows") >= 2) & (F.col("wide") >= 2) & (F.col("busy") >= 2))
+    best = F.max_by(F.struct("rows", "x0", "y0", "x1", "y1"), F.struct("score", -F.col("y0"))).alias("t")
+    return real.groupBy(*KEYS).agg(best).select(*KEYS, "t.*")
 
 
 def _box() -> Column:
@@ -88,7 +81,7 @@ def signals(pages: DataFrame, spans: DataFrame, drawings: DataFrame, images: Dat
 
 def elements(pages: DataFrame, spans: DataFrame, drawings: DataFrame, images: DataFrame) -> DataFrame:
     """Unit and element rows (of ``schema.ELEMENTS``, those that a page can have) in document order."""
-    routed = signals(pages, spans, drawings, images)
+    routed = signals(pages, spans, drawings, images).persist()  # a row a page, read by several steps
     sizes = layout.body_size(spans.withColumn("span", F.struct("block", "line", "span")), KEYS)
     box = spans.groupBy(*KEYS, "block").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
     block = layout.block_text(spans).withColumn("text", strip(F.col("text"))).where("text <> ''").join(box, [*KEYS, "block"]).join(routed.select(*KEYS, "cols"), KEYS).join(sizes, KEYS, "left")
@@ -96,7 +89,7 @@ def elements(pages: DataFrame, spans: DataFrame, drawings: DataFrame, images: Da
     level = layout.heading_level(F.col("size"), F.coalesce("body", F.lit(0.0)), F.col("bold"), F.col("text"))
     texts = ordered.withColumn("level", level).select(*KEYS, "pos", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("type"), F.when(F.col("level") > 0, clean(F.col("text"))).otherwise(F.col("text")).alias("text"), F.when(F.col("level") > 0, F.col("level")).alias("level"), "x0", "y0", "x1", "y1")
     asked = routed.where((F.col("route") == "table") | (F.col("lines") >= RULED)).select(*KEYS)
-    table = ruled_tables(drawings.join(asked, KEYS, "left_semi"), spans.join(asked, KEYS, "left_semi"))
+    table = ruled_tables(drawings.join(asked, KEYS, "left_semi"), spans.join(asked, KEYS, "left_semi")).persist()
     kept = layout.drop_inside(texts, table).select("t.*")
     area = F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     first = F.min_by(F.struct("x0", "y0", "x1", "y1"), "ord")
@@ -109,10 +102,10 @@ def elements(pages: DataFrame, spans: DataFrame, drawings: DataFrame, images: Da
         pictures.select(*KEYS, F.lit("image").alias("type"), none.cast("array<array<string>>").alias("rows"), none.cast("string").alias("note"), "path", F.col("ord").alias("n"), "x0", "y0", "x1", "y1")
     )
     others = others.withColumn("ord", F.row_number().over(Window.partitionBy(*KEYS).orderBy("n")) - 1)
-    placed = layout.interleave(kept.withColumn("top", F.col("y0")), others.withColumn("top", F.col("y0")))
-    as_text = kept.select(*KEYS, F.lit("text").alias("kind"), F.col("pos").alias("ord"), "type", "text", "level", none.cast("array<array<string>>").alias("rows"), none.cast("string").alias("note"), none.cast("string").alias("path"), _box().alias("bbox"))
-    as_other = others.select(*KEYS, F.lit("object").alias("kind"), "ord", "type", none.cast("string").alias("text"), none.cast("int").alias("level"), "rows", "note", "path", _box().alias("bbox"))
-    body = placed.join(as_text.unionByName(as_other), [*KEYS, "kind", "ord"]).withColumn("elem_no", F.col("nth") + 1)
+    shown = ["type", "text", "level", "note", "path", "rows"]
+    whole = lambda x: F.struct(*[(F.col(c) if c in x.columns else none.cast(t)).alias(c) for c, t in zip(shown, ("string", "string", "int", "string", "string", "array<array<string>>"), strict=True)], _box().alias("bbox")).alias("whole")
+    placed = layout.interleave(kept.select(*KEYS, "pos", F.col("y0").alias("top"), whole(kept)), others.select(*KEYS, "ord", F.col("y0").alias("top"), whole(others)), ["whole"])
+    body = placed.select(*KEYS, (F.col("nth") + 1).alias("elem_no"), "whole.*")
     props = F.create_map(*[x for k, c in (("route", F.col("route")), ("needs_vision", F.col("needs_vision").cast("string")), ("reason", F.col("reason")), ("width", F.col("width").cast("string")), ("height", F.col("height").cast("string"))) for x in (F.lit(k), c)])
     unit = routed.select(*KEYS, F.lit("unit").alias("type"), F.lit(0).alias("elem_no"), props.alias("props"))
     out = body.select(*KEYS, "elem_no", "type", "text", "level", "note", "path", "bbox", "rows").unionByName(unit, allowMissingColumns=True)
