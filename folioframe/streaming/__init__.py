@@ -1,0 +1,5 @@
+"""Files that arrive in a folder, parsed as they come."""
+
+from .folder import totals, watch
+
+__all__ = ["totals", "watch"]
