@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialize, shuffle_partitions, small_batches
+from ._runtime import lean, materialize, shuffle_partitions, small_batches
 from ._text import Texts
 
 #: Text bytes a chunk gathers; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: doc_id of rows that have none: greater than any other.
 NO_ID = np.iinfo(np.int64).max
 ASK = "bucket int, chunk long, blob binary"
@@ -46,19 +46,41 @@ class Chunk:
         return pa.array(ids, pa.int64(), mask=nulls)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of a long, by which it deals rows to buckets."""
+    h = np.full(len(x), 42, np.uint32)
+    turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    for k in (x.astype(np.uint32), (x >> 32).astype(np.uint32)):
+        h = turn(h ^ turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def _numbers(part: int, n_buckets: int) -> Iterator[int]:
+    """Chunk numbers of a task; all fall into one of the buckets in which chunks are stored, so a task writes one file."""
+    at = part << 32
+    while True:
+        block = np.arange(at, at + 4096, dtype=np.int64)
+        yield from block[np.mod(_murmur(block), n_buckets) == part % n_buckets].tolist()
+        at += 4096
+
+
+def _pack(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    lean()
+    numbers = _numbers(TaskContext.get().partitionId(), n_buckets)
     ids: list[np.ndarray] = []
     nulls: list[np.ndarray] = []
     parts: list[Texts] = []
     held = 0
 
     def row() -> pa.RecordBatch:
-        nonlocal number, held
+        nonlocal held
         lens = np.concatenate([np.diff(t.offsets) for t in parts])
         offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        values = [number, len(lens), int(offsets[-1]), np.concatenate(ids).tobytes(), np.concatenate(nulls).tobytes(), offsets.tobytes(), squeeze(b"".join(t.data.tobytes() for t in parts))]
-        number, held = number + 1, 0
+        values = [next(numbers), len(lens), int(offsets[-1]), np.concatenate(ids).tobytes(), np.concatenate(nulls).tobytes(), offsets.tobytes(), squeeze(b"".join(t.data.tobytes() for t in parts))]
+        held = 0
         for x in (ids, nulls, parts):
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -80,13 +102,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """The documents' doc_id and text as a stored table of chunks."""
+    """The documents' doc_id and text as a stored table of chunks, in buckets of their numbers: what is joined to it by
+    chunk comes to the texts, which don't move."""
     small_batches(docs.sparkSession)
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, SCHEMA), "chunks")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = max(shuffle_partitions(docs.sparkSession), own.rdd.getNumPartitions())
+    return materialize(own.mapInArrow(lambda batches: _pack(batches, n), SCHEMA), "chunks", "chunk", n)
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, dict]]:
     """Each chunk, with what other columns its row has."""
+    lean()
     for batch in batches:
         for r in batch.to_pylist():
             data = np.frombuffer(unsqueeze(r["payload"]), np.uint8)
@@ -108,6 +134,7 @@ def exchange(asks: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
     """Rows (chunk, answers array<struct<bucket, blob>>): what ``answer`` says to all blobs of a bucket."""
 
     def per_bucket(t: pa.Table) -> pa.Table:
+        lean()
         order = np.argsort(t.column("chunk").to_numpy(), kind="stable")  # arrival differs from run to run
         t = t.take(pa.array(order))
         said = answer(t.column("blob").to_pylist())

@@ -1,40 +1,75 @@
-"""Session plumbing shared by the corpus operators: shared scratch tables and input shaping."""
+"""Session plumbing shared by the corpus operators: shared scratch tables, input shaping, and lean workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+#: Scratch folders and tables that are still there: path -> catalogue name or None.
+_written: dict[str, str | None] = {}
+_own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where it is unset, only a local session gets a folder of
+    its own; on a cluster that would be a different disk for each machine."""
+    global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="folioframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own is None:
+        _own = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+    return _own
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; later stages no longer depend on its lineage."""
+def materialize(df: DataFrame, tag: str, by: str | None = None, buckets: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; later stages no longer depend on its lineage.
+
+    ``by`` stores it in as many buckets of that column, so that joins and groups by it don't move its rows again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioframe-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by:
+        name = f"folioframe_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
+        out = spark.table(name)
+    else:
+        name = None
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = name
+    out._scratch = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    name = _written.pop(path, None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later step reads."""
+    for t in tables:
+        if getattr(t, "_scratch", None) in _written:
+            _remove(t.sparkSession, t._scratch)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far. Call it only once all results that read them are stored."""
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path.getParent(), True)
+def release(spark: SparkSession, *but: DataFrame) -> None:
+    """Delete every scratch table written so far, but for some. Call it only once all results that read them are stored."""
+    kept = {getattr(t, "_scratch", None) for t in but}
+    for path in [p for p in _written if p not in kept]:
+        _remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +82,30 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts or blobs may hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound what one Arrow batch of texts or blobs may hold in a Python worker; it concerns Python stages only."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+_lean = False
+
+
+def lean() -> None:
+    """Let this worker give memory back: workers are kept from task to task, and with them what their allocators hold.
+
+    Arrays of a megabyte or more are mapped on their own, so freeing them returns their pages at once.
+    """
+    global _lean
+    if not _lean:
+        _lean = True
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):  # another C library: nothing to set
+            pass
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -98,6 +98,11 @@ class Texts:
         o = self.offsets[a : b + 1]
         return Texts(self.data[o[0] : o[-1]], o - o[0])
 
+    def take(self, which: list[int]) -> Texts:
+        lens = np.array([self.offsets[i + 1] - self.offsets[i] for i in which], np.int64)
+        data = np.concatenate([self.data[self.offsets[i] : self.offsets[i + 1]] for i in which]) if which else self.data[:0]
+        return Texts(data, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
+
     def bytes(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
@@ -118,9 +123,23 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return ws, we, np.searchsorted(ws, offsets)
 
 
+#: Bytes hashed at a time, which bounds what hashing the words of a long text holds.
+_STEP = 1 << 19
+
+
 def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    s = prefix(BYTE_VALUES[data])
-    return mix(ranges(s, ws, we) + (we - ws).astype(U64) * U64(0xA0761D6478BD642F), 1)
+    out = np.empty(len(ws), U64)
+    k = 0
+    while k < len(ws):
+        first = int(ws[k])
+        to = max(k + 1, int(np.searchsorted(we, first + _STEP, "right")))
+        if we[k] - first > _STEP:  # one very long word, piece by piece
+            out[k] = sum(int(prefix(BYTE_VALUES[data[o : min(o + _STEP, we[k])]])[-1]) * pow(_B, o - first, 1 << 64) for o in range(first, int(we[k]), _STEP)) % (1 << 64)
+        else:
+            s = prefix(BYTE_VALUES[data[first : we[to - 1]]])
+            out[k:to] = ranges(s, ws[k:to] - first, we[k:to] - first)
+        k = to
+    return mix(out + (we - ws).astype(U64) * U64(0xA0761D6478BD642F), 1)
 
 
 def whole_windows(offsets: np.ndarray, size: int, n: int) -> np.ndarray:
