@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+from folioframe.llm import decontaminate as D
 from folioframe.llm import toxicity
 from folioframe.llm.decontaminate import contaminated, decontaminate, find_matches
 
@@ -53,7 +54,27 @@ def test_decontamination(spark):
         assert contaminated(d, b.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_blocks_of_the_benchmark(spark, monkeypatch):
+    """Several blocks give what one gives, also where rows of an item lie in different blocks."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice(["ab", "cd", "ef", "gh"]) for _ in range(n))
+    items = [(str(i % 9), text(rnd.randint(3, 9))) for i in range(20)] + [(None, text(6)), ("", text(6))]
+    docs = [(i % 30, text(rnd.randint(0, 90))) for i in range(60)] + [(None, None), (None, text(50)), (99, items[-1][1] + " " + items[-2][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    one = sorted(map(tuple, contaminated(d, b, 5).collect()), key=str)
+    far = sorted(map(tuple, find_matches(d, b, 5).collect()), key=str)
+    kept = sorted((r.doc_id, r.text) for r in decontaminate(d, b, 5).where("doc_id is not null").collect())
+    assert [r[3] for r in one if r[0] == 99] >= [2]  # null and '' are two items
+    monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    assert sorted(map(tuple, contaminated(d, b, 5).collect()), key=str) == one
+    assert sorted(map(tuple, find_matches(d, b, 5).collect()), key=str) == far
+    assert sorted((r.doc_id, r.text) for r in decontaminate(d, b, 5).where("doc_id is not null").collect()) == kept
+
+
 def test_longest_matches(spark):
+    d = spark.createDataFrame([(1, "a b c a b")], "doc_id long, text string")
+    b = spark.createDataFrame([(5, "a b c z b c a z c a b")], "item_id long, text string")
+    assert sorted((r.start, r.n_words) for r in find_matches(d, b, 3).collect()) == [(0, 3), (1, 3), (2, 3)]
     d = spark.createDataFrame([(1, "x a b c d e f g y a b c d")], "doc_id long, text string")
     b = spark.createDataFrame([(5, "a b c d e f g h"), (6, "c d e")], "item_id long, text string")
     got = sorted((r.item_id, r.start, r.n_words) for r in find_matches(d, b, 4).collect())
@@ -61,11 +82,14 @@ def test_longest_matches(spark):
 
 
 def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    """On labelled rows that the model never saw: toxic ones are found, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in got) / len(got)
-    assert right > 0.9
     assert all(0 <= r.score <= 1 for r in got)
+    toxic, clean = ([r.predicted for r in got if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic)
+    assert len(clean) > 600 and sum(clean) <= 0.01 * len(clean)
 
 
 def test_toxicity_edges(spark):
