@@ -3,10 +3,10 @@
 Every window of W units (words or bytes) is charged to its anchor, the least-hashed gram in it, and consecutive
 windows with one anchor form a run. Two exchanges settle all windows:
 
-1. Each chunk sends the fingerprints (anchor, run) of its distinct runs. A bucket tells apart anchors that occur
+1. Each chunk sends (anchor, run) hashes of its distinct runs. A bucket tells apart anchors that occur
    once, which are done, from those that occur again, and names for each distinct run one chunk to describe it.
-2. Repeated runs are sent with full hashes; the named chunks add the hashes of their windows. A bucket compares
-   windows among the runs of an anchor, so matches are extended to both sides up to the last equal window, and
+2. Repeated runs are sent again; the named chunks add what their windows hold (hashes, or the bytes themselves). A bucket
+   compares windows among the runs of an anchor, so matches are extended to both sides up to the last equal window, and
    answers a mask of each run's repeated windows.
 
 No pair of documents is formed: a stretch shared by a million documents costs one entry per chunk.
@@ -53,20 +53,19 @@ class Entries:
 
 
 def _first_ask(e: Entries, number: int):
-    key = np.empty((len(e.run), 2), np.uint32)
-    key[:, 0] = e.anchor.astype(np.uint32)
-    key[:, 1] = (e.content.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | e.many
     order, own, border = C.deal(e.bucket)
-    return [(int(b), number, key[order[border[k] : border[k + 1]]].tobytes()) for k, b in enumerate(own)]
+    anchor, run = e.anchor.astype(np.uint32)[order], ((e.content & ~U64(1)) | e.many.astype(U64))[order]
+    return [(int(b), number, anchor[border[k] : border[k + 1]].tobytes() + run[border[k] : border[k + 1]].tobytes()) for k, b in enumerate(own)]
 
 
 def _first_answer(blobs: list[bytes]) -> list[bytes]:
     """0: the anchor occurs nowhere else; 1: it does; 2: it does with other runs, and this chunk describes its own."""
-    sizes = [len(b) // 8 for b in blobs]
-    key = np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2)
-    anchor, run = key[:, 0], key[:, 1] >> np.uint32(1)
-    many = key[:, 1] & np.uint32(1)
-    order = np.argsort((anchor.astype(U64) << U64(32)) | run, kind="stable")
+    sizes = [len(b) // 12 for b in blobs]
+    anchor = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(blobs, sizes, strict=True)])
+    run = np.concatenate([np.frombuffer(b, U64, n, 4 * n) for b, n in zip(blobs, sizes, strict=True)])
+    many = (run & U64(1)).astype(np.int64)
+    run >>= U64(1)
+    order = np.lexsort((run, anchor))
     a, r = anchor[order], run[order]
     new_a = np.ones(len(a), bool)
     new_a[1:] = a[1:] != a[:-1]
@@ -74,14 +73,14 @@ def _first_answer(blobs: list[bytes]) -> list[bytes]:
     new_r[1:] |= r[1:] != r[:-1]
     starts = np.flatnonzero(new_a)
     group = np.cumsum(new_a) - 1
-    again = (np.add.reduceat(np.ones(len(a), np.int64) + many[order], starts) > 1)[group]
+    again = (np.add.reduceat(1 + many[order], starts) > 1)[group]
     several = (np.add.reduceat(new_r.astype(np.int64), starts) > 1)[group]
     code = np.empty(len(a), np.uint8)
     code[order] = again.astype(np.uint8) + (again & several & new_r)
     return [C.squeeze(x.tobytes()) for x in np.split(code, np.cumsum(sizes)[:-1])]
 
 
-def _second_ask(e: Entries, runs: Runs, code: np.ndarray, number: int):
+def _second_ask(e: Entries, runs: Runs, code: np.ndarray, number: int, describe: Callable):
     kept = np.flatnonzero(code)
     order, own, border = C.deal(e.bucket[kept])
     out = []
@@ -89,25 +88,39 @@ def _second_ask(e: Entries, runs: Runs, code: np.ndarray, number: int):
         x = kept[order[border[k] : border[k + 1]]]
         tells = x[code[x] == 2]
         windows = runs.windows[e.run[x]] * (code[x] == 2)
-        body = [np.array([len(x)], np.int64), e.content[x], e.id[x], e.anchor[x].astype(np.uint32), np.minimum(e.count[x], 2).astype(np.uint8), windows.astype(np.uint8), runs.window_hashes(e.run[tells])]
+        body = [np.array([len(x)], np.int64), e.content[x], e.id[x], e.anchor[x].astype(np.uint32), np.minimum(e.count[x], 2).astype(np.uint8), windows.astype(np.uint8), describe(runs, e.run[tells])]
         out.append((int(b), number, b"".join(y.tobytes() for y in body)))
     return out
 
 
-def _second_answer(earlier: bool) -> Callable[[list[bytes]], list[bytes]]:
+def hashes(runs: Runs, which: np.ndarray, texts) -> np.ndarray:
+    """Describes runs by the hashes of their windows."""
+    return runs.window_hashes(which).view(np.uint8)
+
+
+def equal_hashes(told: np.ndarray, at: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Numbers that are the same for equal windows, and only for them, of runs described by ``hashes`` from ``at`` on."""
+    h = told.view(U64)[spread(at // 8, windows)]
+    return np.unique(mix(h ^ (np.repeat(anchor.astype(U64), windows) << U64(32)), 5), return_inverse=True)[1]
+
+
+def _second_answer(earlier: bool, size: Callable, equal: Callable) -> Callable[[list[bytes]], list[bytes]]:
+    """size(windows): bytes that describe a run; equal: as ``equal_hashes``."""
+
     def answer(blobs: list[bytes]) -> list[bytes]:
         parts: list[list[np.ndarray]] = []
         for b in blobs:
             n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
             part = []
-            for kind, size in ((U64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1)):
+            for kind, width in ((U64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1)):
                 part.append(np.frombuffer(b, kind, n, at))
-                at += n * size
-            part.append(np.frombuffer(b, U64, (len(b) - at) // 8, at))
+                at += n * width
+            part.append(np.frombuffer(b, np.uint8, len(b) - at, at))
             parts.append(part)
-        content, ids, anchor, count, windows, hashes = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        content, ids, anchor, count, windows, told_as = (np.concatenate([p[k] for p in parts]) for k in range(6))
         windows = windows.astype(np.int64)
-        at = np.cumsum(windows) - windows  # where each entry's window hashes begin
+        length = np.where(windows > 0, size(windows), 0)
+        at = np.cumsum(length) - length  # where each entry's description begins
         # Runs of equal content, over all chunks
         order = np.lexsort((content, anchor))
         new = np.ones(len(order), bool)
@@ -122,16 +135,11 @@ def _second_answer(earlier: bool) -> Callable[[list[bytes]], list[bytes]]:
         run, first = np.unique(run_of[told], return_index=True)
         teller = told[first]
         own = np.repeat(np.arange(len(run)), windows[teller])
-        h = hashes[spread(at[teller], windows[teller])]
         place = spread(np.zeros(len(run), np.int64), windows[teller]).astype(U64)
-        h = mix(h ^ (anchor[teller].astype(U64)[own] << U64(32)), 5)
-        w_order = np.argsort(h, kind="stable")
-        w_new = np.ones(len(h), bool)
-        w_new[1:] = h[w_order][1:] != h[w_order][:-1]
-        w_start = np.flatnonzero(w_new)
-        w_of = np.empty(len(h), np.int64)
-        w_of[w_order] = np.cumsum(w_new) - 1
-        if len(h):
+        if len(own):
+            w_of = equal(told_as, at[teller], windows[teller], anchor[teller])
+            w_order = np.argsort(w_of, kind="stable")
+            w_start = np.flatnonzero(np.diff(w_of[w_order], prepend=-1))
             w_total = np.add.reduceat(total[run[own]][w_order], w_start)[w_of]
             w_least = np.minimum.reduceat(least[run[own]][w_order], w_start)[w_of]
         described = np.full(len(total), -1, np.int64)
@@ -139,7 +147,7 @@ def _second_answer(earlier: bool) -> Callable[[list[bytes]], list[bytes]]:
         known = described[run_of]
         if not earlier:
             mask = np.where(total[run_of] > 1, ALL, U64(0))
-            if len(h):
+            if len(own):
                 bits = np.bitwise_or.reduceat(np.where(w_total > 1, U64(1) << place, U64(0)), np.cumsum(windows[teller]) - windows[teller])
                 mask = np.where(known >= 0, bits[known], mask)
         else:
@@ -177,18 +185,19 @@ def _covered(e: Entries, runs: Runs, ids: np.ndarray, code: np.ndarray, mask: np
     return np.cumsum(step[:n]) > 0
 
 
-def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, window: int, gram: int, earlier: bool, units_per_byte: float, dealer: Callable | None = None) -> DataFrame:
+def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, window: int, gram: int, earlier: bool, units_per_byte: float, dealer: Callable | None = None, describe: Callable = hashes, size: Callable = lambda windows: 8 * windows, equal: Callable = equal_hashes) -> DataFrame:
     """Rows that ``finish`` makes of each chunk and the mask of its units in repeated windows.
 
     units(Texts) -> (unit hashes, offsets of the texts in them, anything for ``finish``);
     finish(chunk, anything, offsets, mask) -> RecordBatch. dealer(chunks, n_buckets) -> (Texts -> (runs, indices) ->
     buckets) deals anchors to buckets, by their hash if it isn't given. ``earlier``: a window counts as repeated if it also
-    starts in a document of smaller doc_id; else if it starts anywhere else.
+    starts in a document of smaller doc_id; else if it starts anywhere else. describe, size and equal say how buckets
+    compare windows.
     """
     if window - gram + 1 > MOST_SPREAD:
         raise ValueError(f"window - gram must be under {MOST_SPREAD}")
     chunks = C.build(docs)
-    n_buckets = C.buckets_for(chunks, units_per_byte * 16 / (window - gram))
+    n_buckets = C.buckets_for(chunks, units_per_byte * 24 / (window - gram))
     deal = dealer(chunks, n_buckets) if dealer else lambda texts: lambda runs, x: ((runs.anchor[x] >> U64(33)) % U64(n_buckets)).astype(np.int64)
 
     def parts(chunk: C.Chunk):
@@ -206,7 +215,7 @@ def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, wi
         for chunk, r in C.unpack(batches):
             if r["answers"]:
                 *_, runs, e = parts(chunk)
-                if rows := _second_ask(e, runs, C.undeal(e.bucket, r["answers"], np.uint8), chunk.number):
+                if rows := _second_ask(e, runs, C.undeal(e.bucket, r["answers"], np.uint8), chunk.number, lambda runs, x: describe(runs, x, chunk.texts)):
                     yield C.asked(rows)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,5 +227,5 @@ def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, wi
 
     known = materialize(C.exchange(chunks.mapInArrow(ask_first, C.ASK), _first_answer), "known")
     flagged = C.with_answers(chunks, known)
-    masks = C.exchange(flagged.mapInArrow(ask_second, C.ASK), _second_answer(earlier))
+    masks = C.exchange(flagged.mapInArrow(ask_second, C.ASK), _second_answer(earlier, size, equal))
     return flagged.join(masks.withColumnRenamed("answers", "masks"), "chunk", "left").mapInArrow(last, schema)

@@ -3,12 +3,14 @@
 A byte goes if a string of ``length`` bytes covers it that also starts in a document with a smaller doc_id; matches
 never cross documents, overlaps count, and strings are judged on the input.
 
-Method: suffixes are dealt to buckets by sampled splitters over their leading eight bytes, so equal leading bytes
-never lie on both sides of a border and no comparison across borders is left over; buckets sort their suffixes by
-several keys (leading gram, then what follows and precedes it) and compare neighbours. Only suffixes that begin at
-winnowed anchors are sorted: each string of ``length`` bytes holds one at a place that its own content fixes, so equal
-strings meet in one bucket, and a fourteenth of the suffixes settles all of them. Keys are 32- and 64-bit hashes of the
-stretches that are compared, since whole suffixes would be fifty times the input.
+Method: suffixes are dealt to buckets by sampled splitters over their leading GRAM bytes, so suffixes that begin with the
+same gram never lie on both sides of a border and no comparison across borders is left over. Only suffixes at
+winnowed anchors are dealt: each string of ``length`` bytes holds one at a place that its own content fixes, so equal
+strings meet in one bucket, and a fourteenth of the suffixes settles all of them. Hashes tell first which grams occur
+once; of the others the stretches themselves are sent, one copy of each, and buckets sort all suffixes
+that begin in them by a multikey sort: eight bytes at a time, each round over the suffixes that are still tied with a
+neighbour, so the depth at which neighbours part is their common prefix; strings of ``length`` bytes are equal where it is
+as long as they are.
 
 Cases: a null or empty text has no bytes; texts of any length are processed whole; rows that share a doc_id never
 remove each other's bytes; a null doc_id counts as greater than any other and stays null; other columns are not read.
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from . import _chunks as C
 from ._repeats import repeated
 from ._runtime import table
-from ._text import BYTE_VALUES, U64, Runs, Texts
+from ._text import BYTE_VALUES, U64, Runs, Texts, spread
 
 LENGTH, GRAM = 50, 24
-#: Chunks whose suffixes are sampled for the splitters, and samples of each.
-SAMPLED_CHUNKS, SAMPLES = 48, 512
+#: Sampled suffixes for each bucket, and of each chunk that is sampled.
+SAMPLES, OF_CHUNK = 16, 64
+#: Suffixes sorted at a time.
+SORTED = 1 << 19
 SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -40,12 +44,9 @@ def _units(texts: Texts):
     return BYTE_VALUES[texts.data], texts.offsets, None
 
 
-def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes at ``at`` as a number that sorts as they do."""
-    out = np.zeros(len(at), U64)
-    for j in range(8):
-        out = (out << U64(8)) | data[at + j]
-    return out
+def _leads(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """The leading bytes of the suffixes at ``at``, as strings that sort as they do."""
+    return np.lib.stride_tricks.sliding_window_view(data, gram)[at].view(f"S{gram}").ravel() if len(at) else np.zeros(0, f"S{gram}")
 
 
 def _splitters(length: int, gram: int):
@@ -54,18 +55,82 @@ def _splitters(length: int, gram: int):
             for chunk, _ in C.unpack(batches):
                 u, offsets, _ = _units(chunk.texts)
                 at = Runs(u, offsets, length, gram).at
-                lead = _lead(chunk.texts.data, at[:: max(1, len(at) // SAMPLES)])
-                yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], names=["lead"])
+                lead = _leads(chunk.texts.data, at[:: max(1, len(at) // OF_CHUNK)], gram)
+                yield pa.RecordBatch.from_arrays([pa.array([x.ljust(gram, b"\0") for x in lead.tolist()], pa.binary())], names=["lead"])
 
-        step = max(1, chunks.count() // SAMPLED_CHUNKS)
-        sampled = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).mapInArrow(sample, "lead long")
-        leads = np.sort(np.array([r[0] for r in sampled.collect()], np.int64).view(U64))
+        step = max(1, chunks.count() * OF_CHUNK // (n_buckets * SAMPLES))
+        sampled = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).mapInArrow(sample, "lead binary")
+        leads = np.sort(np.array([bytes(r[0]) for r in sampled.collect()], f"S{gram}"))  # about SAMPLES for each bucket
         splitters = np.unique(leads[np.linspace(0, len(leads), n_buckets, endpoint=False, dtype=np.int64)[1:]]) if len(leads) else leads
-        return lambda texts: lambda runs, x: np.searchsorted(splitters, _lead(texts.data, runs.at[x]), "right")
+        return lambda texts: lambda runs, x: np.searchsorted(splitters, _leads(texts.data, runs.at[x], gram), "right")
 
     return dealer
 
 
+def _stretches(length: int):
+    """How runs are described: by the bytes that their strings cover."""
+
+    def describe(runs: Runs, which: np.ndarray, texts: Texts) -> np.ndarray:
+        return texts.data[spread(runs.start[which], runs.windows[which] + length - 1)]
+
+    return describe
+
+
+def multikey(data: np.ndarray, at: np.ndarray, length: int, first: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct strings data[a : a + length], a in ``at``, that have the same ``first``, in sorted order.
+
+    Suffixes are parted by eight bytes at a time; a round looks only at those that are tied with another one so far.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), ">u8", padded.data, strides=(1,))
+    group = np.unique(first, return_inverse=True)[1]  # so far; numbers leave room for the parts of each
+    tied = np.arange(len(at))
+    for depth in range(0, length, 8):
+        size = np.bincount(group[tied], minlength=1)
+        tied = tied[size[group[tied]] > 1]
+        if not len(tied):
+            break
+        word = words[at[tied] + depth].astype(U64)
+        if length - depth < 8:
+            word >>= U64(8 * (8 - length + depth))
+        order = np.lexsort((word, group[tied]))
+        g, w = group[tied][order], word[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
+        # Renumber all groups: one more for each part that a tied group falls into
+        parts = np.ones(int(group.max()) + 1, np.int64)
+        starts = np.flatnonzero(np.diff(g, prepend=-1))
+        parts[g[starts]] = np.add.reduceat(new.astype(np.int64), starts)
+        base = np.cumsum(parts) - parts
+        within = np.cumsum(new) - 1
+        within -= np.repeat(within[starts], np.diff(np.append(starts, len(g))))
+        moved = base[group]
+        moved[tied[order]] = base[g] + within
+        group = moved
+    return group
+
+
+def _equal(length: int):
+    def equal(told: np.ndarray, at: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Suffixes of one anchor stay together; as many anchors at a time as fit SORTED."""
+        order = np.argsort(anchor, kind="stable")
+        border = np.append(np.flatnonzero(np.diff(anchor[order].astype(np.int64), prepend=-1)), len(order))
+        many = np.concatenate([[0], np.cumsum(windows[order])])
+        where = np.cumsum(windows) - windows
+        out = np.empty(int(windows.sum()), np.int64)
+        k = seen = 0
+        while k < len(border) - 1:
+            to = max(k + 1, int(np.searchsorted(many[border], many[border[k]] + SORTED, "right")) - 1)
+            x = order[border[k] : border[to]]
+            found = multikey(told, spread(at[x], windows[x]), length, np.repeat(anchor[x], windows[x]))
+            out[spread(where[x], windows[x])] = seen + found
+            seen += int(found.max()) + 1
+            k = to
+        return out
+
+    return equal
+
+
 def _finish(digest: bool):
     def finish(chunk: C.Chunk, _, offsets: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
         kept, removed, spans = [], [], []
@@ -91,7 +156,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest
     """
     if gram < 8:
         raise ValueError("gram must be 8 bytes at least")
-    return repeated(docs, _units, _finish(digest), DIGEST if digest else SCHEMA, length, gram, True, 1.0, _splitters(length, gram))
+    how = {"dealer": _splitters(length, gram), "describe": _stretches(length), "size": lambda windows: windows + length - 1, "equal": _equal(length)}
+    return repeated(docs, _units, _finish(digest), DIGEST if digest else SCHEMA, length, gram, True, 1.0, **how)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
-from folioframe.llm import _chunks
-from folioframe.llm.substring_dedup import substring_dedup
-from folioframe.llm.suffix_dedup import suffix_dedup
+import numpy as np
+
+from folioframe.llm import _chunks, _repeats
+from folioframe.llm.substring_dedup import op2_substring_dedup, substring_dedup
+from folioframe.llm.suffix_dedup import multikey, op9_suffix_array_dedup, suffix_dedup
+
+SF = "/root/testdata/sf0.001"
 
 
 def corpus(seed, n=60):
@@ -92,3 +96,30 @@ def test_kept_texts_and_empty_tables(spark):
     none = docs.where("doc_id < 0")
     assert substring_dedup(none).count() == 0
     assert suffix_dedup(none).count() == 0
+
+
+def test_queries(spark):
+    """The registered queries, with their own windows, over a whole table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert key(op2_substring_dedup(spark, SF).collect()) == key(brute_words(rows, 35))
+    assert key(op9_suffix_array_dedup(spark, SF).collect()) == key(brute_bytes(rows, 50))
+
+
+def test_many_runs_of_one_anchor():
+    """Every one of very many runs at an anchor is told apart from the others."""
+    rnd = np.random.default_rng(5)
+    run = np.unique(rnd.integers(0, 2**63, 200_000, dtype=np.int64).astype(np.uint64) << np.uint64(1))
+    blobs = [np.full(len(x), 7, np.uint32).tobytes() + x.tobytes() for x in np.array_split(rnd.permutation(run), 9)]
+    code = np.concatenate([np.frombuffer(_repeats.C.unsqueeze(b), np.uint8) for b in _repeats._first_answer(blobs)])
+    assert len(code) == len(run) and (code == 2).all()
+
+
+def test_multikey_sort():
+    rnd = random.Random(8)
+    data = bytes(rnd.choice(b"ab") for _ in range(4000)) + b"abab" * 300
+    at = np.array([rnd.randrange(len(data) - 30) for _ in range(3000)])
+    first = at % 3
+    got = multikey(np.frombuffer(data, np.uint8), at, 30, first)
+    strings = [(f, data[a : a + 30]) for a, f in zip(at.tolist(), first.tolist())]
+    number = {x: i for i, x in enumerate(sorted(set(strings)))}
+    assert got.tolist() == [number[x] for x in strings]
