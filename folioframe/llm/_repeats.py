@@ -9,7 +9,9 @@ windows with one anchor form a run. Two exchanges settle all windows:
    compares windows among the runs of an anchor, so matches are extended to both sides up to the last equal window, and
    answers a mask of each run's repeated windows.
 
-No pair of documents is formed: a stretch shared by a million documents costs one entry per chunk.
+No pair of documents is formed: a stretch shared by a million documents costs one entry per chunk. An anchor with very many
+different runs around it is hot: a chunk with more than CROWD of them says only that, and wherever an anchor is
+hot its windows are dealt to all buckets by their own hashes, in the second exchange, one entry per chunk for each.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from ._runtime import materialize
 from ._text import U64, Runs, mix, spread
 
 ALL = U64(2**64 - 1)
+#: Distinct runs at one anchor: from a chunk, and in a bucket, before it counts as hot.
+CROWD, HOT = 64, 20_000
+_CROWDED = U64(2**64 - 1)
 #: A mask has 64 bits, so an anchor may lie in that many windows at most.
 MOST_SPREAD = 64
 
@@ -52,14 +57,39 @@ class Entries:
         self.bucket = bucket_of(runs, self.run)
 
 
-def _first_ask(e: Entries, number: int):
-    order, own, border = C.deal(e.bucket)
-    anchor, run = e.anchor.astype(np.uint32)[order], ((e.content & ~U64(1)) | e.many.astype(U64))[order]
+def _stand(e: Entries, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that a chunk sends, and for every entry the one of them that stands for it; a crowded anchor sends one."""
+    order = np.argsort(e.anchor, kind="stable")
+    first = np.flatnonzero(np.diff(e.anchor[order].view(np.int64), prepend=~e.anchor[order[:1]].view(np.int64)) != 0) if len(order) else order
+    many = np.diff(np.append(first, len(order)))
+    crowded = np.zeros(len(order), bool)
+    crowded[order] = np.repeat(many > crowd, many)
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[first], many)
+    stand = np.where(crowded, head, np.arange(len(order)))
+    return np.unique(stand), stand
+
+
+def _first_ask(e: Entries, number: int, crowd: int):
+    sent, stand = _stand(e, crowd)
+    crowded = np.bincount(stand, minlength=len(e.run))[sent] > max(crowd, 0)
+    run = np.where(crowded, _CROWDED, (e.content[sent] & ~U64(1)) | e.many[sent].astype(U64))
+    order, own, border = C.deal(e.bucket[sent])
+    anchor, run = e.anchor[sent].astype(np.uint32)[order], run[order]
     return [(int(b), number, anchor[border[k] : border[k + 1]].tobytes() + run[border[k] : border[k + 1]].tobytes()) for k, b in enumerate(own)]
 
 
-def _first_answer(blobs: list[bytes]) -> list[bytes]:
-    """0: the anchor occurs nowhere else; 1: it does; 2: it does with other runs, and this chunk describes its own."""
+def _codes(e: Entries, answers: list[dict] | None, crowd: int) -> np.ndarray:
+    """The code of every entry, from the answers to those that were sent."""
+    if not answers:
+        return np.zeros(len(e.run), np.uint8)
+    sent, stand = _stand(e, crowd)
+    return C.undeal(e.bucket[sent], answers, np.uint8)[np.searchsorted(sent, stand)]
+
+
+def _first_answer(blobs: list[bytes], most: int = HOT) -> list[bytes]:
+    """0: the anchor occurs nowhere else; 1: it does; 2: it does with other runs, and this chunk describes its own; 3: it is
+    hot."""
     sizes = [len(b) // 12 for b in blobs]
     anchor = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(blobs, sizes, strict=True)])
     run = np.concatenate([np.frombuffer(b, U64, n, 4 * n) for b, n in zip(blobs, sizes, strict=True)])
@@ -74,14 +104,15 @@ def _first_answer(blobs: list[bytes]) -> list[bytes]:
     starts = np.flatnonzero(new_a)
     group = np.cumsum(new_a) - 1
     again = (np.add.reduceat(1 + many[order], starts) > 1)[group]
-    several = (np.add.reduceat(new_r.astype(np.int64), starts) > 1)[group]
+    runs = np.add.reduceat(new_r.astype(np.int64), starts)
+    hot = ((runs > most) | (np.maximum.reduceat(r, starts) == _CROWDED >> U64(1)))[group]
     code = np.empty(len(a), np.uint8)
-    code[order] = again.astype(np.uint8) + (again & several & new_r)
+    code[order] = np.where(hot, 3, again.astype(np.uint8) + (again & (runs > 1)[group] & new_r))
     return [C.squeeze(x.tobytes()) for x in np.split(code, np.cumsum(sizes)[:-1])]
 
 
 def _second_ask(e: Entries, runs: Runs, code: np.ndarray, number: int, describe: Callable):
-    kept = np.flatnonzero(code)
+    kept = np.flatnonzero((code > 0) & (code < 3))
     order, own, border = C.deal(e.bucket[kept])
     out = []
     for k, b in enumerate(own):
@@ -93,6 +124,49 @@ def _second_ask(e: Entries, runs: Runs, code: np.ndarray, number: int, describe:
     return out
 
 
+class HotWindows:
+    """The distinct windows of the runs at hot anchors, which are dealt by their own hashes."""
+
+    def __init__(self, e: Entries, runs: Runs, code: np.ndarray, n_buckets: int):
+        self.entry = np.flatnonzero(code == 3)
+        self.count = runs.windows[e.run[self.entry]]
+        h = runs.window_hashes(e.run[self.entry])
+        owner = np.repeat(self.entry, self.count)
+        self.hash, self.of = np.unique(h, return_inverse=True)
+        self.id = np.full(len(self.hash), np.iinfo(np.int64).max)
+        np.minimum.at(self.id, self.of, e.id[owner])
+        self.many = np.bincount(self.of, np.minimum(e.count[owner], 2), len(self.hash)) > 1
+        self.bucket = n_buckets + ((self.hash >> U64(7)) % U64(n_buckets)).astype(np.int64)
+
+    def ask(self, number: int):
+        """A blob that begins with a number below zero holds windows."""
+        order, own, border = C.deal(self.bucket)
+        out = []
+        for k, b in enumerate(own):
+            x = order[border[k] : border[k + 1]]
+            out.append((int(b), number, b"".join(y.tobytes() for y in (np.array([-len(x)], np.int64), self.hash[x], self.id[x], self.many[x]))))
+        return out
+
+    def masks(self, e: Entries, answers: list[dict], earlier: bool) -> np.ndarray:
+        """For each of ``entry``, a mask of its repeated windows."""
+        told = C.undeal(self.bucket, answers, np.int64)[self.of]
+        hit = told < np.repeat(e.id[self.entry], self.count) if earlier else told > 1
+        bit = U64(1) << spread(np.zeros(len(self.entry), np.int64), self.count).astype(U64)
+        return np.bitwise_or.reduceat(np.where(hit, bit, U64(0)), np.cumsum(self.count) - self.count)
+
+
+def _window_answer(blobs: list[bytes], earlier: bool) -> list[bytes]:
+    """For every window the least doc_id that has it, or how often it occurs."""
+    sizes = [-int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+    h, ids, many = (np.concatenate([np.frombuffer(b, kind, n, 8 + n * at) for b, n in zip(blobs, sizes, strict=True)]) for kind, at in ((U64, 0), (np.int64, 8), (np.uint8, 16)))
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    group = np.empty(len(h), np.int64)
+    group[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
+    said = np.minimum.reduceat(ids[order], start) if earlier else np.add.reduceat(1 + many[order].astype(np.int64), start)
+    return [C.squeeze(x.tobytes()) for x in np.split(said[group], np.cumsum(sizes)[:-1])]
+
+
 def hashes(runs: Runs, which: np.ndarray, texts) -> np.ndarray:
     """Describes runs by the hashes of their windows."""
     return runs.window_hashes(which).view(np.uint8)
@@ -108,6 +182,8 @@ def _second_answer(earlier: bool, size: Callable, equal: Callable) -> Callable[[
     """size(windows): bytes that describe a run; equal: as ``equal_hashes``."""
 
     def answer(blobs: list[bytes]) -> list[bytes]:
+        if np.frombuffer(blobs[0], np.int64, 1)[0] < 0:
+            return _window_answer(blobs, earlier)
         parts: list[list[np.ndarray]] = []
         for b in blobs:
             n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
@@ -164,10 +240,9 @@ def _second_answer(earlier: bool, size: Callable, equal: Callable) -> Callable[[
     return answer
 
 
-def _covered(e: Entries, runs: Runs, ids: np.ndarray, code: np.ndarray, mask: np.ndarray, n: int, earlier: bool) -> np.ndarray:
-    """Of each unit, whether a repeated window covers it."""
-    full = np.zeros(len(code), U64)
-    full[code > 0] = mask
+def _covered(e: Entries, runs: Runs, ids: np.ndarray, mask: np.ndarray, n: int, earlier: bool) -> np.ndarray:
+    """Of each unit, whether a repeated window covers it; ``mask``: of each entry's windows."""
+    full = mask
     of_run = full[e.of]
     if earlier:  # another document of this chunk with a smaller id has the same run
         of_run[ids[runs.doc] > e.id[e.of]] = ALL
@@ -196,6 +271,7 @@ def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, wi
     """
     if window - gram + 1 > MOST_SPREAD:
         raise ValueError(f"window - gram must be under {MOST_SPREAD}")
+    crowd, hot = CROWD, HOT
     chunks = C.build(docs)
     n_buckets = C.buckets_for(chunks, units_per_byte * 24 / (window - gram))
     deal = dealer(chunks, n_buckets) if dealer else lambda texts: lambda runs, x: ((runs.anchor[x] >> U64(33)) % U64(n_buckets)).astype(np.int64)
@@ -209,23 +285,32 @@ def repeated(docs: DataFrame, units: Callable, finish: Callable, schema: str, wi
         for chunk, _ in C.unpack(batches):
             *_, runs, e = parts(chunk)
             if len(e.run):
-                yield C.asked(_first_ask(e, chunk.number))
+                yield C.asked(_first_ask(e, chunk.number, crowd))
 
     def ask_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, r in C.unpack(batches):
             if r["answers"]:
                 *_, runs, e = parts(chunk)
-                if rows := _second_ask(e, runs, C.undeal(e.bucket, r["answers"], np.uint8), chunk.number, lambda runs, x: describe(runs, x, chunk.texts)):
+                code = _codes(e, r["answers"], crowd)
+                rows = _second_ask(e, runs, code, chunk.number, lambda runs, x: describe(runs, x, chunk.texts))
+                if (code == 3).any():
+                    rows += HotWindows(e, runs, code, n_buckets).ask(chunk.number)
+                if rows:
                     yield C.asked(rows)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, r in C.unpack(batches):
             u, offsets, rest, runs, e = parts(chunk)
-            code = C.undeal(e.bucket, r["answers"], np.uint8) if r["answers"] else np.zeros(len(e.run), np.uint8)
-            mask = C.undeal(e.bucket[code > 0], r["masks"], U64) if r["masks"] else np.zeros(0, U64)
-            yield finish(chunk, rest, offsets, _covered(e, runs, chunk.ids, code, mask, len(u), earlier))
-
-    known = materialize(C.exchange(chunks.mapInArrow(ask_first, C.ASK), _first_answer), "known")
+            code, mask = _codes(e, r["answers"], crowd), np.zeros(len(e.run), U64)
+            if r["masks"]:
+                told = (code > 0) & (code < 3)
+                mask[told] = C.undeal(e.bucket[told], r["masks"], U64)
+                if (code == 3).any():
+                    windows = HotWindows(e, runs, code, n_buckets)
+                    mask[windows.entry] = windows.masks(e, r["masks"], earlier)
+            yield finish(chunk, rest, offsets, _covered(e, runs, chunk.ids, mask, len(u), earlier))
+
+    known = materialize(C.exchange(chunks.mapInArrow(ask_first, C.ASK), lambda blobs: _first_answer(blobs, hot)), "known")
     flagged = C.with_answers(chunks, known)
     masks = C.exchange(flagged.mapInArrow(ask_second, C.ASK), _second_answer(earlier, size, equal))
     return flagged.join(masks.withColumnRenamed("answers", "masks"), "chunk", "left").mapInArrow(last, schema)

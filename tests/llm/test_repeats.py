@@ -110,8 +110,26 @@ def test_many_runs_of_one_anchor():
     rnd = np.random.default_rng(5)
     run = np.unique(rnd.integers(0, 2**63, 200_000, dtype=np.int64).astype(np.uint64) << np.uint64(1))
     blobs = [np.full(len(x), 7, np.uint32).tobytes() + x.tobytes() for x in np.array_split(rnd.permutation(run), 9)]
-    code = np.concatenate([np.frombuffer(_repeats.C.unsqueeze(b), np.uint8) for b in _repeats._first_answer(blobs)])
-    assert len(code) == len(run) and (code == 2).all()
+    code = lambda blobs: np.concatenate([np.frombuffer(_repeats.C.unsqueeze(b), np.uint8) for b in _repeats._first_answer(blobs)])
+    assert len(code(blobs)) == len(run) and (code(blobs) == 3).all()  # hot: its windows are dealt one by one
+    cold = [np.frombuffer(_repeats.C.unsqueeze(b), np.uint8) for b in _repeats._first_answer(blobs, 10**9)]
+    assert (np.concatenate(cold) == 2).all()
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """A passage in all documents, each time among other words: the same result when its windows are dealt one by one."""
+    rnd = random.Random(9)
+    own = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    passage = " ".join(f"p{k}" for k in range(45))
+    rows = [(i, f"{own(20)} {passage} {own(20)}") for i in range(150)] + [(500, f"{own(3)} {passage[:60]} {own(40)}"), (None, passage), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words, chars = key(brute_words(rows, 35)), key(brute_bytes(rows, 50))
+    assert key(substring_dedup(docs, digest=True).collect()) == words and key(suffix_dedup(docs, digest=True).collect()) == chars
+    for crowd, hot in ((2, 10**9), (10**9, 1), (0, 0)):
+        monkeypatch.setattr(_repeats, "CROWD", crowd)
+        monkeypatch.setattr(_repeats, "HOT", hot)
+        assert key(substring_dedup(docs, digest=True).collect()) == words
+        assert key(suffix_dedup(docs, digest=True).collect()) == chars
 
 
 def test_multikey_sort():
