@@ -2,9 +2,10 @@
 
 DataFrame functions only, no shuffle. The base kinds (email, ip, card, phone) are matched leftmost and non-overlapping
 per kind, and a match that fails its check is dropped without another try: an ip's parts are at most 255, a card has 16
-to 19 digits that pass Luhn, a phone number 8 to 15 digits. Two kinds are added: iban (two letters, two digits, up to
+to 19 digits that pass Luhn, a phone number 8 to 15 digits. Four kinds are added: iban (two letters, two digits, up to
 30 more, as many as its country has, confirmed by mod 97) and ssn (three, two and four digits, which have no checksum and so need a context word
-near by). Every span has a score: what its checksum vouches for, plus CONTEXT if a word of its kind stands within
+near by), key (credentials whose format gives them away) and secret (runs of 20 characters or more with letters and digits,
+which need a context word near by too). Every span has a score: what its checksum vouches for, plus CONTEXT if a word of its kind stands within
 NEAR characters. Base spans stay at any score; added ones need LEAST.
 
 Positions are code points. ``split`` gives the stretches between matches, so a match starts where all stretches and
@@ -40,6 +41,9 @@ _IBAN = (
     + rf"|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 )
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: How well-known services write their credentials, and the head of a private key.
+_KEY = r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,200}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
+_SECRET = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])"
 
 
 def _digits(m: Column) -> Column:
@@ -75,6 +79,8 @@ KINDS = [
     ("phone", _PHONE, lambda t: F.contains(t, F.lit("+")), _phone_ok, 0.6, "phone|tel|call|mobile|fax"),
     ("iban", _IBAN, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), _iban_ok, 0.8, "iban|bank|account|konto"),
     ("ssn", _SSN, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), None, 0.3, "ssn|social|security|tax"),
+    ("key", _KEY, lambda t: t.rlike(r"AKIA|gh[pousr]_|sk-|AIza|xox|PRIVATE KEY"), None, 0.9, "key|token|secret"),
+    ("secret", _SECRET, lambda t: t.rlike(r"(?i)token|secret|passw|key|bearer|credential"), None, 0.3, "(?:[a-z0-9]+[_-])*(?:token|secret|passw|api.?key|access.?key|bearer|credential)"),
 ]
 BASE = ("email", "ip", "card", "phone")
 
@@ -127,7 +133,7 @@ def find(text: Column, kind: str) -> Column:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, email, ip, card, phone, iban, ssn), each kind an array of spans with scores."""
+    """Rows (doc_id, email, ip, card, phone, iban, ssn, key, secret), each kind an array of spans with scores."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return t.select("doc_id", *[find(F.col("text"), k[0]).alias(k[0]) for k in KINDS])
 

@@ -4,8 +4,8 @@ Explicit rules (host, path, verdict) come first: a rule fits its host and all su
 the rule's, and the longest fitting rule decides. A page that no rule fits takes its verdict from its aliases: pages
 and urls joined by redirects (``<meta http-equiv=refresh>``) and canonical links form a graph whose connected
 components are found in a distributed way; a component with a url that a rule blocks is blocked, unless a rule allows
-one of its urls explicitly, and pages of no such component are allowed. Every such tag of a page counts. Relative
-targets are resolved as in RFC 3986 against the page's ``<base href>``, or else its url; absolute ones stay as written.
+one of its urls explicitly, and pages of no such component are allowed. Every such tag of a page counts. Ampersands written
+as entities are read as such. Relative targets are resolved as in RFC 3986 against the page's ``<base href>``, or else its url; absolute ones stay as written.
 
 Cases: a target of another kind (``mailto:``), or a relative one on a page whose url has no scheme and host, is no link; a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated urls get
 equal verdicts; a null html has no links; an html of any length is searched whole; other columns are not read.
@@ -88,7 +88,8 @@ def links(pages: DataFrame) -> DataFrame:
 
     may = F.lower(F.col("html"))
     found = pages.where(F.col("url").isNotNull()).where(F.contains(may, F.lit("canonical")) | F.contains(may, F.lit("refresh")))
-    found = found.select("url", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(F.concat(targets(_LINK, _HREF), targets(_META, _GOTO))).alias("target")).where("target <> ''")
+    plain = lambda c: F.replace(F.replace(c, F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
+    found = found.select("url", plain(F.regexp_extract("html", _BASE, 1)).alias("base"), F.explode(F.transform(F.concat(targets(_LINK, _HREF), targets(_META, _GOTO)), plain)).alias("target")).where("target <> ''")
     base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), "url"))
     return found.select("url", "target", base.alias("base")).select("url", resolve(F.col("base"), F.col("target")).alias("target")).where(F.col("target").isNotNull())
 
