@@ -1,11 +1,14 @@
 """Exact dedup by progressive refinement, in DataFrame functions only.
 
 Two texts are equal when they are identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Documents are
-grouped by the length of the normalised text, the hash of its first characters and its full SHA-256 at once; the
-counts by length and by prefix are joined afterwards and remove nothing, as a full group passes both. The scan reads each text once and stores a
-signature row per document; the levels work on signatures, and texts are never shuffled. Groups are formed by
-pre-aggregated sums, so a group with a third of all rows costs each task one partial row; the join back has one row
-per group on one side, so a hot group may be split at will.
+grouped by the length of the normalised text; those that share theirs by the hash of its first characters; those that share
+that too by its full SHA-256. A row that is alone at a level is settled there and goes no further. As a row of the result
+has the SHA-256 of its text, one scan reads each text once and stores a signature row per document; levels
+work on signatures, and texts are never shuffled.
+
+Counts at each level are pre-aggregated sums, and rows find the counts of their key over SALTS partitions, so a key with
+a third of all rows makes no hot task; the join back to the rows has one row per group on one side and is split where it
+is skewed.
 
 Of equal texts the row with the most code points in the original text stays, of those the one with the smallest
 doc_id. Cases: null counts as empty, and all empty or blank texts are equal; rows that share doc_id and text are one
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from ._runtime import materialize, table
 
 PREFIX = 64
+SALTS = 32
 _GONE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -37,33 +41,51 @@ def signatures(docs: DataFrame) -> DataFrame:
     return n.select("doc_id", "points", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head"), F.sha2("norm", 256).alias("sha"))
 
 
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key others have too."""
+    several = rows.groupBy(*key).count().where("count > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(several, [*key, "_salt"], "left_semi").drop("_salt")
+
+
 def groups(sig: DataFrame) -> DataFrame:
     """Rows (len, head, sha, keep_id, group_size) of the groups of two or more."""
-    by_len = sig.groupBy("len").count().where("count > 1").select("len")
-    # Counts are taken before each join, so rows of a frequent length or prefix are never gathered.
-    by_head = sig.groupBy("len", "head").count().where("count > 1").join(by_len, "len", "left_semi").select("len", "head")
+    left = _shared(_shared(sig, ["len"]), ["len", "head"])
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    full = sig.groupBy("len", "head", "sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return full.join(by_head, ["len", "head"], "left_semi").select("len", "head", "sha", F.col("best.id").alias("keep_id"), "group_size")
+    full = left.groupBy("len", "head", "sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return full.select("len", "head", "sha", F.col("best.id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     sig = materialize(signatures(docs), "signatures")
-    out = sig.join(groups(sig), ["len", "head", "sha"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    key = ["len", "head", "sha"]
+    found = materialize(groups(sig), "groups")
+    # Groups with over a thousandth of all rows are fewer than a thousand: told to all tasks, their rows don't move.
+    hot = found.where(F.col("group_size") * 1000 > sig.count())
+    rest = found.join(hot.select(*key), key, "left_anti")
+    out = sig.join(F.broadcast(hot.select(*key, F.col("keep_id").alias("k1"), F.col("group_size").alias("g1"))), key, "left")
+    out = out.withColumn("_len", F.when(F.col("g1").isNull(), F.col("len")))
+    out = out.join(rest.select(F.col("len").alias("_len"), "head", "sha", F.col("keep_id").alias("k2"), F.col("group_size").alias("g2")), ["_len", "head", "sha"], "left")
+    size = F.coalesce("g1", "g2")
+    keep = F.when(F.col("g1").isNotNull(), F.col("k1")).when(F.col("g2").isNotNull(), F.col("k2")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce(size, F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of fully tied rows one."""
+    """The documents that stay, with all their columns; of fully tied rows one. A text is hashed again only where its
+    doc_id is one of a row that goes."""
+    judged = materialize(exact_dedup(docs).where("group_size > 1"), "judged")
+    gone = judged.where("not kept").select("doc_id", "text_sha256").distinct()
+    tied = judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
     mine = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    sha = F.sha2(normalised(F.col("_row.text")), 256)
-    kept = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"), F.max("group_size").alias("_g"))
-    out = mine.withColumns({"_id": F.col("_row.doc_id"), "_sha": sha}).join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256")), "inner")
-    single = out.where("_n = 1").select("_row")
-    tied = out.where("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.length("_row.text").desc()))).where("_k = 1").select("_row")
-    return single.unionByName(tied).select("_row.*")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & (F.sha2(normalised(F.col("_row.text")), 256) == F.col("text_sha256"))
+    left = mine.join(gone, same, "left_anti")
+    if tied.isEmpty():
+        return left.select("_row.*")
+    first = Window.partitionBy("doc_id", "text_sha256").orderBy(F.length("_row.text").desc())
+    one = left.join(tied, same).withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    return left.join(tied, same, "left_anti").unionByName(one.select("_row")).select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
