@@ -4,9 +4,11 @@
    pieces, all full but perhaps the first. Only lengths and checksums are stored.
 2. Pieces of equal length are interchangeable, so a packing is a list of bins (so many pieces of each length) with
    multiplicities, and the problem is a histogram of at most ``capacity`` lengths however many documents there are.
-3. Islands, one task each, evolve packings: crossover injects whole well-filled bins of one parent into the other,
-   removes the bins that would use pieces twice, and best-fits the displaced pieces. After each epoch every island's
-   elite migrates to the next. The evolution stops when the lower bound is reached.
+3. Islands, one task each, evolve packings: crossover injects whole well-filled bins of one parent into the other and
+   removes the bins that would use pieces twice. The displaced pieces, with those of the worst bins left, first swap places
+   with one or two others where that fills a bin better, then fill new bins as full as their lengths allow, and the rest is
+   best-fitted. The worst of a population gives way to a better child, and after each epoch every island's elite migrates to
+   the next. The evolution stops when the lower bound is reached.
 4. Each piece's rank among those of its length (counts per partition, then a running sum) places it in the best plan.
 
 A text goes through the tokeniser by its blank-separated words, which are cached: the tokeniser never joins across a
@@ -36,9 +38,11 @@ from ._runtime import materialize, small_batches, table
 
 CAPACITY = 1024
 END = 2
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 2, 6, 6
-#: Cached words; the cache starts anew when it is full.
-CACHE = 1_000_000
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 2, 12, 6
+#: Kinds of bins that one child dissolves or fills anew at most; it bounds a generation's work, not what is packed.
+DISPLACED = 400
+#: Cached words, of so many characters at most; the cache starts anew when it is full.
+CACHE, LONG = 1_000_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _nth long"
 
 SPECIAL = "<|endoftext|>"
@@ -101,8 +105,12 @@ class Encoder:
             found[0] = np.array(self.single(words[0]), "<u4").tobytes()
             if None in found:
                 missing = [k for k, f in enumerate(found) if f is None]
-                new.update([words[k] for k in missing])
-                late.append((i, [words[k] for k in missing], found))
+                for k in missing:
+                    if len(words[k]) > LONG:
+                        found[k] = np.array(self.single(" " + words[k]), "<u4").tobytes()
+                short = [words[k] for k in missing if len(words[k]) <= LONG]
+                new.update(short)
+                late.append((i, short, found))
             else:
                 out[i] = b"".join(found)
         if new:
@@ -198,8 +206,84 @@ def cost(packing: dict[tuple, int], capacity: int) -> tuple[int, float]:
     return sum(packing.values()), -sum(m * (filled(b) / capacity) ** 2 for b, m in packing.items())
 
 
+def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+    """(length, count) of pieces that fill ``room`` as far as any choice of them can, found by reachable sums."""
+    kinds = [(s, c) for s, c in sorted(counts.items(), reverse=True) if 0 < s <= room and c]
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
+    for s, c in kinds:
+        before, left, block = reach, min(c, room // s), 1
+        while left:  # one, two, four ... pieces at a time
+            k = min(block, left)
+            reach |= (reach << (s * k)) & mask
+            left, block = left - k, block * 2
+        steps.append((s, min(c, room // s), before))
+        if reach >> room & 1:
+            break
+    at, out = reach.bit_length() - 1, []
+    for s, most, before in reversed(steps):
+        k = next(k for k in range(most + 1) if at >= s * k and before >> (at - s * k) & 1)
+        if k:
+            out.append((s, k))
+            at -= s * k
+    return out
+
+
+def swapped(bins: dict[tuple, int], free: dict[int, int], capacity: int) -> None:
+    """Dominance: a free piece takes the place of one or two pieces of a bin where that fills it better, as far as it goes;
+    ``bins`` and ``free`` change. The pieces set free are smaller together, so they are easier to place."""
+    for bin_ in [b for b in sorted(bins, key=filled) if filled(b) < capacity][:DISPLACED]:
+        m, room = bins[bin_], capacity - filled(bin_)
+        sizes = dict(bin_)
+        best = None
+        pairs = [(a, b) for a in sizes for b in sizes if a > b or (a == b and sizes[a] > 1)]
+        for out in [(a,) for a in sizes] + pairs:
+            away = sum(out)
+            into = next((f for f in range(away + room, away, -1) if free.get(f)), None)
+            if into and (best is None or into - away > best[0]):
+                best = (into - away, into, out)
+        if best is None:
+            continue
+        _, into, out = best
+        n = min(m, free[into])
+        for x in out:
+            sizes[x] -= 1
+        sizes[into] = sizes.get(into, 0) + 1
+        bins[bin_] = m - n
+        if m == n:
+            del bins[bin_]
+        new = tuple(sorted(((x, k) for x, k in sizes.items() if k), reverse=True))
+        bins[new] = bins.get(new, 0) + n
+        free[into] -= n
+        for x in out:
+            free[x] = free.get(x, 0) + n
+
+
+def replaced(free: dict[int, int], bins: dict[tuple, int], capacity: int) -> dict[tuple, int]:
+    """Places displaced pieces: swaps, then new bins as full as can be, then best fit into what room is left."""
+    swapped(bins, free, capacity)
+    for _ in range(DISPLACED):
+        left = [s for s, c in free.items() if c]
+        if not left:
+            break
+        first = max(left)
+        free[first] -= 1
+        rest = fullest(free, capacity - first)
+        free[first] += 1
+        bin_: dict[int, int] = {first: 1}
+        for s, k in rest:
+            bin_[s] = bin_.get(s, 0) + k
+        if sum(s * k for s, k in bin_.items()) < 0.98 * capacity:
+            break
+        n = min(free[s] // k for s, k in bin_.items())
+        for s, k in bin_.items():
+            free[s] -= n * k
+        key = tuple(sorted(bin_.items(), reverse=True))
+        bins[key] = bins.get(key, 0) + n
+    return best_fit(free, bins, capacity)
+
+
 def crossover(a: dict[tuple, int], b: dict[tuple, int], counts: dict[int, int], capacity: int, rnd: random.Random) -> dict[tuple, int]:
-    """Inject well-filled bins of b, keep those of a that still have their pieces, best-fit the displaced ones."""
+    """Inject well-filled bins of b, keep those of a that still have their pieces, place the displaced ones anew."""
     left, child = dict(counts), {}
 
     def take(bin_: tuple, m: int) -> None:
@@ -209,32 +293,43 @@ def crossover(a: dict[tuple, int], b: dict[tuple, int], counts: dict[int, int],
             for s, k in bin_:
                 left[s] -= m * k
 
-    for bin_, m in sorted(b.items(), key=lambda x: -filled(x[0])):
+    for bin_, m in sorted(b.items(), key=lambda x: (-filled(x[0]), rnd.random())):
         if filled(bin_) >= 0.98 * capacity and rnd.random() < 0.5:
             take(bin_, rnd.randint(1, m))
     for bin_, m in sorted(a.items(), key=lambda x: (-filled(x[0]), rnd.random())):
         if filled(bin_) >= 0.9 * capacity or rnd.random() < 0.5:
             take(bin_, m)
-    return best_fit(left, child, capacity)
+    # Of the worst bins some are dissolved too, and one in ten of the others, so that there is something to recombine.
+    for n, bin_ in enumerate(sorted(child, key=lambda x: (filled(x), rnd.random()))[:DISPLACED]):
+        if n < 3 or rnd.random() < 0.1:
+            m = min(child[bin_], 1 + int(child[bin_] * rnd.random() * 0.1))
+            child[bin_] -= m
+            if not child[bin_]:
+                del child[bin_]
+            for s, k in bin_:
+                left[s] += m * k
+    return replaced(left, child, capacity)
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, population: list[dict], generations: int = GENERATIONS) -> list[dict]:
-    """The population after some generations, best first."""
+    """The population after some generations, best first. The first member is best fit; the others start elsewhere."""
     rnd = random.Random(seed)
     least = -(-sum(s * c for s, c in counts.items()) // capacity)
     while len(population) < POPULATION:
         some = {s: rnd.randint(0, c) for s, c in counts.items()} if population else {s: 0 for s in counts}
-        first = best_fit(some, {}, capacity)
-        population.append(best_fit({s: c - some[s] for s, c in counts.items()}, first, capacity))
-        if len(population) == 1 and cost(population[0], capacity)[0] <= least:
-            return population
+        rest = {s: c - some[s] for s, c in counts.items()}
+        population.append(replaced(rest, best_fit(some, {}, capacity), capacity) if population else best_fit(rest, {}, capacity))
+        if cost(population[-1], capacity)[0] <= least:
+            return sorted(population, key=lambda p: cost(p, capacity))
     population.sort(key=lambda p: cost(p, capacity))
     for _ in range(generations):
         if cost(population[0], capacity)[0] <= least:
             break
-        a, b = rnd.sample(population[: max(2, POPULATION // 2)], 2)
-        population[-1] = crossover(a, b, counts, capacity, rnd)
-        population.sort(key=lambda p: cost(p, capacity))
+        a, b = (min(rnd.sample(range(len(population)), 2)) for _ in range(2))
+        child = crossover(population[a], population[b], counts, capacity, rnd)
+        if cost(child, capacity) < cost(population[-1], capacity) and child not in population:
+            population[-1] = child
+            population.sort(key=lambda p: cost(p, capacity))
     return population
 
 

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -80,3 +80,54 @@ def test_crossover_keeps_all_pieces():
             for s, k in bin_:
                 seen[s] += k * m
         assert dict(seen) == counts
+
+
+def triplets(n, capacity, seed):
+    """Lengths of which three at a time fill n sequences without a gap."""
+    rnd, out = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randint(int(0.38 * capacity), int(0.49 * capacity))
+        b = rnd.randint(capacity // 4 + 1, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    return Counter(out)
+
+
+def test_evolution_beats_its_seeds():
+    """Where best fit leaves gaps, crossover finds packings that no member of the first population has."""
+    for seed in range(3):
+        counts = triplets(40, 1024, seed)
+        seedling = packing.cost(packing.best_fit(dict(counts), {}, 1024), 1024)[0]
+        first = packing.cost(packing.evolve(dict(counts), 1024, seed, [], 0)[0], 1024)[0]
+        best = packing.evolve(dict(counts), 1024, seed, [], 120)[0]
+        assert sum(best.values()) <= 41 < first < seedling
+        got = Counter()
+        for b, m in best.items():
+            assert packing.filled(b) <= 1024
+            for s, k in b:
+                got[s] += k * m
+        assert got == counts
+
+
+def test_islands_beat_best_fit(spark):
+    rnd = random.Random(3)
+    counts = Counter(min(1024, int(rnd.lognormvariate(5.6, 0.9)) + 1) for _ in range(30000))
+    best = packing.plan(spark, dict(counts), 1024)
+    assert sum(best.values()) < packing.cost(packing.best_fit(dict(counts), {}, 1024), 1024)[0]
+    got = Counter()
+    for b, m in best.items():
+        assert packing.filled(b) <= 1024
+        for s, k in b:
+            got[s] += k * m
+    assert got == counts
+
+
+def test_fullest():
+    rnd = random.Random(4)
+    for _ in range(60):
+        counts = {rnd.randint(1, 30): rnd.randint(1, 3) for _ in range(5)}
+        room = rnd.randint(1, 60)
+        every = {0}
+        for s, c in counts.items():
+            every = {x + s * k for x in every for k in range(c + 1) if x + s * k <= room}
+        got = packing.fullest(counts, room)
+        assert sum(s * k for s, k in got) == max(every) and all(k <= counts[s] for s, k in got)
