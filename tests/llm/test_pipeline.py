@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of them on a small fixture."""
 
+import random
 import re
 
 import pytest
@@ -67,3 +68,36 @@ def test_near_copies_without_ids(spark):
     assert out.columns == docs.columns
     kept = [r.lang for r in out.collect()]
     assert sorted(set(kept) - {"q", "r"}) == sorted("yzvwut") and len(kept) == 7
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """run() itself over nulls, empty and long texts, ties, repeated rows and columns whose names the stages use too."""
+    words = [f"w{k}" for k in range(400)]
+    para = lambda a, n=40: " ".join(random.Random(a).choices(words, k=n))
+    toxic = [(1000 + i, para(i) + " you idiot idiot", "en", 9, "x") for i in range(40)]
+    clean = [(i, para(i), "en", i, "t") for i in range(40)]
+    odd = [
+        (100, None, None, 0, "a"), (101, "", "en", 0, "b"), (102, "  \n", "en", 0, "c"), (None, "", "de", 1, "d"),  # equal once blanks go
+        (110, para(50), "en", 1, "e"), (111, para(50), "en", 1, "e"), (111, para(50), "en", 1, "e"),  # copies, one of them repeated
+        (120, para(61, 80), "en", 1, "f"), (121, para(61, 80) + " more", "en", 1, "g"),  # near copies
+        (130, "before " + para(71, 12) + " after", "en", 1, "h"),  # holds a benchmark item
+        (None, para(81), "en", 1, "i"), (None, para(91), None, None, None), (140, "long words here " * 20000, "en", 1, "j"),
+    ]
+    schema = "doc_id long, text string, lang string, n long, tok string"
+    spark.createDataFrame(clean + toxic + odd, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 0) for r in clean] + [(r[0], 1) for r in toxic] + [(None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("1", para(71, 12)), (None, None), ("", "")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted({r.doc_id for r in rows if r.doc_id is not None})
+    assert not any(i >= 1000 for i in ids)  # toxic
+    assert [i for i in ids if i < 100] == list(range(40))  # clean ones stay
+    assert [i for i in ids if i >= 100] == [102, 110, 120, 140]
+    assert len([r for r in rows if r.doc_id is None]) == 2  # their texts are like no other
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 1024 for b in bins.values())
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
