@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
 ``documents``, but for the last, which returns packed pieces. Clean documents pass all filters.
+
+Cases, in every stage: a null text counts as empty; empty texts are clean, equal to each other, near copies of nothing, and
+one piece each; texts of any length are read whole; of tied or repeated rows one stays; rows without a doc_id are rows like any
+other and lose ties against those that have one; null lang or source change nothing; no documents give none; other
+columns, whatever their names, stay with their rows up to packing.
 """
 
 from __future__ import annotations
@@ -58,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage has stored for itself goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(spark, docs)
     return docs
 
 
