@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +93,42 @@ def first_of_equal(notes: DataFrame, order: str = "doc_id") -> DataFrame:
     neither a long nor a frequent text makes a hot task."""
     first = notes.where(strip(F.col("text")) != "").groupBy(F.sha2("text", 256).alias("_h")).agg(F.min(order).alias(order)).select(order)
     return notes.join(first, order, "left_semi")
+
+
+CELLS = "doc_id {0}, section {1}, table int, nrows int, ncols int, cell int, row int, col int, rowspan int, colspan int, text string"
+
+
+def tables(records: DataFrame) -> DataFrame:
+    """Cells of the tables in record atoms (doc_id, section, rec, tag, level, payload), nested ones too; ``table`` counts a
+    section's from 0. Sections are dealt whole and read in order, a batch at a time; one section is held at most."""
+    from ..sources.hangul import record_tables
+
+    schema = CELLS.format(*[records.schema[c].dataType.simpleString() for c in ("doc_id", "section")])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        kinds = None
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            made = [pa.array(c, t) for c, t in zip(columns, [*kinds, *[pa.int32()] * 8, pa.string()], strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(made, names=names)
+
+        def rows() -> Iterator[tuple]:
+            nonlocal kinds
+            for b in batches:
+                kinds = [b.schema.field(0).type, b.schema.field(1).type]
+                yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+        for (doc, section), found in groupby(rows(), key=lambda r: r[:2]):
+            for k, (_, t) in enumerate(record_tables([(r[3], r[4], bytes(r[5] or b"")) for r in found])):
+                out += [(doc, section, k, t["nrows"], t["ncols"], i, c["row"], c["col"], c["rowspan"], c["colspan"], c["text"]) for i, c in enumerate(t["cells"])]
+            if len(out) > 20_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    own = records.select("doc_id", "section", "rec", F.col("tag").cast("int").alias("tag"), F.col("level").cast("int").alias("level"), "payload")
+    return own.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "rec").mapInArrow(run, schema)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import documents
 from ..functions import a1_ref, clean, column_letters, comment_safe, control_strip, esc_html, esc_md, gfm_cell, looks_numeric, run_text, strip
-from ..operators import layout, quality, records, tables, triage
+from ..operators import layout, pages, quality, records, tables, triage
 from . import render
 
 QUERIES: dict = {}
@@ -488,4 +489,43 @@ def hf_dedupe(spark, sf_dir):
     return records.first_of_equal(text_of(spark, sf_dir)).select("doc_id")
 
 
+@query(f"""WITH {LINES}, c AS (SELECT k, ord - 1 AS cell, ord - 1 AS row, s % 3 AS col, 1 + p % 2 AS rowspan, 1 + p % 3 AS colspan, flag || p AS text FROM lines)
+SELECT k AS doc_id, CAST(cell AS INT) AS cell, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(rowspan AS INT) AS rowspan, CAST(colspan AS INT) AS colspan, text,
+  CAST(max(row + rowspan) OVER (PARTITION BY k) AS INT) AS nrows, CAST(max(col + colspan) OVER (PARTITION BY k) AS INT) AS ncols FROM c""")
+def record_tables(spark, sf_dir):
+    at = lines(spark, sf_dir)
+    p, s, ord_ = F.col("p"), F.col("s"), F.col("ord")
+    short = lambda n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("00"))
+    cell = F.unhex(F.concat(F.lit("0" * 12), short(s % 3), short(ord_ - 1), short(1 + p % 3), short(1 + p % 2)))
+    text = F.encode(F.concat("flag", p.cast("string")), "UTF-16LE")
+    record = lambda n, tag, level, payload: F.struct(n.cast("int").alias("rec"), F.lit(tag).alias("tag"), F.lit(level).alias("level"), payload.alias("payload"))
+    cells = at.select("k", F.explode(F.array(record(3 * ord_, 72, 2, cell), record(3 * ord_ + 1, 66, 3, F.unhex(F.lit("00" * 4))), record(3 * ord_ + 2, 67, 4, text))).alias("r"))
+    heads = at.select("k").distinct().select("k", record(F.lit(0), 77, 2, F.unhex(F.lit("00" * 8))).alias("r"))
+    found = records.tables(heads.unionByName(cells).select(F.col("k").alias("doc_id"), F.lit("Section0").alias("section"), "r.*"))
+    return found.select("doc_id", "cell", "row", "col", "rowspan", "colspan", "text", "nrows", "ncols")
+
+
+@query(f"""WITH {LINES} SELECT a.k AS doc_id, CAST(a.ord - 1 AS INT) AS row, CAST(j AS INT) AS col, CAST(50 * j AS DOUBLE) AS x0, CAST(20 * a.ord AS DOUBLE) AS y0, CAST(50 * j + 50 AS DOUBLE) AS x1, CAST(20 * a.ord + 20 AS DOUBLE) AS y1
+FROM lines a JOIN lines b ON a.k = b.k AND b.ord = a.ord + 1, (VALUES (0), (1)) t(j) WHERE j = 0 OR a.p % 5 <> 0 AND b.p % 5 <> 0""")
+def ruled_cells(spark, sf_dir):
+    at = lines(spark, sf_dir)
+    y = (20 * F.col("ord")).cast("double")
+    across = at.select(F.col("k").alias("doc_id"), F.lit(0.0).alias("x0"), F.when(F.col("p") % 5 == 0, 50.0).otherwise(100.0).alias("x1"), y.alias("y0"), y.alias("y1"))
+    down = at.groupBy("k").agg(F.max(y).alias("y1")).select(F.col("k").alias("doc_id"), F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(100.0))).alias("x0"), "y1").select("doc_id", "x0", F.col("x0").alias("x1"), F.lit(20.0).alias("y0"), "y1")
+    found = pages.ruled_cells(across.unionByName(down).withColumns({"page": F.lit(1), "kind": F.lit("l")}))
+    return found.select("doc_id", "row", "col", "x0", "y0", "x1", "y1")
+
+
+TRIMMED = rf"regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN '### ' || t WHEN 1 THEN t WHEN 2 THEN '- ' || t WHEN 3 THEN '> 📦 **[text box]** ' || t ELSE '<!-- header --> ' || t END) AS h
+FROM (SELECT doc_id, {ESC.format(c=TRIMMED)} AS t FROM documents)""")
+def element_markdown(spark, sf_dir):
+    kinds = ("heading", "paragraph", "list_item", "textbox", "note")
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 5).cast("int"))
+    rows = documents.shaped(text_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("docx").alias("format"), kind.alias("type"), "text", F.lit(3).alias("level"), F.lit("header").alias("note")))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(documents.element_markdown()).alias("h"))
+
+
 __all__ = ["QUERIES", "SQL", "column_letters"]
