@@ -73,8 +73,11 @@ def parse(kind: str, a: argparse.Namespace) -> int:
     bad = found.where("error is not null").select("doc_id", "error").collect()
     for r in bad:
         print(f"error: {r.doc_id}: {r.error}", file=sys.stderr)
-    for made in documents.save(found.where("error is null"), a.out):
+    for made in documents.save(found.where("error is null"), a.out, "assets" if kind == "pdf" else None):
         print(*made, sep="\n")
+    if kind == "pdf":
+        for path in a.files:
+            _save_images(path, os.path.join(a.out, "assets"))
     if kind == "pdf" and a.render:
         _render(found, a)
     if a.crosscheck:
@@ -84,6 +87,30 @@ def parse(kind: str, a: argparse.Namespace) -> int:
     return 2 if bad else 0
 
 
+def _save_images(path: str, folder: str) -> None:
+    """The images that a page's elements name, as files."""
+    from .operators.pages import IMAGE_SHARE
+    from .sources import pdf
+
+    try:
+        data = _read(path)
+        whole = {page: width * height for page, width, height in pdf.pdf_pages(data)}
+        found: dict[tuple, list] = {}
+        for page, _, xref, x0, y0, x1, y1, _, _, png in pdf.pdf_images(data):
+            own = found.setdefault((page, xref), [0.0, png])
+            own[0] = max(own[0], abs((x1 - x0) * (y1 - y0)))
+    except pdf.PdfError:
+        return  # reported with the file's elements
+    count: dict[int, int] = {}
+    for (page, _), (area, png) in found.items():
+        if area >= IMAGE_SHARE * whole[page]:
+            nth = count[page] = count.get(page, -1) + 1
+            if png:
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"p{page}_img{nth}.png"), "wb") as f:
+                    f.write(png)
+
+
 def _render(found, a: argparse.Namespace) -> None:
     """PNG files of the pages that need vision, where a renderer is plugged in; a failure is a warning."""
     from .documents import units

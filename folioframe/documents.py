@@ -302,10 +302,11 @@ def to_json(elements: DataFrame) -> DataFrame:
     return heads.unionByName(body).groupBy("doc_id", "format").applyInPandas(one, "doc_id string, json string")
 
 
-def save(elements: DataFrame, folder: str) -> Iterator[tuple[str, str]]:
-    """Write <stem>.md and <stem>.json of every document into a folder of the driver's, one after the other."""
+def save(elements: DataFrame, folder: str, assets: str | None = None) -> Iterator[tuple[str, str]]:
+    """Write <stem>.md and <stem>.json of every document into a folder of the driver's, one after the other; ``assets``
+    is the folder that images are linked from."""
     os.makedirs(folder, exist_ok=True)
-    both = to_markdown(elements).join(to_json(elements), "doc_id")
+    both = to_markdown(elements, assets).join(to_json(elements), "doc_id")
     for r in both.toLocalIterator():
         stem = os.path.join(folder, os.path.splitext(os.path.basename(r.doc_id))[0])
         for end, body in ((".md", r.markdown), (".json", r.json)):

@@ -6,6 +6,7 @@ gives one row with ``error`` set and never fails the task; ``strict`` raises ins
 
 from __future__ import annotations
 
+import datetime
 import io
 import posixpath
 import re
@@ -134,6 +135,57 @@ def _a1(ref: str) -> tuple[int, int]:
     return int(row), col
 
 
+_PLACE = re.compile(r"(?<![A-Za-z0-9_.$!'])(\$?)([A-Z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(.])|((?:'(?:[^']|'')+'|[A-Za-z_][\w.]*)!)(\$?)([A-Z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(.])")
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def moved(formula: str, rows: int, cols: int) -> str:
+    """A formula as it reads some rows and columns further on: places without a dollar move, texts in quotes don't."""
+
+    def place(m: re.Match) -> str:
+        sheet, k = (m[5], 6) if m[5] else ("", 1)
+        fixed_col, col, fixed_row, row = m[k], m[k + 1], m[k + 2], int(m[k + 3])
+        if not fixed_col:
+            _, number = _a1(f"{col}1")
+            col = _letters(number + cols)
+        return f"{sheet}{fixed_col}{col}{fixed_row}{row if fixed_row else row + rows}"
+
+    return "".join(x if x.startswith('"') else _PLACE.sub(place, x) for x in re.split(r'("(?:[^"]|"")*")', formula))
+
+
+#: Numbers of the built-in formats that show dates or times.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell styles whose number format shows a date or a time."""
+    try:
+        root = ET.fromstring(z.read("xl/styles.xml"))
+    except KeyError:
+        return set()
+    own = {int(attr(f, "numFmtId")): attr(f, "formatCode") or "" for f in root.iter() if local(f.tag) == "numFmt"}
+    shows = lambda code: re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]|General', "", code), re.I) is not None
+    dates = DATE_FORMATS | {k for k, code in own.items() if shows(code)}
+    dates -= {k for k, code in own.items() if not shows(code)}
+    formats = child(root, "cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else ()) if int(attr(x, "numFmtId") or 0) in dates}
+
+
+def _date(serial: float, from_1904: bool) -> str:
+    """A serial number as its date, or its time where it is less than a day; rounded to microseconds."""
+    if 0 <= serial < 1 and not from_1904:
+        return str((datetime.datetime(1900, 1, 1) + datetime.timedelta(days=serial)).time())
+    start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 31) if serial < 60 else datetime.datetime(1899, 12, 30)
+    return str(start + datetime.timedelta(microseconds=round(serial * 86_400_000_000)))
+
+
 def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[int, str, ET.Element]]:
     targets = {attr(r, "Id"): attr(r, "Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for k, s in enumerate(child(ET.fromstring(z.read("xl/workbook.xml")), "sheets")):
@@ -142,12 +194,15 @@ def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[int, str, ET.Element]]:
 
 
 def xlsx_cells(data: bytes) -> Iterator[tuple]:
-    """(sheet, sheet_no, row, col, kind, text, formula): kind n, s, b, e, or f for a formula without a stored value."""
+    """(sheet, sheet_no, row, col, kind, text, formula): kind n, d (a date), s, b, e, or f for a formula without a stored value."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        dates = _date_styles(z)
+        old = any(local(x.tag) == "workbookPr" and attr(x, "date1904") in ("1", "true") for x in ET.fromstring(z.read("xl/workbook.xml")))
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
         for no, name, root in _sheets(z):
+            masters: dict[str, tuple[int, int, str]] = {}
             for c in (x for x in root.iter() if local(x.tag) == "c"):
                 row, col = _a1(attr(c, "r"))
                 v, f, kind = child(c, "v"), child(c, "f"), attr(c, "t") or "n"
@@ -158,9 +213,19 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
                     raw = shared[int(raw)] if raw is not None else None
                 elif kind == "b":
                     raw = str(raw == "1")
+                elif kind == "n" and raw is not None and int(attr(c, "s") or 0) in dates:
+                    kind, raw = "d", _date(float(raw), old)
+                elif kind == "d" and raw is not None:
+                    raw = raw.replace("T", " ").removesuffix("Z")
                 elif kind == "n" and raw is not None:
                     raw = _number(raw)
                 formula = "=" + (f.text or "") if f is not None else None
+                if f is not None and attr(f, "t") == "shared":
+                    if f.text:
+                        masters[attr(f, "si")] = (row, col, f.text)
+                    elif attr(f, "si") in masters:
+                        r0, c0, body = masters[attr(f, "si")]
+                        formula = "=" + moved(body, row - r0, col - c0)
                 if raw is None and formula is None:
                     continue
                 yield name, no, row, col, "f" if raw is None else "s" if kind == "str" else kind, " ".join((formula if raw is None else raw).split()), formula

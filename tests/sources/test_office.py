@@ -71,3 +71,18 @@ def test_hwpx_and_files(spark, tmp_path):
     assert office.is_hwpx(data) and not office.is_hwpx(b"PK") and not office.is_hwpx(zipped({"a": "b"}))
     with pytest.raises(Exception, match="BadZipFile"):
         office.decode(files(spark, a=b"x"), "docx_cells", strict=True).agg(F.count(F.lit(1))).collect()
+
+
+def test_dates_and_shared_formulas():
+    cells = '<c r="A1" s="1"><v>45292</v></c><c r="B1" s="2"><v>45292.75</v></c><c r="C1" s="1"><v>0.5</v></c><c r="D1" s="0"><v>45292</v></c><c r="E1" s="3"><v>7</v></c>'
+    rows = "".join(f'<c r="F{r}"><f t="shared" si="0"{" ref=%sF1:F3%s" % (chr(34), chr(34)) if r == 1 else ""}>{"A1*$B$2+D$3&amp;&quot;A1&quot;+LOG10(C1)" if r == 1 else ""}</f><v>{r}</v></c>' for r in (1, 2, 3))
+    data = zipped({
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f"<worksheet><sheetData><row>{cells}{rows}</row></sheetData></worksheet>",
+    })
+    got = {(r, c): (kind, text, formula) for _, _, r, c, kind, text, formula in office.xlsx_cells(data)}
+    assert [got[1, c][:2] for c in range(1, 6)] == [("d", "2024-01-01 00:00:00"), ("d", "2024-01-01 18:00:00"), ("d", "12:00:00"), ("n", "45292"), ("n", "7")]
+    assert [got[r, 6][2] for r in (1, 2, 3)] == [f'=A{r}*$B$2+D$3&"A1"+LOG10(C{r})' for r in (1, 2, 3)]
+    assert office.moved("'My sheet'!A1+Other!$A1:B$2", 1, 26) == "'My sheet'!AA2+Other!$A2:AB$2"

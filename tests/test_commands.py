@@ -51,6 +51,9 @@ def test_form_filling(folder):
 def test_parse_commands(spark, folder, capsys):
     assert main(["docx-parse", str(folder / "c.docx"), str(folder / "bad.docx"), "-o", str(folder / "out")]) == 2
     assert (folder / "out/c.md").read_text(encoding="utf-8").startswith("<!-- parsed from c.docx -->") and "bad.docx: BadZipFile" in capsys.readouterr().err
+    assert main(["pdf-parse", str(folder / "d.pdf"), "-o", str(folder / "out"), "--render", "--pages", "2"]) == 0
+    assert "](assets/p2_img0.png)" in (folder / "out/d.md").read_text(encoding="utf-8") and (folder / "out/assets/p2_img0.png").read_bytes().startswith(b"\x89PNG")
+    assert "no page renderer is plugged in" in capsys.readouterr().err
     assert main(["pdf-triage", str(folder / "d.pdf")]) == 0
     assert "routes: scanned=1, table=1" in capsys.readouterr().out
     assert page_list("1,3-5,3") == [1, 3, 4, 5]
