@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Every character that counts as white space in Unicode-aware matching.
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -91,11 +95,19 @@ def visible(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x0a\x0d]", "¶")
 
 
-def run_text(c: Column) -> Column:
-    """Markup of a text run as text: line breaks, tabs, other tags dropped, entities resolved."""
+@F.pandas_udf(StringType())
+def _unescaped(c: pd.Series) -> pd.Series:
+    return c.map(html.unescape, na_action="ignore")
+
+
+def run_text(c: Column, every_entity: bool = False) -> Column:
+    """Markup of a text run as text: line breaks, tabs, other tags dropped, entities resolved. XML has five named entities;
+    ``every_entity`` knows those of HTML and numbers too, in Python."""
     c = F.regexp_replace(c, r"<(?:\w+:)?lineBreak\s*/?>", "\n")
     c = F.regexp_replace(c, r"<(?:\w+:)?tab\b[^>]*/?>", "\t")
     c = F.regexp_replace(c, r"<[^>]+>", "")
+    if every_entity:
+        return _unescaped(c)
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
