@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+        folder = tempfile.mkdtemp(prefix="folioframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own = "file://" + folder
     return _own
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from folioframe.llm.jaccard_join import jaccard_classes
+from folioframe.llm.jaccard_join import jaccard_classes, op7_ngram_jaccard_join
 
 
 def brute(rows):
@@ -56,6 +56,33 @@ def test_all_pairs(spark):
         assert sorted(map(tuple, jaccard_classes(docs).collect())) == brute(rows)
 
 
+def test_query(spark):
+    """The registered query over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(map(tuple, op7_ngram_jaccard_join(spark, sf).collect())) == brute(rows)
+
+
+def test_unlike_families(spark):
+    """Families of near copies that share most shingles with each other, but for some pairs not enough to link: groups meet
+    in the token-group matrix, and only members that can link are compared."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**5)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for family in range(6):
+        own = list(base)
+        at = rnd.randrange(70)
+        own[at : at + 14 + 4 * family] = [word() for _ in range(14 + 4 * family)]
+        for _ in range(12):
+            w = list(own)
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(len(w))] = word()
+            rows.append((len(rows) * 37 % 101, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard_classes(docs).collect())) == brute(rows)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "one two three four five six"), (4, "one two three four five six")], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(docs).collect()}

@@ -71,6 +71,13 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in decontaminate(d, b, 5).where("doc_id is not null").collect()) == kept
 
 
+def test_decontamination_query(spark):
+    """The registered query with its own window over whole tables."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert sorted(map(tuple, D.op8_decontamination(spark, sf).collect()), key=str) == brute(docs, items, 10)
+
+
 def test_longest_matches(spark):
     d = spark.createDataFrame([(1, "a b c a b")], "doc_id long, text string")
     b = spark.createDataFrame([(5, "a b c z b c a z c a b")], "item_id long, text string")
