@@ -73,13 +73,12 @@ def parse(kind: str, a: argparse.Namespace) -> int:
     bad = found.where("error is not null").select("doc_id", "error").collect()
     for r in bad:
         print(f"error: {r.doc_id}: {r.error}", file=sys.stderr)
-    for made in documents.save(found.where("error is null"), a.out, "assets" if kind == "pdf" else None):
+    rendered = kind == "pdf" and a.render and _render(found, a)
+    for made in documents.save(found.where("error is null"), a.out, "assets" if kind == "pdf" else None, "render" if rendered else None):
         print(*made, sep="\n")
     if kind == "pdf":
         for path in a.files:
             _save_images(path, os.path.join(a.out, "assets"))
-    if kind == "pdf" and a.render:
-        _render(found, a)
     if a.crosscheck:
         for p in a.files:
             if (text := documents.crosscheck(p)) is not None:
@@ -111,18 +110,22 @@ def _save_images(path: str, folder: str) -> None:
                     f.write(png)
 
 
-def _render(found, a: argparse.Namespace) -> None:
-    """PNG files of the pages that need vision, where a renderer is plugged in; a failure is a warning."""
+def _render(found, a: argparse.Namespace) -> bool:
+    """PNG files of the pages that need vision, where a renderer is plugged in; a failure is a warning. Whether all are there."""
     from .documents import units
     from .sources import pdf
 
+    whole, folder = True, os.path.join(a.out, "render")
     for r in units(found).where("needs_vision").select("doc_id", "unit_no").toLocalIterator():
         try:
             png = pdf.render(_read(r.doc_id.removeprefix("file:")), r.unit_no, a.dpi)
-            with open(os.path.join(a.out, f"page_{r.unit_no:03d}.png"), "wb") as f:
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, f"page_{r.unit_no:03d}.png"), "wb") as f:
                 f.write(png)
         except pdf.PdfError as e:
+            whole = False
             print(f"warning: page {r.unit_no} not rendered: {e}", file=sys.stderr)
+    return whole
 
 
 def triage(a: argparse.Namespace) -> int:

@@ -201,8 +201,8 @@ def element_markdown(assets: str | None = None, nested: bool = False) -> Column:
     return F.when(fmt == "pdf", pdf).otherwise(other)
 
 
-def _unit_head() -> Column:
-    """Title line and notice of a unit."""
+def _unit_head(renders: str | None = None) -> Column:
+    """Title line and notice of a unit; ``renders``: where pages that need vision are shown as images."""
     fmt, no = F.col("format"), F.col("unit_no").cast("string")
     low = F.col("confidence") < quality.VERIFY
     flags = F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("none")
@@ -214,11 +214,15 @@ def _unit_head() -> Column:
         .when(fmt == "pdf", F.concat(F.lit("<!-- page "), no, F.lit(" · route="), F.try_element_at("props", F.lit("route")), F.lit(" -->")))
         .when(fmt.isin("hwp", "hwpx"), F.concat(F.lit("<!-- section "), comment_safe(F.coalesce("title", F.lit(""))), F.lit(" -->")))
     )
+    ask: Column = F.lit("). Render with pdf_parse.py --render and replace this block with the transcription.")
+    if renders:
+        image = F.concat(F.lit(f"]({renders.rstrip('/')}/page_"), F.lpad(no, 3, "0"), F.lit(".png)"))
+        ask = F.concat(F.lit("). Read the rendered image below and replace this block with the transcription.\n\n![page "), no, F.lit(" (rendered for vision)"), image)
     notice = (
         F.when((fmt == "xlsx") & low, F.concat(F.lit("> 🔎 Sheet '"), name, F.lit("' low parse confidence "), told))
         .when((fmt == "pptx") & low, F.concat(F.lit("> 🔎 Slide "), no, F.lit(" low parse confidence "), told))
         .when((fmt == "docx") & low, F.concat(F.lit("> 🔎 Low parse confidence "), told))
-        .when((fmt == "pdf") & F.col("needs_vision"), F.concat(F.lit("> ⚠️ Page "), no, F.lit(" needs vision transcription ("), F.try_element_at("props", F.lit("reason")), F.lit("). Render with pdf_parse.py --render and replace this block with the transcription.")))
+        .when((fmt == "pdf") & F.col("needs_vision"), F.concat(F.lit("> ⚠️ Page "), no, F.lit(" needs vision transcription ("), F.try_element_at("props", F.lit("reason")), ask))
     )
     # Units but the first are set apart by an empty piece.
     return F.concat_ws("\n\n", F.when((F.col("unit_no") > 1) & head.isNotNull(), ""), head, notice)
@@ -229,10 +233,19 @@ def covers_page(bbox: Column, area: Column, share: float = 0.9) -> Column:
     return F.coalesce(F.abs((bbox["x1"] - bbox["x0"]) * (bbox["y1"] - bbox["y0"])) >= share * area, F.lit(False)) & (area > 0)
 
 
-def to_markdown(elements: DataFrame, assets: str | None = None, nested: bool = True) -> DataFrame:
-    """(doc_id, markdown) of every document. ``nested``: whether tables in cells may occur; without them no Python runs."""
+def _once(elements: DataFrame) -> DataFrame:
+    """Without images that cover a page which is shown as a whole anyway."""
+    size = lambda k: F.try_element_at("props", F.lit(k)).cast("double")
+    shown = elements.where("type = 'unit'").where(F.try_element_at("props", F.lit("needs_vision")) == "true").select("doc_id", "unit_no", (size("width") * size("height")).alias("_area"))
+    return elements.join(shown, ["doc_id", "unit_no"], "left").where(~((F.col("type") == "image") & covers_page(F.col("bbox"), F.coalesce("_area", F.lit(0.0))))).drop("_area")
+
+
+def to_markdown(elements: DataFrame, assets: str | None = None, nested: bool = True, renders: str | None = None) -> DataFrame:
+    """(doc_id, markdown) of every document. ``nested``: whether tables in cells may occur; without them no Python runs.
+    ``assets`` and ``renders`` are the folders that images of pages and rendered pages are linked from."""
     source = F.regexp_extract("doc_id", r"([^/]*)$", 1)
-    heads = units(elements).select("doc_id", "unit_no", F.lit(0).alias("n"), F.lit(0).alias("elem_no"), _unit_head().alias("piece"))
+    elements = _once(elements) if renders else elements
+    heads = units(elements).select("doc_id", "unit_no", F.lit(0).alias("n"), F.lit(0).alias("elem_no"), _unit_head(renders).alias("piece"))
     body = elements.where("type not in ('unit', 'error')").select("doc_id", "unit_no", F.lit(1).alias("n"), "elem_no", element_markdown(assets, nested).alias("piece"))
     pieces = heads.unionByName(body).where("piece <> ''")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "n", "elem_no", "piece"))), lambda x: x["piece"])
@@ -302,11 +315,11 @@ def to_json(elements: DataFrame) -> DataFrame:
     return heads.unionByName(body).groupBy("doc_id", "format").applyInPandas(one, "doc_id string, json string")
 
 
-def save(elements: DataFrame, folder: str, assets: str | None = None) -> Iterator[tuple[str, str]]:
-    """Write <stem>.md and <stem>.json of every document into a folder of the driver's, one after the other; ``assets``
-    is the folder that images are linked from."""
+def save(elements: DataFrame, folder: str, assets: str | None = None, renders: str | None = None) -> Iterator[tuple[str, str]]:
+    """Write <stem>.md and <stem>.json of every document into a folder of the driver's, one after the other; ``assets`` and
+    ``renders`` as in ``to_markdown``."""
     os.makedirs(folder, exist_ok=True)
-    both = to_markdown(elements, assets).join(to_json(elements), "doc_id")
+    both = to_markdown(elements, assets, renders=renders).join(to_json(elements), "doc_id")
     for r in both.toLocalIterator():
         stem = os.path.join(folder, os.path.splitext(os.path.basename(r.doc_id))[0])
         for end, body in ((".md", r.markdown), (".json", r.json)):

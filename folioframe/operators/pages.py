@@ -44,6 +44,14 @@ def ruled_cells(drawings: DataFrame) -> DataFrame:
     return cell.withColumn("grid", F.col("row") - F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("row")))
 
 
+def lattice_boxes(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boxes (doc_id, page, table, x0, y0, x1, y1) of tables whose cells are given from the bottom left of the media box,
+    from its top left instead."""
+    box = cells.groupBy(*KEYS, "table").agg(F.min("x0").alias("x0"), F.max("y1").alias("top"), F.max("x1").alias("x1"), F.min("y0").alias("bottom"))
+    flip = lambda c: F.round(F.col("height") - F.col(c), 1)
+    return box.join(pages.select(*KEYS, "height"), KEYS).select(*KEYS, "table", F.round("x0", 1).alias("x0"), flip("top").alias("y0"), F.round("x1", 1).alias("x1"), flip("bottom").alias("y1"))
+
+
 def ruled_tables(drawings: DataFrame, spans: DataFrame) -> DataFrame:
     """At most one table a page (doc_id, page, rows, x0, y0, x1, y1): of the grids with two rows, two columns and a row with
     two filled cells the one with most filled cells, the upper one of ties; without empty rows."""

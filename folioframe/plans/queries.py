@@ -516,6 +516,14 @@ def ruled_cells(spark, sf_dir):
     return found.select("doc_id", "row", "col", "x0", "y0", "x1", "y1")
 
 
+@query(f"""WITH {LINES}, c AS (SELECT k, s % 2 AS tb, p % 300 AS x0, p % 300 + 40 AS x1, s % 500 AS y0, s % 500 + 12 AS y1 FROM lines)
+SELECT k AS doc_id, tb AS "table", CAST(min(x0) AS DOUBLE) AS x0, CAST(792 - max(y1) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(792 - min(y0) AS DOUBLE) AS y1 FROM c GROUP BY k, tb""")
+def lattice_boxes(spark, sf_dir):
+    p, s = F.col("p"), F.col("s")
+    at = lines(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), (s % 2).alias("table"), *[x.cast("double").alias(n) for x, n in ((p % 300, "x0"), (p % 300 + 40, "x1"), (s % 500, "y0"), (s % 500 + 12, "y1"))])
+    return pages.lattice_boxes(at, at.select("doc_id", "page").distinct().withColumn("height", F.lit(792.0))).drop("page")
+
+
 TRIMMED = rf"regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')"
 
 

@@ -146,6 +146,8 @@ def test_pdf(spark, tmp_path):
     assert units[2].props["route"] == "scanned" and units[2].needs_vision
     md = documents.to_markdown(e, "assets").where("doc_id = 'd.pdf'").first().markdown
     assert "# Yearly \\*report\\*" in md and "| x | 260 |" in md and "![image](assets/p2_img0.png)" in md and "> ⚠️ Page 2 needs vision" in md
+    shown = documents.to_markdown(e, "assets", renders="render").where("doc_id = 'd.pdf'").first().markdown
+    assert "![page 2 (rendered for vision)](render/page_002.png)" in shown and "p2_img0" not in shown  # the page isn't shown twice
     assert documents.rollup(documents.units(e)).where("doc_id = 'd.pdf'").first().vision == [2]
     paths = dict(documents.save(e, str(tmp_path)))
     assert json.load(open(paths[str(tmp_path / "d.md")], encoding="utf-8"))["page_count"] == 2
