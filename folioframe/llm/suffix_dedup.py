@@ -49,6 +49,24 @@ def _leads(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, gram)[at].view(f"S{gram}").ravel() if len(at) else np.zeros(0, f"S{gram}")
 
 
+def _first(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at ``at`` as numbers that sort as they do."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), ">u8", padded.data, strides=(1,))[at].astype(U64)
+
+
+def _place(splitters: np.ndarray, data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """How many splitters are not greater than each suffix; whole grams are compared only where eight bytes don't tell."""
+    if not len(splitters) or not len(at):
+        return np.zeros(len(at), np.int64)
+    raw = np.frombuffer(b"".join(x.ljust(gram, b"\0") for x in splitters.tolist()), np.uint8)
+    heads, lead = _first(raw, np.arange(len(splitters)) * gram), _first(data, at)
+    out = np.searchsorted(heads, lead, "left")
+    tied = np.flatnonzero(out < np.searchsorted(heads, lead, "right"))
+    out[tied] = np.searchsorted(splitters, _leads(data, at[tied], gram), "right")
+    return out
+
+
 def _splitters(length: int, gram: int):
     def dealer(chunks: DataFrame, n_buckets: int):
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +80,7 @@ def _splitters(length: int, gram: int):
         sampled = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).mapInArrow(sample, "lead binary")
         leads = np.sort(np.array([bytes(r[0]) for r in sampled.collect()], f"S{gram}"))  # about SAMPLES for each bucket
         splitters = np.unique(leads[np.linspace(0, len(leads), n_buckets, endpoint=False, dtype=np.int64)[1:]]) if len(leads) else leads
-        return lambda texts: lambda runs, x: np.searchsorted(splitters, _leads(texts.data, runs.at[x], gram), "right")
+        return lambda texts: lambda runs, x: _place(splitters, texts.data, runs.at[x], gram)
 
     return dealer
 
