@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
 }
