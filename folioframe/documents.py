@@ -131,7 +131,7 @@ def _nested_html(table: pd.Series) -> pd.Series:
     return table.map(one)
 
 
-# Markdown
+# Markdown. Marks, comments and notices are output.
 
 
 def _pair(a: Column, sep: str, b: Column) -> Column:

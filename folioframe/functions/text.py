@@ -22,6 +22,9 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+", " "))
 
 
+# What is escaped, by what and in which order, is output.
+
+
 def esc_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))

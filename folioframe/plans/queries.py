@@ -50,6 +50,7 @@ def text_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Triage
 
+#: The reasons are output.
 PAGES = r"""pages_ AS (
   SELECT doc_id, source, length(regexp_replace(text, '^[\s\pZ\x0b\x1c-\x1f\x{85}]+|[\s\pZ\x0b\x1c-\x1f\x{85}]+$', '', 'g')) AS chars,
     CASE WHEN length(text) < 15 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS blocks,

@@ -19,6 +19,7 @@ from .office import attr, child, local
 Box = tuple[int, int, int, int]  # first row, first column, last row, last column; all inclusive
 _NUMBER = re.compile(r"[-+]?[\d,]*\.?\d+%?")
 _REF = re.compile(r"(?:'((?:[^']|'')+)'|([^'!]+))!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?")
+#: Notes of tables are output.
 NO_CACHE = "contains-formula(no cached values — formulas shown literally; recalc in Excel/LibreOffice)"
 CACHED = "contains-formula(cached values shown)"
 
