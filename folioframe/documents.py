@@ -214,7 +214,7 @@ def _unit_head(renders: str | None = None) -> Column:
         .when(fmt == "pdf", F.concat(F.lit("<!-- page "), no, F.lit(" · route="), F.try_element_at("props", F.lit("route")), F.lit(" -->")))
         .when(fmt.isin("hwp", "hwpx"), F.concat(F.lit("<!-- section "), comment_safe(F.coalesce("title", F.lit(""))), F.lit(" -->")))
     )
-    ask: Column = F.lit("). Render with pdf_parse.py --render and replace this block with the transcription.")
+    ask: Column = F.lit("). Render with pdf-parse --render and replace this block with the transcription.")
     if renders:
         image = F.concat(F.lit(f"]({renders.rstrip('/')}/page_"), F.lpad(no, 3, "0"), F.lit(".png)"))
         ask = F.concat(F.lit("). Read the rendered image below and replace this block with the transcription.\n\n![page "), no, F.lit(" (rendered for vision)"), image)
