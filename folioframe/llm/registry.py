@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, license_scan, packing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, license_scan, packing, phrases, pii, quality, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_quality": quality.op11_quality,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_url_filter": url_filter.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
