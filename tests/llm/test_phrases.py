@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from folioframe.llm import _chunks, phrases
+from folioframe.llm import phrases
 
 
 def brute(docs, top=2000):
@@ -33,16 +33,15 @@ def answer(df):
     return sorted(map(tuple, df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
 
 
-def test_brute_force(spark, monkeypatch):
-    """Many shards, and few words, so that parts, covers and ties occur."""
-    monkeypatch.setattr(_chunks, "CHUNK_BYTES", 600)
+def test_brute_force(spark):
+    """Nine shards, and few words, so that parts, covers and ties occur."""
     for seed in range(2):
         rnd = random.Random(seed)
         v = ["ab", "Éc", "x9", "über", "AB", "zz", "q-q", " "] + [f"w{k}" for k in range(30)]
         text = lambda n: "".join(rnd.choice(v[: rnd.choice([8, 38])]) + rnd.choice([" ", " ", " ", "\t ", ", ", ".\n", "\r", "!"]) for _ in range(n))
-        docs = [(text(rnd.randint(0, 60)), rnd.choice(["en", "de", None, "und", "l\nx", ""])) for _ in range(220)]
+        docs = [(text(rnd.randint(0, 60)), rnd.choice(["en", "de", None, "und", "l\nx", ""])) for _ in range(900)]
         docs += [(None, "en"), ("", None), ("ab", "once"), ("ab ab " * 3000, "en"), (" . ", "dots")] + [("New York City stands", "en")] * 12 + [("new york", "en")] * 5
-        d = spark.createDataFrame(docs, "text string, lang string").selectExpr("*", "text as phrase", "1 as a", "cast(null as long) as doc_id", "2 as n").repartition(5)
+        d = spark.createDataFrame(docs, "text string, lang string").selectExpr("*", "text as phrase", "1 as a", "cast(null as long) as doc_id", "2 as n").repartition(9)
         want = brute(docs)
         assert answer(phrases.collocations(d)) == want and len(want) > 100
         assert answer(phrases.collocations(d, 3)) == brute(docs, 3)
