@@ -13,9 +13,12 @@ Errors in a file end a command with 2, no tables with 1.
 from __future__ import annotations
 
 import argparse
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 
 from .sources import hangul, hangul_tables
 
@@ -61,13 +64,20 @@ def _files(spark, paths: list[str]):
     return spark.read.format("binaryFile").load([os.path.abspath(p) for p in paths]).select(F.col("path"), "content")
 
 
+def scratch() -> str:
+    """A folder of this process, which runs Spark in itself, for atoms; it goes at exit."""
+    folder = tempfile.mkdtemp(prefix="folioframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def parse(kind: str, a: argparse.Namespace) -> int:
     from . import documents
     from .sources.documents import elements
 
     spark = _spark()
     files = _files(spark, a.files)
-    found = (documents.from_pdf(files) if kind == "pdf" else elements(files)).cache()
+    found = (documents.from_pdf(files) if kind == "pdf" else elements(files, store=scratch())).cache()
     if kind == "pdf" and a.pages:
         found = found.where(found.unit_no.isin(page_list(a.pages)) | found.error.isNotNull())
     bad = found.where("error is not null").select("doc_id", "error").collect()

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from .functions import comment_safe, esc_html, esc_inline, esc_md, gfm_cell, strip
 from .operators import pages as page_operators
 from .operators import quality
-from .schema import ELEMENTS
+from .schema import shaped
 
 RULES = {"xlsx": quality.SHEET, "docx": quality.DOCX, "pptx": quality.SLIDE}
 
@@ -30,14 +30,6 @@ def from_pdf(files: DataFrame, strict: bool = False) -> DataFrame:
     return shaped(found.unionByName(bad, allowMissingColumns=True))
 
 
-def shaped(elements: DataFrame) -> DataFrame:
-    """All columns of ``schema.ELEMENTS``; those that are not there are null."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    have = set(elements.columns)
-    return elements.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(ELEMENTS)])
-
-
 def units(elements: DataFrame) -> DataFrame:
     """(doc_id, format, unit_no, title, flags, confidence, needs_vision, elements) of every unit, by the quality model."""
     flags, caps = {}, {}

@@ -2,81 +2,61 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import a1_ref, looks_numeric, strip
 
 
-def _islands(cells: DataFrame, axis: str) -> DataFrame:
-    """Splits each block where a row (or column) is empty, all at once; the new block number joins ``path``."""
-    w = Window.partitionBy("sheet", "path").orderBy(axis)
-    part = cells.withColumn("_d", F.col(axis) - F.dense_rank().over(w))
-    return part.withColumn("path", F.concat_ws(".", "path", F.col("_d").cast("string"))).drop("_d")
-
-
 def region_of(cells: DataFrame) -> DataFrame:
     """Rows (sheet, region, min_row, min_col, max_row, max_col) of populated cells, cut until no region has an empty row or
-    column; ``region`` counts a sheet's in reading order, from 0. One sheet, which is part of one file, is one group."""
-    from ..sources.sheets import region_boxes
-
-    schema = f"sheet {cells.schema['sheet'].dataType.simpleString()}, region int, min_row int, min_col int, max_row int, max_col int"
-
-    def cut(t: pa.Table) -> pa.Table:
-        boxes = region_boxes(list(set(zip(t.column("row").to_pylist(), t.column("col").to_pylist(), strict=True))))
-        sheet = t.column("sheet").combine_chunks().take(pa.array([0] * len(boxes), pa.int64()))
-        columns = [pa.array(x, pa.int32()) for x in zip(*boxes, strict=True)] if boxes else [pa.array([], pa.int32())] * 4
-        return pa.Table.from_arrays([sheet, pa.array(range(len(boxes)), pa.int32()), *columns], names=["sheet", "region", "min_row", "min_col", "max_row", "max_col"])
-
-    return cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).groupBy("sheet").applyInArrow(cut, schema)
+    column; ``region`` counts a sheet's in reading order, from 0."""
+    from . import sheets
 
+    return sheets.numbered(sheets.boxes(sheets.in_regions(cells, ("sheet",)), ("sheet",)), ("sheet",)).drop("cells", "path")
 
-def within(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each cell with the region that it lies in."""
-    inside = (F.col("row") >= F.col("min_row")) & (F.col("row") <= F.col("max_row")) & (F.col("col") >= F.col("min_col")) & (F.col("col") <= F.col("max_col"))
-    return cells.join(boxes, "sheet").where(inside)
 
+def regions(cells: DataFrame) -> DataFrame:
+    """Rectangles (sheet, min_row, min_col, max_row, max_col, ref, cells) that empty rows and columns separate."""
+    from . import sheets
 
-def regions(cells: DataFrame, rounds: tuple[str, ...] | None = None) -> DataFrame:
-    """Rectangles (sheet, min_row, min_col, max_row, max_col, ref, cells) that empty rows and columns separate, cut until
-    no region has an empty row or column; or after the given rounds only."""
-    corners = ["min_row", "min_col", "max_row", "max_col"]
-    if rounds is None:
-        box = within(cells, region_of(cells)).groupBy("sheet", "region", *corners).agg(F.count(F.lit(1)).alias("cells")).drop("region")
-    else:
-        cells = cells.withColumn("path", F.lit(""))
-        for axis in rounds:
-            cells = _islands(cells, axis)
-        box = cells.groupBy("sheet", "path").agg(*[f(c).alias(n) for (f, c), n in zip(((F.min, "row"), (F.min, "col"), (F.max, "row"), (F.max, "col")), corners, strict=True)], F.count(F.lit(1)).alias("cells")).drop("path")
+    box = sheets.boxes(sheets.in_regions(cells, ("sheet",)), ("sheet",)).drop("path")
     return box.withColumn("ref", a1_ref(F.col("min_row"), F.col("min_col"), F.col("max_row"), F.col("max_col")))
 
 
 def region_merges(merges: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Merged ranges (sheet, r0, c0, r1, c1) with each region that holds them as a whole, from 0 within it."""
-    whole = (F.col("r0") >= F.col("min_row")) & (F.col("r1") <= F.col("max_row")) & (F.col("c0") >= F.col("min_col")) & (F.col("c1") <= F.col("max_col"))
+    """Merged ranges (sheet, r0, c0, r1, c1) with the region that holds them as a whole, from 0 within it."""
+    from . import sheets
+
     size = [(F.col("r0") - F.col("min_row")).alias("row"), (F.col("c0") - F.col("min_col")).alias("col"), (F.col("r1") - F.col("r0") + 1).alias("rowspan"), (F.col("c1") - F.col("c0") + 1).alias("colspan")]
-    return merges.join(boxes, "sheet").where(whole).select("sheet", "min_row", "min_col", "max_row", "max_col", *size)
+    return sheets.merges_within(merges, boxes, ("sheet",)).select("sheet", "min_row", "min_col", "max_row", "max_col", *size)
 
 
-def header_rows(cells: DataFrame, depth: int = 5) -> DataFrame:
-    """The header row of each region (region, row, col, text; all of a region's rows from ``first`` to ``last``), and
-    whether it is sure: labels over numbers within the first rows, or a full first row over a column of labels.
-
-    One row for each row of cells, then windows over the region; after the first exchange nothing moves."""
-    num, filled = looks_numeric(F.col("text")), strip(F.col("text")) != ""
-    sums = [F.sum(c.cast("int")).alias(n) for c, n in ((filled, "n"), (filled & ~num, "labels"), (filled & num, "numbers"))]
-    row = cells.groupBy("region", "row").agg(*sums, F.min("col").alias("a"), F.max("col").alias("b"), F.min_by(F.struct(filled.alias("is"), num.alias("num")), "col").alias("first"))
-    region, order = Window.partitionBy("region"), Window.partitionBy("region").orderBy("row")
-    row = row.withColumns({"r0": F.min("row").over(region), "r1": F.max("row").over(region), "c0": F.min("a").over(region), "c1": F.max("b").over(region)})
+def row_facts(filled: Column, number: Column) -> list[Column]:
+    """What a row of cells tells about headers: filled cells, labels and numbers among them, its first and last column."""
+    sums = [F.sum(c.cast("int")).alias(n) for c, n in ((filled, "n"), (filled & ~number, "labels"), (filled & number, "numbers"))]
+    return [*sums, F.min("col").alias("a"), F.max("col").alias("b"), F.min_by(F.struct(filled.alias("is"), number.alias("num")), "col").alias("first")]
+
+
+def with_header(rows: DataFrame, by: list[str], depth: int = 5) -> DataFrame:
+    """Adds to the rows of each region (``row_facts``) its header row, and whether it is sure: labels over numbers within the
+    first rows, or a full first row over a column of labels."""
+    region, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("row")
+    row = rows.withColumns({"_r0": F.min("row").over(region), "_r1": F.max("row").over(region), "_c0": F.min("a").over(region), "_c1": F.max("b").over(region)})
     below = (F.lead("row").over(order) == F.col("row") + 1) & (F.lead("n").over(order) > 0) & (F.lead("numbers").over(order) >= 0.4 * F.lead("n").over(order))
-    lower = (F.col("row") > F.col("r0")) & (F.col("a") == F.col("c0")) & F.col("first")["is"]
-    row = row.withColumns({"below": F.coalesce(below, F.lit(False)), "fn": F.sum(lower.cast("int")).over(region), "fl": F.sum((lower & ~F.col("first")["num"]).cast("int")).over(region)})
-    over_numbers = (F.col("labels") >= 0.6 * F.col("n")) & F.col("below")
-    full = (F.col("row") == F.col("r0")) & (F.col("n") == F.col("c1") - F.col("c0") + 1) & (F.col("r1") - F.col("r0") >= 2) & (F.col("fn") > 0) & (F.col("fl") >= 0.6 * F.col("fn"))
-    hit = (F.col("n") > 0) & (F.col("row") < F.least(F.col("r0") + depth, F.col("r1"))) & (over_numbers | full)
-    found = row.groupBy("region").agg(F.min(F.when(hit, F.col("row"))).alias("hit"), F.min("row").alias("r0"))
-    return found.select("region", F.coalesce("hit", "r0").alias("header_row"), F.col("hit").isNotNull().alias("confident"))
+    lower = (F.col("row") > F.col("_r0")) & (F.col("a") == F.col("_c0")) & F.col("first")["is"]
+    row = row.withColumns({"_below": F.coalesce(below, F.lit(False)), "_fn": F.sum(lower.cast("int")).over(region), "_fl": F.sum((lower & ~F.col("first")["num"]).cast("int")).over(region)})
+    over_numbers = (F.col("labels") >= 0.6 * F.col("n")) & F.col("_below")
+    full = (F.col("row") == F.col("_r0")) & (F.col("n") == F.col("_c1") - F.col("_c0") + 1) & (F.col("_r1") - F.col("_r0") >= 2) & (F.col("_fn") > 0) & (F.col("_fl") >= 0.6 * F.col("_fn"))
+    hit = (F.col("n") > 0) & (F.col("row") < F.least(F.col("_r0") + depth, F.col("_r1"))) & (over_numbers | full)
+    row = row.withColumn("_hit", F.min(F.when(hit, F.col("row"))).over(region))
+    return row.withColumns({"header": F.coalesce("_hit", "_r0"), "sure": F.col("_hit").isNotNull()}).drop("_r0", "_r1", "_c0", "_c1", "_below", "_fn", "_fl", "_hit", "first", "n", "labels", "numbers", "a", "b")
+
+
+def header_rows(cells: DataFrame, depth: int = 5) -> DataFrame:
+    """The header row of each region of cells (region, row, col, text), and whether it is sure."""
+    row = cells.groupBy("region", "row").agg(*row_facts(strip(F.col("text")) != "", looks_numeric(F.col("text"))))
+    return with_header(row, ["region"], depth).groupBy("region").agg(F.min("header").alias("header_row"), F.max("sure").alias("confident"))
 
 
 def column_starts(cells: DataFrame) -> DataFrame:
@@ -126,27 +106,39 @@ def best_table(cells: DataFrame) -> DataFrame:
     return real.groupBy("page").agg(best).select("page", "b.*")
 
 
-def resolve_refs(refs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Values of A1 references ('Sheet'!$A$1:$B$2) row by row: adds values, joined by ``|``; null where nothing is found.
+#: Rows of cells that share a join key where references meet them, and the most rows that a sheet can have.
+BAND, MOST_ROWS = 1024, 1 << 20
 
-    A reference meets the cells of its own rows only."""
-    pattern = r"^(?:'((?:[^']|'')+)'|([^'!]+))!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?$"
 
-    def number(c):
-        return F.aggregate(F.split(c, ""), F.lit(0), lambda acc, x: F.when(x == "", acc).otherwise(acc * 26 + F.ascii(x) - 64))
+def resolved(refs: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """The values that A1 references ('Sheet'!$A$1:$B$2) of ``refs`` (by, ref) find in ``cells`` (by, sheet, row, col, text), row
+    by row: by, ref, values; a reference that finds nothing has no row.
 
-    mark = "\x1f"
-    parts = F.split(F.regexp_replace("ref", pattern, mark.join(f"${i}" for i in range(1, 7))), mark)
+    References meet cells by bands of rows, of which a sheet has MOST_ROWS / BAND at most."""
+    pattern = r"^(?:'((?:[^']|'')+)'|([^'!]+))!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?$"
+
+    found = refs.where(F.col("ref").rlike(pattern))
+    part = lambda k: F.regexp_extract("ref", pattern, k)
     or_ = lambda a, b: F.when(a == "", b).otherwise(a)
-    p = F.col("p")
-    parsed = refs.where(F.col("ref").rlike(pattern)).select("ref_id", parts.alias("p")).select(
-        "ref_id", F.replace(or_(p[0], p[1]), F.lit("''"), F.lit("'")).alias("sheet"),
-        number(p[2]).alias("ca"), p[3].cast("int").alias("ra"), number(or_(p[4], p[2])).alias("cb"), or_(p[5], p[3]).cast("int").alias("rb"),
-    )
-    asked = parsed.select("ref_id", "sheet", "ca", "cb", F.explode(F.sequence(F.least("ra", "rb"), F.greatest("ra", "rb"))).alias("row"))
-    inside = (F.col("col") >= F.least("ca", "cb")) & (F.col("col") <= F.greatest("ca", "cb"))
-    hit = asked.join(cells, ["sheet", "row"]).where(inside).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("v"))
-    return refs.join(hit, "ref_id", "left").select("ref_id", "ref", F.array_join(F.transform("v", lambda x: x["text"]), "|").alias("values"))
+    parts = found.select(*by, "ref", F.replace(or_(part(1), part(2)), F.lit("''"), F.lit("'")).alias("sheet"), F.lpad(part(3), 3, "@").alias("la"), part(4).alias("na"), F.lpad(or_(part(5), part(3)), 3, "@").alias("lb"), or_(part(6), part(4)).alias("nb"))
+    letter = lambda c, k: F.ascii(F.substring(c, k, 1)) - 64  # noqa: E731; @ comes before A
+    col = lambda c: letter(c, 1) * 676 + letter(c, 2) * 26 + letter(c, 3)
+    row = lambda c: F.least(c.cast("decimal(38,0)"), F.lit(MOST_ROWS)).cast("int")
+    ca, cb, ra, rb = col("la"), col("lb"), row(F.col("na")), row(F.col("nb"))
+    # As one generated row: filters that the join brings about then stay above the parsing, which would run again in each.
+    bounds = F.struct("sheet", F.least(ca, cb).alias("c0"), F.greatest(ca, cb).alias("c1"), F.least(ra, rb).alias("r0"), F.greatest(ra, rb).alias("r1"))
+    parsed = parts.select(*by, "ref", F.inline(F.array(bounds)))
+    asked = parsed.select("*", F.explode(F.sequence(F.floor(F.col("r0") / BAND), F.floor(F.col("r1") / BAND))).alias("_band"))
+    there = cells.select(*by, "sheet", "row", "col", "text").withColumn("_band", F.floor(F.col("row") / BAND))
+    hit = asked.join(there, [*by, "sheet", "_band"]).where("row between r0 and r1 and col between c0 and c1")
+    listed = hit.groupBy(*by, "ref").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("v"))
+    return listed.select(*by, "ref", F.transform("v", lambda x: x["text"]).alias("values"))
+
+
+def resolve_refs(refs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values of the references (ref_id, ref) as one text, joined by ``|``; null where nothing is found."""
+    hit = resolved(refs.select("ref").distinct(), cells, [])
+    return refs.join(hit, "ref", "left").select("ref_id", "ref", F.array_join("values", "|").alias("values"))
 
 
 def chart_series(points: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import documents
 from ..functions import a1_ref, clean, column_letters, comment_safe, control_strip, esc_html, esc_md, gfm_cell, looks_numeric, run_text, strip
-from ..operators import layout, pages, quality, records, tables, triage
+from ..operators import layout, pages, quality, records, sheets, tables, triage
 from . import render
 
 QUERIES: dict = {}
@@ -350,16 +350,20 @@ def sheet_cells(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), F.floor(F.col("event_id") / 200).cast("int").alias("row"), (F.ascii("event_type") % 5 + 1).cast("int").alias("col")).distinct()
 
 
-def _rounds(n: int) -> str:
-    """Cuts by rows and columns in turn; more rounds than any sheet here needs."""
+def _rounds(n: int, cells: str = SHEET, in_order: bool = False) -> str:
+    """Cuts by rows and columns in turn; more rounds than any sheet here needs. ``in_order``: only at the first empty column of
+    a part, so that the cuts in turn are the reading order."""
     out, last = "", "cells"
     for i in range(n):
         axis = ("row", "col")[i % 2]
         parts = "".join(f", b{j}" for j in range(i))
         out += f", x{i} AS (SELECT *, {axis} - dense_rank() OVER (PARTITION BY sheet{parts} ORDER BY {axis}) AS b{i} FROM {last})"
         last = f"x{i}"
+        if in_order and axis == "col":
+            out += f", y{i} AS (SELECT * REPLACE (CAST(b{i} > min(b{i}) OVER (PARTITION BY sheet{parts}) AS INT) AS b{i}) FROM x{i})"
+            last = f"y{i}"
     by = ", ".join(f"b{j}" for j in range(n))
-    return f"{SHEET}{out}, r AS (SELECT sheet, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, count(*) AS cells FROM {last} GROUP BY sheet, {by})"
+    return f"{cells}{out}, r AS (SELECT sheet, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, count(*) AS cells FROM {last} GROUP BY sheet, {by})"
 
 
 REGIONS = _rounds(10)
@@ -379,6 +383,56 @@ def region_merges(spark, sf_dir):
     return tables.region_merges(merges, tables.region_of(sheet_cells(spark, sf_dir)))
 
 
+#: Sheets with formulas and merged ranges; what a range covers without beginning there doesn't count.
+FULL_SHEET = """ev AS (SELECT user_id AS sheet, CAST(event_id // 200 AS INT) AS row, CAST(ascii(event_type) % 5 + 1 AS INT) AS col, min(event_id) AS i FROM events GROUP BY ALL),
+cell AS (SELECT sheet, row, col, i % 7 AS m, CASE i % 7 WHEN 0 THEN 'f' WHEN 4 THEN 's' WHEN 1 THEN 's' WHEN 2 THEN 's' ELSE 'n' END AS kind,
+  CASE i % 7 WHEN 0 THEN '=A' || i WHEN 1 THEN 'label ' || i WHEN 2 THEN 'p|q' WHEN 4 THEN i || '%' ELSE CAST(i AS VARCHAR) END AS text FROM ev),
+merge AS (SELECT sheet, row AS r0, col AS c0, CAST(row + (i % 5) // 4 AS INT) AS r1, CAST(col + (i % 3) // 2 AS INT) AS c1 FROM ev WHERE i % 5 = 4 OR i % 3 = 2),
+cells AS (SELECT * FROM cell c WHERE NOT EXISTS (SELECT 1 FROM merge m WHERE m.sheet = c.sheet AND c.row BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1 AND NOT (c.row = r0 AND c.col = c0)))"""
+
+
+def full_sheet(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    at = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sheet"), F.floor(F.col("event_id") / 200).cast("int").alias("row"), (F.ascii("event_type") % 5 + 1).cast("int").alias("col")).agg(F.min("event_id").alias("i"))
+    m, i = F.col("i") % 7, F.col("i").cast("string")
+    kind = F.when(m == 0, "f").when(m.isin(1, 2, 4), "s").otherwise("n")
+    text = F.when(m == 0, F.concat(F.lit("=A"), i)).when(m == 1, F.concat(F.lit("label "), i)).when(m == 2, "p|q").when(m == 4, F.concat(i, F.lit("%"))).otherwise(i)
+    cells = at.select("sheet", "row", "col", kind.alias("kind"), text.alias("text"), F.when(m.isin(0, 3), "=x").alias("formula"))
+    down, wide = (F.col("i") % 5 == 4).cast("int"), (F.col("i") % 3 == 2).cast("int")
+    merges = at.where(down + wide > 0).select("sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + down).alias("r1"), (F.col("col") + wide).alias("c1"))
+    return cells, merges
+
+
+A1_SQL = f"{LETTERS.format(c='min_col')} || {{a}} || ':' || {LETTERS.format(c='max_col')} || {{b}}"
+
+
+@query(f"""WITH {_rounds(16, FULL_SHEET, True)},
+g AS (SELECT sheet, row, col, kind, text, m, dense_rank() OVER (PARTITION BY sheet ORDER BY {', '.join(f'b{j}' for j in range(16))}) - 1 AS region FROM y15),
+box AS (SELECT sheet, region, min(row) AS min_row, min(col) AS min_col, max(row) AS max_row, max(col) AS max_col, bool_or(m IN (0, 3)) AS computed, bool_or(m = 0) AS uncached FROM g GROUP BY ALL),
+f AS (SELECT *, kind = 'n' OR text LIKE '%|%%' ESCAPE '|' AS num FROM g WHERE kind <> 'f'),
+rw AS (SELECT sheet, region, row, count(*) AS n, count(*) FILTER (NOT num) AS labels, count(*) FILTER (num) AS numbers FROM f GROUP BY ALL),
+fc AS (SELECT sheet, region, count(*) AS fn, count(*) FILTER (NOT num) AS fl FROM f JOIN box USING (sheet, region) WHERE col = min_col AND row > min_row GROUP BY ALL),
+hit AS (SELECT sheet, region, min(rw.row) AS h FROM rw JOIN box USING (sheet, region) LEFT JOIN fc USING (sheet, region) LEFT JOIN (SELECT sheet, region, row - 1 AS row, numbers >= 0.4 * n AS ok FROM rw) b USING (sheet, region, row)
+  WHERE rw.row < least(min_row + 5, max_row) AND (labels >= 0.6 * n AND coalesce(ok, false) OR rw.row = min_row AND n = max_col - min_col + 1 AND max_row - min_row >= 2 AND coalesce(fl >= 0.6 * fn, false)) GROUP BY ALL),
+ln AS (SELECT sheet, region, row, string_agg(coalesce(text, ''), '|' ORDER BY col) AS line, count(text) AS shown, string_agg(text, ' ' ORDER BY col) AS words
+  FROM (SELECT sheet, region, row, unnest(range(min_col, max_col + 1)) AS col FROM (SELECT *, unnest(range(min_row, max_row + 1)) AS row FROM box)) LEFT JOIN g USING (sheet, region, row, col) GROUP BY ALL),
+hd AS (SELECT box.*, coalesce(h, min_row) AS header, h IS NOT NULL AS sure, min_row = max_row OR min_col = max_col AS single FROM box LEFT JOIN hit USING (sheet, region)),
+st AS (SELECT hd.*, sure AND header > min_row AND NOT single AND (SELECT max(shown) FROM ln WHERE ln.sheet = hd.sheet AND ln.region = hd.region AND ln.row < hd.header) <= 1 AS strips FROM hd),
+ct AS (SELECT *, CASE WHEN strips THEN header ELSE min_row END AS top FROM st),
+sp AS (SELECT sheet, region, string_agg((r0 - top) || '.' || (c0 - min_col) || '.' || (r1 - r0 + 1) || '.' || (c1 - c0 + 1), ' ' ORDER BY r0, c0) AS spans FROM merge JOIN ct USING (sheet) WHERE r0 >= min_row AND r1 <= max_row AND c0 >= min_col AND c1 <= max_col AND r0 >= top GROUP BY ALL),
+el AS (SELECT sheet, region, 0 AS part, 'note' AS type, {A1_SQL.format(a='min_row', b='CASE WHEN single THEN max_row ELSE header - 1 END')} AS ref, (SELECT string_agg(words, ' ' ORDER BY ln.row) FROM ln WHERE ln.sheet = ct.sheet AND ln.region = ct.region AND (single OR ln.row < header)) AS text, NULL AS note, NULL AS rows, NULL AS spans FROM ct WHERE single OR strips
+  UNION ALL SELECT sheet, region, 1, 'table', {A1_SQL.format(a='top', b='max_row')}, NULL,
+    nullif(concat_ws('; ', CASE WHEN uncached THEN '{sheets.NO_CACHE}' WHEN computed THEN '{sheets.CACHED}' END, CASE WHEN NOT sure THEN 'header-ambiguous' END), ''),
+    (SELECT string_agg(line, '/' ORDER BY ln.row) FROM ln WHERE ln.sheet = ct.sheet AND ln.region = ct.region AND ln.row >= top), spans FROM ct LEFT JOIN sp USING (sheet, region) WHERE NOT single)
+SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY region, part) AS nth, type, ref, text, note, rows, spans FROM el""")
+def sheet_elements(spark, sf_dir):
+    cells, merges = full_sheet(spark, sf_dir)
+    found = sheets.notes_and_tables(cells, merges, ("sheet",))
+    nth = F.row_number().over(Window.partitionBy("sheet").orderBy("region", "part")).cast("long")
+    lines = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(".", *[x[k].cast("string") for k in ("row", "col", "rowspan", "colspan")])), " ")
+    return found.select("sheet", nth.alias("nth"), "type", "ref", "text", "note", lines.alias("rows"), spans.alias("spans"))
+
+
 @query(f"""WITH {LINES}, c AS (SELECT k AS region, ord AS row, j AS col, CASE WHEN (p + j * s) % 3 = 0 THEN 'label' WHEN (p + j) % 11 = 0 THEN '' ELSE CAST(p AS VARCHAR) END AS text FROM lines, (VALUES (1), (2), (3)) t(j)),
 f AS (SELECT *, text <> 'label' AS num FROM c WHERE text <> ''),
 rw AS (SELECT region, row, count(*) AS n, sum(CASE WHEN num THEN 0 ELSE 1 END) AS labels, sum(CASE WHEN num THEN 1 ELSE 0 END) AS numbers FROM f GROUP BY region, row),

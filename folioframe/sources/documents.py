@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..schema import ELEMENTS
+from ..schema import ELEMENTS, shaped
 from . import hangul, office, sheets, slides
 from .office import attr, child, local
 
@@ -252,18 +252,23 @@ def hwp(data: bytes) -> Iterator[dict]:
             yield {"unit_no": no} | e
 
 
-READERS = {"docx": word, "pptx": deck, "xlsx": sheets.workbook, "hwp": hwp, "hwpx": hwp}
+READERS = {"docx": word, "pptx": deck, "hwp": hwp, "hwpx": hwp}
+WORKBOOKS = ("xlsx", "xlsm")
 
 
-def elements(files: DataFrame, strict: bool = False) -> DataFrame:
+def elements(files: DataFrame, strict: bool = False, store: str | None = None) -> DataFrame:
     """Rows of ``schema.ELEMENTS`` of files (path, content), by the file's ending. A file that can't be read gives one row
-    with ``error``; ``strict`` raises instead."""
+    with ``error``; ``strict`` raises instead. ``store`` as in ``sheets.elements``."""
+    book = F.lower(F.regexp_extract("path", r"([^./\\]*)$", 1)).isin(*WORKBOOKS)
+    return _read(files.where(~book), strict).unionByName(shaped(sheets.elements(files.where(book), strict, store)))
+
+
+def _read(files: DataFrame, strict: bool) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(ELEMENTS))
     names = [f.name for f in schema]
 
     def rows(path: str, data: bytes) -> Iterator[dict]:
         kind = path.rsplit(".", 1)[-1].lower()
-        kind = {"xlsm": "xlsx"}.get(kind, kind)
         try:
             last, nth = None, 0
             out = []
@@ -286,5 +291,9 @@ def elements(files: DataFrame, strict: bool = False) -> DataFrame:
     return files.select("path", F.col("content")).mapInArrow(run, ELEMENTS)
 
 
-def read_documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    return elements(spark.read.format("binaryFile").load(path), strict)
+def read_documents(spark: SparkSession, path: str, strict: bool = False, store: str | None = None) -> DataFrame:
+    """``elements`` of a folder; workbooks and other files are listed apart, so that neither scan reads the other's."""
+    scan = lambda kinds: spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(path)
+    endings = lambda kinds: [x for k in kinds for x in (k, k.upper())]
+    books = sheets.elements(scan(endings(WORKBOOKS)), strict, store)
+    return _read(scan(endings(READERS)), strict).unionByName(shaped(books))

@@ -1,169 +1,28 @@
-"""Sheets as ordered elements: regions in reading order, header rows, merged cells, notes, tables and charts.
-
-The kernels work on one sheet's cells; ``operators.tables`` runs them group by group over cell tables, and
-``workbook`` over files.
-"""
+"""Workbooks as atoms: sheets, cells, merged ranges and chart points in one table; ``operators.sheets`` makes elements of them."""
 
 from __future__ import annotations
 
 import io
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import sheets
 from . import office
 from .office import attr, child, local
 
-Box = tuple[int, int, int, int]  # first row, first column, last row, last column; all inclusive
-_NUMBER = re.compile(r"[-+]?[\d,]*\.?\d+%?")
-_REF = re.compile(r"(?:'((?:[^']|'')+)'|([^'!]+))!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?")
-#: Notes of tables are output.
-NO_CACHE = "contains-formula(no cached values — formulas shown literally; recalc in Excel/LibreOffice)"
-CACHED = "contains-formula(cached values shown)"
-
-
-def _gap(used: list[int]) -> int | None:
-    """The place in sorted numbers before which the first number is missing."""
-    return next((k for k in range(1, len(used)) if used[k] != used[k - 1] + 1), None)
-
-
-def region_boxes(places: list[tuple[int, int]]) -> list[Box]:
-    """Rectangles of populated cells, cut at the first empty row, else at the first empty column, until none is left;
-    of two parts the upper or left one and all that it falls into come first."""
-    out, todo = [], [sorted(places)]
-    while todo:
-        cells = todo.pop()
-        if not cells:
-            continue
-        parts = None
-        for axis in (0, 1):
-            used = sorted({c[axis] for c in cells})
-            k = _gap(used)
-            if k is not None:
-                parts = [c for c in cells if c[axis] < used[k]], [c for c in cells if c[axis] >= used[k]]
-                break
-        if parts:
-            todo += [parts[1], parts[0]]
-        else:
-            cols = [c for _, c in cells]
-            out.append((cells[0][0], min(cols), cells[-1][0], max(cols)))
-    return out
-
-
-def _numeric(kind: str, text: str) -> bool:
-    return kind in ("n", "b") or (kind == "s" and _NUMBER.fullmatch(text.strip()) is not None)
-
-
-def header_row(cells: dict[tuple[int, int], tuple[str, str]], box: Box, depth: int = 5) -> tuple[int, bool]:
-    """The header's row and whether it is sure: labels over numbers, or a full first row over a column of labels."""
-    r0, c0, r1, c1 = box
-
-    def row(r: int) -> list[tuple[str, str]]:
-        return [v for c in range(c0, c1 + 1) if (v := cells.get((r, c))) and v[1] != ""]
-
-    for r in range(r0, min(r0 + depth, r1)):
-        here, below = row(r), row(r + 1)
-        if not here:
-            continue
-        labels = sum(k == "s" and not _numeric(k, t) for k, t in here)
-        if labels >= 0.6 * len(here) and below and sum(_numeric(*v) for v in below) >= 0.4 * len(below):
-            return r, True
-        if r == r0 and len(here) == c1 - c0 + 1 and r1 - r0 >= 2:
-            first = [v for x in range(r + 1, r1 + 1) if (v := cells.get((x, c0))) and v[1] != ""]
-            if first and sum(k == "s" and not _numeric(k, t) for k, t in first) >= 0.6 * len(first):
-                return r, True
-    return r0, False
-
-
-def letters(n: int) -> str:
-    out = ""
-    while n:
-        n, k = divmod(n - 1, 26)
-        out = chr(65 + k) + out
-    return out
-
-
-def a1(box: Box) -> str:
-    return f"{letters(box[1])}{box[0]}:{letters(box[3])}{box[2]}"
-
-
-def merges_inside(merges: list[Box], box: Box) -> list[Box]:
-    """Merged ranges that lie in the box as a whole."""
-    return [m for m in merges if m[0] >= box[0] and m[2] <= box[2] and m[1] >= box[1] and m[3] <= box[3]]
-
-
-def grid(cells: dict, box: Box, merges: list[Box]) -> tuple[list[list[str]], list[dict]]:
-    """Dense rows of a region, what merged cells cover left blank, and their spans from 0."""
-    r0, c0, r1, c1 = box
-    inside = merges_inside(merges, box)
-    covered = {(r, c) for a, b, x, y in inside for r in range(a, x + 1) for c in range(b, y + 1)} - {(a, b) for a, b, _, _ in inside}
-    rows = [["" if (r, c) in covered else cells.get((r, c), ("", ""))[1] for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
-    spans = [{"row": a - r0, "col": b - c0, "rowspan": x - a + 1, "colspan": y - b + 1} for a, b, x, y in sorted(inside) if (a, b) != (x, y)]
-    return rows, spans
-
-
-def sheet_elements(cells: list[tuple], merges: list[Box]) -> Iterator[dict]:
-    """Notes and tables of a sheet from (row, col, kind, text, formula). Regions are where a value or a formula is; header
-    rows go by values only."""
-    shown = {(r, c): (k, t) for r, c, k, t, _ in cells}
-    valued = {p: v for p, v in shown.items() if v[0] != "f"}
-    formulas = {(r, c): k == "f" for r, c, k, _, f in cells if f}
-    for box in region_boxes([p for p, v in shown.items() if v[1] != ""]):
-        rows, spans = grid(shown, box, merges)
-        header, sure = header_row(valued, box)
-        texts = [x for row in rows for x in row if x]
-        if len(rows) == 1 or box[1] == box[3]:
-            if texts:
-                yield {"type": "note", "text": " ".join(texts), "ref": a1(box)}
-            continue
-        before = header - box[0]
-        has = [formulas[r, c] for r in range(box[0], box[2] + 1) for c in range(box[1], box[3] + 1) if (r, c) in formulas] if formulas else []
-        if sure and before and all(sum(map(bool, row)) <= 1 for row in rows[:before]):
-            if title := " ".join(x for row in rows[:before] for x in row if x):
-                yield {"type": "note", "text": title, "ref": a1((box[0], box[1], header - 1, box[3]))}
-            rows, spans = rows[before:], [s | {"row": s["row"] - before} for s in spans if s["row"] >= before]
-            box = (header, *box[1:])
-        notes = [NO_CACHE if any(has) else CACHED] if has else []
-        notes += [] if sure else ["header-ambiguous"]
-        yield {"type": "table", "rows": rows, "spans": spans or None, "ref": a1(box), "note": "; ".join(notes) or None}
-
-
-def signals(elements: list[dict]) -> list[str]:
-    """Conditions of the sheet's quality that hold."""
-    tables = [e for e in elements if e["type"] == "table"]
-    notes = " ".join(e.get("note") or "" for e in tables)
-    found = {
-        "many_tables": len(tables) > 1, "merged": any(e.get("spans") for e in tables), "ambiguous": "header-ambiguous" in notes,
-        "formula": "contains-formula" in notes, "no_cache": "no cached values" in notes, "empty": not elements,
-    }
-    return [k for k, v in found.items() if v]
-
-
-def resolve(ref: str, sheets: dict[str, dict]) -> list[str]:
-    """Values of a reference such as 'Sheet'!$A$1:$B$2, row by row; empty places and unknown sheets give none."""
-    m = _REF.fullmatch(ref or "")
-    if not m:
-        return []
-    cells = sheets.get((m[1] or m[2]).replace("''", "'"), {})
-    (ra, ca), (rb, cb) = office._a1(f"{m[3]}{m[4]}"), office._a1(f"{m[5] or m[3]}{m[6] or m[4]}")
-    places = [(r, c) for r in range(min(ra, rb), max(ra, rb) + 1) for c in range(min(ca, cb), max(ca, cb) + 1)] if (abs(rb - ra) + 1) * (abs(cb - ca) + 1) <= 4 * len(cells) + 64 else sorted(p for p in cells if min(ra, rb) <= p[0] <= max(ra, rb) and min(ca, cb) <= p[1] <= max(ca, cb))
-    return [cells[p][1] for p in places if p in cells and cells[p][0] != "f"]
-
-
-def _points(part: ET.Element | None, sheets: dict[str, dict]) -> tuple[str | None, list[str]]:
-    """(reference, values) of a chart part: its stored values by index, else what the reference says."""
-    if part is None:
-        return None, []
-    ref = next((x.text for x in part.iter() if local(x.tag) == "f"), None)
-    stored = sorted((int(attr(p, "idx")), (child(p, "v").text or "") if child(p, "v") is not None else "") for p in part.iter() if local(p.tag) == "pt")
-    values = [v for _, v in stored] or resolve(ref, sheets)
-    return ref, [office._number(v) if _plain(v) else " ".join(v.split()) for v in values]
-
-
-def _plain(v: str) -> bool:
-    return re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v) is not None
+#: ``atom`` says what a row is: a sheet, a cell, a merge (from row, col to row1, col1) or a point of a chart; other columns are null.
+ATOMS = (
+    "doc_id string, atom string, sheet_no int, name string, row int, col int, row1 int, col1 int, kind string, text string, formula string, "
+    "chart_no int, plot string, title string, series int, role string, ref string, literal string, idx int, value string, error string"
+)
+_NAMES = [x.split()[0] for x in ATOMS.split(", ")][1:-1]
 
 
 def chart_kind(element: str) -> str:
@@ -174,25 +33,30 @@ def chart_kind(element: str) -> str:
     return name[0].upper() + name[1:] + "Chart" + ("3D" if deep else "")
 
 
-def charts(root: ET.Element, sheets: dict[str, dict]) -> Iterator[dict]:
-    """Chart elements of one chart part, one for each plot."""
+def _plain(v: str) -> str:
+    """A stored value as a cell would show it."""
+    return office._number(v) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v) else " ".join(v.split())
+
+
+def _points(root: ET.Element, first: int) -> Iterator[dict]:
+    """The points of a chart part, whose plots are numbered from ``first``."""
     chart = child(root, "chart")
     head, area = child(chart, "title"), child(chart, "plotArea")
     title = "".join(t.text or "" for t in head.iter() if local(t.tag) == "t").strip() or None if head is not None else None
-    for plot in (x for x in area if local(x.tag).endswith("Chart")) if area is not None else ():
-        series, categories, refs = [], [], []
-        for s in (x for x in plot if local(x.tag) == "ser"):
-            values = child(s, "val") if child(s, "val") is not None else child(s, "yVal")
-            ref, own = _points(values, sheets)
-            tx = child(s, "tx")
-            name_ref, name = _points(tx, sheets)
-            literal = child(tx, "v").text if tx is not None and child(tx, "v") is not None else None
-            series.append({"name": name[0] if name else literal, "ref": ref, "values": own})
-            refs += [ref] if ref else []
-            categories = categories or _points(child(s, "cat") if child(s, "cat") is not None else child(s, "xVal"), sheets)[1]
-        kind = chart_kind(local(plot.tag))
-        told = any(s["values"] for s in series)
-        yield {"type": "chart", "text": title or kind, "chart": {"kind": kind, "title": title, "series_refs": refs, "categories": categories or None, "series": series if told else None}}
+    for no, plot in enumerate((x for x in area if local(x.tag).endswith("Chart")) if area is not None else (), first):
+        own = {"atom": "point", "chart_no": no, "plot": chart_kind(local(plot.tag)), "title": title}
+        yield own | {"role": "plot"}
+        for k, s in enumerate(x for x in plot if local(x.tag) == "ser"):
+            for role, tags in (("name", ("tx",)), ("cat", ("cat", "xVal")), ("val", ("val", "yVal"))):
+                part = next((p for t in tags if (p := child(s, t)) is not None), None)
+                ref = literal = None
+                stored: list = []
+                if part is not None:
+                    ref = next((x.text for x in part.iter() if local(x.tag) == "f"), None)
+                    stored = [(int(attr(p, "idx")), v.text or "") for p in part.iter() if local(p.tag) == "pt" and (v := child(p, "v")) is not None]
+                    literal = child(part, "v").text if role == "name" and child(part, "v") is not None else None
+                told = own | {"series": k, "role": role, "ref": ref, "literal": literal}
+                yield from [told | {"idx": i, "value": _plain(v)} for i, v in stored] or [told]
 
 
 def _related(z: zipfile.ZipFile, name: str) -> list[tuple[str, str]]:
@@ -204,28 +68,45 @@ def _related(z: zipfile.ZipFile, name: str) -> list[tuple[str, str]]:
     return [(attr(r, "Type").rsplit("/", 1)[-1], t.lstrip("/") if (t := attr(r, "Target")).startswith("/") else posixpath.normpath(f"{folder}/{t}")) for r in rels]
 
 
-def workbook(data: bytes) -> Iterator[dict]:
-    """Units (sheets) and elements of a workbook."""
-    by_sheet: dict[int, list] = {}
-    names: dict[int, str] = {}
-    for sheet, no, row, col, kind, text, formula in office.xlsx_cells(data):
-        by_sheet.setdefault(no, []).append((row, col, kind, text, formula))
-    merges: dict[str, list[Box]] = {}
-    for sheet, *box in office.xlsx_merges(data):
-        merges.setdefault(sheet, []).append(tuple(box))
+def xlsx_atoms(data: bytes) -> Iterator[tuple]:
+    def row(**values) -> tuple:
+        return tuple(values.get(n) for n in _NAMES)
+
+    numbers: dict[str, int] = {}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         targets = {attr(r, "Id"): attr(r, "Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        parts = {}
         for k, s in enumerate(child(ET.fromstring(z.read("xl/workbook.xml")), "sheets")):
-            t = targets[attr(s, "id")]
-            names[k], parts[k] = attr(s, "name"), t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")
-        values = {names[k]: {(r, c): (kind, text) for r, c, kind, text, _ in cells} for k, cells in by_sheet.items()}
-        for k, name in names.items():
-            found = list(sheet_elements(by_sheet.get(k, []), merges.get(name, [])))
-            for kind, drawing in _related(z, parts[k]):
-                if kind == "drawing":
-                    for what, part in _related(z, drawing):
-                        if what == "chart":
-                            found += charts(ET.fromstring(z.read(part)), values)
-            yield {"type": "unit", "unit_no": k + 1, "text": name, "signals": signals(found)}
-            yield from ({"unit_no": k + 1} | e for e in found)
+            target = targets[attr(s, "id")]
+            numbers[attr(s, "name")] = k
+            yield row(atom="sheet", sheet_no=k, name=attr(s, "name"))
+            n = 0
+            for kind, drawing in _related(z, target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")):
+                for what, part in _related(z, drawing) if kind == "drawing" else ():
+                    if what == "chart":
+                        points = list(_points(ET.fromstring(z.read(part)), n))
+                        n = max((p["chart_no"] + 1 for p in points), default=n)
+                        yield from (row(sheet_no=k, **p) for p in points)
+    for _, no, r, c, kind, text, formula in office.xlsx_cells(data):
+        yield row(atom="cell", sheet_no=no, row=r, col=c, kind=kind, text=text, formula=formula)
+    for name, r0, c0, r1, c1 in office.xlsx_merges(data):
+        yield row(atom="merge", sheet_no=numbers[name], row=r0, col=c0, row1=r1, col1=c1)
+
+
+DECODERS = {"xlsx_atoms": (xlsx_atoms, ATOMS)}
+
+
+def elements(files: DataFrame, strict: bool = False, store: str | None = None) -> DataFrame:
+    """Units and elements of workbooks (path, content), without those that are null for all of them. ``store``: a folder that all
+    executors see, into which the atoms are written, so that each file is decoded once; without it each kind of atom decodes its
+    files anew."""
+    atoms = office.decode(files, "xlsx_atoms", strict).withColumn("atom", F.coalesce("atom", F.lit("error")))
+    if store:
+        path = f"{store.rstrip('/')}/atoms-{uuid.uuid4().hex}"
+        atoms.write.partitionBy("atom").parquet(path)
+        atoms = files.sparkSession.read.schema(atoms.schema).parquet(path)
+    of = lambda kind, *columns: atoms.where(F.col("atom") == kind).select("doc_id", "sheet_no", *columns)
+    merges = of("merge", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("row1").alias("r1"), F.col("col1").alias("c1"))
+    points = of("point", "chart_no", "plot", "title", "series", "role", "ref", "literal", "idx", "value")
+    found = sheets.elements(of("sheet", "name"), of("cell", "row", "col", "kind", "text", "formula"), merges, points)
+    bad = atoms.where("atom = 'error'").select("doc_id", F.lit("error").alias("type"), "error")
+    return found.unionByName(bad, allowMissingColumns=True).withColumn("format", F.lit("xlsx"))

@@ -1,5 +1,5 @@
 """Files that arrive in a folder, parsed as they come."""
 
-from .folder import totals, watch
+from .folder import parse, totals, watch
 
-__all__ = ["totals", "watch"]
+__all__ = ["parse", "totals", "watch"]

@@ -3,6 +3,7 @@
 import json
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sources.test_office import W, files, zipped
@@ -11,7 +12,8 @@ from sources.test_slides import deck
 from folioframe import documents
 from folioframe.sources import pdf
 from folioframe.sources.documents import elements
-from folioframe.sources.sheets import a1, chart_kind, header_row, region_boxes
+from folioframe.operators import sheets as sheet_operators
+from folioframe.sources.sheets import chart_kind
 
 R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -165,11 +167,38 @@ def test_pdf_images_and_renderer(monkeypatch):
     assert pdf.render(report_pdf(), 2) == b"png2"
 
 
-def test_regions_in_order():
-    """Rows are cut before columns at every level, so a right part with an empty row of its own comes last."""
-    assert [a1(b) for b in region_boxes([(1, 4), (3, 6), (4, 2), (5, 4), (5, 6)])] == ["D1:D1", "B4:B4", "F3:F3", "D5:D5", "F5:F5"]
-    assert [a1(b) for b in region_boxes([(1, 1), (2, 1), (3, 1), (1, 3), (1, 5), (3, 3), (3, 4)])] == ["A1:A3", "C1:C1", "E1:E1", "C3:D3"]
-    assert region_boxes([]) == []
-    assert header_row({(1, 1): ("s", "a"), (1, 2): ("s", "b"), (2, 1): ("n", "1"), (2, 2): ("s", "5%")}, (1, 1, 2, 2)) == (1, True)
-    assert header_row({(1, 1): ("s", "a"), (2, 1): ("s", "b"), (1, 2): ("s", "c"), (2, 2): ("s", "d")}, (1, 1, 2, 2)) == (1, False)
+def test_regions_in_order(spark):
+    """Rows are cut before columns at every level, so a right part with an empty row of its own comes last; regions are the same by the kernel for deep nests."""
+    for places, want in (
+        ([(1, 4), (3, 6), (4, 2), (5, 4), (5, 6)], [(1, 4, 1, 4), (4, 2, 4, 2), (3, 6, 3, 6), (5, 4, 5, 4), (5, 6, 5, 6)]),
+        ([(1, 1), (2, 1), (3, 1), (1, 3), (1, 5), (3, 3), (3, 4)], [(1, 1, 3, 1), (1, 3, 1, 3), (1, 5, 1, 5), (3, 3, 3, 4)]),
+    ):
+        cells = spark.createDataFrame([("d", 0, *p) for p in places], "doc_id string, sheet_no int, row int, col int")
+        found = sheet_operators.numbered(sheet_operators.boxes(sheet_operators.in_regions(cells))).orderBy("region").collect()
+        assert [(r.min_row, r.min_col, r.max_row, r.max_col) for r in found] == want
+        number = sheet_operators.cut_places(*np.array(places).T)
+        assert {frozenset(p for p, n in zip(places, number, strict=True) if n == k) for k in set(number)} == {frozenset(p for p in places if a <= p[0] <= c and b <= p[1] <= d) for a, b, c, d in want}
     assert [chart_kind(x) for x in ("barChart", "bar3DChart", "ofPieChart", "lineChart")] == ["BarChart", "BarChart3D", "ProjectedPieChart", "LineChart"]
+
+
+def test_sheet_rules(spark):
+    """Titles above headers, merged cells over stored values, formulas without values, dates as labels, far references."""
+    cell = lambda s, r, c, text, kind="s", formula=None: ("d", s, r, c, kind, text, formula)
+    cells = [cell(0, 1, 2, "Title"), cell(0, 2, 1, "k"), cell(0, 2, 2, "v"), cell(0, 3, 1, "a"), cell(0, 3, 2, "1", "n"), cell(0, 4, 1, "b"), cell(0, 4, 2, "=A1", "f", "=A1")]
+    cells += [cell(1, 1, 1, "x"), cell(1, 1, 2, "hidden"), cell(1, 2, 1, "2024-01-01 00:00:00", "d"), cell(1, 2, 2, "1", "n"), cell(1, 3, 1, "y"), cell(1, 3, 2, "2", "n")]
+    merges = [("d", 1, 1, 1, 1, 2), ("d", 1, 2, 1, 900000, 1)]
+    points = [("d", 0, 0, "BarChart", None, 0, "val", "S!$B$1:$B$1048576", None, None, None), ("d", 0, 0, "BarChart", None, 0, "name", "S!$A$2", None, 0, "stored"), ("d", 0, 0, "BarChart", None, None, "plot", None, None, None, None), ("d", 2, 0, "PieChart", "T", None, "plot", None, None, None, None)]
+    frames = [
+        spark.createDataFrame([("d", 0, "S"), ("d", 1, "M"), ("d", 2, "only a chart"), ("d", 3, "empty")], "doc_id string, sheet_no int, name string"),
+        spark.createDataFrame(cells, "doc_id string, sheet_no int, row int, col int, kind string, text string, formula string"),
+        spark.createDataFrame(merges, "doc_id string, sheet_no int, r0 int, c0 int, r1 int, c1 int"),
+        spark.createDataFrame(points, "doc_id string, sheet_no int, chart_no int, plot string, title string, series int, role string, ref string, literal string, idx int, value string"),
+    ]
+    found = sheet_operators.elements(*frames).orderBy("unit_no", "elem_no").collect()
+    one, two = [r for r in found if r.unit_no == 1], [r for r in found if r.unit_no == 2]
+    assert one[0].signals == ["formula", "no_cache"] and (one[1].type, one[1].ref, one[1].text) == ("note", "A1:B1", "Title")
+    assert (one[2].ref, one[2].rows, one[2].spans) == ("A2:B4", [["k", "v"], ["a", "1"], ["b", "=A1"]], None)
+    assert [(s.name, s["values"]) for s in one[3].chart.series] == [("k", ["Title", "v", "1"])] and one[3].chart.series_refs == ["S!$B$1:$B$1048576"]
+    # The covered cell's value is gone, and what reaches over the region's end is no span of it; y is covered too.
+    assert two[1].rows == [["x", ""], ["2024-01-01 00:00:00", "1"], ["", "2"]] and [tuple(s) for s in two[1].spans] == [(0, 0, 1, 2)]
+    assert [(r.unit_no, r.type, r.signals) for r in found if r.unit_no > 2] == [(3, "unit", []), (3, "chart", None), (4, "unit", ["empty"])]
