@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import strip
+from ..functions import control_strip, strip
 
 
 def under_header(records: DataFrame) -> DataFrame:
@@ -95,40 +91,101 @@ def first_of_equal(notes: DataFrame, order: str = "doc_id") -> DataFrame:
     return notes.join(first, order, "left_semi")
 
 
-CELLS = "doc_id {0}, section {1}, table int, nrows int, ncols int, cell int, row int, col int, rowspan int, colspan int, text string"
+#: Record tags, and the bytes of a list header that is a cell; fixed values.
+PARA_HEADER, PARA_TEXT, LIST_HEADER, TABLE, CELL_BYTES = 66, 67, 72, 77, 14
+KEYS = ["doc_id", "section"]
+
+
+def _short(payload: Column, at: int) -> Column:
+    """Two bytes, the lower one first; 0 where there are none."""
+    both = F.concat(F.hex(F.substring(payload, at + 2, 1)), F.hex(F.substring(payload, at + 1, 1)))
+    return F.when(F.length(payload) >= at + 2, F.conv(both, 16, 10).cast("int")).otherwise(0)
+
+
+def scopes(records: DataFrame) -> DataFrame:
+    """Adds ``within``: the tables in whose scopes each record lies, from the outer one on, as structs of level, table (its record),
+    number (in its section, from 0), nrows and ncols as stated, and cell (the record of the cell, if any).
+
+    A scope is the stretch of records that follow without one of lesser level. For each level at which there are tables the last
+    record of lesser level, the last table and the last cell header of it are kept along a section: a fixed number of running values
+    in one pass over sorted records, which spills and holds no stack. Levels have ten bits, so there are 1,024 of them at most."""
+    levels = sorted(r.level for r in records.where(F.col("tag") == TABLE).select("level").distinct().collect())
+    w = Window.partitionBy(*KEYS).orderBy("rec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda hit, value: F.last(F.when(hit, value), ignorenulls=True).over(w)
+    rec, tag, level = F.col("rec"), F.col("tag"), F.col("level")
+    is_table, is_cell = tag == TABLE, (tag == LIST_HEADER) & (F.length("payload") >= CELL_BYTES)
+    if not levels:
+        return records.withColumn("within", F.array().cast("array<struct<level:int,table:int,number:int,nrows:int,ncols:int,cell:int>>"))
+    size = [F.when(is_table, _short(F.col("payload"), at)).alias(name) for at, name in ((4, "nrows"), (6, "ncols"))]
+    found = records.withColumn("_n", (F.sum(is_table.cast("int")).over(w) - 1).cast("int"))
+    # Of each level: the last record that is a table of it or lies above it, then the last that is of it or lies above.
+    running = {}
+    for n in levels:
+        own = F.struct((level == n).alias("open"), rec.cast("int").alias("table"), F.col("_n").alias("number"), *size)
+        running[f"_t{n}"] = last((level < n) | ((level == n) & is_table), own)
+        running[f"_c{n}"] = last(level <= n, F.struct(((level == n) & is_cell).alias("open"), rec.cast("int").alias("cell")))
+    scope = lambda n: F.when(F.col(f"_t{n}.open"), F.struct(F.lit(n).alias("level"), *[F.col(f"_t{n}.{c}") for c in ("table", "number", "nrows", "ncols")], F.when(F.col(f"_c{n}.open"), F.col(f"_c{n}.cell")).alias("cell")))
+    return found.withColumns(running).withColumn("within", F.array_compact(F.array(*map(scope, levels)))).drop("_n", *running)
+
+
+def _cells(scoped: DataFrame) -> DataFrame:
+    """Cells of all tables: doc_id, section, rec (of the table), table, nrows, ncols, cell, row, col, rowspan, colspan, text.
+
+    A cell's texts are its own paragraphs, which lie one level below its first paragraph header; those of tables in it lie deeper.
+    Where a table's size isn't stated it reaches as far as its cells do. All groups and windows are parts of sections."""
+    kinds = F.col("tag").isin(PARA_HEADER, PARA_TEXT, LIST_HEADER)
+    content = scoped.where(kinds & (F.size("within") > 0)).select(*KEYS, "rec", "tag", "level", "text", "payload", F.explode("within").alias("_s"))
+    is_head = F.col("rec") == F.col("_s.cell")
+    content = content.where(is_head | ((F.col("level") > F.col("_s.level")) & (F.col("tag") != LIST_HEADER)))
+    of_head = lambda c: F.max(F.when(is_head, c))
+    at = {"col": 6, "row": 8, "colspan": 10, "rowspan": 12}
+    head = of_head(F.struct(F.col("_s.table").alias("rec"), F.col("_s.number").alias("table"), "_s.nrows", "_s.ncols", *[_short(F.col("payload"), k).alias(c) for c, k in at.items()]))
+    is_paragraph = F.col("tag") == PARA_HEADER
+    first = F.min_by(F.when(is_paragraph, F.col("level")), F.when(is_paragraph, F.col("rec")))
+    texts = F.array_sort(F.collect_list(F.when(F.col("tag") == PARA_TEXT, F.struct("rec", "level", control_strip(F.col("text")).alias("text")))))
+    whole = content.groupBy(*KEYS, F.col("_s.cell").alias("_at")).agg(head.alias("_h"), first.alias("_first"), texts.alias("_texts"))
+    own = F.transform(F.filter("_texts", lambda x: x["level"] == F.col("_first") + 1), lambda x: x["text"])
+    cells = whole.select(*KEYS, "_at", "_h.rec", "_h.table", "_h.nrows", "_h.ncols", "_h.row", "_h.col", *[F.greatest(F.lit(1), F.col(f"_h.{c}")).alias(c) for c in ("rowspan", "colspan")], F.array_join(own, "\n").alias("text"))
+    table = Window.partitionBy(*KEYS, "rec")
+    stated = (F.col("nrows") > 0) & (F.col("ncols") > 0)
+    size = lambda n, a, b: F.when(stated, F.col(n)).otherwise(F.max(F.col(a) + F.col(b)).over(table))
+    sized = cells.withColumns({"_r": size("nrows", "row", "rowspan"), "_c": size("ncols", "col", "colspan"), "cell": F.row_number().over(table.orderBy("_at")) - 1})
+    return sized.select(*KEYS, "rec", "table", F.col("_r").alias("nrows"), F.col("_c").alias("ncols"), "cell", "row", "col", "rowspan", "colspan", "text")
 
 
 def tables(records: DataFrame) -> DataFrame:
-    """Cells of the tables in record atoms (doc_id, section, rec, tag, level, payload), nested ones too; ``table`` counts a
-    section's from 0. Sections are dealt whole and read in order, a batch at a time; one section is held at most."""
-    from ..sources.hangul import record_tables
-
-    schema = CELLS.format(*[records.schema[c].dataType.simpleString() for c in ("doc_id", "section")])
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        kinds = None
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            made = [pa.array(c, t) for c, t in zip(columns, [*kinds, *[pa.int32()] * 8, pa.string()], strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(made, names=names)
-
-        def rows() -> Iterator[tuple]:
-            nonlocal kinds
-            for b in batches:
-                kinds = [b.schema.field(0).type, b.schema.field(1).type]
-                yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
-
-        for (doc, section), found in groupby(rows(), key=lambda r: r[:2]):
-            for k, (_, t) in enumerate(record_tables([(r[3], r[4], bytes(r[5] or b"")) for r in found])):
-                out += [(doc, section, k, t["nrows"], t["ncols"], i, c["row"], c["col"], c["rowspan"], c["colspan"], c["text"]) for i, c in enumerate(t["cells"])]
-            if len(out) > 20_000:
-                yield flush()
-        if out:
-            yield flush()
-
-    own = records.select("doc_id", "section", "rec", F.col("tag").cast("int").alias("tag"), F.col("level").cast("int").alias("level"), "payload")
-    return own.repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "rec").mapInArrow(run, schema)
+    """Cells (doc_id, section, table, nrows, ncols, cell, row, col, rowspan, colspan, text) of the tables in record atoms (doc_id,
+    section, rec, tag, level, text, payload), nested ones too; ``table`` counts a section's from 0. Where two tables follow each
+    other in one scope a cell belongs to the later one."""
+    return _cells(scopes(records)).drop("rec")
+
+
+def _filled(items: Column, at: str, size: Column, blank: Column, value: str) -> Column:
+    """``value`` of sorted structs at their places among ``size`` many, and blanks between."""
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(items, i - 1)[at])
+    held = F.flatten(F.transform(items, lambda x, i: F.concat(F.array_repeat(blank, x[at] - before(i) - 1), F.array(x[value]))))
+    return F.concat(held, F.array_repeat(blank, size - F.element_at(items, -1)[at] - 1))
+
+
+def _grids(cells: DataFrame) -> DataFrame:
+    """Tables (doc_id, section, rec) with rows and spans; places that a cell covers are blank, and of cells in one place the later stays."""
+    keys = [*KEYS, "rec", "nrows", "ncols"]
+    place = cells.where("row < nrows and col < ncols").groupBy(*keys, "row", "col").agg(F.max_by("text", "cell").alias("text"))
+    line = place.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("_c"))
+    line = line.select(*keys, "row", _filled(F.col("_c"), "col", F.col("ncols"), F.lit(""), "text").alias("line"))
+    whole = line.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_l"))
+    whole = whole.select(*KEYS, "rec", _filled(F.col("_l"), "row", F.col("nrows"), F.array_repeat(F.lit(""), F.col("ncols")), "line").alias("rows"))
+    span = F.struct("cell", F.struct("row", "col", "rowspan", "colspan").alias("s"))
+    spans = cells.where("rowspan > 1 or colspan > 1").groupBy(*KEYS, "rec").agg(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]).alias("spans"))
+    return whole.join(spans, [*KEYS, "rec"], "full")
+
+
+def elements(records: DataFrame) -> DataFrame:
+    """(doc_id, section, rec, type, text, rows, spans): paragraphs outside of tables, and tables, nested ones too, at the
+    places of their records."""
+    scoped = scopes(records)
+    texts = scoped.where((F.col("tag") == PARA_TEXT) & (F.size("within") == 0)).select(*KEYS, "rec", F.lit("paragraph").alias("type"), control_strip(F.col("text")).alias("text")).where("text <> ''")
+    heads = records.where(F.col("tag") == TABLE).select(*KEYS, "rec", F.lit("table").alias("type"), _short(F.col("payload"), 4).alias("_r"), _short(F.col("payload"), 6).alias("_c"))
+    blank = F.when((F.col("_r") > 0) & (F.col("_c") > 0), F.array_repeat(F.array_repeat(F.lit(""), F.col("_c")), F.col("_r"))).otherwise(F.array().cast("array<array<string>>"))
+    found = heads.join(_grids(_cells(scoped)), [*KEYS, "rec"], "left").select(*KEYS, "rec", "type", F.coalesce("rows", blank).alias("rows"), "spans")
+    return texts.unionByName(found, allowMissingColumns=True)

@@ -552,14 +552,43 @@ def record_tables(spark, sf_dir):
     p, s, ord_ = F.col("p"), F.col("s"), F.col("ord")
     short = lambda n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("00"))
     cell = F.unhex(F.concat(F.lit("0" * 12), short(s % 3), short(ord_ - 1), short(1 + p % 3), short(1 + p % 2)))
-    text = F.encode(F.concat("flag", p.cast("string")), "UTF-16LE")
-    record = lambda n, tag, level, payload: F.struct(n.cast("int").alias("rec"), F.lit(tag).alias("tag"), F.lit(level).alias("level"), payload.alias("payload"))
-    cells = at.select("k", F.explode(F.array(record(3 * ord_, 72, 2, cell), record(3 * ord_ + 1, 66, 3, F.unhex(F.lit("00" * 4))), record(3 * ord_ + 2, 67, 4, text))).alias("r"))
-    heads = at.select("k").distinct().select("k", record(F.lit(0), 77, 2, F.unhex(F.lit("00" * 8))).alias("r"))
+    none, blank = F.lit(None).cast("string"), F.unhex(F.lit("00" * 8))
+    record = lambda n, tag, level, payload, text: F.struct(n.cast("int").alias("rec"), F.lit(tag).alias("tag"), F.lit(level).alias("level"), payload.alias("payload"), text.alias("text"))
+    cells = at.select("k", F.explode(F.array(record(3 * ord_, 72, 2, cell, none), record(3 * ord_ + 1, 66, 3, blank, none), record(3 * ord_ + 2, 67, 4, blank, F.concat("flag", p.cast("string"))))).alias("r"))
+    heads = at.select("k").distinct().select("k", record(F.lit(0), 77, 2, blank, none).alias("r"))
     found = records.tables(heads.unionByName(cells).select(F.col("k").alias("doc_id"), F.lit("Section0").alias("section"), "r.*"))
     return found.select("doc_id", "cell", "row", "col", "rowspan", "colspan", "text", "nrows", "ncols")
 
 
+@query(f"""WITH {LINES}, o AS (SELECT k, ord, p, s, row_number() OVER (PARTITION BY k ORDER BY ord) - 1 + coalesce(sum(CASE WHEN p % 3 = 0 THEN 1 + (s % 2) ELSE 0 END) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
+c AS (SELECT k, 0 AS "table", ord - 1 AS cell, ord - 1 AS row, 'out ' || p || CASE WHEN p % 3 = 0 THEN chr(10) || 'after' ELSE '' END AS text, 1 AS of FROM o
+  UNION ALL SELECT k, before - ord + 2, 0, 0, 'in ' || s, 2 FROM o WHERE p % 3 = 0
+  UNION ALL SELECT k, before - ord + 3, 0, 0, 'deep ' || p, 3 FROM o WHERE p % 3 = 0 AND s % 2 = 1)
+SELECT k AS doc_id, CAST("table" AS INT) AS "table", CAST(cell AS INT) AS cell, CAST(row AS INT) AS row, text, CAST(CASE of WHEN 1 THEN max(row) OVER (PARTITION BY k, of) + 1 ELSE 1 END AS INT) AS nrows FROM c""")
+def nested_record_tables(spark, sf_dir):
+    """Tables in cells of tables in cells, three deep; a paragraph after the inner table is the outer cell's own."""
+    p, s, ord_ = F.col("p"), F.col("s"), F.col("ord")
+    short = lambda n: F.concat(F.lpad(F.hex(n), 2, "0"), F.lit("00"))
+    head = lambda row: F.unhex(F.concat(F.lit("0" * 16), short(row), F.lit("01000100")))  # noqa: E731; row and sizes
+    record = lambda on, tag, level, payload=None, text=None: F.struct(F.lit(tag).alias("tag"), F.lit(level).alias("level"), (F.unhex(F.lit("00" * 8)) if payload is None else payload).alias("payload"), (F.lit(None).cast("string") if text is None else text).alias("text"), on.alias("on"))
+    always, inner, deep = F.lit(True), p % 3 == 0, (p % 3 == 0) & (s % 2 == 1)
+
+    def cell(on, level, row, text):
+        return [record(on, 72, level, head(row)), record(on, 66, level + 1), record(on, 67, level + 2, text=text)]
+
+    zero = F.lit(0)
+    told = [
+        *cell(always, 2, ord_ - 1, F.concat(F.lit("out "), p.cast("string"))),
+        record(inner, 71, 4), record(inner, 77, 5), *cell(inner, 5, zero, F.concat(F.lit("in "), s.cast("string"))),
+        record(deep, 71, 7), record(deep, 77, 8), *cell(deep, 8, zero, F.concat(F.lit("deep "), p.cast("string"))),
+        record(inner, 66, 3), record(inner, 67, 4, text=F.lit("after")),
+    ]
+    rows = lines(spark, sf_dir).select("k", F.posexplode(F.array(*told)).alias("j", "r"), (ord_ * 100).alias("at")).where("r.on")
+    first = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().select("k", F.lit(0).alias("rec"), record(always, 77, 2).alias("r"))
+    atoms = first.unionByName(rows.select("k", (F.col("at") + F.col("j")).cast("int").alias("rec"), "r")).select(F.col("k").alias("doc_id"), F.lit("Section0").alias("section"), "rec", "r.*")
+    return records.tables(atoms.drop("on")).select("doc_id", "table", "cell", "row", "text", "nrows")
+
+
 @query(f"""WITH {LINES} SELECT a.k AS doc_id, CAST(a.ord - 1 AS INT) AS row, CAST(j AS INT) AS col, CAST(50 * j AS DOUBLE) AS x0, CAST(20 * a.ord AS DOUBLE) AS y0, CAST(50 * j + 50 AS DOUBLE) AS x1, CAST(20 * a.ord + 20 AS DOUBLE) AS y1
 FROM lines a JOIN lines b ON a.k = b.k AND b.ord = a.ord + 1, (VALUES (0), (1)) t(j) WHERE j = 0 OR a.p % 5 <> 0 AND b.p % 5 <> 0""")
 def ruled_cells(spark, sf_dir):

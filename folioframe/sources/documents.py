@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..operators import records
 from ..schema import ELEMENTS, shaped
 from . import hangul, office, sheets, slides
 from .office import attr, child, local
@@ -244,7 +245,7 @@ def deck(data: bytes) -> Iterator[dict]:
         yield from ({"unit_no": no} | e for e in elements)
 
 
-def hwp(data: bytes) -> Iterator[dict]:
+def hwpx(data: bytes) -> Iterator[dict]:
     """Units are sections; paragraphs in order, and tables at the places of their grids."""
     for no, (name, found) in enumerate(hangul.sections(data), 1):
         yield {"type": "unit", "unit_no": no, "text": name, "signals": []}
@@ -252,15 +253,37 @@ def hwp(data: bytes) -> Iterator[dict]:
             yield {"unit_no": no} | e
 
 
-READERS = {"docx": word, "pptx": deck, "hwp": hwp, "hwpx": hwp}
+READERS = {"docx": word, "pptx": deck, "hwp": hwpx, "hwpx": hwpx}
 WORKBOOKS = ("xlsx", "xlsm")
 
 
 def elements(files: DataFrame, strict: bool = False, store: str | None = None) -> DataFrame:
     """Rows of ``schema.ELEMENTS`` of files (path, content), by the file's ending. A file that can't be read gives one row
     with ``error``; ``strict`` raises instead. ``store`` as in ``sheets.elements``."""
-    book = F.lower(F.regexp_extract("path", r"([^./\\]*)$", 1)).isin(*WORKBOOKS)
-    return _read(files.where(~book), strict).unionByName(shaped(sheets.elements(files.where(book), strict, store)))
+    book = _ending().isin(*WORKBOOKS)
+    return _others(files.where(~book), strict).unionByName(shaped(sheets.elements(files.where(book), strict, store)))
+
+
+def _ending() -> Column:
+    return F.lower(F.regexp_extract("path", r"([^./\\]*)$", 1))
+
+
+def _others(files: DataFrame, strict: bool) -> DataFrame:
+    """Binary hwp files, whatever their ending says, by their records; the rest by readers of whole files."""
+    binary = _ending().isin("hwp", "hwpx") & (F.substring("content", 1, len(hangul.MAGIC)) == F.lit(hangul.MAGIC))
+    return _read(files.where(~binary), strict).unionByName(from_records(files.where(binary), strict))
+
+
+def from_records(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Elements of binary hwp files; units are sections that have records."""
+    atoms = office.decode(files, "hwp_records", strict).withColumn("format", F.lower(F.regexp_extract("doc_id", r"([^./\\]*)$", 1)))
+    good = atoms.where("error is null")
+    sections = good.select("doc_id", "format", "section", "section_no").distinct().withColumn("unit_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no")))
+    found = records.elements(good.select("doc_id", "section", "rec", "tag", "level", "text", "payload"))
+    found = found.withColumn("elem_no", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("rec"))).join(sections, ["doc_id", "section"])
+    units = sections.select("doc_id", "format", "unit_no", F.lit(0).alias("elem_no"), F.lit("unit").alias("type"), F.col("section").alias("text"), F.array().cast("array<string>").alias("signals"))
+    bad = atoms.where("error is not null").select("doc_id", "format", F.lit("error").alias("type"), "error")
+    return shaped(found.drop("section", "section_no", "rec").unionByName(units, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True))
 
 
 def _read(files: DataFrame, strict: bool) -> DataFrame:
@@ -296,4 +319,4 @@ def read_documents(spark: SparkSession, path: str, strict: bool = False, store:
     scan = lambda kinds: spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(path)
     endings = lambda kinds: [x for k in kinds for x in (k, k.upper())]
     books = sheets.elements(scan(endings(WORKBOOKS)), strict, store)
-    return _read(scan(endings(READERS)), strict).unionByName(shaped(books))
+    return _others(scan(endings(READERS)), strict).unionByName(shaped(books))

@@ -193,7 +193,7 @@ def record_tables(found: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, di
         end = next((j for j in range(i + 1, len(found)) if found[j][1] < level), len(found))
         heads = [j for j in range(i + 1, end) if found[j][1] == level]
         cells = []
-        for j, after in zip(heads, [*heads[1:], end], strict=True):
+        for j, after in zip(heads, [*heads[1:], end], strict=False):
             head = found[j][2]
             if found[j][0] == LIST_HEADER and len(head) >= CELL_BYTES:
                 col, row, across, down = struct.unpack_from("<4H", head, 6)
@@ -270,31 +270,18 @@ def hwp_cells(data: bytes) -> Iterator[tuple]:
 
 
 def sections(data: bytes) -> Iterator[tuple[str, list[dict]]]:
-    """(section, elements): paragraphs outside of tables, and tables, in order."""
-    if office.is_hwpx(data):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for name in xml_sections(data):
-                root, out = ET.fromstring(z.read(name)), []
-                inner = {id(p) for t in root.iter() if local(t.tag) == "tbl" for p in t.iter() if local(p.tag) == "p"}
-                made = {id(tbl): t for tbl, t in xml_tables(root)}
-                for e in root.iter():
-                    if local(e.tag) == "p" and id(e) not in inner and (text := paragraph_text(e)):
-                        out.append({"type": "paragraph", "text": text})
-                    elif id(e) in made:
-                        out.append(_table_element(made[id(e)]))
-                yield name, out
-        return
-    for path, found in section_records(data):
-        at, out, inside = dict(record_tables(found)), [], None
-        for k, (tag, level, payload) in enumerate(found):
-            if inside is not None and level < inside:
-                inside = None
-            if k in at:
-                out.append(_table_element(at[k]))
-                inside = level if inside is None else inside
-            elif tag == PARA_TEXT and inside is None and (text := CONTROL.sub("", raw_text(payload))):
-                out.append({"type": "paragraph", "text": text})
-        yield path, out
+    """(section, elements) of an hwpx file: paragraphs outside of tables, and tables, in order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in xml_sections(data):
+            root, out = ET.fromstring(z.read(name)), []
+            inner = {id(p) for t in root.iter() if local(t.tag) == "tbl" for p in t.iter() if local(p.tag) == "p"}
+            made = {id(tbl): t for tbl, t in xml_tables(root)}
+            for e in root.iter():
+                if local(e.tag) == "p" and id(e) not in inner and (text := paragraph_text(e)):
+                    out.append({"type": "paragraph", "text": text})
+                elif id(e) in made:
+                    out.append(_table_element(made[id(e)]))
+            yield name, out
 
 
 def _table_element(t: dict) -> dict:
