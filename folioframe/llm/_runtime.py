@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import ctypes
 import shutil
 import tempfile
@@ -50,6 +51,8 @@ def materialize(df: DataFrame, tag: str, by: str | None = None, buckets: int = 0
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     _written[path] = name
+    if (owner := _owner.get()) is not None:
+        owner.paths.append(path)
     out._scratch = path
     return out
 
@@ -69,6 +72,28 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, t._scratch)
 
 
+class Scratch:
+    """What is written while this is open belongs to it, and ``release`` deletes that and nothing else; results of other runs, which
+    may be read later, keep what they need."""
+
+    def __enter__(self) -> Scratch:
+        self.paths: list[str] = []
+        self._outer = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._outer)
+
+    def release(self, spark: SparkSession, *but: DataFrame) -> None:
+        """Delete it, but for some tables. Call this once all results that read it are stored."""
+        kept = {getattr(t, "_scratch", None) for t in but}
+        for path in [p for p in self.paths if p not in kept and p in _written]:
+            _remove(spark, path)
+
+
+_owner: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def release(spark: SparkSession, *but: DataFrame) -> None:
     """Delete every scratch table written so far, but for some. Call it only once all results that read them are stored."""
     kept = {getattr(t, "_scratch", None) for t in but}
@@ -76,6 +101,14 @@ def release(spark: SparkSession, *but: DataFrame) -> None:
         _remove(spark, path)
 
 
+def keyed(docs: DataFrame) -> DataFrame | None:
+    """Rows (_key, _row) with a unique key each, stored; None where doc_ids are such keys already."""
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if again.isEmpty():
+        return None
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), "keyed")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,10 +18,10 @@ group, all with kept = true (``keep_first`` keeps one row of them); a null doc_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import materialize, table
+from ._runtime import keyed, materialize, table
 
 PREFIX = 64
 SALTS = 32
@@ -73,19 +73,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of fully tied rows one. A text is hashed again only where its
-    doc_id is one of a row that goes."""
-    judged = materialize(exact_dedup(docs).where("group_size > 1"), "judged")
-    gone = judged.where("not kept").select("doc_id", "text_sha256").distinct()
-    tied = judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
-    mine = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    same = F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & (F.sha2(normalised(F.col("_row.text")), 256) == F.col("text_sha256"))
-    left = mine.join(gone, same, "left_anti")
-    if tied.isEmpty():
-        return left.select("_row.*")
-    first = Window.partitionBy("doc_id", "text_sha256").orderBy(F.length("_row.text").desc())
-    one = left.join(tied, same).withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    return left.join(tied, same, "left_anti").unionByName(one.select("_row")).select("_row.*")
+    """The documents that stay, with all their columns; of fully tied rows one. Rows are told apart by doc_id, and by a key of their
+    own where doc_ids are null or repeated; a text is hashed once, and what goes is taken away by key."""
+    rows = keyed(docs)
+    if rows is None:
+        gone = exact_dedup(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    sig = materialize(signatures(rows.select(F.struct("_key", F.col("_row.doc_id").alias("own")).alias("doc_id"), F.col("_row.text").alias("text"))), "signatures")
+    key = ["len", "head", "sha"]
+    order = F.struct((-F.col("points")).alias("p"), F.col("doc_id.own").isNull().alias("none"), F.col("doc_id.own").alias("id"), F.col("doc_id._key").alias("k"))
+    left = materialize(_shared(_shared(sig, ["len"]), ["len", "head"]).select(*key, order.alias("o")), "shared")
+    # Of each group all go but the first; the greater ones are found by a join with one row a group, split where it is skewed.
+    first = left.groupBy(*key).agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "best")
+    gone = left.join(first, key).where(F.col("o.k") != F.col("best.k")).select(F.col("o.k").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

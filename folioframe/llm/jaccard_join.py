@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _chunks as C
 from ._components import components
-from ._runtime import discard, materialize, shuffle_partitions, table
+from ._runtime import discard, keyed, materialize, shuffle_partitions, table
 from ._text import LOWER, SPACE, U64, Texts, mix, word_hashes, words
 
 SHINGLE = 5
@@ -324,14 +324,6 @@ def _classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c1", "c2", "c3", "doc_id").alias("component_id"))
 
 
-def keyed(docs: DataFrame) -> DataFrame | None:
-    """Rows (_key, _row) with a unique key each, stored; None where doc_ids are such keys already."""
-    again = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("doc_id is null or count > 1")
-    if again.isEmpty():
-        return None
-    return materialize(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), "keyed")
-
-
 def row_classes(rows: DataFrame) -> DataFrame:
     """One row per row of ``keyed``: _key, doc_id, n_shingles, component (a key; rows are nodes, whatever their doc_id)."""
     classes = _classes(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")))

@@ -5,7 +5,8 @@ the rule's, and the longest fitting rule decides. A page that no rule fits takes
 and urls joined by redirects (``<meta http-equiv=refresh>``) and canonical links form a graph whose connected
 components are found in a distributed way; a component with a url that a rule blocks is blocked, unless a rule allows
 one of its urls explicitly, and pages of no such component are allowed. Every such tag of a page counts. Ampersands written
-as entities are read as such. Relative targets are resolved as in RFC 3986 against the page's ``<base href>``, or else its url; absolute ones stay as written.
+as entities are read as such. Relative targets are resolved as in RFC 3986 against the page's ``<base href>``, or else its url. Urls meet by what they name:
+case of scheme and host, default ports, fragments and dot segments make no difference. Tags in comments don't count.
 
 Cases: a target of another kind (``mailto:``), or a relative one on a page whose url has no scheme and host, is no link; a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated urls get
 equal verdicts; a null html has no links; an html of any length is searched whole; other columns are not read.
@@ -27,6 +28,7 @@ _HREF = r'(?i)\bhref\s*=\s*["\']?([^"\'\s>]+)'
 _META = r'(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["\']?refresh\b[^>]*>'
 _GOTO = r'(?i)\burl\s*=\s*["\']?([^"\'\s>;]+)'
 _BASE = r'(?i)<base\b[^>]*\bhref\s*=\s*["\']?([^"\'\s>]+)'
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//([^/?#]*)([^?#]*)((?:\?[^#]*)?)"
 
@@ -80,18 +82,29 @@ def resolve(base: Column, target: Column) -> Column:
     return F.when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target)).when(base.rlike(_PARTS), relative)
 
 
+def identity(url: Column) -> Column:
+    """What urls of one resource share: scheme and host lower-cased (A-Z), default port, fragment and dot segments gone, at least a
+    slash as path; a url without scheme and host is itself."""
+    scheme, host = ascii_lower(F.regexp_extract(url, _PARTS, 1)), ascii_lower(F.regexp_extract(url, _PARTS, 2))
+    path, query = F.regexp_extract(url, _PARTS, 3), F.regexp_extract(url, _PARTS, 4)
+    port = F.when(scheme == "http:", F.regexp_replace(host, r":(?:80)?$", "")).when(scheme == "https:", F.regexp_replace(host, r":(?:443)?$", "")).otherwise(host)
+    whole = F.concat(scheme, F.lit("//"), port, F.when(path == "", "/").otherwise(_no_dots(path)), query)
+    return F.when(url.rlike(_PARTS), whole).otherwise(url)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Rows (url, target) of all redirect and canonical targets, resolved."""
+    """Rows (url, target) of all redirect and canonical targets outside of comments, resolved; both as ``identity``."""
 
     def targets(tag: str, part: str) -> Column:
         return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
 
     may = F.lower(F.col("html"))
     found = pages.where(F.col("url").isNotNull()).where(F.contains(may, F.lit("canonical")) | F.contains(may, F.lit("refresh")))
+    found = found.select("url", F.regexp_replace("html", _COMMENT, "").alias("html"))
     plain = lambda c: F.replace(F.replace(c, F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
     found = found.select("url", plain(F.regexp_extract("html", _BASE, 1)).alias("base"), F.explode(F.transform(F.concat(targets(_LINK, _HREF), targets(_META, _GOTO)), plain)).alias("target")).where("target <> ''")
     base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), "url"))
-    return found.select("url", "target", base.alias("base")).select("url", resolve(F.col("base"), F.col("target")).alias("target")).where(F.col("target").isNotNull())
+    return found.select("url", "target", base.alias("base")).select(identity(F.col("url")).alias("url"), identity(resolve(F.col("base"), F.col("target"))).alias("target")).where(F.col("target").isNotNull())
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -104,14 +117,24 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     member = materialize(components(edges, "url", "target"), "components")
     said = member.withColumn("v", decide(host_of(F.col("node")), path_of(F.col("node")), rules)[1])
     of = said.groupBy("component").agg(F.max(F.when(F.col("v") == "block", 1).otherwise(0)).alias("bad"), F.max(F.when(F.col("v") == "allow", 1).otherwise(0)).alias("good"))
-    alias = member.join(of.where("bad = 1 and good = 0").select("component"), "component").select(F.col("node").alias("url"), F.lit("block").alias("alias"))
-    return own.join(alias, "url", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
+    alias = member.join(of.where("bad = 1 and good = 0").select("component"), "component").select(F.col("node").alias("_id"), F.lit("block").alias("alias"))
+    return own.withColumn("_id", identity(F.col("url"))).join(alias, "_id", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def _id_sql(url: str) -> str:
+    """As ``identity``, but for dot segments."""
+    host = f"lower(regexp_extract({url}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1))"
+    host = f"regexp_replace(regexp_replace({host}, '^(http://.*?):(80)?$', '\\1'), '^(https://.*?):(443)?$', '\\1')"
+    path = f"regexp_extract({url}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    query = f"regexp_extract({url}, '(?s)^[^?#]*((?:[?][^#]*)?)', 1)"
+    return f"CASE WHEN regexp_matches({url}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {query} ELSE {url} END"
+
+
+#: Relative targets and dot segments are left out here.
 ORACLE = r"""
 WITH RECURSIVE u AS (
   SELECT page_id, url,
@@ -120,12 +143,14 @@ WITH RECURSIVE u AS (
   FROM pages
 ), rules(rh, rp, v) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), shown AS (
+  SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS html FROM pages WHERE url IS NOT NULL
 ), link AS (
-  SELECT DISTINCT url AS a, t AS b FROM (
-    SELECT url, unnest([
-      regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS t
-    FROM pages WHERE url IS NOT NULL) WHERE contains(t, '://')
+  SELECT DISTINCT id(url) AS a, id(t) AS b FROM (
+    SELECT url, replace(replace(unnest(list_concat(
+      list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))), '&#38;', '&'), '&amp;', '&') AS t
+    FROM shown) WHERE regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://')
 ), both_ways AS (
   SELECT a, b FROM link UNION SELECT b, a FROM link
 ), reach(a, b) AS (
@@ -145,6 +170,6 @@ WITH RECURSIVE u AS (
   SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
   FROM (SELECT DISTINCT host, path FROM u) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path
 )
-SELECT u.page_id, u.url, u.host, u.path, best.rule, coalesce(best.v, CASE WHEN u.url IN (SELECT url FROM alias) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT u.page_id, u.url, u.host, u.path, best.rule, coalesce(best.v, CASE WHEN id(u.url) IN (SELECT url FROM alias) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN best USING (host, path)
-"""
+""".replace("id(url)", _id_sql("url")).replace("id(t)", _id_sql("t")).replace("id(u.url)", _id_sql("u.url"))

@@ -249,3 +249,47 @@ def test_entities_in_links(spark):
     pages = [(1, "http://a.org/x", '<link rel="canonical" href="http://b.net/es/?p=1&amp;q=2">'), (2, "http://c.org/y", '<meta http-equiv="refresh" content="0; url=http://b.net/es/?p=1&q=2">')]
     got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block"}
+
+
+def test_urls_that_name_one_page(spark, tmp_path):
+    """Case of hosts, fragments, ports, dot segments and comments; SQL agrees where targets are absolute."""
+    link = lambda *us: "<html>" + "".join(f'<link href="{u}" rel="canonical">' for u in us)
+    pages = [
+        (1, "http://Y.org/c", None), (2, "http://y2.org/", link("http://y.ORG/c", "http://a.net/fr/1")),
+        (3, "http://q.org/c", None), (4, "http://q2.org/", link("http://q.org/c#top") + link("http://a.net/es/1")),
+        (5, "http://p.org:80", None), (6, "http://p2.org/", link("HTTP://p.org/#x", "http://a.net/es/2")),
+        (7, "http://s.org/", "<!-- " + link("http://a.net/es/3") + " -->"), (8, "http://t.org/", "<!-- " + link("http://a.net/es/4")),
+        (9, "http://u.org/", "<!-- x -->" + link("http://a.net/es/5") + "<!-- y -->"), (10, None, link("http://a.net/es/6")), (11, "plain", link("http://a.net/es/7")),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert compare(spark, url_filter.op5_url_filter, url_filter.ORACLE, str(tmp_path)) == ""
+    got = {r.page_id: r.verdict for r in url_filter.op5_url_filter(spark, str(tmp_path)).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 9, 11}
+    more = [(1, "http://r.org/y", None), (2, "http://r2.org/a/b", link("http://r.org/x/../y", "../../net", "http://a.net/es/./1"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(more, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
+
+
+def test_results_keep_their_tables(spark):
+    """A run that deletes what it wrote leaves the tables of an earlier, lazy result."""
+    from folioframe.llm._runtime import Scratch, materialize
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    early = exact_dedup.exact_dedup(docs)
+    with Scratch() as own:
+        kept = materialize(exact_dedup.keep_first(docs), "kept")
+        gone = materialize(docs, "gone")
+    own.release(spark, kept)
+    assert early.count() == 3 and kept.count() == 2
+    spark.catalog.clearCache()
+    try:
+        gone.count()
+        raise AssertionError("still there")
+    except Exception as e:  # noqa: BLE001
+        assert "still there" not in str(e)
+
+
+def test_keep_first_hashes_texts_once(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(50)], "doc_id long, text string")
+    plan = exact_dedup.keep_first(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and exact_dedup.keep_first(docs).count() == 7
