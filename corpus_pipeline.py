@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from folioframe.llm._runtime import materialize, release, table
+from folioframe.llm._runtime import Scratch, discard, keyed, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one with the least doc_id stays, and one without a doc_id only if none has one;
     rows without words stay. Rows are told apart even where doc_ids are null or repeated."""
-    rows = jaccard_join.keyed(docs)
+    rows = keyed(docs)
     if rows is None:
         gone = jaccard_join.jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
         return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
@@ -63,12 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage has stored for itself goes once its result is written."""
+    """All stages over ``documents``; what a stage has stored for itself, and its input, go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        release(spark, docs)
+        with Scratch() as own:
+            kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        own.release(spark, kept)
+        discard(docs)
+        docs = kept
     return docs
 
 
-__all__ = ["ORACLE_SQL", "STAGES", "release", "run"]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
