@@ -34,6 +34,7 @@ MIN_COUNT = 10
 #: A phrase goes if a longer candidate around it has so many percent of its occurrences.
 CONTAINED = 50
 TOP = 2000
+PARTS = 64
 #: Bytes that end a piece, and all that lie between words.
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -42,7 +43,6 @@ INSIDE[[0x20, 9]] = False
 #: Bytes of an entry in a bucket, for each byte of text: words and pairs, each once a shard.
 PER_BYTE = 12 * 0.15
 REPORTED = "lang string, phrase string, a long, l1 long, r1 long, l2 long, r2 long, within array<string>"
-TOTALS = "lang string, n long"
 
 
 class Level(NamedTuple):
@@ -150,7 +150,10 @@ def _known(trie: Trie, answers: list[dict] | None, n_buckets: int) -> tuple[np.n
 
 
 def _candidates(trie: Trie, ones: np.ndarray, twos: np.ndarray, threes: Level, told: np.ndarray) -> dict[str, list]:
-    """REPORTED columns of the phrases that this shard reports."""
+    """REPORTED columns of the phrases that this shard reports; and, without a phrase, how many words of each lang it has."""
+    words_of: dict[str, int] = {}
+    for lang, many in zip(trie.langs, np.bincount(trie.text, minlength=len(trie.langs)).tolist(), strict=True):
+        words_of[lang] = words_of.get(lang, 0) + many
     one = np.abs(ones)[np.searchsorted(trie.ones.path, trie.word)]  # of each word of the shard
     two = np.zeros(len(trie.pair), np.int64)
     two[trie.follows] = np.abs(twos)[np.searchsorted(trie.twos.path, trie.pair[trie.follows])]
@@ -159,7 +162,7 @@ def _candidates(trie: Trie, ones: np.ndarray, twos: np.ndarray, threes: Level, t
     none = [None] * len(a2)
     names = [(trie.phrase(k, 2), trie.phrase(k + 1, 2)) for k in at3.tolist()]
     covered = [sorted({n for n, m in zip(pair, (x, y), strict=True) if 100 * a >= CONTAINED * m}) for pair, a, x, y in zip(names, a3.tolist(), two[at3].tolist(), two[at3 + 1].tolist(), strict=True)]
-    return {
+    told_of = {
         "lang": [trie.langs[trie.text[k]] for k in (*at2, *at3)],
         "phrase": [trie.phrase(k, 2) for k in at2.tolist()] + [trie.phrase(k, 3) for k in at3.tolist()],
         "a": [*a2.tolist(), *a3.tolist()],
@@ -169,6 +172,9 @@ def _candidates(trie: Trie, ones: np.ndarray, twos: np.ndarray, threes: Level, t
         "r2": [*none, *one[at3 + 2].tolist()],
         "within": [*none, *covered],
     }
+    rest = [None] * len(words_of)
+    totals = dict.fromkeys(told_of, rest) | {"lang": list(words_of), "a": list(words_of.values())}
+    return {k: v + totals[k] for k, v in told_of.items()}
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,19 +207,11 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             kinds = (pa.string(), pa.string(), longs, longs, longs, longs, longs, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found.values(), kinds, strict=True)], names=list(found))
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        for chunk, _ in C.unpack(batches):
-            trie, n = Trie(chunk), {}
-            for lang, many in zip(trie.langs, np.bincount(trie.text, minlength=len(trie.langs)).tolist(), strict=True):
-                n[lang] = n.get(lang, 0) + many
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), longs)], names=["lang", "n"])
-
     known = materialize(C.exchange(chunks.mapInArrow(ask_first, C.ASK), _merge), "known")
     flagged = C.with_answers(chunks, known)
     three = C.exchange(flagged.mapInArrow(ask_second, C.ASK), _merge).withColumnRenamed("answers", "threes")
     found = materialize(flagged.join(three, "chunk", "left").mapInArrow(report, REPORTED), "reported")
-    return found, chunks.mapInArrow(total, TOTALS).groupBy("lang").agg(F.sum("n").alias("n"))
+    return found.where("phrase is not null"), found.where("phrase is null").groupBy("lang").agg(F.sum("a").alias("n"))
 
 
 def _score(l: str, r: str) -> Column:  # noqa: E741
@@ -227,8 +225,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     left = found.join(gone, ["lang", "phrase"], "left_anti").withColumns({"s1": _score("l1", "r1"), "s2": _score("l2", "r2")})
     first = F.col("l2").isNull() | (F.col("s1") <= F.col("s2"))
     scored = left.select("lang", "phrase", "a", F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    # The first of each part of a lang come first, so that no task ranks more than PARTS * top of one.
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    best = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", rank("_part")).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", rank()).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
