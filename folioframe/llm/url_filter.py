@@ -104,7 +104,10 @@ def links(pages: DataFrame) -> DataFrame:
     plain = lambda c: F.replace(F.replace(c, F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
     found = found.select("url", plain(F.regexp_extract("html", _BASE, 1)).alias("base"), F.explode(F.transform(F.concat(targets(_LINK, _HREF), targets(_META, _GOTO)), plain)).alias("target")).where("target <> ''")
     base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), "url"))
-    return found.select("url", "target", base.alias("base")).select(identity(F.col("url")).alias("url"), identity(resolve(F.col("base"), F.col("target"))).alias("target")).where(F.col("target").isNotNull())
+    # Each step is a row that is generated, so that the next one refers to it and doesn't repeat how it was made.
+    found = found.select("url", "target", F.inline(F.array(F.struct(base.alias("base")))))
+    found = found.select("url", F.inline(F.array(F.struct(resolve(F.col("base"), F.col("target")).alias("target"))))).where(F.col("target").isNotNull())
+    return found.select(F.inline(F.array(F.struct(identity(F.col("url")).alias("url"), identity(F.col("target")).alias("target")))))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -118,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     said = member.withColumn("v", decide(host_of(F.col("node")), path_of(F.col("node")), rules)[1])
     of = said.groupBy("component").agg(F.max(F.when(F.col("v") == "block", 1).otherwise(0)).alias("bad"), F.max(F.when(F.col("v") == "allow", 1).otherwise(0)).alias("good"))
     alias = member.join(of.where("bad = 1 and good = 0").select("component"), "component").select(F.col("node").alias("_id"), F.lit("block").alias("alias"))
-    return own.withColumn("_id", identity(F.col("url"))).join(alias, "_id", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
+    return own.select("*", F.inline(F.array(F.struct(identity(F.col("url")).alias("_id"))))).join(alias, "_id", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
