@@ -9,12 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .functions import comment_safe, esc_html, esc_inline, esc_md, gfm_cell, strip
 from .operators import pages as page_operators
 from .operators import quality
-from .schema import shaped
+from .schema import SPAN, shaped
 
 RULES = {"xlsx": quality.SHEET, "docx": quality.DOCX, "pptx": quality.SLIDE}
 
@@ -78,8 +77,8 @@ def pipe_table(rows: Column, cell=gfm_cell) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")).otherwise("")
 
 
-def html_table(rows: Column, spans: Column) -> Column:
-    """An HTML table; cells that a span covers are left out."""
+def html_table(rows: Column, spans: Column, inner: Column | None = None) -> Column:
+    """An HTML table; cells that a span covers are left out. ``inner``: structs (row, col, html) of what follows a cell's text."""
 
     def cell(value: Column, r: Column, c: Column) -> Column:
         within = lambda s: (r >= s["row"]) & (r < s["row"] + s["rowspan"]) & (c >= s["col"]) & (c < s["col"] + s["colspan"])
@@ -88,6 +87,8 @@ def html_table(rows: Column, spans: Column) -> Column:
         size = F.concat(*[F.when(own[k] > 1, F.concat(F.lit(f' {k}="'), own[k].cast("string"), F.lit('"'))).otherwise("") for k in ("rowspan", "colspan")])
         tag = F.when(r == 0, "th").otherwise("td")
         text = F.replace(esc_html(value), F.lit("\n"), F.lit(" "))
+        if inner is not None:
+            text = F.concat(text, F.coalesce(F.get(F.filter(inner, anchor), F.lit(0))["html"], F.lit("")))
         shown = F.concat(F.lit("<"), tag, F.coalesce(size, F.lit("")), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
         return F.when(F.exists(spans, lambda s: within(s) & ~anchor(s)), "").otherwise(shown)
 
@@ -95,32 +96,36 @@ def html_table(rows: Column, spans: Column) -> Column:
     return F.concat(F.lit("<table>\n"), F.array_join(lines, "\n"), F.lit("\n</table>"))
 
 
-def _nested(rows: list, spans: list, nested: list) -> str:
-    """As ``html_table``, with tables in cells, which have no bound on their depth."""
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\n", " ")
-    anchor = {(s["row"], s["col"]): s for s in spans or []}
-    covered = {(s["row"] + i, s["col"] + j) for s in spans or [] for i in range(s["rowspan"]) for j in range(s["colspan"]) if i or j}
-    out = ["<table>"]
-    for r, row in enumerate(rows):
-        tag, cells = "td" if r else "th", []
-        for c, value in enumerate(row):
-            if (r, c) not in covered:
-                size = "".join(f' {k}="{anchor[r, c][k]}"' for k in ("rowspan", "colspan") if (r, c) in anchor and anchor[r, c][k] > 1)
-                inner = "".join(_nested(t["rows"], t["spans"], t["nested"]) for t in nested or [] if (t["row"], t["col"]) == (r, c))
-                cells.append(f"<{tag}{size}>{esc(value)}{inner}</{tag}>")
-        out.append("  <tr>" + "".join(cells) + "</tr>")
-    return "\n".join([*out, "</table>"])
-
-
-@F.pandas_udf(StringType())
-def _nested_html(table: pd.Series) -> pd.Series:
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        x = json.loads(t)
-        return _nested(x["rows"], x.get("spans") or [], json.loads(x["nested"]))
-
-    return table.map(one)
+def nested_html(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, html) of tables (keys, rows, spans, nested) with tables in their cells at any depth; ``nested`` is a JSON list of
+    {row, col, rows, spans, nested}.
+
+    Each level of depth is one round down, which flattens the tables in tables to rows with the path of their parent, and one round up, which
+    renders a level and puts it into the cells of the level above; so rounds follow depth, whatever the number of tables."""
+    spans = f"array<{SPAN}>"
+    level = tables.select(*keys, F.lit("").alias("path"), "rows", F.coalesce("spans", F.array().cast(spans)).alias("spans"), F.parse_json("nested").alias("_v"))
+    levels = [level]
+    while True:
+        inside = levels[-1].where(F.col("_v").isNotNull()).select(*keys, F.col("path").alias("parent"), F.posexplode(F.variant_get("_v", "$", "array<variant>")).alias("nth", "_x"))
+        of = lambda name, kind: F.variant_get("_x", f"$.{name}", kind)
+        inside = inside.select(
+            *keys, "parent", "nth", F.concat_ws(".", "parent", F.col("nth").cast("string")).alias("path"), of("row", "int").alias("row"), of("col", "int").alias("col"),
+            of("rows", "array<array<string>>").alias("rows"), F.coalesce(of("spans", spans), F.array().cast(spans)).alias("spans"), of("nested", "variant").alias("_v"),
+        )
+        if inside.isEmpty():
+            break
+        levels.append(inside)
+    below = None
+    for level in reversed(levels):
+        if below is None:
+            drawn = level.withColumn("html", html_table(F.col("rows"), F.col("spans")))
+        else:
+            listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "html"))), lambda x: x["html"]), "")
+            cell = below.groupBy(*keys, "parent", "row", "col").agg(listed.alias("html")).groupBy(*keys, F.col("parent").alias("path")).agg(F.collect_list(F.struct("row", "col", "html")).alias("_in"))
+            held = F.coalesce("_in", F.array().cast("array<struct<row:int,col:int,html:string>>"))
+            drawn = level.join(cell, [*keys, "path"], "left").withColumn("html", html_table(F.col("rows"), F.col("spans"), held))
+        below = drawn.drop("rows", "spans", "_v", "_in")
+    return below.select(*keys, "html")
 
 
 # Markdown. Marks, comments and notices are output.
@@ -157,14 +162,13 @@ def _chart(e, text: Column) -> Column:
     return F.when(F.col("format") == "pptx", deck).otherwise(sheet)
 
 
-def element_markdown(assets: str | None = None, nested: bool = False) -> Column:
-    """The Markdown of an element row, by its format and type."""
+def element_markdown(assets: str | None = None, nested: Column | None = None) -> Column:
+    """The Markdown of an element row, by its format and type; ``nested``: the HTML of tables with others in them, else null."""
     kind, fmt, raw = F.col("type"), F.col("format"), strip(F.coalesce("text", F.lit("")))
     text, level, note = esc_html(raw), F.col("level"), F.col("note")
     html = html_table(F.col("rows"), F.col("spans"))
-    if nested:
-        html = F.coalesce(_nested_html(F.when(F.col("nested").isNotNull(), F.to_json(F.struct("rows", "spans", "nested")))), html)
-    table = F.when((F.size("spans") > 0) | (F.col("nested").isNotNull() if nested else F.lit(False)), html).otherwise(pipe_table(F.col("rows")))
+    whole = F.lit(None).cast("string") if nested is None else nested
+    table = F.when(whole.isNotNull(), whole).when(F.size("spans") > 0, html).otherwise(pipe_table(F.col("rows")))
     told = lambda start: F.concat(F.lit(start), F.when(note.isNotNull(), F.concat(F.lit(" · "), note)).otherwise(""), F.lit(" -->\n"))
     marks = F.repeat(F.lit("#"), F.coalesce(level, F.lit(2)))
     path = F.concat(F.lit(assets.rstrip("/") + "/"), F.regexp_extract("path", r"([^/\\]*)$", 1)) if assets else F.col("path")
@@ -233,12 +237,16 @@ def _once(elements: DataFrame) -> DataFrame:
 
 
 def to_markdown(elements: DataFrame, assets: str | None = None, nested: bool = True, renders: str | None = None) -> DataFrame:
-    """(doc_id, markdown) of every document. ``nested``: whether tables in cells may occur; without them no Python runs.
+    """(doc_id, markdown) of every document. ``nested``: whether tables in cells may occur; without them no rounds are made for them.
     ``assets`` and ``renders`` are the folders that images of pages and rendered pages are linked from."""
     source = F.regexp_extract("doc_id", r"([^/]*)$", 1)
     elements = _once(elements) if renders else elements
     heads = units(elements).select("doc_id", "unit_no", F.lit(0).alias("n"), F.lit(0).alias("elem_no"), _unit_head(renders).alias("piece"))
-    body = elements.where("type not in ('unit', 'error')").select("doc_id", "unit_no", F.lit(1).alias("n"), "elem_no", element_markdown(assets, nested).alias("piece"))
+    body = elements.where("type not in ('unit', 'error')")
+    if nested:
+        keys = ["doc_id", "unit_no", "elem_no"]
+        body = body.join(nested_html(body.where("type = 'table' and nested is not null").select(*keys, "rows", "spans", "nested"), keys).withColumnRenamed("html", "_html"), keys, "left")
+    body = body.select("doc_id", "unit_no", F.lit(1).alias("n"), "elem_no", element_markdown(assets, F.col("_html") if nested else None).alias("piece"))
     pieces = heads.unionByName(body).where("piece <> ''")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "n", "elem_no", "piece"))), lambda x: x["piece"])
     top = F.concat(F.lit("<!-- parsed from "), esc_html(source), F.lit(" -->\n"))

@@ -334,6 +334,33 @@ def table_csv(spark, sf_dir):
     return render.csv_table(_grid(spark, sf_dir, "duplicate").withColumn("text", F.replace("text", F.lit("|"), F.lit(","))))
 
 
+ONE_CELL = "'<table>' || chr(10) || '  <tr><th>' || {} || '</th></tr>' || chr(10) || '</table>'"
+
+
+@query(f"""WITH {LINES}, f AS (SELECT *, {ONE_CELL.format("'y&amp;' || s")} AS t4 FROM lines),
+t AS (SELECT *, {ONE_CELL.format("'&lt;' || p || CASE WHEN p % 4 = 0 THEN t4 || t4 ELSE '' END")} AS t3 FROM f),
+i AS (SELECT *, {ONE_CELL.format("s || CASE WHEN s % 2 = 0 THEN t3 ELSE '' END")} AS t2 FROM t),
+r AS (SELECT k, ord, CASE WHEN ord = 1 THEN 'th' ELSE 'td' END AS tg, flag, CAST(p AS VARCHAR) || CASE WHEN p % 2 = 0 THEN t2 ELSE '' END AS c FROM i)
+SELECT k AS table_id, md5('<table>' || chr(10) || string_agg('  <tr><' || tg || '>' || flag || '</' || tg || '><' || tg || '>' || c || '</' || tg || '></tr>', chr(10) ORDER BY ord) || chr(10) || '</table>') AS h FROM r GROUP BY k""")
+def nested_html(spark, sf_dir):
+    """Tables in tables, four deep."""
+    p, s = F.col("p"), F.col("s")
+    some = lambda *t: F.filter(F.array(*t), lambda x: x.isNotNull())
+
+    def inner(on, text, nested=None, row=None):
+        parts = [(F.lit(0) if row is None else row).alias("row"), F.lit(0 if row is None else 1).alias("col"), F.array(F.array(text)).alias("rows")]
+        return F.when(on, F.struct(*parts, *([] if nested is None else [nested.alias("nested")])))
+
+    deep = inner(p % 4 == 0, F.concat(F.lit("y&"), s.cast("string")))
+    third = inner(s % 2 == 0, F.concat(F.lit("<"), p.cast("string")), some(deep, deep))
+    second = inner(p % 2 == 0, s.cast("string"), some(third), F.col("ord") - 1)
+    made = lines(spark, sf_dir).select("k", "ord", F.array("flag", p.cast("string")).alias("line"), second.alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    whole = made.groupBy(F.col("k").alias("table_id")).agg(F.transform(listed, lambda x: x["line"]).alias("rows"), F.to_json(F.collect_list("t")).alias("nested"))
+    found = documents.nested_html(whole.withColumn("spans", F.array().cast("array<struct<row:int,col:int,rowspan:int,colspan:int>>")), ["table_id"])
+    return found.select("table_id", F.md5("html").alias("h"))
+
+
 @query(f"""WITH {LINES}, c AS (SELECT k, s % 3 AS tb, p % 4 AS row, count(*) AS w, sum(CASE WHEN p % 7 = 0 THEN 0 ELSE 1 END) AS f FROM lines GROUP BY k, s % 3, p % 4),
 t AS (SELECT k, tb, count(*) AS nrows, max(w) AS ncols, max(f) AS full_, sum(f) AS filled FROM c GROUP BY k, tb),
 x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY filled DESC, tb) AS n FROM t WHERE nrows >= 2 AND ncols >= 2 AND full_ >= 2)
