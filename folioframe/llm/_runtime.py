@@ -94,13 +94,6 @@ class Scratch:
 _owner: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
 
 
-def release(spark: SparkSession, *but: DataFrame) -> None:
-    """Delete every scratch table written so far, but for some. Call it only once all results that read them are stored."""
-    kept = {getattr(t, "_scratch", None) for t in but}
-    for path in [p for p in _written if p not in kept]:
-        _remove(spark, path)
-
-
 def keyed(docs: DataFrame) -> DataFrame | None:
     """Rows (_key, _row) with a unique key each, stored; None where doc_ids are such keys already."""
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("doc_id is null or count > 1")
