@@ -81,10 +81,15 @@ def shape_order(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "slide").orderBy(zero("top"), zero("left"), "z")) - 1)
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Whether two boxes (structs of top, left, height, width) share an area; a box without a size shares none."""
+    met = lambda start, size: F.least(a[start] + a[size], b[start] + b[size]) > F.greatest(a[start], b[start])
+    return met("left", "width") & met("top", "height")
+
+
 def overlaps(shapes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a slide's shapes whose boxes share an area."""
     a, b = shapes.alias("a"), shapes.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.slide") == F.col("b.slide")) & (F.col("a.z") < F.col("b.z"))
-    for start, size in (("left", "width"), ("top", "height")):
-        on &= (F.col(f"a.{start}") < F.col(f"b.{start}") + F.col(f"b.{size}")) & (F.col(f"b.{start}") < F.col(f"a.{start}") + F.col(f"a.{size}"))
+    box = lambda x: {c: F.col(f"{x}.{c}") for c in ("left", "width", "top", "height")}
+    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.slide") == F.col("b.slide")) & (F.col("a.z") < F.col("b.z")) & overlap(box("a"), box("b"))
     return a.join(b, on).select(F.col("a.doc_id").alias("doc_id"), F.col("a.slide").alias("slide"), F.col("a.z").alias("a"), F.col("b.z").alias("b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import documents
 from ..functions import a1_ref, clean, column_letters, comment_safe, control_strip, esc_html, esc_md, gfm_cell, looks_numeric, run_text, strip
-from ..operators import layout, pages, quality, records, sheets, tables, triage
+from ..operators import layout, pages, quality, records, sheets, slides, tables, triage
 from . import render
 
 QUERIES: dict = {}
@@ -195,6 +195,67 @@ def shape_order(spark, sf_dir):
     return layout.shape_order(shapes(spark, sf_dir)).select("doc_id", "z", F.col("pos").cast("long").alias("pos"))
 
 
+#: Slides of orders: a line is a text, table, picture or chart; a text of an order is free, a title, a body or a footer, of which most have no place.
+SLIDES = f"""{LINES}, sh AS (SELECT k // 8 AS d, k % 8 + 1 AS sl, ord - 1 AS z, p, s, flag, CASE p % 7 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' WHEN 2 THEN 'chart' ELSE 'text' END AS kind, CASE WHEN p % 7 > 2 THEN s % 4 ELSE 0 END AS hold FROM lines),
+at_ AS (SELECT *, CASE WHEN hold = 0 OR p % 3 = 0 THEN [p % 50, s % 30, 10, 11 + z] WHEN hold = 1 THEN [1, 2, 3, 40] WHEN hold = 2 THEN [10 + d % 5, 5, 20, 20] WHEN d % 2 = 1 THEN [45, 0, 5, 50] ELSE [0, 0, 0, 0] END AS b FROM sh),
+tl AS (SELECT d, sl, min(z) AS z, min_by(flag || p, z) AS text FROM at_ WHERE hold = 1 AND p % 10 <> 0 GROUP BY ALL),
+ps AS (SELECT d, sl, z, b, hold, unnest([0, 1]) AS part, unnest([p % 2, 0]) AS level, unnest([CASE s % 3 WHEN 0 THEN 'inherit' WHEN 1 THEN 'bullet' ELSE 'none' END, 'inherit']) AS bullet, unnest([flag || p, CASE s % 2 WHEN 1 THEN 'x' || s ELSE '' END]) AS text FROM at_ WHERE kind = 'text'),
+li AS (SELECT *, bullet = 'bullet' OR bullet = 'inherit' AND (hold = 2 OR level > 0) AS listed FROM ps WHERE text <> ''),
+el AS (SELECT d, sl, 0 AS last, b[1] AS t, b[2] AS l, z, part, CASE WHEN listed THEN 'list_item' ELSE 'paragraph' END AS type, text, CASE WHEN listed THEN level END AS level, NULL AS note, NULL AS rows, NULL AS spans FROM li ANTI JOIN tl USING (d, sl, z)
+  UNION ALL SELECT d, sl, 0, b[1], b[2], z, 0, 'table', NULL, NULL, NULL, flag || '|' || CASE WHEN p % 2 = 0 THEN CAST(s AS VARCHAR) ELSE '' END || '/|' || p, CASE WHEN p % 2 = 1 THEN '0.0.1.2' END FROM at_ WHERE kind = 'table'
+  UNION ALL SELECT d, sl, 0, b[1], b[2], z, 0, 'picture', CASE s % 3 WHEN 0 THEN 'image' ELSE 'pic' || p END, NULL, '{slides.PICTURE}', NULL, NULL FROM at_ WHERE kind = 'picture'
+  UNION ALL SELECT d, sl, 0, b[1], b[2], z, 0, 'chart', CASE s % 2 WHEN 0 THEN 'LINE (4)' ELSE 'c' || s END, NULL, NULL, NULL, NULL FROM at_ WHERE kind = 'chart'
+  UNION ALL SELECT d, sl, 1, 0, 0, 1000, 0, 'note', 'note ' || p, NULL, '{slides.NOTES}', NULL, NULL FROM at_ WHERE z = 0 AND s % 5 = 0),
+ov AS (SELECT DISTINCT x.d, x.sl FROM at_ x JOIN at_ y ON x.d = y.d AND x.sl = y.sl AND x.z < y.z AND x.kind = 'text' AND y.kind = 'text'
+  WHERE least(x.b[1] + x.b[3], y.b[1] + y.b[3]) > greatest(x.b[1], y.b[1]) AND least(x.b[2] + x.b[4], y.b[2] + y.b[4]) > greatest(x.b[2], y.b[2])),
+sg AS (SELECT d, sl, bool_or(kind = 'table' AND p % 2 = 1) AS merged, bool_or(kind = 'chart') AS chart, bool_or(p % 10 = 0) AS grouped, NOT bool_or(kind = 'text') AND bool_or(kind = 'picture') AS image_only FROM at_ GROUP BY ALL),
+un AS (SELECT o_orderkey // 8 AS d, o_orderkey % 8 + 1 AS sl FROM orders)"""
+
+
+@query(f"""WITH {SLIDES} SELECT d AS doc_id, CAST(sl AS INT) AS unit_no, CAST(row_number() OVER (PARTITION BY d, sl ORDER BY last, t, l, z, part) AS INT) AS elem_no, CASE type WHEN 'picture' THEN 'image' ELSE type END AS type, text, CAST(level AS INT) AS level, note, rows, spans, NULL AS signals FROM el
+UNION ALL SELECT un.d, CAST(un.sl AS INT), 0, 'unit', coalesce(tl.text, ''), NULL, NULL, NULL, NULL, concat_ws(' ', CASE WHEN merged THEN 'merged' END, CASE WHEN sg.chart THEN 'chart' END, CASE WHEN ov.d IS NOT NULL THEN 'overlap' END, CASE WHEN grouped THEN 'grouped' END, CASE WHEN image_only THEN 'image_only' END,
+  CASE WHEN NOT EXISTS (FROM el WHERE el.d = un.d AND el.sl = un.sl) THEN 'empty' END)
+FROM un LEFT JOIN sg USING (d, sl) LEFT JOIN tl ON tl.d = un.d AND tl.sl = un.sl LEFT JOIN ov ON ov.d = un.d AND ov.sl = un.sl""")
+def slide_elements(spark, sf_dir):
+    """Decks of eight orders; places come from the shape, its layout or its master."""
+    k, z, p, s, flag = F.col("k"), F.col("ord") - 1, F.col("p"), F.col("s"), F.col("flag")
+    deck, said = lambda c: F.floor(c / 8).cast("string"), lambda c: c.cast("string")
+    kind = F.when(p % 7 == 0, "table").when(p % 7 == 1, "picture").when(p % 7 == 2, "chart").otherwise("text")
+    hold = F.when(p % 7 > 2, s % 4).otherwise(0)
+    stated = (hold == 0) | (p % 3 == 0)
+    at = [F.when(stated, x).cast("long").alias(c) for c, x in zip(slides.PLACE, (p % 50, s % 30, F.lit(10), 11 + z), strict=True)]
+    paragraph = lambda level, bullet, text: F.struct(level.cast("int").alias("level"), bullet.alias("bullet"), text.alias("text"))
+    told = F.concat(flag, said(p))
+    paragraphs = F.array(paragraph(p % 2, F.when(s % 3 == 0, "inherit").when(s % 3 == 1, "bullet").otherwise("none"), told), paragraph(F.lit(0), F.lit("inherit"), F.when(s % 2 == 1, F.concat(F.lit("x"), said(s))).otherwise("")))
+    cell = lambda text, wide=F.lit(1), hidden=F.lit(False): F.struct(text.alias("text"), F.lit(1).alias("rowspan"), wide.cast("int").alias("colspan"), hidden.alias("covered"))
+    cells = F.array(F.array(cell(flag, 1 + p % 2), cell(said(s), hidden=p % 2 == 1)), F.array(cell(F.lit("")), cell(said(p))))
+    none = F.array().cast("array<string>")
+    chart = F.struct(F.lit("LINE (4)").alias("kind"), F.when(s % 2 == 1, F.concat(F.lit("c"), said(s))).alias("title"), none.alias("series_refs"), none.alias("categories"), F.array().cast("array<struct<name:string,ref:string,values:array<string>>>").alias("series"))
+    of = lines(spark, sf_dir)
+    here = [deck(k).alias("doc_id"), F.lit("shape").alias("layer"), said(k).alias("part"), (k % 8 + 1).cast("int").alias("slide")]
+    shape = of.select(
+        *here, F.lit("L").alias("up"), z.alias("z"), kind.alias("kind"), F.when(hold == 1, "title").when(hold == 2, "body").when(hold == 3, "ftr").alias("ph"), F.when(hold > 0, hold - 1).cast("int").alias("idx"),
+        F.when(s % 3 == 0, "").otherwise(F.concat(F.lit("pic"), said(p))).alias("name"), (p % 10 == 0).alias("grouped"), *at, F.when(kind == "text", told).alias("text"), F.when(kind == "text", paragraphs).alias("paragraphs"), F.when(kind == "table", cells).alias("cells"), F.when(kind == "chart", chart).alias("chart"),
+    )
+    notes = of.where((z == 0) & (s % 5 == 0)).select(*here, F.lit(1000).alias("z"), F.lit("notes").alias("kind"), F.concat(F.lit("note "), said(p)).alias("text"))
+    groups = of.groupBy("k").agg(F.max(p % 10 == 0).alias("grouped"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).join(groups, "k", "left")
+    unit = orders.select(here[0], F.lit("slide").alias("layer"), *here[2:], F.coalesce("grouped", F.lit(False)).alias("grouped"))
+    decks = orders.select(F.floor(k / 8).alias("d")).distinct()
+    base = lambda layer, part, up, z, ph, idx, box: F.struct(*[F.lit(x).cast(t).alias(n) for x, t, n in ((layer, "string", "layer"), (part, "string", "part"), (up, "string", "up"), (z, "int", "z"), (ph, "string", "ph"), (idx, "int", "idx"))], *[F.lit(x).cast("long").alias(n) for x, n in zip(box, slides.PLACE, strict=True)])
+    no = (None,) * 4
+    bases = F.array(base("layout", "L", "M", 0, "title", 0, no), base("layout", "L", "M", 1, "body", 1, (10 + F.col("d") % 5, 5, 20, 20)), base("master", "M", None, 0, "title", 0, (1, 2, 3, 40)), base("master", "M", None, 1, "ftr", 2, (45, 0, 5, 50)))
+    feet = F.when(F.col("d") % 2 == 1, F.array(base("layout", "L", "M", 2, "ftr", 2, no))).otherwise(F.filter(bases, lambda _: F.lit(False)))
+    held = decks.select(F.col("d").cast("string").alias("doc_id"), F.inline(F.concat(bases, feet)))
+    atoms = spark.createDataFrame([], slides.ATOMS)
+    for part in (shape, notes, unit, held):
+        atoms = atoms.unionByName(part, allowMissingColumns=True)
+    found = slides.elements(atoms)
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(".", *[x[c].cast("string") for c in ("row", "col", "rowspan", "colspan")])), " ")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "unit_no", "elem_no", "type", "text", "level", "note", rows.alias("rows"), spans.alias("spans"), F.array_join("signals", " ").alias("signals"))
+
+
 # Functions
 
 WS = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"

@@ -1,5 +1,5 @@
 """Decoders of office files and PDFs; all of them are in ``office.DECODERS``."""
 
-from . import hangul, office, pdf, sheets, slides
+from . import hangul, office, pdf, sheets
 
-office.DECODERS.update(slides.DECODERS | sheets.DECODERS | hangul.DECODERS | pdf.DECODERS)
+office.DECODERS.update(sheets.DECODERS | hangul.DECODERS | pdf.DECODERS)

@@ -7,7 +7,7 @@ import json
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..operators import records
+from ..operators import slides as slide_operators
 from ..schema import ELEMENTS, shaped
 from . import hangul, office, sheets, slides
 from .office import attr, child, local
@@ -116,133 +117,7 @@ def word(data: bytes) -> Iterator[dict]:
     yield from ({"unit_no": 1} | e for e in out)
 
 
-# PowerPoint
-
-#: Names and numbers of chart types, by plot, direction or style, and grouping.
-CHART_TYPES = {
-    "bar col clustered": "COLUMN_CLUSTERED (51)", "bar col stacked": "COLUMN_STACKED (52)", "bar col percentStacked": "COLUMN_STACKED_100 (53)",
-    "bar bar clustered": "BAR_CLUSTERED (57)", "bar bar stacked": "BAR_STACKED (58)", "bar bar percentStacked": "BAR_STACKED_100 (59)",
-    "line plain standard": "LINE (4)", "line plain stacked": "LINE_STACKED (63)", "line plain percentStacked": "LINE_STACKED_100 (64)",
-    "line markers standard": "LINE_MARKERS (65)", "line markers stacked": "LINE_MARKERS_STACKED (66)", "line markers percentStacked": "LINE_MARKERS_STACKED_100 (67)",
-    "area standard": "AREA (1)", "area stacked": "AREA_STACKED (76)", "area percentStacked": "AREA_STACKED_100 (77)",
-    "pie": "PIE (5)", "pie exploded": "PIE_EXPLODED (69)", "doughnut": "DOUGHNUT (-4120)", "doughnut exploded": "DOUGHNUT_EXPLODED (80)",
-    "radar standard": "RADAR (-4151)", "radar marker": "RADAR_MARKERS (81)", "radar filled": "RADAR_FILLED (82)", "bubble": "BUBBLE (15)",
-    "scatter lineMarker": "XY_SCATTER_LINES (74)", "scatter plain": "XY_SCATTER (-4169)", "scatter smoothMarker": "XY_SCATTER_SMOOTH (72)",
-}
-
-
-def chart_type(plot: ET.Element) -> str:
-    """The name of a plot's chart type, or its element where there is none."""
-    kind = local(plot.tag).removesuffix("Chart")
-    of = lambda name, default: (attr(x, "val") or default) if (x := child(plot, name)) is not None else default
-    exploded = any(local(x.tag) == "explosion" for x in plot.iter())
-    plain = all(attr(x, "val") == "none" for x in plot.iter() if local(x.tag) == "symbol") and any(local(x.tag) == "symbol" for x in plot.iter())
-    key = {
-        "bar": f"bar {of('barDir', 'col')} {of('grouping', 'clustered')}",
-        "line": f"line {'plain' if plain else 'markers'} {of('grouping', 'standard')}",
-        "area": f"area {of('grouping', 'standard')}",
-        "pie": "pie exploded" if exploded else "pie",
-        "doughnut": "doughnut exploded" if exploded else "doughnut",
-        "radar": f"radar {of('radarStyle', 'standard')}",
-        "scatter": f"scatter {of('scatterStyle', 'lineMarker')}",
-    }.get(kind, kind)
-    return CHART_TYPES.get(key, local(plot.tag))
-
-
-def _deck_chart(root: ET.Element) -> dict:
-    chart = child(root, "chart")
-    head = child(chart, "title")
-    title = "".join(t.text or "" for t in head.iter() if local(t.tag) == "t").strip() or None if head is not None else None
-    plots = [x for x in child(chart, "plotArea") if local(x.tag).endswith("Chart")]
-    series = [s for p in plots for s in p if local(s.tag) == "ser"]
-    first = slides._points(child(series[0], "cat")) if series else {}
-
-    def values(s: ET.Element) -> list[str]:
-        part = child(s, "val") if child(s, "val") is not None else child(s, "yVal")
-        points = slides._points(part)
-        count = next((int(attr(x, "val")) for x in part.iter() if local(x.tag) == "ptCount"), len(points)) if part is not None else 0
-        return [repr(float(points[i])) if i in points else "None" for i in range(max(count, max(points, default=-1) + 1))]
-
-    named = [{"name": slides._points(child(s, "tx")).get(0), "ref": None, "values": values(s)} for s in series]
-    kind = chart_type(plots[0]) if plots else "?"
-    return {"type": "chart", "text": title or kind, "chart": {"kind": kind, "title": title, "series_refs": None, "categories": [first[k] for k in sorted(first)], "series": named}}
-
-
-def _overlap(a: list[int], b: list[int]) -> bool:
-    return all(a[k] < b[k] + b[k + 2] and b[k] < a[k] + a[k + 2] for k in (0, 1))
-
-
-def _slide(deck: slides.Deck, part: str, root: ET.Element) -> tuple[str, list[dict], list[str]]:
-    out: list[dict] = []
-    signals: dict[str, None] = {}
-    boxes, texts, pictures, title = [], 0, 0, None
-    leaves = sorted(slides._shapes(root), key=lambda x: tuple(slides._box(x[1])[:2]))
-    related = deck.related(part)
-    for _, e, _ in leaves:
-        kind, holder = slides._kind(e), slides._placeholder(e)
-        if kind == "table":
-            rows, spans = [], []
-            for r, tr in enumerate(x for x in slides._graphic(e, "tbl") if local(x.tag) == "tr"):
-                rows.append([])
-                for c, tc in enumerate(x for x in tr if local(x.tag) == "tc"):
-                    covered = any(attr(tc, n) in ("1", "true") for n in ("hMerge", "vMerge"))
-                    rows[-1].append("" if covered else " ".join("\n".join(slides._text(p) for p in slides._paragraphs(child(tc, "txBody"))).split()))
-                    span = {"row": r, "col": c, "rowspan": int(attr(tc, "rowSpan") or 1), "colspan": int(attr(tc, "gridSpan") or 1)}
-                    spans += [span] if not covered and (span["rowspan"] > 1 or span["colspan"] > 1) else []
-            if any(map(any, rows)):
-                out.append({"type": "table", "rows": rows, "spans": spans or None})
-                signals |= {"merged": None} if spans else {}
-        elif kind == "chart":
-            key = next((v for n, v in slides._graphic(e, "chart").attrib.items() if n.endswith("}id")), None)
-            if key in related:
-                out.append(_deck_chart(deck.part(related[key][1])))
-                signals["chart"] = None
-        elif kind == "picture":
-            pictures += 1
-            name = next((attr(x, "name") for x in e.iter() if local(x.tag) == "cNvPr"), None)
-            out.append({"type": "image", "text": name or "image", "note": "picture present; not extracted in this pass"})
-        elif local(e.tag) == "sp":
-            paragraphs = slides._paragraphs(child(e, "txBody"))
-            whole = "\n".join(slides._text(p) for p in paragraphs).strip()
-            if not whole:
-                continue
-            texts += 1
-            top, left, height, width = slides._box(e)
-            boxes.append([left, top, width, height])
-            if holder in slides.TITLE and title is None:
-                title = whole
-                continue
-            for p in paragraphs:
-                text = slides._text(p).strip()
-                pr = child(p, "pPr")
-                level, bullet = int(attr(pr, "lvl") or 0) if pr is not None else 0, slides._bullet(p)
-                if text:
-                    listed = bullet == "bullet" or (bullet == "inherit" and (holder in slides.BODY or level > 0))
-                    out.append({"type": "list_item", "text": text, "level": level} if listed else {"type": "paragraph", "text": text})
-    for kind, target in related.values():
-        if kind == "notesSlide":
-            for _, e, _ in slides._shapes(deck.part(target)):
-                note = "\n".join(slides._text(p) for p in slides._paragraphs(child(e, "txBody"))).strip()
-                if slides._placeholder(e) == "body" and note:
-                    out.append({"type": "note", "text": note, "note": "speaker-notes"})
-    if any(_overlap(a, b) for i, a in enumerate(boxes) for b in boxes[i + 1 :]):
-        signals["overlap"] = None
-    if any(local(x.tag) == "grpSp" for x in child(root, "cSld", "spTree")):
-        signals["grouped"] = None
-    if not texts and pictures:
-        signals["image_only"] = None
-    if not out:
-        signals["empty"] = None
-    return title or "", out, list(signals)
-
-
-def deck(data: bytes) -> Iterator[dict]:
-    """Units are slides, in order; shapes from top to bottom, then from left; notes last."""
-    d = slides.Deck(data)
-    for no, part, root in d.slides():
-        title, elements, signals = _slide(d, part, root)
-        yield {"type": "unit", "unit_no": no, "text": title, "signals": signals}
-        yield from ({"unit_no": no} | e for e in elements)
+# Hangul, zipped
 
 
 def hwpx(data: bytes) -> Iterator[dict]:
@@ -253,15 +128,19 @@ def hwpx(data: bytes) -> Iterator[dict]:
             yield {"unit_no": no} | e
 
 
-READERS = {"docx": word, "pptx": deck, "hwp": hwpx, "hwpx": hwpx}
-WORKBOOKS = ("xlsx", "xlsm")
+READERS = {"docx": word, "hwp": hwpx, "hwpx": hwpx}
+WORKBOOKS, DECKS = ("xlsx", "xlsm"), ("pptx",)
 
 
 def elements(files: DataFrame, strict: bool = False, store: str | None = None) -> DataFrame:
     """Rows of ``schema.ELEMENTS`` of files (path, content), by the file's ending. A file that can't be read gives one row
     with ``error``; ``strict`` raises instead. ``store`` as in ``sheets.elements``."""
-    book = _ending().isin(*WORKBOOKS)
-    return _others(files.where(~book), strict).unionByName(shaped(sheets.elements(files.where(book), strict, store)))
+    book, deck = _ending().isin(*WORKBOOKS), _ending().isin(*DECKS)
+    return _all(files.where(~book & ~deck), files.where(deck), files.where(book), strict, store)
+
+
+def _all(others: DataFrame, decks: DataFrame, books: DataFrame, strict: bool, store: str | None) -> DataFrame:
+    return _others(others, strict).unionByName(from_decks(decks, strict)).unionByName(shaped(sheets.elements(books, strict, store)))
 
 
 def _ending() -> Column:
@@ -274,6 +153,12 @@ def _others(files: DataFrame, strict: bool) -> DataFrame:
     return _read(files.where(~binary), strict).unionByName(from_records(files.where(binary), strict))
 
 
+def from_decks(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Elements of pptx files, each decoded once; units are slides in order."""
+    found = slide_operators.elements(_decoded(files, lambda _, data: slides.atoms(data), slide_operators.ATOMS, strict))
+    return shaped(found.withColumn("format", F.lit("pptx")))
+
+
 def from_records(files: DataFrame, strict: bool = False) -> DataFrame:
     """Elements of binary hwp files; units are sections that have records."""
     atoms = office.decode(files, "hwp_records", strict).withColumn("format", F.lower(F.regexp_extract("doc_id", r"([^./\\]*)$", 1)))
@@ -286,37 +171,47 @@ def from_records(files: DataFrame, strict: bool = False) -> DataFrame:
     return shaped(found.drop("section", "section_no", "rec").unionByName(units, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True))
 
 
-def _read(files: DataFrame, strict: bool) -> DataFrame:
-    schema = to_arrow_schema(_parse_datatype_string(ELEMENTS))
-    names = [f.name for f in schema]
+def _decoded(files: DataFrame, read: Callable[[str, bytes], Iterator[dict]], schema: str, strict: bool) -> DataFrame:
+    """What ``read`` finds in files (path, content), as rows of ``schema``, which has doc_id and error; what it leaves out is null.
+    A file that can't be read gives one row with ``error``; ``strict`` raises instead."""
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+    blank = dict.fromkeys(f.name for f in shape)
 
-    def rows(path: str, data: bytes) -> Iterator[dict]:
-        kind = path.rsplit(".", 1)[-1].lower()
+    def rows(path: str, data: bytes) -> list[dict]:
         try:
-            last, nth = None, 0
-            out = []
-            for e in READERS[kind](data):
-                nth = 0 if e["unit_no"] != last else nth + 1
-                last = e["unit_no"]
-                out.append(dict.fromkeys(names) | {"doc_id": path, "format": kind, "elem_no": nth} | e)
-            return out
+            return [blank | {"doc_id": path} | e for e in read(path, data)]
         except Exception as e:  # a damaged file is reported in its row
             if strict:
                 raise
-            return [dict.fromkeys(names) | {"doc_id": path, "format": kind, "type": "error", "error": f"{type(e).__name__}: {e}"}]
+            return [blank | {"doc_id": path, "error": f"{type(e).__name__}: {e}"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if found := rows(path, data):
-                    yield pa.RecordBatch.from_pylist(found, schema)
+                    yield pa.RecordBatch.from_pylist(found, shape)
+
+    return files.select("path", F.col("content")).mapInArrow(run, schema)
+
+
+def _read(files: DataFrame, strict: bool) -> DataFrame:
+    """Elements of files by readers of whole files, by the file's ending."""
+    kind = lambda path: path.rsplit(".", 1)[-1].lower()
+    found = _decoded(files, lambda path, data: _numbered(READERS[kind(path)](data)), ELEMENTS, strict)
+    return found.withColumns({"format": F.lower(F.regexp_extract("doc_id", r"([^./\\]*)$", 1)), "type": F.when(F.col("error").isNotNull(), "error").otherwise(F.col("type"))})
+
 
-    return files.select("path", F.col("content")).mapInArrow(run, ELEMENTS)
+def _numbered(elements: Iterator[dict]) -> Iterator[dict]:
+    """With their place within their unit."""
+    last, nth = None, 0
+    for e in elements:
+        nth = 0 if e["unit_no"] != last else nth + 1
+        last = e["unit_no"]
+        yield {"elem_no": nth} | e
 
 
 def read_documents(spark: SparkSession, path: str, strict: bool = False, store: str | None = None) -> DataFrame:
-    """``elements`` of a folder; workbooks and other files are listed apart, so that neither scan reads the other's."""
-    scan = lambda kinds: spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(path)
-    endings = lambda kinds: [x for k in kinds for x in (k, k.upper())]
-    books = sheets.elements(scan(endings(WORKBOOKS)), strict, store)
-    return _others(scan(endings(READERS)), strict).unionByName(shaped(books))
+    """``elements`` of a folder; workbooks, decks and other files are listed apart, so that no scan reads another's."""
+    endings = lambda kinds: ",".join(x for k in kinds for x in (k, k.upper()))
+    scan = lambda kinds: spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + endings(kinds) + "}").load(path)
+    return _all(scan(READERS), scan(DECKS), scan(WORKBOOKS), strict, store)

@@ -3,7 +3,8 @@
 import io
 import zipfile
 
-from folioframe.sources import office
+from folioframe.operators import slides as operators
+from folioframe.sources import documents, slides
 
 NS = 'xmlns:p="p" xmlns:a="a" xmlns:r="http://x/relationships" xmlns:c="c"'
 
@@ -51,19 +52,68 @@ def deck():
     })
 
 
-def test_pptx(spark):
-    files = spark.createDataFrame([("a", bytearray(deck())), ("bad", bytearray(b"x"))], "path string, content binary")
-    got = {k: [tuple(r) for r in office.decode(files, k).collect()] for k in ("pptx_shapes", "pptx_paragraphs", "pptx_cells", "pptx_series")}
-    assert all([r[-1] for r in v if r[0] == "bad"] == ["BadZipFile: File is not a zip file"] for v in got.values())
-    own = {k: [r[1:-1] for r in v if r[0] == "a"] for k, v in got.items()}
-    assert own["pptx_shapes"] == [
-        (1, 0, "text", "title", "T", False, 0, 0, 0, 0, "Title"),
-        (1, 1, "text", "obj", "B", True, 7, 5, 10, 20, "item\nplain"),
-        (1, 2, "table", None, None, False, 2, 1, 0, 0, None),
-        (1, 3, "notes", "body", None, False, 0, 0, 0, 0, "say this"),
-        (2, 0, "chart", None, None, False, 2, 1, 0, 0, None),
-        (3, 0, "empty", None, None, False, 0, 0, 0, 0, None),
+def read(spark, **named):
+    files = spark.createDataFrame([(f"{k}.pptx", bytearray(v)) for k, v in named.items()], "path string, content binary")
+    return documents.from_decks(files)
+
+
+def test_atoms():
+    found = list(slides.atoms(deck()))
+    shapes = [(a["slide"], a["z"], a["kind"], a.get("ph"), a.get("idx"), a["grouped"], a.get("top"), a.get("left"), a.get("height"), a.get("width"), a.get("text")) for a in found if a["layer"] == "shape"]
+    assert shapes == [
+        (1, 0, "text", "title", 0, False, None, None, None, None, "Title"),
+        (1, 1, "text", "obj", 0, True, 7, 5, 10, 20, "item\nplain"),
+        (1, 2, "table", None, None, False, 2, 1, None, None, None),
+        (1, 3, "notes", None, None, False, None, None, None, None, "say this"),
+        (2, 0, "chart", None, None, False, 2, 1, None, None, None),
     ]
-    assert own["pptx_paragraphs"] == [(1, 0, 0, 0, "inherit", "Title"), (1, 1, 0, 1, "bullet", "item"), (1, 1, 1, 0, "none", "plain")]
-    assert own["pptx_cells"] == [(1, 2, 0, 0, 1, 2, False, "a b"), (1, 2, 0, 1, 1, 1, True, ""), (1, 2, 1, 0, 1, 1, False, "c"), (1, 2, 1, 1, 1, 1, False, "d")]
-    assert own["pptx_series"] == [(2, 0, "barChart", "Sales", "Q", 0, "A", "260"), (2, 0, "barChart", "Sales", "Q", 1, "B", "295")]
+    assert [(a["slide"], a["grouped"]) for a in found if a["layer"] == "slide"] == [(1, True), (2, False), (3, False)]
+    assert found[2]["paragraphs"] == [{"level": 1, "bullet": "bullet", "text": "item"}, {"level": 0, "bullet": "none", "text": "plain"}]
+    cell = lambda text, colspan=1, covered=False: {"text": text, "rowspan": 1, "colspan": colspan, "covered": covered}
+    assert found[3]["cells"] == [[cell("a b", 2), cell("", covered=True)], [cell("c"), cell("d")]]
+    chart = found[6]["chart"]
+    assert (chart["title"], chart["categories"], chart["series"]) == ("Sales", ["A", "B"], [{"name": "Q", "ref": None, "values": ["260.0", "295.0"]}])
+
+
+def place(top, left, height=10, width=100):
+    return f'<a:xfrm><a:off x="{left}" y="{top}"/><a:ext cx="{width}" cy="{height}"/></a:xfrm>'
+
+
+def inherited_deck():
+    """Four text placeholders without places of their own, in reverse of the order that layout and master give them, and a box."""
+    ph = lambda kind, idx: f'<p:ph type="{kind}" idx="{idx}"/>'
+    body = shape("foot", [("", "foot")], ph("ftr", 11)) + shape("low", [("", "low")], ph("body", 2)) + shape("high", [("", "high")], ph("body", 1)) + shape("T", [("", "Title")], '<p:ph type="ctrTitle"/>')
+    body += shape("free", [("", "free")], box=place(35, 0)) + shape("lost", [("", "lost")], ph("body", 77))
+    tops = shape("", [], ph("body", 1), place(30, 0)) + shape("", [], ph("body", 1), place(900, 0)) + shape("", [], ph("obj", 2)) + shape("", [], '<p:ph type="title"/>') + shape("", [], ph("ftr", 11))
+    master = shape("", [], '<p:ph type="title"/>', place(5, 0)) + shape("", [], ph("body", 1), place(60, 0)) + shape("", [], ph("ftr", 4), place(90, 0))
+    return zipped({
+        "ppt/presentation.xml": f'<p:presentation {NS}><p:sldIdLst><p:sldId id="1" r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(("r1", "slide", "slides/slide1.xml")),
+        "ppt/slides/slide1.xml": slide(body),
+        "ppt/slides/_rels/slide1.xml.rels": rels(("l", "slideLayout", "../slideLayouts/l.xml")),
+        "ppt/slideLayouts/l.xml": slide(tops),
+        "ppt/slideLayouts/_rels/l.xml.rels": rels(("m", "slideMaster", "../slideMasters/m.xml")),
+        "ppt/slideMasters/m.xml": slide(master),
+    })
+
+
+def test_inherited_places(spark):
+    """A layout's placeholder of the index gives the place (the first of two), else the master's of its type; without either it is 0."""
+    got = read(spark, a=inherited_deck(), bad=b"x").collect()
+    own = sorted((r for r in got if r.error is None), key=lambda r: r.elem_no)
+    assert [(r.type, r.text) for r in own] == [("unit", "Title"), ("list_item", "lost"), ("list_item", "high"), ("paragraph", "free"), ("list_item", "low"), ("paragraph", "foot")]
+    assert own[0].signals == ["overlap"]  # high and free: 30 to 40, 35 to 45
+    assert [(r.doc_id, r.type, r.error) for r in got if r.error] == [("bad.pptx", "error", "BadZipFile: File is not a zip file")]
+    frame = spark.createDataFrame([{"doc_id": "d"} | a for a in slides.atoms(inherited_deck())], operators.ATOMS)
+    places = {r.text: r.top for r in operators.placed(frame).where("layer = 'shape'").collect()}
+    assert places == {"foot": 90, "low": 60, "high": 30, "Title": 5, "free": 35, "lost": None}
+
+
+def test_deck_is_one_exchange(spark):
+    """Inheritance, order and assembly follow one exchange by deck."""
+    plan = operators.elements(spark.createDataFrame([], operators.ATOMS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Window") >= 3
+
+
+def test_no_slides(spark):
+    assert operators.elements(spark.createDataFrame([], operators.ATOMS)).count() == 0
