@@ -315,17 +315,34 @@ def to_json(elements: DataFrame) -> DataFrame:
     return heads.unionByName(body).groupBy("doc_id", "format").applyInPandas(one, "doc_id string, json string")
 
 
+def stems(ids: DataFrame) -> DataFrame:
+    """(doc_id, stem) of distinct doc_ids: the base name without its ending; where others have that too, in any case of
+    letters, the base name with the ending and sixteen digits of the doc_id's SHA-256, so that documents never share a file."""
+    base = F.regexp_extract("doc_id", r"([^/\\]*)[/\\]*$", 1)
+    short = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
+    named = ids.select("doc_id", base.alias("_base"), F.when(short == "", "document").otherwise(short).alias("_short")).withColumn("_key", F.lower("_short"))
+    count = named.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    digest = F.substring(F.sha2(F.col("doc_id"), 256), 1, 16)
+    return named.join(count, "_key", "left").select("doc_id", F.when(F.col("_n").isNull(), F.col("_short")).otherwise(F.concat_ws("-", "_base", digest)).alias("stem"))
+
+
+def write(elements: DataFrame, folder: str, assets: str | None = None, renders: str | None = None) -> DataFrame:
+    """Write <stem>.md and <stem>.json (``stems``) of every document into a folder, from executors; ``assets`` and ``renders`` as
+    in ``to_markdown``. Returns (doc_id, stem)."""
+    from .sources import sink
+
+    sink.register(elements.sparkSession)
+    named = stems(elements.select("doc_id").distinct())
+    both = to_markdown(elements, assets, renders=renders).join(to_json(elements), "doc_id").join(named, "doc_id")
+    file = lambda end, body: F.struct(F.concat("stem", F.lit(end)).alias("name"), F.col(body).alias("body"))
+    both.select(F.inline(F.array(file(".md", "markdown"), file(".json", "json")))).write.format("text_files").mode("append").save(folder)
+    return named
+
+
 def save(elements: DataFrame, folder: str, assets: str | None = None, renders: str | None = None) -> Iterator[tuple[str, str]]:
-    """Write <stem>.md and <stem>.json of every document into a folder of the driver's, one after the other; ``assets`` and
-    ``renders`` as in ``to_markdown``."""
-    os.makedirs(folder, exist_ok=True)
-    both = to_markdown(elements, assets, renders=renders).join(to_json(elements), "doc_id")
-    for r in both.toLocalIterator():
-        stem = os.path.join(folder, os.path.splitext(os.path.basename(r.doc_id))[0])
-        for end, body in ((".md", r.markdown), (".json", r.json)):
-            with open(stem + end, "w", encoding="utf-8") as f:
-                f.write(body)
-        yield stem + ".md", stem + ".json"
+    """``write``, then the paths of each document's two files."""
+    for r in write(elements, folder, assets, renders).toLocalIterator():
+        yield tuple(os.path.join(folder, r.stem + end) for end in (".md", ".json"))
 
 
 def crosscheck(path: str) -> str | None:
