@@ -56,14 +56,16 @@ def block_text(spans: DataFrame) -> DataFrame:
 def interleave(texts: DataFrame, objects: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Texts (pos, top) keep their order; each object (top, ord) goes before the first text at or below its top, or to the
     end; of several in one place the lower comes first. Adds nth, from 0. ``carry``: columns of both that stay."""
-    carry = carry or []
-    place = objects.alias("o").join(texts.select(*KEYS, F.col("pos").alias("tpos"), F.col("top").alias("ttop")), KEYS, "left")
-    slot = place.groupBy(*KEYS, "ord", "top").agg(F.min(F.when(F.col("ttop") >= F.col("top"), F.col("tpos"))).alias("slot"), *[F.first(c).alias(c) for c in carry])
-    far = F.lit(2**31 - 1)
-    every = texts.select(*KEYS, F.lit("text").alias("kind"), F.col("pos").alias("ord"), "top", F.col("pos").alias("slot"), F.lit(1).alias("_t"), F.lit(0.0).alias("_y"), *carry).unionByName(
-        slot.select(*KEYS, F.lit("object").alias("kind"), "ord", "top", F.coalesce("slot", far).cast("int").alias("slot"), F.lit(0).alias("_t"), (-F.col("top")).cast("double").alias("_y"), *carry)
+    carry, far = carry or [], F.lit(2**31 - 1)
+    every = texts.select(*KEYS, F.lit("text").alias("kind"), F.col("pos").alias("ord"), "top", F.col("pos").alias("_pos"), *carry).unionByName(
+        objects.select(*KEYS, F.lit("object").alias("kind"), "ord", "top", F.lit(None).cast("int").alias("_pos"), *carry)
     )
-    w = Window.partitionBy(*KEYS).orderBy("slot", "_t", "_y", "ord")
+    # Both windows are dealt by page, so one exchange serves them; peers of a top are in its frame.
+    below = F.min("_pos").over(Window.partitionBy(*KEYS).orderBy(F.col("top").desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    text = F.col("kind") == "text"
+    slot = F.when(text, F.col("ord")).when(F.col("top").isNull(), far).otherwise(F.coalesce(below, far))
+    every = every.withColumns({"_slot": slot, "_t": text.cast("int"), "_y": F.when(text, 0.0).otherwise(-F.col("top").cast("double"))})
+    w = Window.partitionBy(*KEYS).orderBy("_slot", "_t", "_y", "ord")
     return every.withColumn("nth", F.row_number().over(w) - 1).select(*KEYS, "kind", "ord", "nth", *carry)
 
 

@@ -27,9 +27,8 @@ def _bands(edges: DataFrame, number: str, low: str, high: str) -> DataFrame:
     return both.where(F.col(high).isNotNull())
 
 
-def ruled_cells(drawings: DataFrame) -> DataFrame:
-    """Cells (doc_id, page, grid, row, col, x0, y0, x1, y1) that drawn lines and boxes close on all four sides. Rows of
-    cells that follow each other without a gap are one grid."""
+def _units(drawings: DataFrame) -> DataFrame:
+    """The places between neighbouring lines of a page (row, col and box), and which of their sides are drawn."""
     edge = "struct<horizontal:boolean,at:double,a:double,b:double>"
     x0, x1, y0, y1 = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
     one = lambda horizontal, at, a, b: F.struct(F.lit(horizontal).alias("horizontal"), at.alias("at"), a.alias("a"), b.alias("b")).cast(edge)
@@ -39,11 +38,44 @@ def ruled_cells(drawings: DataFrame) -> DataFrame:
     edges = drawings.select(*KEYS, F.explode(found).alias("e")).select(*KEYS, "e.*")
     cell = _bands(edges.where("horizontal"), "row", "y0", "y1").join(_bands(edges.where("not horizontal"), "col", "x0", "x1"), KEYS)
     covers = lambda drawn, a, b: F.exists(drawn, lambda e: (e["a"] <= F.col(a) + SNAP) & (e["b"] >= F.col(b) - SNAP))
-    closed = covers("row_first", "x0", "x1") & covers("row_last", "x0", "x1") & covers("col_first", "y0", "y1") & covers("col_last", "y0", "y1")
-    cell = cell.where(closed).select(*KEYS, "row", "col", "x0", "y0", "x1", "y1")
+    sides = {"top": ("row_first", "x0", "x1"), "bottom": ("row_last", "x0", "x1"), "left": ("col_first", "y0", "y1"), "right": ("col_last", "y0", "y1")}
+    return cell.select(*KEYS, "row", "col", "x0", "y0", "x1", "y1", *[covers(*of).alias(side) for side, of in sides.items()])
+
+
+def ruled_cells(drawings: DataFrame) -> DataFrame:
+    """Cells (doc_id, page, grid, row, col, x0, y0, x1, y1) that drawn lines and boxes close on all four sides. Rows of
+    cells that follow each other without a gap are one grid."""
+    cell = _units(drawings).where(F.col("top") & F.col("bottom") & F.col("left") & F.col("right")).select(*KEYS, "row", "col", "x0", "y0", "x1", "y1")
     return cell.withColumn("grid", F.col("row") - F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("row")))
 
 
+def ruled_spans(drawings: DataFrame) -> DataFrame:
+    """Cells (doc_id, page, grid, row, col, rowspan, colspan, x0, y0, x1, y1) that drawn lines close, merged ones as well: places of a
+    row without a line between them are a run, and runs of the same columns without a line between them are a cell, which counts
+    if all of its border is drawn. What isn't a rectangle has no whole border, so none of it is a cell. Rows that follow each
+    other, or that a cell reaches over, are one grid."""
+    place = _units(drawings)
+    run = F.sum(F.col("left").cast("int")).over(Window.partitionBy(*KEYS, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    runs = place.withColumn("_run", run).groupBy(*KEYS, "row", "_run").agg(
+        F.min("col").alias("col"), F.count(F.lit(1)).cast("int").alias("colspan"), *box, F.bool_or("top").alias("cut"), F.bool_and("top").alias("top"),
+        F.bool_and("bottom").alias("bottom"), F.min_by("left", "col").alias("left"), F.max_by("right", "col").alias("right"),
+    )
+    by = [*KEYS, "col", "colspan"]
+    order = Window.partitionBy(*by).orderBy("row")
+    apart = F.col("cut") | ~(F.lag("row").over(order).eqNullSafe(F.col("row") - 1))
+    whole = runs.withColumn("_new", apart.cast("int")).withColumn("_cell", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cell = whole.groupBy(*by, "_cell").agg(
+        F.min_by("top", "row").alias("top"), F.max_by("bottom", "row").alias("bottom"), F.bool_and("left").alias("left"), F.bool_and("right").alias("right"), F.min("row").alias("row"), F.count(F.lit(1)).cast("int").alias("rowspan"), *box,
+    )
+    cell = cell.where(F.col("top") & F.col("bottom") & F.col("left") & F.col("right"))
+    page = Window.partitionBy(*KEYS).orderBy("row", "col")
+    reached = F.max(F.col("row") + F.col("rowspan")).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    cell = cell.withColumn("_gap", F.coalesce((F.col("row") > reached).cast("int"), F.lit(0)))
+    grid = F.sum("_gap").over(page.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    return cell.withColumn("grid", grid).select(*KEYS, "grid", "row", "col", "rowspan", "colspan", "x0", "y0", "x1", "y1")
+
+
 def lattice_boxes(cells: DataFrame, pages: DataFrame) -> DataFrame:
     """Boxes (doc_id, page, table, x0, y0, x1, y1) of tables whose cells are given from the bottom left of the media box,
     from its top left instead."""
@@ -54,8 +86,9 @@ def lattice_boxes(cells: DataFrame, pages: DataFrame) -> DataFrame:
 
 def ruled_tables(drawings: DataFrame, spans: DataFrame) -> DataFrame:
     """At most one table a page (doc_id, page, rows, x0, y0, x1, y1): of the grids with two rows, two columns and a row with
-    two filled cells the one with most filled cells, the upper one of ties; without empty rows."""
-    cells = ruled_cells(drawings).alias("c")
+    two filled cells the one with most filled cells, the upper one of ties; without empty rows. A merged cell's text is in its first
+    place, the others are blank."""
+    cells = ruled_spans(drawings).alias("c")
     s = spans.select(*KEYS, "block", "line", "span", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")).alias("s")
     inside = (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.page") == F.col("c.page")) & (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))
     words = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block", "line", "span", "text"))))

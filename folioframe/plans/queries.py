@@ -688,6 +688,31 @@ def ruled_cells(spark, sf_dir):
     return found.select("doc_id", "row", "col", "x0", "y0", "x1", "y1")
 
 
+@query(f"""WITH {LINES}, u AS (SELECT a.k, a.ord, a.p % 5 <> 0 AS top, b.p % 5 <> 0 AS bottom, a.s % 4 <> 0 AS mid FROM lines a JOIN lines b ON a.k = b.k AND b.ord = a.ord + 1),
+i AS (SELECT *, CASE WHEN NOT top AND lag(ord) OVER (PARTITION BY k ORDER BY ord) = ord - 1 THEN 0 ELSE 1 END AS fresh FROM u WHERE mid),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY ord) AS g FROM i),
+c AS (SELECT k, min(ord) AS ord, 1 AS col, count(*) AS rowspan, 1 AS colspan FROM g GROUP BY k, g HAVING min_by(top, ord) AND max_by(bottom, ord)
+  UNION ALL SELECT k, ord, 0, 1, 1 FROM u WHERE mid UNION ALL SELECT k, ord, 0, 1, 2 FROM u WHERE NOT mid AND top AND bottom),
+r AS (SELECT *, max(ord + rowspan) OVER (PARTITION BY k ORDER BY ord, col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM c)
+SELECT k AS doc_id, CAST(sum(CASE WHEN ord > reached THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ord, col) AS INT) AS grid, CAST(ord - 1 AS INT) AS row, CAST(col AS INT) AS col, CAST(rowspan AS INT) AS rowspan, CAST(colspan AS INT) AS colspan,
+  CAST(50 * col AS DOUBLE) AS x0, CAST(20 * ord AS DOUBLE) AS y0, CAST(50 * (col + colspan) AS DOUBLE) AS x1, CAST(20 * (ord + rowspan) AS DOUBLE) AS y1 FROM r""")
+def ruled_spans(spark, sf_dir):
+    """Grids of two columns where some lines stop half-way and some rows lack the line between the columns."""
+    at, far = lines(spark, sf_dir), [F.lit(0.0), F.lit(100.0)]
+    y = (20 * F.col("ord")).cast("double")
+    stroke = lambda x0, x1, y0, y1: [F.col("k").alias("doc_id"), *[x.cast("double").alias(n) for x, n in ((x0, "x0"), (x1, "x1"), (y0, "y0"), (y1, "y1"))]]
+    mid = F.lit(50.0)
+    across = at.select(*stroke(far[0], F.when(F.col("p") % 5 == 0, mid).otherwise(far[1]), y, y))
+    between = at.where("s % 4 <> 0").select(*stroke(mid, mid, y, y + 20))
+    ends = at.groupBy("k").agg(F.max(y).alias("end"))
+    # A short line above the grid keeps its middle a line of the page where no row draws it.
+    sides = [ends.select(*stroke(x, x, F.lit(20.0), F.col("end"))) for x in far] + [ends.select(*stroke(mid, mid, F.lit(0.0), F.lit(5.0)))]
+    drawn = across.unionByName(between)
+    for side in sides:
+        drawn = drawn.unionByName(side)
+    return pages.ruled_spans(drawn.withColumns({"page": F.lit(1), "kind": F.lit("l")})).drop("page")
+
+
 @query(f"""WITH {LINES}, c AS (SELECT k, s % 2 AS tb, p % 300 AS x0, p % 300 + 40 AS x1, s % 500 AS y0, s % 500 + 12 AS y1 FROM lines)
 SELECT k AS doc_id, tb AS "table", CAST(min(x0) AS DOUBLE) AS x0, CAST(792 - max(y1) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(792 - min(y0) AS DOUBLE) AS y1 FROM c GROUP BY k, tb""")
 def lattice_boxes(spark, sf_dir):
