@@ -11,6 +11,8 @@ from . import layout, triage
 KEYS = ["doc_id", "page"]
 #: Lines this near, in points, are one line.
 SNAP = 3.0
+#: Stretches of a text row that are farther apart, in points, may be cells.
+WIDE = 10.0
 #: A page's tables are looked for from this line score on; images cover this share of their page.
 RULED, IMAGE_SHARE = 4, 0.03
 
@@ -107,6 +109,47 @@ def ruled_tables(drawings: DataFrame, spans: DataFrame) -> DataFrame:
     return real.groupBy(*KEYS).agg(best).select(*KEYS, "t.*")
 
 
+def aligned_cells(spans: DataFrame) -> DataFrame:
+    """Cells (doc_id, page, table, row, col, text, x0, y0, x1, y1) of tables that only the place of their text makes: rows that follow each
+    other, each of two stretches or more with WIDE points between, two rows at least; columns are what the gaps in the union of all stretches
+    of a table part, two at least. Blank spans count for nothing.
+
+    Sweeps by running maximum find rows, stretches and columns; all of them are dealt by page."""
+    nth = ["block", "line", "span"]
+    word = spans.where(strip(F.coalesce("text", F.lit(""))) != "").select(*KEYS, *nth, "text", "x0", "y0", "x1", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("_cy"))
+
+    def swept(rows: DataFrame, name: str, by: list[str], order: list[str], start: str, end: str, gap: float) -> DataFrame:
+        """Numbers, from 0, of stretches that are more than ``gap`` apart."""
+        w = Window.partitionBy(*KEYS, *by).orderBy(*order, *nth)
+        apart = F.col(start) > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) + gap
+        return rows.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_new")
+
+    row = swept(swept(word, "row", [], ["_cy", "x0"], "_cy", "y1", 0.0), "_part", ["row"], ["x0"], "x0", "x1", WIDE)
+    row = row.withColumn("_parts", F.max("_part").over(Window.partitionBy(*KEYS, "row"))).where("_parts > 0")
+    held = row.withColumn("_run", F.col("row") - F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("row")))
+    run = Window.partitionBy(*KEYS, "_run")
+    held = held.withColumns({"_first": F.min("row").over(run), "_last": F.max("row").over(run)}).where("_last > _first")
+    held = swept(held, "col", ["_run"], ["x0"], "x0", "x1", SNAP)
+    held = held.withColumn("_cols", F.max("col").over(run)).where("_cols > 0")
+    held = held.withColumns({"table": F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("_run")) - 1, "row": F.col("row") - F.col("_first")})
+    said = F.transform(F.array_sort(F.collect_list(F.struct("x0", *nth, "text"))), lambda x: x["text"])
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    return held.groupBy(*KEYS, "table", "row", "col").agg(clean(F.array_join(said, " ")).alias("text"), *box)
+
+
+def aligned_tables(spans: DataFrame) -> DataFrame:
+    """At most one table a page (doc_id, page, rows, x0, y0, x1, y1) of ``aligned_cells``: of those that have a row with two filled cells
+    the one with most filled cells, the upper one of ties."""
+    cell = aligned_cells(spans)
+    cell = cell.withColumn("_cols", F.max("col").over(Window.partitionBy(*KEYS, "table")))
+    box = [(F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")]
+    line = cell.groupBy(*KEYS, "table", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.first("_cols").alias("_cols"), F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for f, c in box])
+    line = line.withColumn("cells", F.transform(F.sequence(F.lit(0), "_cols"), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))))
+    table = line.groupBy(*KEYS, "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("rows"), F.max("n").alias("busy"), F.sum("n").alias("score"), *[F.round(f(c), 1).alias(c) for f, c in box])
+    best = F.max_by(F.struct("rows", "x0", "y0", "x1", "y1"), F.struct("score", -F.col("table"))).alias("t")
+    return table.where("busy > 1").groupBy(*KEYS).agg(best).select(*KEYS, "t.*")
+
+
 def _box() -> Column:
     return F.struct(*[F.round(F.col(c).cast("double"), 1).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -130,7 +173,12 @@ def elements(pages: DataFrame, spans: DataFrame, drawings: DataFrame, images: Da
     level = layout.heading_level(F.col("size"), F.coalesce("body", F.lit(0.0)), F.col("bold"), F.col("text"))
     texts = ordered.withColumn("level", level).select(*KEYS, "pos", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("type"), F.when(F.col("level") > 0, clean(F.col("text"))).otherwise(F.col("text")).alias("text"), F.when(F.col("level") > 0, F.col("level")).alias("level"), "x0", "y0", "x1", "y1")
     asked = routed.where((F.col("route") == "table") | (F.col("lines") >= RULED)).select(*KEYS)
-    table = ruled_tables(drawings.join(asked, KEYS, "left_semi"), spans.join(asked, KEYS, "left_semi")).persist()
+    # Aligned text is a table only where lines make none, and not where the page is set in columns.
+    text = spans.join(asked, KEYS, "left_semi")
+    ruled = ruled_tables(drawings.join(asked, KEYS, "left_semi"), text)
+    aligned = aligned_tables(text.join(routed.where("cols = 1").select(*KEYS), KEYS, "left_semi"))
+    either = ruled.withColumn("_n", F.lit(0)).unionByName(aligned.withColumn("_n", F.lit(1)))
+    table = either.groupBy(*KEYS).agg(F.min_by(F.struct("rows", "x0", "y0", "x1", "y1"), "_n").alias("t")).select(*KEYS, "t.*").persist()
     kept = layout.drop_inside(texts, table).select("t.*")
     area = F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     first = F.min_by(F.struct("x0", "y0", "x1", "y1"), "ord")

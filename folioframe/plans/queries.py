@@ -713,6 +713,29 @@ def ruled_spans(spark, sf_dir):
     return pages.ruled_spans(drawn.withColumns({"page": F.lit(1), "kind": F.lit("l")})).drop("page")
 
 
+@query(f"""WITH {LINES}, sp AS (SELECT k, ord, 0 AS x0, 10 + p % 20 AS x1, flag || p AS text FROM lines UNION ALL SELECT k, ord, 50 + s % 10, CASE p % 7 WHEN 0 THEN 105 ELSE 70 + s % 10 END, 'b' || s FROM lines WHERE p % 4 <> 0
+  UNION ALL SELECT k, ord, 100, 110, 'c' || p FROM lines WHERE s % 3 = 0),
+n AS (SELECT k, ord FROM sp GROUP BY k, ord HAVING count(*) > 1), r AS (SELECT *, ord - row_number() OVER (PARTITION BY k ORDER BY ord) AS run FROM n),
+t AS (SELECT k, ord, run, count(*) OVER (PARTITION BY k, run) AS height, ord - min(ord) OVER (PARTITION BY k, run) AS row FROM r),
+nt AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY run) - 1 AS tb FROM t WHERE height > 1),
+c AS (SELECT k, tb, row, ord, x0, text, CASE WHEN x0 > max(x1) OVER (PARTITION BY k, tb ORDER BY x0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 1 ELSE 0 END AS fresh FROM sp JOIN nt USING (k, ord)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY k, tb ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS col FROM c)
+SELECT k AS doc_id, CAST(tb AS INT) AS "table", CAST(row AS INT) AS row, CAST(col AS INT) AS col, string_agg(text, ' ' ORDER BY x0) AS text FROM d GROUP BY k, tb, row, col""")
+def aligned_cells(spark, sf_dir):
+    """Lines of orders as rows of up to three stretches; a wide one joins two columns of its table."""
+    p, s = F.col("p"), F.col("s")
+    span = lambda on, x0, x1, text: F.when(on, F.struct(x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), text.alias("text")))
+    said = lambda mark, of: F.concat(mark, of.cast("string"))
+    told = F.array(
+        span(F.lit(True), F.lit(0), 10 + p % 20, said(F.col("flag"), p)),
+        span(p % 4 != 0, 50 + s % 10, F.when(p % 7 == 0, F.lit(105)).otherwise(70 + s % 10), said(F.lit("b"), s)),
+        span(s % 3 == 0, F.lit(100), F.lit(110), said(F.lit("c"), p)),
+    )
+    y = (20 * F.col("ord")).cast("double")
+    at = lines(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("ord").alias("line"), y.alias("y0"), (y + 10).alias("y1"), F.posexplode(F.array_compact(told)).alias("span", "x"))
+    return pages.aligned_cells(at.select("doc_id", "page", "block", "line", "span", "y0", "y1", "x.*")).select("doc_id", "table", "row", "col", "text")
+
+
 @query(f"""WITH {LINES}, c AS (SELECT k, s % 2 AS tb, p % 300 AS x0, p % 300 + 40 AS x1, s % 500 AS y0, s % 500 + 12 AS y1 FROM lines)
 SELECT k AS doc_id, tb AS "table", CAST(min(x0) AS DOUBLE) AS x0, CAST(792 - max(y1) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(792 - min(y0) AS DOUBLE) AS y1 FROM c GROUP BY k, tb""")
 def lattice_boxes(spark, sf_dir):

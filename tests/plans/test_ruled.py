@@ -55,10 +55,28 @@ def test_table_with_a_merged_head(spark):
     """A head over two columns keeps its text, in the first of them."""
     cells = [(0, 0, 80, 20, "head"), (0, 20, 40, 40, "a"), (40, 20, 80, 40, "b"), (0, 40, 40, 60, "c"), (40, 40, 80, 60, "d")]
     boxes = spark.createDataFrame([("d", 1, "re", *map(float, c[:4])) for c in cells], BOXES)
-    spans = spark.createDataFrame([("d", 1, n, 0, 0, t, float(x0 + 2), float(y0 + 2), float(x0 + 20), float(y0 + 12)) for n, (x0, y0, _, _, t) in enumerate(cells)], "doc_id string, page int, block int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double")
+    spans = spark.createDataFrame([("d", 1, n, 0, 0, t, float(x0 + 2), float(y0 + 2), float(x0 + 20), float(y0 + 12)) for n, (x0, y0, _, _, t) in enumerate(cells)], SPANS)
     assert [r.rows for r in pages.ruled_tables(boxes, spans).collect()] == [[["head", ""], ["a", "b"], ["c", "d"]]]
 
 
+SPANS = "doc_id string, page int, block int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_aligned_text(spark):
+    """Columns by gaps over all rows; lines that overlap a little in height stay two rows; running text and single rows are no table."""
+    rows = {
+        "t": [("Title of the page", 0, 0, 90), ("name", 0, 30, 30), ("value", 60, 30, 85), ("x", 0, 41, 8), ("1", 70, 41, 75), ("2 3", 120, 41, 140), ("long name", 0, 52, 50), ("4", 62, 52, 66), ("", 200, 52, 240), ("end", 0, 90, 20)],
+        "prose": [("words that", 0, 0, 50), ("go on", 52, 0, 80), ("and on", 0, 12, 40)],
+        "single": [("a", 0, 0, 8), ("b", 60, 0, 68)],
+        "bridged": [("a", 0, 0, 8), ("b", 60, 0, 68), ("cc", 5, 12, 62), ("d", 80, 12, 90), ("e", 0, 24, 4), ("f", 30, 24, 34)],
+    }
+    flat = [(d, 1, 0, n, 0, text, float(x0), float(y), float(x1), float(y + 12)) for d, own in rows.items() for n, (text, x0, y, x1) in enumerate(own)]
+    spans = spark.createDataFrame(flat, SPANS)
+    assert {r.doc_id: r.rows for r in pages.aligned_tables(spans).collect()} == {"t": [["name", "value", ""], ["x", "1", "2 3"], ["long name", "4", ""]], "bridged": [["a b", ""], ["cc", "d"], ["e f", ""]]}
+    assert pages.aligned_cells(spans)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert pages.aligned_tables(spark.createDataFrame([], SPANS)).count() == 0
+
+
 def test_interleave(spark):
     """Ties, texts in any order, objects without a place, pages with one kind only; brute force."""
     draw = random.Random(5)
