@@ -101,7 +101,8 @@ def _paragraphs(body: ET.Element | None) -> list[ET.Element]:
 
 
 def _bullet(p: ET.Element) -> str:
-    names = {local(x.tag) for x in child(p, "pPr") or ()}
+    own = child(p, "pPr")
+    names = {local(x.tag) for x in own} if own is not None else set()
     return "none" if "buNone" in names else "bullet" if names & {"buChar", "buAutoNum", "buBlip"} else "inherit"
 
 
