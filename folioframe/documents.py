@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import comment_safe, esc_html, esc_inline, esc_md, gfm_cell, strip
 from .operators import pages as page_operators
 from .operators import quality
+from .operators.tables import once
 from .schema import SPAN, shaped
 
 RULES = {"xlsx": quality.SHEET, "docx": quality.DOCX, "pptx": quality.SLIDE}
@@ -78,7 +79,7 @@ def pipe_table(rows: Column, cell=gfm_cell) -> Column:
 
 
 def html_table(rows: Column, spans: Column, inner: Column | None = None) -> Column:
-    """An HTML table; cells that a span covers are left out. ``inner``: structs (row, col, html) of what follows a cell's text."""
+    """An HTML table; cells that a span covers are left out. ``inner``: structs (row, col, html) of what follows a cell's text, in order."""
 
     def cell(value: Column, r: Column, c: Column) -> Column:
         within = lambda s: (r >= s["row"]) & (r < s["row"] + s["rowspan"]) & (c >= s["col"]) & (c < s["col"] + s["colspan"])
@@ -88,7 +89,7 @@ def html_table(rows: Column, spans: Column, inner: Column | None = None) -> Colu
         tag = F.when(r == 0, "th").otherwise("td")
         text = F.replace(esc_html(value), F.lit("\n"), F.lit(" "))
         if inner is not None:
-            text = F.concat(text, F.coalesce(F.get(F.filter(inner, anchor), F.lit(0))["html"], F.lit("")))
+            text = F.concat(text, F.coalesce(F.array_join(F.transform(F.filter(inner, anchor), lambda x: x["html"]), ""), F.lit("")))
         shown = F.concat(F.lit("<"), tag, F.coalesce(size, F.lit("")), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
         return F.when(F.exists(spans, lambda s: within(s) & ~anchor(s)), "").otherwise(shown)
 
@@ -96,36 +97,38 @@ def html_table(rows: Column, spans: Column, inner: Column | None = None) -> Colu
     return F.concat(F.lit("<table>\n"), F.array_join(lines, "\n"), F.lit("\n</table>"))
 
 
+def _depth(nested: DataFrame) -> int:
+    """How deep the tables of a column ``v`` of variant lists lie at most, found in one pass where it's 8 or less."""
+    most, found = 4, 4
+    while found == most:
+        most *= 2
+        level = nested.select(F.lit(0).alias("n"), F.variant_get("v", "$", "array<variant>").alias("l"))
+        for _ in range(most):
+            below = F.flatten(F.filter(F.transform("l", lambda x: F.variant_get(x, "$.nested", "array<variant>")), lambda x: x.isNotNull()))
+            level = level.select((F.col("n") + (F.size("l") > 0).cast("int")).alias("n"), below.alias("l"))
+        found = level.agg(F.max("n")).first()[0] or 0
+    return found
+
+
 def nested_html(tables: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, html) of tables (keys, rows, spans, nested) with tables in their cells at any depth; ``nested`` is a JSON list of
     {row, col, rows, spans, nested}.
 
-    Each level of depth is one round down, which flattens the tables in tables to rows with the path of their parent, and one round up, which
-    renders a level and puts it into the cells of the level above; so rounds follow depth, whatever the number of tables."""
-    spans = f"array<{SPAN}>"
-    level = tables.select(*keys, F.lit("").alias("path"), "rows", F.coalesce("spans", F.array().cast(spans)).alias("spans"), F.parse_json("nested").alias("_v"))
-    levels = [level]
-    while True:
-        inside = levels[-1].where(F.col("_v").isNotNull()).select(*keys, F.col("path").alias("parent"), F.posexplode(F.variant_get("_v", "$", "array<variant>")).alias("nth", "_x"))
-        of = lambda name, kind: F.variant_get("_x", f"$.{name}", kind)
-        inside = inside.select(
-            *keys, "parent", "nth", F.concat_ws(".", "parent", F.col("nth").cast("string")).alias("path"), of("row", "int").alias("row"), of("col", "int").alias("col"),
-            of("rows", "array<array<string>>").alias("rows"), F.coalesce(of("spans", spans), F.array().cast(spans)).alias("spans"), of("nested", "variant").alias("_v"),
-        )
-        if inside.isEmpty():
-            break
-        levels.append(inside)
-    below = None
-    for level in reversed(levels):
-        if below is None:
-            drawn = level.withColumn("html", html_table(F.col("rows"), F.col("spans")))
-        else:
-            listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "html"))), lambda x: x["html"]), "")
-            cell = below.groupBy(*keys, "parent", "row", "col").agg(listed.alias("html")).groupBy(*keys, F.col("parent").alias("path")).agg(F.collect_list(F.struct("row", "col", "html")).alias("_in"))
-            held = F.coalesce("_in", F.array().cast("array<struct<row:int,col:int,html:string>>"))
-            drawn = level.join(cell, [*keys, "path"], "left").withColumn("html", html_table(F.col("rows"), F.col("spans"), held))
-        below = drawn.drop("rows", "spans", "_v", "_in")
-    return below.select(*keys, "html")
+    A table is rendered with all that is in it within its row, by as many transforms in each other as tables are deep; nothing is
+    exchanged. How deep they are is asked once."""
+    none, variants = F.array().cast(f"array<{SPAN}>"), "array<variant>"
+    level = tables.select(*keys, "rows", F.coalesce("spans", none).alias("spans"), F.parse_json("nested").alias("v"))
+
+    def drawn(rows: Column, spans: Column, nested: Column, depth: int) -> Column:
+        if not depth:
+            return html_table(rows, spans)
+        of = lambda x, name, kind: F.variant_get(x, f"$.{name}", kind)
+        below = lambda x: drawn(of(x, "rows", "array<array<string>>"), F.coalesce(of(x, "spans", f"array<{SPAN}>"), none), of(x, "nested", "variant"), depth - 1)
+        inner = F.transform(F.variant_get(nested, "$", variants), lambda x: F.struct(of(x, "row", "int").alias("row"), of(x, "col", "int").alias("col"), below(x).alias("html")))
+        return once(F.struct(rows.alias("rows"), spans.alias("spans"), inner.alias("inner")), lambda t: html_table(t["rows"], t["spans"], t["inner"]))
+
+    depth = _depth(level.select("v"))
+    return level.select(*keys, drawn(F.col("rows"), F.col("spans"), F.col("v"), depth).alias("html"))
 
 
 # Markdown. Marks, comments and notices are output.

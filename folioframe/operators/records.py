@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import control_strip, strip
+from .tables import filled
 
 
 def under_header(records: DataFrame) -> DataFrame:
@@ -160,21 +161,14 @@ def tables(records: DataFrame) -> DataFrame:
     return _cells(scopes(records)).drop("rec")
 
 
-def _filled(items: Column, at: str, size: Column, blank: Column, value: str) -> Column:
-    """``value`` of sorted structs at their places among ``size`` many, and blanks between."""
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(items, i - 1)[at])
-    held = F.flatten(F.transform(items, lambda x, i: F.concat(F.array_repeat(blank, x[at] - before(i) - 1), F.array(x[value]))))
-    return F.concat(held, F.array_repeat(blank, size - F.element_at(items, -1)[at] - 1))
-
-
 def _grids(cells: DataFrame) -> DataFrame:
     """Tables (doc_id, section, rec) with rows and spans; places that a cell covers are blank, and of cells in one place the later stays."""
     keys = [*KEYS, "rec", "nrows", "ncols"]
     place = cells.where("row < nrows and col < ncols").groupBy(*keys, "row", "col").agg(F.max_by("text", "cell").alias("text"))
     line = place.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("_c"))
-    line = line.select(*keys, "row", _filled(F.col("_c"), "col", F.col("ncols"), F.lit(""), "text").alias("line"))
+    line = line.select(*keys, "row", filled(F.col("_c"), "col", F.col("ncols"), F.lit(""), "text").alias("line"))
     whole = line.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_l"))
-    whole = whole.select(*KEYS, "rec", _filled(F.col("_l"), "row", F.col("nrows"), F.array_repeat(F.lit(""), F.col("ncols")), "line").alias("rows"))
+    whole = whole.select(*KEYS, "rec", filled(F.col("_l"), "row", F.col("nrows"), F.array_repeat(F.lit(""), F.col("ncols")), "line").alias("rows"))
     span = F.struct("cell", F.struct("row", "col", "rowspan", "colspan").alias("s"))
     spans = cells.where("rowspan > 1 or colspan > 1").groupBy(*KEYS, "rec").agg(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]).alias("spans"))
     return whole.join(spans, [*KEYS, "rec"], "full")

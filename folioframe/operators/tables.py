@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,25 +76,58 @@ def vertical_spans(cells: DataFrame) -> DataFrame:
     return kept.groupBy("table_id", "col", "anchor").agg(F.count(F.lit(1)).alias("rowspan")).select("table_id", F.col("anchor").alias("row"), "col", "rowspan")
 
 
-def dense_grid(cells: DataFrame, tables: DataFrame, expand: str = "blank") -> DataFrame:
-    """Every (table_id, row, col) of nrows x ncols with its text; covered places are blank or repeat it (``duplicate``).
+def filled(items: Column, at: str, size: Column, blank: Column, value: str) -> Column:
+    """``value`` of sorted structs at their places among ``size`` many, and blanks between."""
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(items, i - 1)[at])
+    held = F.flatten(F.transform(items, lambda x, i: F.concat(F.array_repeat(blank, x[at] - before(i) - 1), F.array(x[value]))))
+    return F.concat(held, F.array_repeat(blank, size - F.element_at(items, -1)[at] - 1))
+
 
-    A table's cells are gathered once; all that follows is dealt by table already."""
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, wherever lambdas look into it: as the one element of a list."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gathered(cells: DataFrame, *sizes: Column) -> DataFrame:
+    """One row for each table: its cells as a list, and ``sizes``, aggregates over them."""
     kept = F.struct("row", "col", "rowspan", "colspan", "text", F.col("cell").cast("int").alias("cell"))
-    whole = tables.select("table_id", "nrows", "ncols").join(cells.groupBy("table_id").agg(F.collect_list(kept).alias("cells")), "table_id", "left")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return cells.groupBy("table_id").agg(F.collect_list(kept).alias("cells"), *sizes)
+
 
-    def place(r: Column, c: Column, text: Column, cell: Column) -> Column:
-        return F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), text.alias("text"), cell.alias("cell"))
+def grids(whole: DataFrame, expand: str = "blank") -> DataFrame:
+    """(table_id, rows) of tables (table_id, nrows, ncols, cells): all places with their texts; covered places are blank or repeat it
+    (``duplicate``). Of cells in one place the later stays.
+
+    A table is filled within its row, by one sort of the places that its cells cover; no place becomes a row of its own."""
+    nrows, ncols, none = F.col("nrows"), F.col("ncols"), F.array().cast("array<int>")
+    upto = lambda first, end: F.when(end > first, F.sequence(first.cast("int"), (end - 1).cast("int"))).otherwise(none)
 
     def covered(x: Column) -> Column:
-        text = lambda r, c: x["text"] if expand == "duplicate" else F.when((r == 0) & (c == 0), x["text"]).otherwise("")
-        return F.flatten(F.transform(upto(x["rowspan"]), lambda r: F.transform(upto(x["colspan"]), lambda c: place(x["row"] + r, x["col"] + c, text(r, c), x["cell"]))))
+        text = lambda r, c: x["text"] if expand == "duplicate" else F.when((r == x["row"]) & (c == x["col"]), x["text"]).otherwise("")
+        across = upto(F.greatest(x["col"], F.lit(0)), F.least(x["col"] + x["colspan"], ncols))
+        down = upto(F.greatest(x["row"], F.lit(0)), F.least(x["row"] + x["rowspan"], nrows))
+        place = lambda r, c: F.struct((r * ncols + c).cast("int").alias("at"), x["cell"].alias("cell"), text(r, c).alias("text"))
+        return F.flatten(F.transform(down, lambda r: F.transform(across, lambda c: place(r, c))))
+
+    # Bound one after the other: lambdas, and filters that are pushed below, would make named columns anew for each element.
+    last = lambda every: F.filter(every, lambda x, i: F.coalesce(F.get(every, i + 1)["at"] != x["at"], F.lit(True)))
+    n = (nrows * ncols).cast("int")
+    texts = lambda own: F.when(F.size(own) > 0, filled(own, "at", n, F.lit(""), "text")).otherwise(F.array_repeat(F.lit(""), n))
+    cut = lambda texts: F.transform(upto(F.lit(0), nrows), lambda r: F.slice(texts, (r * ncols + 1).cast("int"), ncols.cast("int")))
+    every = F.sort_array(F.flatten(F.transform("cells", covered)))
+    rows = once(every, lambda e: once(last(e), lambda own: once(texts(own), cut)))
+    return whole.where("nrows > 0 and ncols > 0").select("table_id", rows.alias("rows"))
+
 
-    blank = F.flatten(F.transform(upto(F.col("nrows")), lambda r: F.transform(upto(F.col("ncols")), lambda c: place(r, c, F.lit(""), F.lit(-1)))))
-    own = F.coalesce(F.flatten(F.transform("cells", covered)), F.array().cast("array<struct<row:int,col:int,text:string,cell:int>>"))
-    every = whole.select("table_id", "nrows", "ncols", F.explode(F.concat(blank, own)).alias("x")).where("x.row < nrows and x.col < ncols")
-    return every.groupBy("table_id", F.col("x.row").alias("row"), F.col("x.col").alias("col")).agg(F.max_by("x.text", "x.cell").alias("text"))
+def places(whole: DataFrame) -> DataFrame:
+    """(table_id, row, col, text) of tables (table_id, rows)."""
+    line = whole.select("table_id", F.posexplode_outer("rows").alias("row", "_line"))
+    return line.select("table_id", "row", F.posexplode_outer("_line").alias("col", "text"))
+
+
+def dense_grid(cells: DataFrame, tables: DataFrame, expand: str = "blank") -> DataFrame:
+    """Every (table_id, row, col) of nrows x ncols with its text; covered places are blank or repeat it (``duplicate``)."""
+    return places(grids(tables.select("table_id", "nrows", "ncols").join(gathered(cells), "table_id", "left"), expand))
 
 
 def best_table(cells: DataFrame) -> DataFrame:

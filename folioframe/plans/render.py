@@ -1,7 +1,9 @@
-"""Renderers of dense grids (table_id, row, col, text) and elements."""
+"""Renderers of whole tables (table_id, rows) and of cells."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +15,19 @@ def _rows(grid: DataFrame, cell: Column, sep: str) -> DataFrame:
     return grid.groupBy("table_id", "row").agg(joined.alias("line"), F.count(F.lit(1)).alias("width"))
 
 
-def _markdown(grid: DataFrame, cell: Column) -> DataFrame:
-    rows = _rows(grid, cell, " | ").withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |")))
-    lines = F.array_sort(F.collect_list(F.struct("row", "line", "width")))
-    t = rows.groupBy("table_id").agg(lines.alias("l"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("l")[0]["width"].cast("int")), " | "), F.lit(" |"))
-    every = F.concat(F.array(F.col("l")[0]["line"], rule), F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: x["line"]))
-    return t.select("table_id", F.array_join(every, "\n").alias("markdown"))
+def _markdown(tables: DataFrame, cell: Callable[[Column], Column]) -> DataFrame:
+    piped = lambda row, of: F.concat(F.lit("| "), F.array_join(F.transform(row, of), " | "), F.lit(" |"))
+    rule = lambda row: F.concat(F.lit("\n"), piped(row, lambda _: F.lit("---")))
+    lines = F.transform("rows", lambda row, i: F.concat(piped(row, cell), F.when(i == 0, rule(row)).otherwise("")))
+    return tables.select("table_id", F.array_join(lines, "\n").alias("markdown"))
 
 
-def gfm_table(grid: DataFrame) -> DataFrame:
-    return _markdown(grid, gfm_cell(F.col("text")))
+def gfm_table(tables: DataFrame) -> DataFrame:
+    return _markdown(tables, gfm_cell)
 
 
-def hwp_table(grid: DataFrame) -> DataFrame:
-    return _markdown(grid, hwp_cell(F.col("text")))
+def hwp_table(tables: DataFrame) -> DataFrame:
+    return _markdown(tables, hwp_cell)
 
 
 def html_table(cells: DataFrame) -> DataFrame:
@@ -40,10 +40,8 @@ def html_table(cells: DataFrame) -> DataFrame:
     return rows.groupBy("table_id").agg(F.concat(F.lit("<table>\n"), body, F.lit("\n</table>")).alias("html"))
 
 
-def csv_table(grid: DataFrame) -> DataFrame:
+def csv_table(tables: DataFrame) -> DataFrame:
     """Minimal quoting and CRLF line ends."""
-    text = F.col("text")
-    quoted = F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-    rows = _rows(grid, quoted, ",")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: F.concat(x["line"], F.lit("\r\n")))
-    return rows.groupBy("table_id").agg(F.array_join(lines, "").alias("csv"))
+    quoted = lambda x: F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    lines = F.transform("rows", lambda row: F.concat(F.array_join(F.transform(row, quoted), ","), F.lit("\r\n")))
+    return tables.select("table_id", F.array_join(lines, "").alias("csv"))
