@@ -1,7 +1,8 @@
 """Sheets as ordered elements: cells, merged ranges and chart points in, notes, tables and charts out.
 
-Everything is dealt by sheet once: cutting into regions, headers, rows and notes are windows and groups within sheets, and
-sorts are all that follows the first exchange. Keys ``by`` name a sheet; what one sheet holds is what one file's sheet held.
+Everything is dealt by sheet: cutting into regions, headers, rows and notes are windows and groups within sheets. Keys ``by``
+name a sheet; what one sheet holds is what one file's sheet held. ``parts`` is the number of partitions of every exchange, for
+cells and ranges that are dealt by sheet into as many already; without it they are dealt here, and Spark sets the number.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ CACHED = "contains-formula(cached values shown)"
 SPAN = "struct<row:int,col:int,rowspan:int,colspan:int>"
 
 
+def dealt(rows: DataFrame, keys: tuple[str, ...], parts: int | None) -> DataFrame:
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
 def bands(first: Column, last: Column) -> Column:
     """One row for each band of rows that [first, last] touches."""
     return F.explode(F.sequence(F.floor(first / BAND), F.floor(last / BAND)))
@@ -47,10 +52,11 @@ def cut_places(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_regions(cells: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+def in_regions(cells: DataFrame, by: tuple[str, ...] = BY, parts: int | None = None) -> DataFrame:
     """Adds ``path``, equal for the cells of one region: no region has an empty row or column. Where cuts are made first doesn't change
     what regions there are, so all empty rows, then all empty columns are cut at once."""
-    cells = cells.withColumn("path", F.lit("")).repartition(*by)
+    cells = cells.withColumn("path", F.lit(""))
+    cells = cells if parts else dealt(cells, by, None)
 
     def numbered(axis: str) -> Column:
         return F.col(axis) - F.dense_rank().over(Window.partitionBy(*by, "path").orderBy(axis))
@@ -68,7 +74,7 @@ def in_regions(cells: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
         return t.set_column(t.schema.get_field_index("path"), "path", pa.array(path, pa.string()))
 
     deep = cells.where("_open").drop("_open")
-    return cells.where("not _open").drop("_open").unionByName(deep.groupBy(*by, "path").applyInArrow(cut, deep.schema))
+    return dealt(cells.where("not _open").drop("_open").unionByName(deep.groupBy(*by, "path").applyInArrow(cut, deep.schema)), by, parts)
 
 
 def boxes(cells: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -112,22 +118,25 @@ def numbered(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return found.groupBy(*by).applyInArrow(order, f"{schema}, region int")
 
 
-def merges_within(merges: DataFrame, found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+def merges_within(merges: DataFrame, found: DataFrame, by: tuple[str, ...] = BY, parts: int | None = None) -> DataFrame:
     """Merged ranges (r0, c0, r1, c1) with the one region that holds each as a whole; both meet by bands of rows."""
     near = found.select("*", bands(F.col("min_row"), F.col("max_row")).alias("_band"))
     own = merges.withColumn("_band", F.floor(F.col("r0") / BAND))
     whole = (F.col("r0") >= F.col("min_row")) & (F.col("r1") <= F.col("max_row")) & (F.col("c0") >= F.col("min_col")) & (F.col("c1") <= F.col("max_col"))
+    if parts:
+        own, near = dealt(own, (*by, "_band"), parts), dealt(near, (*by, "_band"), parts)
     return own.join(near, [*by, "_band"]).where(whole).drop("_band")
 
 
-def uncovered(cells: DataFrame, merges: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+def uncovered(cells: DataFrame, merges: DataFrame, by: tuple[str, ...] = BY, parts: int | None = None) -> DataFrame:
     """Cells but those that a merged range covers without beginning there. Ranges and cells are read along each row, with
     the furthest end of a range so far."""
     used = cells.groupBy(*by).agg(F.max("row").alias("_last"))
     spread = merges.join(used, [*by]).where("r0 <= _last").select(*by, "r0", "c0", "c1", F.explode(F.sequence("r0", F.least("r1", "_last"))).alias("row"))
     begins = spread.select(*by, "row", (F.col("c0") + (F.col("row") == F.col("r0")).cast("int")).alias("col"), F.col("c1").alias("_to")).where("col <= _to")
     w = Window.partitionBy(*by, "row").orderBy("col", F.col("_to").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = cells.unionByName(begins, allowMissingColumns=True).repartition(*by).withColumn("_covered", F.coalesce(F.max("_to").over(w) >= F.col("col"), F.lit(False)))
+    both = cells.unionByName(begins, allowMissingColumns=True)
+    both = (both if parts else dealt(both, by, None)).withColumn("_covered", F.coalesce(F.max("_to").over(w) >= F.col("col"), F.lit(False)))
     return both.where("_to is null and not _covered").drop("_to", "_covered")
 
 
@@ -152,13 +161,13 @@ def region_rows(cells: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return rows.withColumn("line", _lines(F.col("c0"), F.col("c1"))).drop("_cells")
 
 
-def notes_and_tables(cells: DataFrame, merges: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+def notes_and_tables(cells: DataFrame, merges: DataFrame, by: tuple[str, ...] = BY, parts: int | None = None) -> DataFrame:
     """(by, region, part, type, text, ref, note, rows, spans) of each sheet, in the order of region and part.
 
     cells: by, row, col, kind, text, formula; kind ``f`` is a formula without a stored value, which shows its formula and
     counts for regions but not for headers. merges: by, r0, c0, r1, c1. A region of one row or column is a note; where a sure header has
     rows with one text at most above it, these become a note before the table."""
-    placed = in_regions(uncovered(cells, merges, by).where("text <> ''"), by)
+    placed = in_regions(uncovered(cells, merges, by, parts).where("text <> ''"), by, parts)
     rows = tables.with_header(region_rows(placed, by), [*by, "path"])
     whole = rows.groupBy(*by, "path").agg(
         F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_rows"), F.min("header").alias("header"), F.max("sure").alias("sure"),
@@ -167,9 +176,12 @@ def notes_and_tables(cells: DataFrame, merges: DataFrame, by: tuple[str, ...] =
     )
     span = F.struct((F.col("r0") - F.col("min_row")).cast("int").alias("row"), (F.col("c0") - F.col("min_col")).cast("int").alias("col"), (F.col("r1") - F.col("r0") + 1).cast("int").alias("rowspan"), (F.col("c1") - F.col("c0") + 1).cast("int").alias("colspan"))
     large = merges.where("r0 <> r1 or c0 <> c1").dropDuplicates([*by, "r0", "c0", "r1", "c1"])
+    region = (*by, "path")
     corners = numbered(boxes(placed, by), by)
-    spans = merges_within(large, corners, by).groupBy(*by, "path").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
-    whole = whole.join(corners.select(*by, "path", "region"), [*by, "path"]).join(spans, [*by, "path"], "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))
+    corners = dealt(corners, region, parts) if parts else corners
+    held = merges_within(large, corners, by, parts)
+    spans = (dealt(held, region, parts) if parts else held).groupBy(*region).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    whole = (dealt(whole, region, parts) if parts else whole).join(corners.select(*by, "path", "region"), [*by, "path"]).join(spans, [*by, "path"], "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))
     whole = whole.withColumn("_lines", F.transform("_rows", lambda x: x["line"]))
     texts = lambda lines: F.filter(F.flatten(lines), lambda x: x != "")
     above = (F.col("header") - F.col("min_row")).cast("int")
